@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from annalist.llm.decontaminate import op10_decontaminate
 from annalist.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from annalist.llm.minhash import op9_minhash
 from annalist.llm.mixing import OP3_SQL, op3_mix
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix": op3_mix,
+    "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL = {
