@@ -43,7 +43,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
     )
     members = first.select("doc_id", "salt", "rep", "nth", F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
-    out = members.join(best, ["digest", "salt", "rep"])
+    # each member has its representative; a left join derives no null filters, so both sides share one sorted exchange
+    out = members.join(best, ["digest", "salt", "rep"], "left")
     return out.select(
         restore_id("doc_id").alias("doc_id"),
         restore_id("keep").alias("keep_id"),
