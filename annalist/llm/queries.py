@@ -6,8 +6,10 @@ from annalist.llm.decontaminate import op10_decontaminate
 from annalist.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from annalist.llm.minhash import op9_minhash
 from annalist.llm.mixing import OP3_SQL, op3_mix
+from annalist.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix": op3_mix,
     "op9_minhash": op9_minhash,
