@@ -7,11 +7,13 @@ from annalist.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from annalist.llm.minhash import op9_minhash
 from annalist.llm.mixing import OP3_SQL, op3_mix
 from annalist.llm.suffix_dedup import op1_suffix_dedup
+from annalist.llm.token_store import op4_tokens
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix": op3_mix,
+    "op4_tokens": op4_tokens,
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
 }
