@@ -23,4 +23,4 @@ def attempt_name(stem: str, suffix: str) -> str:
 def open_new(folder: str, name: str):
     fs, path = resolve(folder)
     fs.create_dir(path, recursive=True)
-    return fs.open_output_stream(f"{path}/{name}"), f"{folder}/{name}"
+    return fs.open_output_stream(f"{path}/{name}", compression=None), f"{folder}/{name}"

@@ -8,16 +8,19 @@ from annalist.llm.minhash import op9_minhash
 from annalist.llm.mixing import OP3_SQL, op3_mix
 from annalist.llm.suffix_dedup import op1_suffix_dedup
 from annalist.llm.token_store import op4_tokens
+from annalist.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix": op3_mix,
     "op4_tokens": op4_tokens,
+    "op7_warc": op7_warc,
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op3_mix": OP3_SQL,
+    "op7_warc": OP7_SQL,
 }
