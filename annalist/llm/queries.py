@@ -5,6 +5,7 @@ from __future__ import annotations
 from annalist.llm.decontaminate import op10_decontaminate
 from annalist.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from annalist.llm.language_id import op8_language_id
+from annalist.llm.language_model import op5_language_model
 from annalist.llm.minhash import op9_minhash
 from annalist.llm.mixing import OP3_SQL, op3_mix
 from annalist.llm.suffix_dedup import op1_suffix_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix": op3_mix,
     "op4_tokens": op4_tokens,
+    "op5_language_model": op5_language_model,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op9_minhash": op9_minhash,
@@ -24,5 +26,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op3_mix": OP3_SQL,
+    "op5_language_model": op5_language_model,
     "op7_warc": OP7_SQL,
 }
