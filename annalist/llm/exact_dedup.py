@@ -2,7 +2,8 @@
 
 Sampled splitters range-partition the normalised text (``repartitionByRange``), the external sort of the window
 operator places equal texts next to each other, and the window compares each row's whole text with its
-neighbour's. To let no group of copies land in one task, rows are first dealt by (text, salt): each salted run
+neighbour's. Splitters are the text's first characters and a hash of all of it, so the sample that the driver sorts
+stays small however long the texts are, and many texts with one beginning still spread. To let no group of copies land in one task, rows are first dealt by (text, salt): each salted run
 finds its representative, and only representatives - at most ``salts`` a text - take part in the second sort.
 """
 
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from annalist.llm.common import id_text, restore_id, table
 
+#: Characters of the text in a splitter.
+HEAD = 32
+
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=lambda c: c, keep: str = "smallest", salts: int = 32) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
@@ -24,18 +28,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
     rows = id_text(docs, id_col, text_col)
-    rows = rows.select("doc_id", normalise(F.col("text")).alias("body")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    rows = rows.select("doc_id", normalise(F.col("text")).alias("body")).withColumns(
+        {"salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"), "head": F.substring("body", 1, HEAD), "mark": F.xxhash64("body")}
+    )
     order: Column = F.col("doc_id").desc() if keep == "largest" else F.col("doc_id").asc()
-    run = Window.partitionBy("body", "salt")
-    first = rows.repartitionByRange("body", "salt").select(
-        "doc_id", "body", "salt",
+    run = Window.partitionBy("head", "mark", "salt", "body")
+    first = rows.repartitionByRange("head", "mark", "salt").select(
+        "doc_id", "body", "salt", "head", "mark",
         F.row_number().over(run.orderBy(order)).alias("nth"),
         F.first("doc_id").over(run.orderBy(order)).alias("rep"),
         F.count(F.lit(1)).over(run).alias("n"),
     )
-    group = Window.partitionBy("body")
+    group = Window.partitionBy("head", "mark", "body")
     best = (
-        first.where("nth = 1").select("body", "salt", "rep", "n").repartitionByRange("body")
+        first.where("nth = 1").select("body", "salt", "head", "mark", "rep", "n").repartitionByRange("head", "mark")
         .select(
             F.sha2(F.col("body").cast("binary"), 256).alias("digest"), "salt", "rep",
             F.first("rep").over(group.orderBy(F.col("rep").desc() if keep == "largest" else F.col("rep").asc())).alias("keep"),
