@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.common import id_text, restore_id, table
-from annalist.llm.text import NOT_ALNUM, chunks, grams, inside, sliding_max, sliding_min, words
+from annalist.llm.text import NOT_ALNUM, chunks, grams, inside, member, sliding_max, sliding_min, words
 
 WINDOW, K = 13, 6
 BLOCK_BYTES = 32 << 20
@@ -95,14 +95,6 @@ class Index:
         return found, np.cumsum(hit[:-1]) > 0, found_pairs
 
 
-def member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(keys, x)
-    at[at == len(keys)] = 0
-    return keys[at] == x
-
-
 def grams_at(hashes: np.ndarray, spots: np.ndarray, k: int) -> np.ndarray:
     """``grams`` at some positions only."""
     if not len(spots):

@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.common import id_text, partitions, restore_id, table
-from annalist.llm.text import CHUNK, Rolling, chunks, sliding_min
+from annalist.llm.text import CHUNK, Rolling, chunks, ranges, sliding_min
 
 LENGTH = 100
-K = 20
+K = 12
+#: zstandard level of dealt segments.
+LEVEL = 5
 #: Longer documents are taken in pieces of so many bytes that overlap by length - 1.
 PIECE = 8 << 20
 #: Segment bytes that a task buffers before it deals them out.
@@ -34,11 +36,6 @@ BUFFER = 16 << 20
 U64 = np.uint64
 
 
-def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The positions of all ranges, one after the other."""
-    return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum())) if len(size) else np.zeros(0, np.int64)
-
-
 def lpf(data: np.ndarray, cap: int | None = None) -> np.ndarray:
     """Longest previous factor of each position of one text, up to ``cap``: from the suffix array, the common prefixes of
     neighbours, and each position's previous and next smaller positions in suffix order."""
@@ -96,6 +93,11 @@ def repeated(data: np.ndarray, starts: np.ndarray, rank: np.ndarray, length: int
     return out
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit integers by byte planes, of which the high ones vanish in compression."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
 def place_order(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Dense rank of (doc, pos)."""
     order = np.lexsort((pos, doc))
@@ -154,16 +156,17 @@ class Buffer:
         deal = (akey >> U64(40)).astype(np.int64) % self.deals
         r_doc, r_s, r_e = union(doc[gone], pos[gone], pos[gone] + run[gone] - 1 + self.length)
         r_deal = np.abs(r_doc) % self.deals
+        stay = np.sort(stay)  # as read: neighbours of a block have close ids and like text, which compresses better
         stay = stay[np.argsort(deal[stay], kind="stable")]
         cut = np.searchsorted(deal[stay], np.arange(self.deals + 1))
         by = np.argsort(r_deal, kind="stable")
         r_cut = np.searchsorted(r_deal[by], np.arange(self.deals + 1))
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
         for d in np.flatnonzero((np.diff(cut) > 0) | (np.diff(r_cut) > 0)):
             s, r = stay[cut[d] : cut[d + 1]], by[r_cut[d] : r_cut[d + 1]]
             body = b"".join([
                 struct.pack("<qq", len(s), len(r)),
-                *(x.astype("<i8").tobytes() for x in (doc[s], pos[s], run[s], shift[s], r_doc[r], r_s[r], r_e[r])),
+                *(planes(x) for x in (np.diff(doc[s], prepend=0), pos[s], run[s], shift[s], r_doc[r], r_s[r], r_e[r])),
                 data[ranges(at[s], n[s])].tobytes(),
             ])
             yield int(d), squeeze.compress(body)
@@ -233,9 +236,12 @@ def find(payloads, length: int, k: int):
     for body in payloads:
         body = open_.decompress(body)
         m, r = struct.unpack_from("<qq", body)
-        cols = np.frombuffer(body, "<i8", 4 * m + 3 * r, 16)
-        parts.append((*cols[: 4 * m].reshape(4, m), np.frombuffer(body, np.uint8, offset=16 + 8 * (4 * m + 3 * r))))
-        done.append(cols[4 * m :].reshape(3, r))
+        cols, at = [], 16
+        for n in (m, m, m, m, r, r, r):
+            cols.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel())
+            at += 8 * n
+        parts.append((np.cumsum(cols[0]), *cols[1:4], np.frombuffer(body, np.uint8, offset=at)))
+        done.append(np.stack(cols[4:]))
     gone = [np.concatenate(done, axis=1)]
     doc, pos, run, shift, data = (np.concatenate(x) for x in zip(*parts, strict=True))
     if len(doc):

@@ -153,3 +153,17 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
 
 def sliding_max(values: np.ndarray, w: int) -> np.ndarray:
     return ~sliding_min(~values, w)
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one after the other."""
+    return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum())) if len(size) else np.zeros(0, np.int64)
+
+
+def member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of x are among the ascending keys."""
+    if not len(keys):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(keys, x)
+    at[at == len(keys)] = 0
+    return keys[at] == x
