@@ -341,7 +341,7 @@ def duplicates_having(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").groupBy(X.sha256("text").alias("text_key")).agg(n("copies")).where("copies > 1")
 
 
-@query("SELECT event_id, CASE WHEN age >= 600000 THEN 'parked' ELSE 'pending' END AS state, age AS age_ms FROM (SELECT event_id, greatest(0, 1704412800000 - epoch_ms(ts)) AS age FROM events)")
+@query("SELECT event_id, CASE WHEN age >= 600000 THEN 'parked' ELSE 'pending' END AS state, age AS age_ms FROM (SELECT event_id, greatest(0, 1704412800000 - epoch_us(ts) // 1000) AS age FROM events)")
 def notification_expiry(t: Tables) -> DataFrame:
     age = F.greatest(F.lit(0).cast("long"), F.lit(1704412800000) - F.unix_millis(F.col("ts").cast("timestamp")))
     return t.events.select("event_id", F.when(X.expired(age, 600_000), "parked").otherwise("pending").alias("state"), age.alias("age_ms"))
