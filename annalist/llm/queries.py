@@ -26,6 +26,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op3_mix": OP3_SQL,
-    "op5_language_model": op5_language_model,
     "op7_warc": OP7_SQL,
 }
