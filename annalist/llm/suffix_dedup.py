@@ -212,7 +212,7 @@ def _deal(length: int, k: int, deals: int):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["deal", "payload"])
 
-        for part, data, offsets in chunks(batches):
+        for part, data, offsets in chunks(batches, size=min(CHUNK, PIECE)):
             ids = part.column("doc_id").to_numpy()
             if len(data) <= PIECE:
                 buffer.add(ids, np.zeros(len(ids), np.int64), data, offsets)
