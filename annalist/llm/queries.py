@@ -9,6 +9,7 @@ from annalist.llm.language_model import op5_language_model
 from annalist.llm.minhash import op9_minhash
 from annalist.llm.mixing import OP3_SQL, op3_mix
 from annalist.llm.suffix_dedup import op1_suffix_dedup
+from annalist.llm.surrogates import op6_surrogates
 from annalist.llm.token_store import op4_tokens
 from annalist.llm.warc import OP7_SQL, op7_warc
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_tokens": op4_tokens,
     "op5_language_model": op5_language_model,
+    "op6_surrogates": op6_surrogates,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op9_minhash": op9_minhash,

@@ -1,0 +1,109 @@
+import itertools
+import re
+
+import pytest
+
+from annalist.llm import surrogates as S
+
+KEY = b"test key"
+VALUES = {
+    "email": ["Ann.Lee+x@Mail.example.org", "für.34@mail7.example.com"], "ip": ["10.0.200.3"], "mac": ["00:1A:2B:3C:4D:5E", "00-1a-2b-3c-4d-5e"], "phone": ["+1 (017) 555-7713", "(212) 555-0100", "+44 20 7946 0958", "212-555-0100"],
+    "number": ["4111 1111 1111 1111", "9807915762804490"], "ssn": ["078-05-1120"], "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"], "secret": ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "sk-abcdefghijklmnopqrstuvwx"],
+    "person": ["Maria Lopez", "Иван Петров", "Σοφία Παππά"],
+}
+
+
+@pytest.mark.parametrize(("kind", "value"), [(k, v) for k, vs in VALUES.items() for v in vs])
+def test_format_is_kept(kind, value):
+    made = S.surrogate(kind, value, KEY)
+    assert made != value and made == S.surrogate(kind, value, KEY) and S.surrogate(kind, value, b"other") != made
+    found = S.detect(f"see {made if kind != 'secret' or value[:2] == 'sk' else 'token = ' + made} .")
+    assert [(e.kind, e.value) for e in found] == [(kind, made)]
+    if kind not in ("ip", "person", "email"):
+        shape = lambda t: re.sub("[a-f]", "a", re.sub(r"\d", "0", t)) if kind != "secret" else len(t)
+        assert len(made) == len(value) and re.sub(r"\w", "x", made) == re.sub(r"\w", "x", value), shape(made)
+
+
+def test_checks_stay_valid():
+    card = S.identity("number", S.surrogate("number", "4111 1111 1111 1111", KEY))
+    assert S.luhn(card) % 10 == 0 and card[0] == "4"
+    iban = S.identity("iban", S.surrogate("iban", "DE89370400440532013000", KEY))
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban.startswith("DE")
+    assert S.surrogate("phone", "+1 (017) 555-7713", KEY).startswith("+1 (")
+
+
+def test_names_keep_gender_and_script():
+    for script, by in S.GIVEN.items():
+        for names in by.values():
+            assert {S.surrogate("person", f"{n} X", KEY).split(" ")[0] for n in names} == set(names), script
+    assert re.fullmatch("[А-Я][а-я]+", S.surrogate("person", "Иван Петров", KEY).split(" ")[1])
+
+
+def test_permutation_is_one():
+    k = S.Keyed(KEY)
+    for sizes in ([10, 10], [3, 5, 2], [26], [2, 2, 2, 2, 2]):
+        every = list(itertools.product(*map(range, sizes)))
+        assert len({tuple(k.permute(list(x), sizes, "t")) for x in every}) == len(every)
+
+
+def test_detection():
+    text = 'Write to a.b@c.example.com. Call +1 (017) 555-7713, or 10.1.2.3. token = "deadbeef00112233" Version 2.0, 1998-12-01 and 12345 stay; password: example'
+    assert [(e.kind, e.value) for e in S.detect(text)] == [("email", "a.b@c.example.com"), ("phone", "+1 (017) 555-7713"), ("ip", "10.1.2.3"), ("secret", "deadbeef00112233")]
+    assert S.detect("Plain prose. It has A Name Like This, and 3 numbers: 1, 2.") == []
+
+
+def test_coreference():
+    text = "Maria Lopez met Mr. Kurt. Lopez paid 4111 1111 1111 1111, that is 4111111111111111. Mail X@y.example.com or x@Y.example.com"
+    new, spans = S.replace(text, KEY, lambda k, i: 0)
+    for s in spans:
+        assert new[s["start"] : s["end"]] == s["surrogate"]
+    by = [s["surrogate"] for s in spans]
+    assert by[0].split(" ")[1] == by[2] and S.identity("number", by[3]) == S.identity("number", by[4]) and by[5] == by[6]
+    assert "Lopez" not in new and "Kurt" not in new and "4111" not in new
+
+
+def test_corpus(spark):
+    mails = [f"user{i}@mail.example.com" for i in range(40)]
+    rows = [(i, f"text {m} and {mails[(i + 1) % 40]}, 10.0.0.{i}") for i, m in enumerate(mails)] + [(100, None), (101, ""), (102, "nothing here"), (None, mails[0]), (100, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, entities string, kind int").repartition(4)
+    out = S.pseudonymise(df, KEY).collect()
+    assert len(out) == len(rows)
+    got = {r.doc_id: r for r in out}
+    assert got[100].text is None and got[101].text == "" and got[102].text == "nothing here" and got[102].entities == []
+    made = {}
+    for i, m in enumerate(mails):
+        first, second, ip = got[i].entities
+        for value, e in ((m, first), (mails[(i + 1) % 40], second), (f"10.0.0.{i}", ip)):
+            assert made.setdefault(value, e.surrogate) == e.surrogate and e.surrogate not in made.keys() - {value}
+    assert len(set(made.values())) == len(made) and not set(made) & set(made.values())
+    assert got[None].entities[0].surrogate == made[mails[0]]
+
+
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_collisions_are_drawn_again(spark, monkeypatch, limit):
+    """A poor generator: first draws collide, with each other and with real values."""
+    monkeypatch.setattr(S, "BROADCAST_ROWS", limit)
+    values = [f"10.0.0.{i}" for i in range(6)]
+    poor = {(v, 0): "10.0.0.1" if i < 3 else "9.9.9.9" for i, v in enumerate(values)}
+
+    def drawn(key):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                made = [poor.get((v, a), S.surrogate(k, v, key, a)) for k, v, a in zip(*(b.column(c).to_pylist() for c in ("kind", "value", "attempt")), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, "made"])
+
+        return run
+
+    monkeypatch.setattr(S, "_drawn", drawn)
+    entities = spark.createDataFrame([("ip", v, v) for v in values], "kind string, entity string, value string")
+    again = {r.entity: r.attempt for r in S.draws(entities, KEY).collect()}
+    assert again == {v: 1 for i, v in enumerate(values) if i != 3}  # the first of those that drew 9.9.9.9 keeps it
+    df = spark.createDataFrame([(i, f"at {v}") for i, v in enumerate(values)], "doc_id long, text string")
+    out = {r.doc_id: r.entities[0].surrogate for r in S.pseudonymise(df, KEY).collect()}
+    assert out == {i: S.surrogate("ip", v, KEY, 0 if i == 3 else 1) for i, v in enumerate(values)}
+
+
+def test_empty(spark):
+    assert S.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
