@@ -117,7 +117,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], held: np.n
     use = np.array([i for i in np.flatnonzero(~held) if len(rows[i][0])], np.int64)
 
     def packed(some):
-        index = np.concatenate([rows[i][0] for i in some])
+        index = np.concatenate([rows[i][0] for i in some]).astype(np.int64)
         part = np.concatenate([rows[i][1] / rows[i][1].sum() for i in some])
         return index, part, np.repeat(np.arange(len(some)), [len(rows[i][0]) for i in some]), np.r_[0, np.cumsum([len(rows[i][0]) for i in some])[:-1]]
 
@@ -143,8 +143,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], held: np.n
     model = Model(langs, (e @ w).astype(np.float32), b)
     tests = [i for i in np.flatnonzero(held) if len(rows[i][0])]
     if tests:
-        index, part, _, start = packed(tests)
-        logits = np.add.reduceat(model.scores[index].astype(np.float64) * part[:, None], start) + b
+        logits = []
+        for i in range(0, len(tests), BATCH):
+            index, part, _, start = packed(tests[i : i + BATCH])
+            logits.append(np.add.reduceat(model.scores[index] * part[:, None], start) + b)
+        logits = np.concatenate(logits)
         truth = y[tests]
         grid = np.exp(np.linspace(np.log(0.1), np.log(20), 80))
         loss = [-np.mean(np.log(softmax(logits / t)[np.arange(len(tests)), truth] + 1e-12)) for t in grid]
@@ -197,10 +200,17 @@ def train(docs: DataFrame, where: Column | None = None, sample: int = SAMPLE, id
     last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
         return fit([], [], np.zeros(0, bool))
-    found = rows.where(F.col("h") <= last).mapInArrow(_sampled, "doc_id long, lang string, h long, buckets binary, counts binary").collect()
-    found.sort(key=lambda r: (r.h, r.doc_id, r.lang, -len(r.buckets), r.buckets))
-    pairs = [(np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u2").astype(np.float64)) for r in found]
-    return fit(pairs, [r.lang for r in found], np.array([(r.h >> 8) % 5 == 0 for r in found], bool))
+    found = rows.where(F.col("h") <= last).mapInArrow(_sampled, "doc_id long, lang string, h long, buckets binary, counts binary").toArrow().combine_chunks()
+    ids, h, labels = found["doc_id"].to_numpy(), found["h"].to_numpy(), found["lang"].to_pylist()
+    pairs = list(zip(_views(found["buckets"]), _views(found["counts"]), strict=True))
+    order = sorted(range(len(h)), key=lambda i: (h[i], ids[i], labels[i], -len(pairs[i][0]), pairs[i][0].tobytes()))
+    return fit([pairs[i] for i in order], [labels[i] for i in order], (h[order] >> 8) % 5 == 0)
+
+
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """16-bit numbers of each binary value, without a copy."""
+    data, offsets = raw(column)
+    return [data[a:b].view("<u2") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 def _identify(model):
