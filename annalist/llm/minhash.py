@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import cut, id_text, restore_id, table
+from annalist.llm.common import cut, id_text, join_small, restore_id, table
 from annalist.llm.components import components
 from annalist.llm.text import chunks, grams, inside, mix64, words
 
@@ -176,13 +176,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands:
     """
     base = id_text(docs, id_col, text_col)
     rows_ = cut(base.mapInArrow(_signatures(k, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "signatures")
-    # one representative for each distinct set; copies collapse before the shuffle
-    classes = rows_.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = rows_.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
-    reps = rows_.where("n_shingles > 0").join(classes.select("s1", "s2", "n_shingles", F.col("rep").alias("doc_id")), ["s1", "s2", "n_shingles", "doc_id"], "left_semi")
+    # one representative for each distinct set; copies collapse before the shuffle, and no set's rows meet in one task
+    classes = rows_.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    copied = cut(classes.where("n > 1").select("s1", "s2", "n_shingles", "rep"), "classes")
+    members = join_small(rows_, copied, ["s1", "s2", "n_shingles"]).withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")))
+    reps = members.where("rep = doc_id")
     banded = cut(reps.select("doc_id", "n_shingles", F.explode("bands").alias("key")), "bands")
-    shared = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
-    edges = banded.join(shared, "key").where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    shared = cut(banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader"), "buckets")
+    edges = join_small(banded, shared, ["key"], "inner", salts=8).where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     group = components(edges)
     sizes = group.join(reps.select(F.col("doc_id").alias("node"), "n_shingles").dropDuplicates(["node"]), "node")
     total = sizes.groupBy("root").agg(F.sum("n_shingles").alias("shingles")).withColumn("nb", F.ceil(F.col("shingles") / block).cast("int"))
@@ -197,7 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands:
     texts = base.join(tasks, "doc_id").select("root", "i", "j", "doc_id", "text")
     linked = texts.groupBy("root", "i", "j").applyInPandas(_verify(k, percent), "a long, b long")
     final = components(linked)
-    out = members.join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    out = join_small(members.select("doc_id", "n_shingles", "rep"), final.select(F.col("node").alias("rep"), "root"), ["rep"])
     component = F.coalesce("root", "rep", "doc_id")
     return out.select(
         restore_id("doc_id").alias("doc_id"), "n_shingles", restore_id(component).alias("component_id"), (F.col("doc_id") == component).alias("kept")
