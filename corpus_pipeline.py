@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import fresh_path, table
+from annalist.llm.common import NULL_ID, fresh_path, table
 from annalist.llm.decontaminate import contaminated, contamination
 from annalist.llm.language_id import identify, train
 from annalist.llm.minhash import near_duplicates
@@ -17,27 +17,30 @@ from annalist.llm.mixing import mix
 from annalist.llm.token_store import token_rows
 
 
-def _with(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Documents whose id is decided for; null ids match null ids. A document keeps the number of its rows."""
-    return docs.join(decided, docs["doc_id"].eqNullSafe(decided["_id"]), "left_semi")
+def _with(docs: DataFrame, decided: DataFrame, one: bool = False) -> DataFrame:
+    """Documents whose id is decided for; null ids match null ids. A document keeps the number of its rows, or ``one`` of them (for which
+    the join's own partitioning serves)."""
+    key = lambda c: F.coalesce(c, F.lit(NULL_ID))
+    found = docs.withColumn("_key", key(F.col("doc_id"))).join(decided.select(key(F.col("doc_id")).alias("_key")), "_key", "left_semi")
+    return (found.dropDuplicates(["_key"]) if one else found).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification accepts; the model learns from the stage's own labelled rows."""
     found = identify(docs, train(docs))
-    return _with(docs, found.where("accepted").select(F.col("doc_id").alias("_id")))
+    return _with(docs, found.where("accepted"))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of smallest id; of rows that repeat its id, one."""
     found = near_duplicates(docs)
-    return _with(docs, found.where("kept").select(F.col("doc_id").alias("_id"))).dropDuplicates(["doc_id"])
+    return _with(docs, found.where("kept"), one=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark items."""
     found = contaminated(contamination(docs, table(spark, sf_dir, "benchmark")))
-    return _with(docs, found.where("not contaminated").select(F.col("doc_id").alias("_id")))
+    return _with(docs, found.where("not contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
