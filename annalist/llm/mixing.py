@@ -56,7 +56,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, id
 
     A document is taken floor(target / source_size) times, and once more if its hash is under its source's
     threshold, so at most ``most`` times. Null texts have size 0. A null source is a source of its own, last
-    in order. Documents with one id share a hash and are taken or left together. A source without words has target 0
+    in order. The document at a threshold is taken if that brings its source nearer to its target. Documents with one id share a hash and are taken or left together. A source without words has target 0
     and no copies. Extra columns are pruned; an empty table gives an empty result. The same rows always give the same mix.
     """
     base = cut(
@@ -84,16 +84,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, id
         upto = Window.partitionBy("k").orderBy("bar")
         bars = bars.withColumn("upto", F.sum("words").over(upto))
         bars = join_small(bars, state.select("k", "left"), ["k"], "inner")
-        edge = bars.groupBy("k").agg(
-            F.min(F.when(F.col("upto") > F.col("left"), F.col("bar"))).alias("edge"),
-            F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))).alias("spent"),
-        )
+        over = F.when(F.col("upto") > F.col("left"), F.struct("bar", "words"))
+        edge = bars.groupBy("k").agg(F.min(over).alias("edge"), F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))).alias("spent"))
+        rest = F.col("left") - F.coalesce("spent", F.lit(0))
+        # the last bucket is one hash value: it is taken if that comes nearer to the budget
+        near = F.when(F.lit(used == 60) & (F.col("edge.words") - rest < rest), 1).otherwise(0)
         state = cut(
             state.join(edge, "k", "left").select(
                 "k",
                 # no edge: all of the bucket fits (or it has no rows); the threshold then lies at the bucket's end
-                F.coalesce("edge", F.when(F.lit(used > bits), F.shiftleft(F.col("prefix") + 1, bits)).otherwise(F.lit(1 << bits))).cast("long").alias("prefix"),
-                (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left"),
+                F.coalesce(F.col("edge.bar") + near, F.when(F.lit(used > bits), F.shiftleft(F.col("prefix") + 1, bits)).otherwise(F.lit(1 << bits))).cast("long").alias("prefix"),
+                rest.alias("left"),
             ),
             "mix-level",
         )
@@ -133,9 +134,9 @@ p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 c AS (
   SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS budget,
-         sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto
+         sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS own
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
-       CAST(size * CASE WHEN whole >= 3 THEN 3 ELSE whole + CASE WHEN upto <= budget THEN 1 ELSE 0 END END AS BIGINT) AS taken
+       CAST(size * CASE WHEN whole >= 3 THEN 3 ELSE whole + CASE WHEN upto <= budget OR upto - own <= budget AND upto - budget < budget - (upto - own) THEN 1 ELSE 0 END END AS BIGINT) AS taken
 FROM c
 """
