@@ -197,7 +197,11 @@ def coalesce_barriers(t: Tables) -> DataFrame:
     return e.groupBy("user_id", "event_type", "island").agg(F.max("event_id").alias("event_id"), n("coalesced"))
 
 
-@query(None)
+@query("""
+WITH RECURSIVE c AS (SELECT conv_id, turn, CAST(strlen(text) AS BIGINT) AS b FROM conversations),
+r AS (SELECT conv_id, turn, b, b AS size, CAST(0 AS BIGINT) AS batch FROM c WHERE turn = 0 UNION ALL
+ SELECT c.conv_id, c.turn, c.b, CASE WHEN r.size + c.b > 400 THEN c.b ELSE r.size + c.b END, r.batch + CASE WHEN r.size + c.b > 400 THEN 1 ELSE 0 END FROM r JOIN c ON c.conv_id = r.conv_id AND c.turn = r.turn + 1)
+SELECT conv_id, turn AS ordinal, b AS payload_bytes, batch FROM r""")
 def byte_batches(t: Tables) -> DataFrame:
     from annalist.operators.sync import byte_batches as batches
 
