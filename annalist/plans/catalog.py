@@ -40,20 +40,26 @@ class Catalog:
         finally:
             stream.close()
 
+    def missing(self, names: list[str]) -> list[str]:
+        """Tables of the list that have no snapshot yet: readiness of a fresh catalog."""
+        return [n for n in names if self.version(n) is None]
+
     def read(self, name: str, snapshot: str | None = None) -> DataFrame:
         snapshot = snapshot or self.version(name)
         if snapshot is None:
             raise KeyError(name)
         return self.spark.read.parquet(f"{self.root}/{name}/{snapshot}")
 
-    def write(self, name: str, df: DataFrame, expect: str | None | object = ..., partition_by: list[str] | None = None, guard: Callable[[], bool] | None = None) -> str:
-        """Commit df as the table. ``expect``: the snapshot that the change was computed from; ``guard``: checked just before the swap."""
+    def write(self, name: str, df: DataFrame, expect: str | None | object = ..., partition_by: list[str] | None = None, guard: Callable[[], bool] | None = None, unique: list[str] | None = None) -> str:
+        """Commit df as the table. ``expect``: the snapshot that the change was computed from; ``guard``: checked just before the swap; ``unique``: a key that no two rows may share."""
         before = self.version(name) if expect is ... else expect
         snapshot = f"snapshot-{uuid.uuid4().hex}"
         writer = df.write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.root}/{name}/{snapshot}")
+        if unique and not self.read(name, snapshot).groupBy(*unique).count().where("count > 1").isEmpty():
+            raise SnapshotConflict(f"{name}: {', '.join(unique)} is not unique")
         if self.version(name) != before or (guard is not None and not guard()):
             raise SnapshotConflict(name)
         staged = self._path(f"{self.root}/{name}/_next-{uuid.uuid4().hex}")
@@ -83,7 +89,7 @@ class Catalog:
         before = self.version(name)
         rows = rows.dropDuplicates(keys)
         if before is None:
-            return self.write(name, rows, expect=None)
+            return self.write(name, rows, expect=None, unique=keys)
         old = self.read(name, before)
         clash = rows.select(*keys, F.col(payload).alias("_new")).join(old.select(*keys, F.col(payload).alias("_old")), keys).where("_new <> _old")
         if not clash.isEmpty():

@@ -228,6 +228,9 @@ def test_catalog(spark, tmp_path):
         c.write("t", df(), expect=first)
     with pytest.raises(SnapshotConflict):
         c.write("t", df(), guard=lambda: False)
+    with pytest.raises(SnapshotConflict):
+        c.write("t", df(("5", "a", "l"), ("5", "b", "l")), unique=["id"])
+    assert c.missing(["t", "u"]) == ["u"]
     c.insert_new("t", df(("4", "w", "l"), ("2", "y", "other")), ["id"], "a")
     assert c.read("t").count() == 4
     with pytest.raises(SnapshotConflict):
