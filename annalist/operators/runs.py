@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.canonical import snapshot_json
-from annalist.operators.access import authorized_owners
 
 RUN = "id string, derivation_id string, created_at string, depth string, run_json string, input_memory_ids array<string>, input_fingerprint string, configuration_fingerprint string, input_memory_count long, comparison_run_id string"
 CONCLUSION = "id string, run_id string, content string, category string, basis string, scope_type string, scope_subject_ids array<string>, supporting_memory_ids array<string>, conflicting_memory_ids array<string>"
@@ -40,23 +39,20 @@ def dependency_edges(runs: DataFrame, memories: DataFrame) -> DataFrame:
     return found.join(whole, "run_id", "left_semi").select("run_id", "memory_id")
 
 
-def run_status(runs: DataFrame, used: DataFrame, memories: DataFrame, readers: DataFrame, grants: DataFrame) -> DataFrame:
-    """id, reader_id, status: unresolved-evidence if a stated memory is gone or has no edge, unauthorized if one's owner grants the reader nothing, else available.
+def run_status(runs: DataFrame, used: DataFrame, memories: DataFrame, reader_id: str, grants: DataFrame) -> DataFrame:
+    """id, status for one reader: unresolved-evidence if a stated memory is gone or has no edge, unauthorized if one's owner grants the reader nothing, else available.
 
     Owners are counted: a memory with several owners or sessions is unresolved.
     """
     ids = runs.select("id", F.explode_outer("input_memory_ids").alias("memory_id"))
     edges = used.select(F.col("run_id").alias("id"), "memory_id", F.lit(True).alias("_edge")).distinct()
     owned = memories.groupBy(F.col("id").alias("memory_id")).agg(F.count_distinct("owner_id").alias("_owners"), F.count_distinct("session_id").alias("_sessions"), F.min("owner_id").alias("owner_id"))
-    facts = ids.join(edges, ["id", "memory_id"], "left").join(owned, "memory_id", "left")
+    may = grants.where((F.col("permission") == "read") & (F.col("reader_id") == reader_id)).select("owner_id", F.lit(True).alias("_may")).distinct()
+    facts = ids.join(edges, ["id", "memory_id"], "left").join(owned.join(may, "owner_id", "left"), "memory_id", "left")
     resolved = F.col("memory_id").isNull() | (F.coalesce("_edge", F.lit(False)) & (F.coalesce("_owners", F.lit(0)) == 1) & (F.coalesce("_sessions", F.lit(0)) == 1))
-    facts = facts.select("id", "owner_id", resolved.alias("ok"))
-    whole = facts.groupBy("id").agg(F.bool_and("ok").alias("whole"), F.collect_set("owner_id").alias("owners"))
-    may = authorized_owners(readers, grants).groupBy("reader_id").agg(F.collect_set("owner_id").alias("readable"))
-    # readers are the callers of one request: a short list, cross to the runs by broadcast
-    both = whole.crossJoin(F.broadcast(may))
-    status = F.when(~F.col("whole"), "unresolved-evidence").when(F.size(F.array_except("owners", "readable")) > 0, "unauthorized").otherwise("available")
-    return both.select("id", "reader_id", status.alias("status"))
+    allowed = F.col("owner_id").isNull() | (F.col("owner_id") == reader_id) | F.coalesce("_may", F.lit(False))
+    whole = facts.groupBy("id").agg(F.bool_and(resolved).alias("whole"), F.bool_and(allowed).alias("allowed"))
+    return whole.select("id", F.when(~F.col("whole"), "unresolved-evidence").when(~F.col("allowed"), "unauthorized").otherwise("available").alias("status"))
 
 
 def read_runs(runs: DataFrame, limit: int, history: bool = False, name: str | None = None, derivations: DataFrame | None = None) -> tuple[list, bool]:

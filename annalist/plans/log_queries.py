@@ -315,9 +315,8 @@ def run_status(t: Tables) -> DataFrame:
     rs = li.groupBy("id").agg(F.collect_list("m").alias("input_memory_ids")).join(t.orders.select(S("o_orderkey").alias("id")), "id", "left_semi")
     used = li.select(F.col("id").alias("run_id"), F.col("m").alias("memory_id"))
     m = t.part.where("p_partkey % 97 <> 0").select(S("p_partkey").alias("id"), (F.col("p_partkey") % 25).cast("string").alias("owner_id"), LIT("s").alias("session_id"))
-    me = t.spark.range(1).select(LIT("3").alias("reader_id"))
     grants = t.spark.range(4, 15).select(S("id").alias("owner_id"), LIT("3").alias("reader_id"), LIT("read").alias("permission"))
-    return runs.run_status(rs, used, m, me, grants).select(F.col("id").cast("long").alias("o_orderkey"), "status")
+    return runs.run_status(rs, used, m, "3", grants).select(F.col("id").cast("long").alias("o_orderkey"), "status")
 
 
 @query("SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 97 = 0)")

@@ -179,9 +179,8 @@ def test_run_tables_and_status(spark):
     run = derive.complete(prepared()["run"], {"conclusions": [conclusion()], "links": []}, "t1", "2024-01-01")
     t = runs.to_tables(spark, run)
     ms = spark.createDataFrame([("a", "me", "s"), ("b", "you", "s")], "id string, owner_id string, session_id string")
-    readers = spark.createDataFrame([("me",), ("you",)], "reader_id string")
     g = spark.createDataFrame([("you", "me", "read")], G)
-    status = lambda used, m: {r.reader_id: r.status for r in runs.run_status(t.runs, used, m, readers, g).collect()}
+    status = lambda used, m: {who: runs.run_status(t.runs, used, m, who, g).first().status for who in ("me", "you")}
     assert status(t.used_memory, ms) == {"me": "available", "you": "unauthorized"}
     assert status(t.used_memory, ms.where("id = 'a'")) == {"me": "unresolved-evidence", "you": "unresolved-evidence"}
     assert status(t.used_memory.limit(1), ms)["me"] == "unresolved-evidence"
