@@ -8,8 +8,8 @@ Documents with equal shingle sets are one class from the start, so copies are ne
 band become candidates by one edge each to the band's smallest id; the connected components of these edges bound where
 links can be. Inside a component the links are found on whole shingle sets by breadth-first search: a document taken
 from the queue is compared, through an inverted index, with the documents not yet reached, so a group of thousands of
-near copies costs little more than one comparison each and no pair is ever written. A component of more shingles
-than ``block`` is cut into blocks, and each pair of blocks is one task that gives the forest of its links.
+near copies costs little more than one comparison each and no pair is ever written. A large component is cut into blocks, and
+each pair of blocks is one task that gives the forest of its links, so the largest group is neither one task nor one task's memory.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ SHINGLE = 5
 #: 16 bands of 4: a pair at similarity 0.85 shares none with probability 8e-6.
 BANDS, ROWS = 16, 4
 BLOCK_SHINGLES = 6_000_000
+#: A component is spread over up to FAN blocks of at least SPREAD_SHINGLES; past FAN * BLOCK_SHINGLES over as many as memory asks for.
+SPREAD_SHINGLES, FAN = 75_000, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,13 +188,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands:
     edges = join_small(banded, shared, ["key"], "inner", salts=8).where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     group = components(edges)
     sizes = group.join(reps.select(F.col("doc_id").alias("node"), "n_shingles").dropDuplicates(["node"]), "node")
-    total = sizes.groupBy("root").agg(F.sum("n_shingles").alias("shingles")).withColumn("nb", F.ceil(F.col("shingles") / block).cast("int"))
-    # a component of nb blocks: its members go to each pair of blocks that holds theirs
+    total = sizes.groupBy("root").agg(F.sum("n_shingles").alias("shingles"))
+    size = F.least(F.lit(float(block)), F.greatest(F.lit(float(SPREAD_SHINGLES)), F.col("shingles") / FAN))
+    total = total.withColumn("nb", F.ceil(F.col("shingles") / size).cast("int"))
+    # a component of nb blocks: its members go to each pair of blocks that holds theirs (a pair finds the links inside both)
     mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     tasks = (
         group.join(total.select("root", "nb"), "root")
         .withColumn("mine", mine)
-        .select("root", F.col("node").alias("doc_id"), "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+        .select("root", F.col("node").alias("doc_id"), "mine", "nb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+        .where("nb = 1 or mine <> other")
         .select("root", "doc_id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     )
     texts = base.join(tasks, "doc_id").select("root", "i", "j", "doc_id", "text")
