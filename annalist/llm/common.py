@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Stands in for a null id while rows travel through numpy; ``restore_id`` turns it back into null.
 NULL_ID = -(2**63)
+#: Bytes of an Arrow batch (a longer row is a batch of its own).
+ARROW_BYTES = 4 << 20
 #: A side of a join is broadcast only if it has been counted and has no more rows than this.
 BROADCAST_ROWS = 20_000
 
@@ -17,8 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ARROW_BYTES, so that a batch of long texts takes no more memory than one of short ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (null: NULL_ID) and the text (null: empty); other columns, whatever their names, are pruned."""
+    small_batches(df.sparkSession)
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import NULL_ID, restore_id, table
+from annalist.llm.common import NULL_ID, restore_id, small_batches, table
 from annalist.llm.text import chunks, raw
 
 ORDERS = (1, 2, 3, 4)
@@ -192,6 +192,7 @@ def train(docs: DataFrame, where: Column | None = None, sample: int = SAMPLE, id
     Which rows: those whose ids have the smallest hash. Only their bucket counts (at most 2 * BUCKETS * 4 bytes a row) reach the driver.
     Without a labelled row the model knows no language.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
     )
@@ -235,6 +236,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     under the model's threshold keep their prediction and are not accepted. Repeated rows get equal rows; extra columns are pruned; an empty table
     gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
     text = F.col(text_col).cast("string")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(text.rlike(LETTER), F.lit(False)).alias("letters"))

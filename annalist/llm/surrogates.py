@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import BROADCAST_ROWS, NULL_ID, cut, restore_id, table
+from annalist.llm.common import BROADCAST_ROWS, NULL_ID, cut, restore_id, small_batches, table
 from annalist.llm.text import chunks
 
 ROUNDS = 8
@@ -341,6 +341,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     Null text stays null; empty text and text without entities come back unchanged. Null ids come back as null, repeated rows get equal rows, extra columns are
     pruned, an empty table gives an empty result. The table of distinct entities, as sensitive as the input, is written to the shared folder.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     mentions = rows.mapInArrow(_mentions, "kind string, entity string, value string")
     entities = cut(mentions.groupBy("kind", "entity").agg(F.min("value").alias("value")), "entities")

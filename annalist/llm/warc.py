@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from annalist.llm.common import NULL_ID, cut, fresh_path, join_small, table
+from annalist.llm.common import NULL_ID, cut, fresh_path, join_small, small_batches, table
 from annalist.llm.files import attempt_name, open_new, resolve
 
 #: Payloads of fewer bytes are always written whole.
@@ -95,6 +95,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = LEAST,
     largest id with an equal payload are all written whole. Extra columns are pruned; an empty table gives an empty archive.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or fresh_path(spark, "warc")
     rows = pages.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(url_col).cast("string").alias("url"),
