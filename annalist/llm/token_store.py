@@ -25,7 +25,7 @@ from annalist.llm.text import LOWER, Rolling, chunks, member, ranges
 MAGIC = b"BPLANES1"
 BLOCK = 1 << 16
 #: Distinct parts of texts whose ids a worker remembers, in some 40 bytes each.
-CACHE = 2_000_000
+CACHE = 1_000_000
 #: Id bytes that the reader gathers before it hands on rows.
 BATCH = 4 << 20
 
