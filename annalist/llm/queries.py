@@ -8,6 +8,7 @@ from annalist.llm.language_id import op8_language_id
 from annalist.llm.language_model import op5_language_model
 from annalist.llm.minhash import op9_minhash
 from annalist.llm.mixing import OP3_SQL, op3_mix
+from annalist.llm.oracles import OP1_SQL, OP9_SQL, OP10_SQL
 from annalist.llm.suffix_dedup import op1_suffix_dedup
 from annalist.llm.surrogates import op6_surrogates
 from annalist.llm.token_store import op4_tokens
@@ -26,7 +27,10 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL = {
+    "op1_suffix_dedup": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
     "op3_mix": OP3_SQL,
     "op7_warc": OP7_SQL,
+    "op9_minhash": OP9_SQL,
+    "op10_decontaminate": OP10_SQL,
 }
