@@ -16,8 +16,12 @@ _MEMORY_KEYS = ["id", "producerId", "queuedAt", "sidecarLocator", "sourceKind",
 
 
 def scan_memory(spark: SparkSession, folder: str) -> DataFrame:
-    """Every notification file: fields, file_mtime_ms, state (pending or rejected) and rejection_reason. The shape is closed: another key rejects it."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    """Every notification file of a folder, see ``memory_notifications``."""
+    return memory_notifications(spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder))
+
+
+def memory_notifications(raw: DataFrame) -> DataFrame:
+    """Files (as ``binaryFile`` rows) -> fields, file_mtime_ms, state (pending or rejected) and rejection_reason. The shape is closed: another key rejects it."""
     body = F.decode("content", "UTF-8")
     v = F.try_parse_json(body)
     text = lambda k: F.try_variant_get("v", f"$.{k}", "string")
