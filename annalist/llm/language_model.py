@@ -22,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import NULL_ID, cut, fresh_path, partitions, restore_id, table
+from annalist.llm.common import NULL_ID, cut, fresh_path, partitions, restore_id, small_batches, table
 from annalist.llm.files import attempt_name, resolve
 from annalist.llm.language_id import in_fold
 from annalist.llm.text import chunks, mix64, words
 
 U64 = np.uint64
 #: Tokens of a batch, unless one document has more.
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 1_000_000
 END, START = U64(0x5EED0E4D), U64(0x5EED057A)
 _Q = U64(0xC2B2AE3D27D4EB4F)
 #: EM: steps of log2(p / p0) per octave, and rounds.
@@ -252,7 +252,8 @@ def deleted_interpolation(docs: DataFrame, learn: Column, tune: Column, id_col:
     repeated rows count and are scored as often as they stand there. Extra columns are pruned; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    folder, deals = fresh_path(spark, "lm-batches"), 4 * partitions(spark)
+    small_batches(spark)
+    folder, deals = fresh_path(spark, "lm-batches"), max(16, partitions(spark))
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
