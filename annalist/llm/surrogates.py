@@ -52,10 +52,12 @@ _HEX, _HEX_UP = "0123456789abcdef", "0123456789ABCDEF"
 
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][a-zß-öø-ÿа-яёά-ώ]+(?:-[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][a-zß-öø-ÿа-яёά-ώ]+)?"
 _GIVEN = {n: (s, g) for s, by in GIVEN.items() for g, names in by.items() for n in names}
+#: A value behind the name of a secret.
+_KEYED = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b\s*[:=]\s*[\"']?([A-Za-z0-9_\-+/.=]{8,})")
 #: (type, pattern), the first that matches a stretch of text wins; group 1, if there is one, is the entity.
 PATTERNS = [
     ("email", re.compile(r"[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}")),
-    ("secret", re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b\s*[:=]\s*[\"']?([A-Za-z0-9_\-+/.=]{8,})")),
+    ("secret", _KEYED),
     ("secret", re.compile(r"\b((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9\-_]{20,}|xox[abp]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{30,})\b")),
     ("secret", re.compile(r"(?<![0-9A-Za-z])((?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128})(?![0-9A-Za-z])")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
@@ -83,6 +85,11 @@ class Entity:
     value: str
 
 
+def _random(value: str) -> bool:
+    """Whether a value may be a secret: words and hyphenated words are not."""
+    return any(c.isdigit() for c in value) or (len(value) >= 16 and value.lower() != value != value.upper() and value != value.title())
+
+
 def detect(text: str) -> list[Entity]:
     """Entities in order, without overlaps; of overlapping ones the earlier pattern wins."""
     found: list[Entity] = []
@@ -96,7 +103,7 @@ def detect(text: str) -> list[Entity]:
         for m in pattern.finditer(text):
             g = 1 if kind in ("secret", "person") and pattern.groups else 0
             s, e = m.span(g)
-            if kind == "secret" and text[s:e].isalpha():  # a word, not a secret
+            if pattern is _KEYED and not _random(text[s:e]):
                 continue
             if any(s < b and a < e for a, b in taken):
                 continue

@@ -49,6 +49,7 @@ def test_permutation_is_one():
 def test_detection():
     text = 'Write to a.b@c.example.com. Call +1 (017) 555-7713, or 10.1.2.3. token = "deadbeef00112233" Version 2.0, 1998-12-01 and 12345 stay; password: example'
     assert [(e.kind, e.value) for e in S.detect(text)] == [("email", "a.b@c.example.com"), ("phone", "+1 (017) 555-7713"), ("ip", "10.1.2.3"), ("secret", "deadbeef00112233")]
+    assert S.detect("token: non-terminal symbols, secret = Mysterious and password: forgotten") == []
     assert S.detect("Plain prose. It has A Name Like This, and 3 numbers: 1, 2.") == []
 
 
