@@ -65,6 +65,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def labels(spark: SparkSession, n: int) -> list[int]:
+    """n numbers of which hash partitioning into n partitions sends the j-th to partition j, so that n groups make n equal tasks."""
+    found: dict[int, int] = {}
+    step = 16 * n + 1000
+    while len(found) < n:
+        start = len(found) and max(found.values()) + 1
+        ids = spark.range(start, start + step).select(F.col("id").cast("int").alias("v"))
+        for r in ids.groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("p")).agg(F.min("v").alias("v")).collect():
+            found.setdefault(r.p, r.v)
+    return [found[j] for j in range(n)]
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 16, hint: DataFrame | None = None) -> DataFrame:
     """Join with a side that is usually small. It is counted (``hint``: a cheaper frame with as many rows);
     up to BROADCAST_ROWS it is broadcast, beyond that both sides are shuffled with ``salts`` salts, so that

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import NULL_ID, cut, fresh_path, partitions, restore_id, small_batches, table
+from annalist.llm.common import NULL_ID, cut, fresh_path, labels, partitions, restore_id, small_batches, table
 from annalist.llm.files import attempt_name, resolve
 from annalist.llm.language_id import in_fold
 from annalist.llm.text import chunks, mix64, words
@@ -102,7 +102,9 @@ def load_batch(folder: str, name: str):
     return ids, flags, np.frombuffer(body, np.uint8, size, 16 + 9 * n + 8 * (n + 1)), offsets
 
 
-def _deal(folder: str, deals: int):
+def _deal(folder: str, label: list[int]):
+    deals = len(label)
+
     def blocks(parts, name):
         ids, flags, data, unit, context, first = ([p[i] for p in parts] for i in range(6))
         size = np.cumsum([0, *[len(d) for d in data]])
@@ -120,9 +122,9 @@ def _deal(folder: str, deals: int):
             edges = np.searchsorted(keys, np.array([(d << 64) // deals for d in range(1, deals)], U64))
             for d, (a, b) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(keys)], strict=True)):
                 if a < b:
-                    rows.append((d, name, kind, pack(keys[a:b], learn[a:b], tune[a:b])))
+                    rows.append((label[d], d, name, kind, pack(keys[a:b], learn[a:b], tune[a:b])))
         cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["deal", "batch", "kind", "payload"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["label", "deal", "batch", "kind", "payload"])
 
     def run(batches):
         parts, n, made, task = [], 0, 0, TaskContext.get().partitionId()
@@ -145,7 +147,7 @@ ANSWER = "batch string, deal int, kind int, payload binary, n long, v long, n_ke
 
 def _count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Totals of one key range; a row without batch has the range's share of N and V, of all training documents and of those kept by EM."""
-    out = []
+    out, deal = [], int(frame["deal"].iloc[0])
     for kind, own in frame.groupby("kind"):
         blocks = [unpack(p, 2) for p in own["payload"]]
         keys, where = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
@@ -153,11 +155,11 @@ def _count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         tune = np.bincount(where, np.concatenate([b[2] for b in blocks]), len(keys)).astype(np.int64)
         if kind == 1:
             kept = learn - tune
-            out.append((None, key[0], 0, None, int(learn.sum()), int((learn > 0).sum()), int(kept.sum()), int((kept > 0).sum())))
+            out.append((None, deal, 0, None, int(learn.sum()), int((learn > 0).sum()), int(kept.sum()), int((kept > 0).sum())))
         at = 0
         for name, (own_keys, *_) in zip(own["batch"], blocks, strict=True):
             mine = where[at : at + len(own_keys)]
-            out.append((name, key[0], int(kind), pack_counts(learn[mine], tune[mine]), None, None, None, None))
+            out.append((name, deal, int(kind), pack_counts(learn[mine], tune[mine]), None, None, None, None))
             at += len(own_keys)
     out = pd.DataFrame(out, columns=["batch", "deal", "kind", "payload", "n", "v", "n_kept", "v_kept"])
     return out.astype({c: "Int64" for c in ("n", "v", "n_kept", "v_kept")})
@@ -253,15 +255,15 @@ def deleted_interpolation(docs: DataFrame, learn: Column, tune: Column, id_col:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    folder, deals = fresh_path(spark, "lm-batches"), max(16, partitions(spark))
+    folder, label = fresh_path(spark, "lm-batches"), labels(spark, 2 * partitions(spark))
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.coalesce(learn, F.lit(False)).alias("learn"),
         F.coalesce(learn & tune, F.lit(False)).alias("tune"),
     )
-    dealt = rows.mapInArrow(_deal(folder, deals), "deal int, batch string, kind int, payload binary")
-    answers = cut(dealt.groupBy("deal").applyInPandas(_count, ANSWER), "lm-counts")
+    dealt = rows.mapInArrow(_deal(folder, label), "label int, deal int, batch string, kind int, payload binary")
+    answers = cut(dealt.repartition(len(label), "label").groupBy("label").applyInPandas(_count, ANSWER), "lm-counts")
     sums = answers.where("batch is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_kept", "v_kept")]).first()
     by_batch = answers.where("batch is not null").select("batch", "deal", "kind", "payload").groupBy("batch")
     seen = by_batch.applyInPandas(_tune(folder, sums.n_kept, sums.v_kept), "b long, r2 long, r1 long, count long")
