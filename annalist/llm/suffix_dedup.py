@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import id_text, partitions, restore_id, table
+from annalist.llm.common import id_text, labels, partitions, restore_id, table
 from annalist.llm.text import CHUNK, Rolling, chunks, ranges, sliding_min
 
 LENGTH = 100
@@ -32,7 +32,7 @@ LEVEL = 5
 #: Longer documents are taken in pieces of so many bytes that overlap by length - 1.
 PIECE = 8 << 20
 #: Segment bytes that a task buffers before it deals them out.
-BUFFER = 16 << 20
+BUFFER = 24 << 20
 U64 = np.uint64
 
 
@@ -203,14 +203,14 @@ def union(doc, s, e):
     return doc[at], s[at], (top - lift)[np.r_[at[1:] - 1, len(doc) - 1]]
 
 
-def _deal(length: int, k: int, deals: int):
+def _deal(length: int, k: int, label: list[int]):
     def run(batches):
-        buffer = Buffer(length, k, deals)
+        buffer = Buffer(length, k, len(label))
 
         def out():
             rows = list(buffer.flush())
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["deal", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([label[d] for d, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["label", "payload"])
 
         for part, data, offsets in chunks(batches, size=min(CHUNK, PIECE)):
             ids = part.column("doc_id").to_numpy()
@@ -343,9 +343,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, deals: int |
     if not 8 <= k < length:
         raise ValueError("k must be at least 8 and less than length")
     base = id_text(docs, id_col, text_col)
-    deals = deals or 4 * partitions(docs.sparkSession)
-    dealt = base.mapInArrow(_deal(length, k, deals), "deal int, payload binary")
-    gone = dealt.groupBy("deal").applyInPandas(_find(length, k), "doc_id long, s long, e long")
+    label = labels(docs.sparkSession, deals or 2 * partitions(docs.sparkSession))
+    dealt = base.mapInArrow(_deal(length, k, label), "label int, payload binary")
+    gone = dealt.repartition(len(label), "label").groupBy("label").applyInPandas(_find(length, k), "doc_id long, s long, e long")
     ranges_ = gone.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
     return (
         base.join(ranges_, "doc_id", "left").mapInArrow(_keep, "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary")

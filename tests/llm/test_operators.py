@@ -19,6 +19,7 @@ from annalist.llm import (
     token_store,
     warc,
 )
+from annalist.llm.common import labels
 from annalist.llm.components import components
 from tests.llm import brute
 
@@ -88,6 +89,13 @@ def test_sliding(w):
     assert list(text.sliding_max(x, w)) == [max(x[i : i + w]) for i in range(50 - w + 1)]
 
 
+@pytest.mark.parametrize("n", [1, 3, 50])
+def test_labels_are_dealt_evenly(spark, n):
+    label = labels(spark, n)
+    df = spark.createDataFrame([(x,) for x in label], "v int").repartition(n, "v")
+    assert [r.v for r in df.withColumn("p", F.spark_partition_id()).orderBy("p").collect()] == label
+
+
 # 1
 
 
@@ -109,8 +117,8 @@ def test_suffix_dedup_in_pieces(length, k, piece, rows, monkeypatch):
     some = [r for r in rows if len(r[1] or "") < 3000]
     batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in some], "text": [r[1] or "" for r in some]})
     deals = {}
-    for b in suffix_dedup._deal(length, k, 4)([batch]):
-        for d, p in zip(b.column("deal").to_pylist(), b.column("payload").to_pylist(), strict=True):
+    for b in suffix_dedup._deal(length, k, [0, 1, 2, 3])([batch]):
+        for d, p in zip(b.column("label").to_pylist(), b.column("payload").to_pylist(), strict=True):
             deals.setdefault(d, []).append(p)
     gone = {r[0]: set() for r in some}
     for payloads in deals.values():
