@@ -66,13 +66,17 @@ class Catalog:
         out = self._fs.create(staged, True)
         out.write(bytearray(json.dumps({"snapshot": snapshot}).encode()))
         out.close()
-        pointer = self._pointer(name)
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        if not self._fs.rename(staged, pointer):
-            raise SnapshotConflict(name)
+        self._swap(staged, self._pointer(name))
         return snapshot
 
+    def _swap(self, staged, pointer) -> None:
+        """Replace the pointer in one step, so a reader sees the old snapshot or the new one."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self.spark._jsc.hadoopConfiguration()).rename(staged, pointer, options)
+
     def upsert(self, name: str, rows: DataFrame, keys: list[str], overwrite_null: list[str] | None = None) -> str:
         before = self.version(name)
         merged = rows if before is None else merge_rows(self.read(name, before), rows, keys, overwrite_null)
