@@ -85,4 +85,5 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
         return left.join(F.broadcast(right), on, how)
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    return dealt.join(salted, [*on, "_salt"], how).drop("_salt")
+    # a merge join by name: Spark would guess the salted side's size from its files, without the salts
+    return dealt.join(salted.hint("merge"), [*on, "_salt"], how).drop("_salt")

@@ -190,11 +190,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands:
     sizes = group.join(reps.select(F.col("doc_id").alias("node"), "n_shingles").dropDuplicates(["node"]), "node")
     total = sizes.groupBy("root").agg(F.sum("n_shingles").alias("shingles"))
     size = F.least(F.lit(float(block)), F.greatest(F.lit(float(SPREAD_SHINGLES)), F.col("shingles") / FAN))
-    total = total.withColumn("nb", F.ceil(F.col("shingles") / size).cast("int"))
+    total = cut(total.select("root", F.ceil(F.col("shingles") / size).cast("int").alias("nb")), "sizes")
     # a component of nb blocks: its members go to each pair of blocks that holds theirs (a pair finds the links inside both)
     mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     tasks = (
-        group.join(total.select("root", "nb"), "root")
+        join_small(group, total, ["root"], "inner")
         .withColumn("mine", mine)
         .select("root", F.col("node").alias("doc_id"), "mine", "nb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
         .where("nb = 1 or mine <> other")
