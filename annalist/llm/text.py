@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Text bytes handled at once (a longer document is handled alone); numpy temporaries are some 50 times that.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD1342543DE82EF95
