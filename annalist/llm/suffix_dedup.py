@@ -32,7 +32,7 @@ LEVEL = 5
 #: Longer documents are taken in pieces of so many bytes that overlap by length - 1.
 PIECE = 8 << 20
 #: Segment bytes that a task buffers before it deals them out.
-BUFFER = 24 << 20
+BUFFER = 16 << 20
 U64 = np.uint64
 
 
@@ -244,6 +244,7 @@ def find(payloads, length: int, k: int):
         done.append(np.stack(cols[4:]))
     gone = [np.concatenate(done, axis=1)]
     doc, pos, run, shift, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts, body  # the bytes are held once
     if len(doc):
         akey, skey, at, n = keys(data, run, shift, length, k)
         order = np.lexsort((pos, doc, skey, akey))
