@@ -152,7 +152,7 @@ class Buffer:
         akey, skey, at, n = keys(data, run, shift, self.length, self.k)
         order = np.lexsort((pos, doc, skey, akey))
         first = np.r_[True, (np.diff(akey[order]) != 0) | (np.diff(skey[order]) != 0)]
-        stay, gone = order[first], order[~first]
+        stay, gone = order[first], later(order, first, doc, pos)
         deal = (akey >> U64(40)).astype(np.int64) % self.deals
         r_doc, r_s, r_e = union(doc[gone], pos[gone], pos[gone] + run[gone] - 1 + self.length)
         r_deal = np.abs(r_doc) % self.deals
@@ -188,6 +188,12 @@ def keys(data, run, shift, length, k):
     return akey, skey, at, n
 
 
+def later(order, first, doc, pos):
+    """Copies of the first segment of their run; of segments at one place (a repeated row) none is earlier."""
+    copy, owner = order[~first], order[first][np.cumsum(first) - 1][~first]
+    return copy[(doc[copy] != doc[owner]) | (pos[copy] != pos[owner])]
+
+
 def union(doc, s, e):
     """Ranges of each document, overlapping and touching ones merged."""
     if not len(doc):
@@ -249,10 +255,7 @@ def find(payloads, length: int, k: int):
         akey, skey, at, n = keys(data, run, shift, length, k)
         order = np.lexsort((pos, doc, skey, akey))
         first = np.r_[True, (np.diff(akey[order]) != 0) | (np.diff(skey[order]) != 0)]
-        copy = order[~first]
-        # of segments at one place (a repeated row) none is earlier
-        owner = order[first][np.cumsum(first) - 1][~first]
-        copy = copy[(doc[copy] != doc[owner]) | (pos[copy] != pos[owner])]
+        copy = later(order, first, doc, pos)
         gone.append(np.stack([doc[copy], pos[copy], pos[copy] + n[copy]]))
         rep = order[first]
         same = np.diff(akey[rep]) == 0

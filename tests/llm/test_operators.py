@@ -142,6 +142,20 @@ def test_repeated_agrees_with_lpf():
             assert suffix_dedup.lpf(data)[i] == true
 
 
+@pytest.mark.parametrize("n", [1, 4])
+def test_suffix_dedup_of_repeated_rows(spark, n):
+    """Long rows at one place take nothing from each other, in one task's buffer and in several; a later document loses its copy."""
+    rng = random.Random(1)
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(5, a), (5, a), (None, b), (None, b), (6, a + " " + c), (6, a + " " + c), (7, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(n, F.monotonically_increasing_id())
+    want = {5: (a, []), None: (b, []), 6: (" " + c, [(0, len(a))]), 7: ("", [(0, len(c))])}
+    out = suffix_dedup.suffix_dedup(df).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(d) for d, _ in rows)
+    for r in out:
+        assert (r.kept.decode(), [(x.s, x.e) for x in r.spans]) == want[r.doc_id]
+
+
 # 2
 
 
