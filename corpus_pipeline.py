@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import NULL_ID, fresh_path, table
+from annalist.llm.common import NULL_ID, cut, fresh_path, table
 from annalist.llm.decontaminate import contaminated, contamination
 from annalist.llm.language_id import identify, train
 from annalist.llm.minhash import near_duplicates
@@ -17,12 +17,11 @@ from annalist.llm.mixing import mix
 from annalist.llm.token_store import token_rows
 
 
-def _with(docs: DataFrame, decided: DataFrame, one: bool = False) -> DataFrame:
-    """Documents whose id is decided for; null ids match null ids. A document keeps the number of its rows, or ``one`` of them (for which
-    the join's own partitioning serves)."""
+def _with(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Documents whose id is decided for; null ids match null ids. A document keeps the number of its rows."""
     key = lambda c: F.coalesce(c, F.lit(NULL_ID))
     found = docs.withColumn("_key", key(F.col("doc_id"))).join(decided.select(key(F.col("doc_id")).alias("_key")), "_key", "left_semi")
-    return (found.dropDuplicates(["_key"]) if one else found).select(*docs.columns)
+    return found.select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +31,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of smallest id; of rows that repeat its id, one."""
-    found = near_duplicates(docs)
-    return _with(docs, found.where("kept"), one=True)
+    """One row of each near-duplicate group, that of smallest id (null first). Each row is a node of its own, so rows that share an id or have none
+    go only if their texts link; wordless texts link with nothing, and of those only rows of equal id and text are one."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, for the key has to be the same in every scan
+    found = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    ids = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    wordless = F.col("n_shingles") == 0
+    group = [F.when(~wordless, F.col("component_id")), F.when(wordless, F.col("id")), F.when(wordless, F.col("digest"))]
+    first = ids.join(found, "_row").groupBy(*group).agg(F.min(F.struct("id", "digest", "_row")).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,3 +109,23 @@ def test_pipeline(spark, duck):
     assert all(abs(target[s] - taken.get(s, 0)) <= longest / 2 + 1e-6 for s in target)
     want = brute.tokens([(d, texts[d]) for d in steps[3][1]], Tokenizer.from_file(public.path("word_bpe_49k.json")))
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(DATA)).collect()) == sorted(want)
+
+
+def test_pipeline_dedup_is_by_row(spark):
+    """Rows without an id, or of one id, are duplicates only if their texts link."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    near = lambda t: t + " more"
+    rows = [
+        (None, texts[0]), (None, texts[1]),  # unlike, without id
+        (1, near(texts[0])), (2, near(texts[1])),  # each like one of those, not like each other
+        (3, texts[2]), (3, texts[3]), (3, texts[2]),  # one id: unlike, and equal
+        (4, near(texts[3])),
+        (5, texts[4]), (6, near(texts[4])),
+        (7, ""), (7, " "), (7, ""), (8, ""), (None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.minhash_dedup(spark, df, "")
+    assert out.columns == ["doc_id", "text"]
+    want = [(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (5, texts[4]), (7, ""), (7, " "), (8, ""), (None, None)]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
