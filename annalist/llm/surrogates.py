@@ -5,6 +5,7 @@ of the entity's symbols (a Feistel network over mixed alphabets: digits stay dig
 hex; country codes, separators, top-level domains and check digits stay valid), so equal entities have equal surrogates everywhere and, of one format,
 different ones different surrogates. Names get given names of the same gender and script and built family names. All distinct entities
 of the corpus are then checked: a surrogate that is somebody's real value, or another entity's surrogate, is drawn again until none is left.
+Of a name the entities are its family words, wherever they stand; given names are permuted, so names differ as their family words do.
 """
 
 from __future__ import annotations
@@ -118,11 +119,31 @@ def detect(text: str) -> list[Entity]:
     return sorted(found, key=lambda x: x.start)
 
 
+def _abroad(value: str) -> bool:
+    """Whether a phone number begins with its country's code."""
+    return value.startswith("+") or "(" in value and not value.startswith("(")
+
+
+def family_words(name: str) -> list[str]:
+    """The words of a person's name but for a given name before others."""
+    words = name.split(" ")
+    return words[1:] if len(words) > 1 and words[0] in _GIVEN else words
+
+
+def checked(e: Entity) -> list[tuple[str, str, str]]:
+    """kind, entity, value of what a mention's surrogate is built from."""
+    if e.kind in ("person", "family"):
+        return [("family", w, w) for w in family_words(e.value)]
+    return [(e.kind, identity(e.kind, e.value), e.value)]
+
+
 def identity(kind: str, value: str) -> str:
     """What makes two mentions the same entity."""
     if kind == "email":
         return value.lower()
-    if kind in ("phone", "number", "ssn"):
+    if kind == "phone":
+        return "+" * _abroad(value) + re.sub(r"\D", "", value)
+    if kind in ("number", "ssn"):
         return re.sub(r"\D", "", value)
     if kind in ("iban", "mac"):
         return re.sub(r"[ :-]", "", value).upper()
@@ -132,6 +153,16 @@ def identity(kind: str, value: str) -> str:
 # Keyed permutations
 
 
+#: Country codes of one and two digits; all others have three.
+_SHORT_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
+def _country(digits: str) -> int:
+    """Digits of the country's code at the start, whatever the separators."""
+    plain = "".join(str(int(c)) for c in digits[:2])
+    return next((n for n in (1, 2) if plain[:n] in _SHORT_CODES), 3)
+
+
 class Keyed:
     def __init__(self, key: bytes, attempt: int = 0):
         self.key, self.attempt = key[:64], attempt
@@ -208,8 +239,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         made = _refill(value, k.text(plain, "mac", _hex(_HEX_UP)), ":-")
         return made if value.upper() == value else made.lower()
     if kind == "phone":
-        digits, country = identity(kind, value), re.match(r"\+?(\d{1,3})(?=[ .\-(])", value)
-        n = len(country[1]) if country and (value.startswith("+") or "(" in value and not value.startswith("(")) else 0
+        digits = re.sub(r"\D", "", value)
+        n = _country(digits) if _abroad(value) else 0
         return _fill_digits(value, digits[:n] + k.text(digits[n:], f"phone{digits[:n]}"))
     if kind in ("number", "ssn"):
         digits = identity(kind, value)
@@ -229,12 +260,18 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         return head + (k.text(rest, "hex", _hex(hexed)) if hexed else k.text(rest, f"secret{head}"))
     if kind == "family":
         return _family(value, k)
+    return person(value, key, lambda w: attempt)
+
+
+def person(value: str, key: bytes, attempt: Callable[[str], int]) -> str:
+    """A name's surrogate; attempt: that of each family word. Given names are permuted alike for all, so that they need no draws."""
+    family = [_family(w, Keyed(key, attempt(w))) for w in family_words(value)]
     first, *more = value.split(" ")
-    if first not in _GIVEN:
-        return " ".join(_family(p, k) for p in value.split(" "))
+    if len(family) == 1 + len(more):
+        return " ".join(family)
     script, gender = _GIVEN[first]
     names = GIVEN[script][gender]
-    return " ".join([names[k.permute([names.index(first)], [len(names)], f"given{script}{gender}")[0]], *[_family(p, k) for p in more]])
+    return " ".join([names[Keyed(key).permute([names.index(first)], [len(names)], f"given{script}{gender}")[0]], *family])
 
 
 def _fill_digits(template: str, digits: str) -> str:
@@ -254,7 +291,7 @@ def _family(value: str, k: Keyed) -> str:
 def _mentions(batches):
     for batch in batches:
         for part, _, _ in chunks([batch]):
-            seen = {(e.kind, identity(e.kind, e.value)): e.value for t in part.column("text").to_pylist() if t for e in detect(t)}
+            seen = {(k, i): v for t in part.column("text").to_pylist() if t for e in detect(t) for k, i, v in checked(e)}
             keys = sorted(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.string()), pa.array([seen[k] for k in keys], pa.string())], names=["kind", "entity", "value"])
 
@@ -298,15 +335,11 @@ _ENTITY = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.in
 def replace(text: str, key: bytes, attempt: Callable[[str, str], int]) -> tuple[str, list[dict]]:
     """The text with surrogates, and where they stand in the new text."""
     out, at, size, spans = [], 0, 0, []
-    family = {}
-    entities = detect(text)
-    for e in entities:
+    for e in detect(text):
         if e.kind == "person":
-            made = surrogate("person", e.value, key, attempt("person", e.value))
-            family[e.value.split(" ")[-1]] = made.split(" ")[-1]
-    for e in entities:
-        made = family.get(e.value) if e.kind == "family" else None
-        made = made or surrogate(e.kind, e.value, key, attempt(e.kind, identity(e.kind, e.value)))
+            made = person(e.value, key, lambda w: attempt("family", w))
+        else:
+            made = surrogate(e.kind, e.value, key, attempt(e.kind, identity(e.kind, e.value)))
         out += [text[at : e.start], made]
         size += e.start - at
         spans.append({"kind": e.kind, "start": size, "end": size + len(made), "surrogate": made})
@@ -337,7 +370,7 @@ def _by_document(batches):
         for part, _, _ in chunks([batch]):
             ids, kinds, entities = [], [], []
             for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                for k, i in sorted({(e.kind, identity(e.kind, e.value)) for e in detect(t)} if t else ()):
+                for k, i in sorted({(k, i) for e in detect(t) for k, i, _ in checked(e)} if t else ()):
                     ids.append(d), kinds.append(k), entities.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(entities, pa.string())], names=["doc_id", "kind", "entity"])
 

@@ -108,3 +108,34 @@ def test_collisions_are_drawn_again(spark, monkeypatch, limit):
 
 def test_empty(spark):
     assert S.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+def test_family_names_are_checked_wherever_they_stand(spark, monkeypatch):
+    """Two family names that draw one surrogate differ afterwards, alone and in full names, and one name is the same in all of them."""
+    true = S._family
+    monkeypatch.setattr(S, "_family", lambda v, k: "Barbar" if k.attempt == 0 else true(v, k))
+    texts = ["Maria Lopez came. Lopez left.", "Carlos Lopez", "Peter Novak came. Novak left."]
+    values = sorted({(k, i, v) for t in texts for e in S.detect(t) for k, i, v in S.checked(e)})
+    assert {k for k, _, _ in values} == {"family"}
+
+    def drawn(key):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                made = [S.surrogate(k, v, key, a) if a else "Barbar" for k, v, a in zip(*(b.column(c).to_pylist() for c in ("kind", "value", "attempt")), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, "made"])
+
+        return run
+
+    monkeypatch.setattr(S, "_drawn", drawn)
+    again = {r.entity: r.attempt for r in S.draws(spark.createDataFrame(values, "kind string, entity string, value string"), KEY).collect()}
+    assert again == {"Novak": 1}
+    out = [[x["surrogate"] for x in S.replace(t, KEY, lambda k, i: again.get(i, 0) if k == "family" else 0)[1]] for t in texts]
+    (full, alone), (other,), (third, third_alone) = out
+    assert full.split(" ")[1] == alone == other.split(" ")[1] == "Barbar" != third_alone == third.split(" ")[1]
+
+
+def test_one_phone_has_one_surrogate():
+    one = [S.surrogate("phone", v, KEY) for v in ("+44 20 7946 0958", "+442079460958", "+44 (20) 7946 0958")]
+    assert len({S.identity("phone", m) for m in one}) == 1 and one[0].startswith("+44 ")
