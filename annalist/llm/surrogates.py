@@ -6,12 +6,14 @@ hex; country codes, separators, top-level domains and check digits stay valid),
 different ones different surrogates. Names get given names of the same gender and script and built family names. All distinct entities
 of the corpus are then checked: a surrogate that is somebody's real value, or another entity's surrogate, is drawn again until none is left.
 Of a name the entities are its family words, wherever they stand; given names are permuted, so names differ as their family words do.
+Symbols of no alphabet are replaced by keyed letters, and what finds no free value is made longer.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,8 +25,8 @@ from annalist.llm.common import BROADCAST_ROWS, NULL_ID, cut, restore_id, small_
 from annalist.llm.text import chunks
 
 ROUNDS = 8
-#: Draws of a surrogate before the job gives up.
-ATTEMPTS = 50
+#: Draws of a surrogate before the job gives up; family names grow with them, and from draw GROW on other values of any number of entities.
+ATTEMPTS, GROW = 50, 10
 
 # Given names by script and gender (f, m), and what family names are built of.
 GIVEN = {
@@ -74,7 +76,7 @@ PATTERNS = [
     ("person", re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ({_NAME}(?: {_NAME})?)(?!\w)")),
 ]
 #: What a text with an entity, or with a name, holds at least; both are searched much faster than the patterns.
-_HINT = re.compile("[@0-9:=]|sk-|xox[abp]-|gh[pousr]_")
+_HINT = re.compile(r"[@\d:=]|sk-|xox[abp]-|gh[pousr]_|AKIA|ASIA|AIza|(?:[A-Fa-f]{2}-){5}")
 _NAME_HINT = re.compile("|".join(sorted([*_GIVEN, *TITLES])))
 
 
@@ -153,6 +155,14 @@ def identity(kind: str, value: str) -> str:
 # Keyed permutations
 
 
+def _alphabet(c: str) -> tuple[str, int] | None:
+    """The alphabet of a symbol and its place there; digits of all scripts have one."""
+    if c in _WHERE:
+        return _WHERE[c]
+    d = unicodedata.decimal(c, None)
+    return None if d is None else ("".join(chr(ord(c) - d + i) for i in range(10)), d)
+
+
 #: Country codes of one and two digits; all others have three.
 _SHORT_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
@@ -190,13 +200,16 @@ class Keyed:
                 s[i] = (s[i] + x) % sizes[i]
         return s
 
-    def text(self, value: str, tweak: str, alphabets: Callable[[str], tuple[str, int] | None] = _WHERE.get) -> str:
-        """Every symbol of a known alphabet permuted inside it; the rest stays in place."""
+    def text(self, value: str, tweak: str, alphabets: Callable[[str], tuple[str, int] | None] = _alphabet) -> str:
+        """Every symbol of a known alphabet permuted inside it, other letters replaced by keyed ones; the rest stays in place."""
         places = [(i, *a) for i, c in enumerate(value) if (a := alphabets(c))]
+        out = list(value)
+        other = [i for i, c in enumerate(value) if not c.isascii() and not alphabets(c)]
+        for i, x in zip(other, self.numbers(len(other), tweak, "other", value), strict=True):
+            out[i] = ALPHABETS[1][x % 26]
         if not places:
-            return value
+            return "".join(out)
         new = self.permute([p[2] for p in places], [len(p[1]) for p in places], tweak)
-        out = list(value)
         for (i, alphabet, _), x in zip(places, new, strict=True):
             out[i] = alphabet[x]
         return "".join(out)
@@ -208,7 +221,8 @@ def luhn(digits: str) -> int:
 
 
 def _check_digit(body: str) -> str:
-    return str(-luhn(body + "0") % 10)
+    """In the script of the digit before it."""
+    return _alphabet(body[-1])[0][-luhn(body + "0") % 10]
 
 
 def _iban_check(country: str, body: str) -> str:
@@ -231,7 +245,9 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = value.lower().rpartition("@")
         labels, _, top = domain.rpartition(".")
-        return f"{k.text(local, 'email')}@{k.text(labels, 'domain')}.{top}"
+        new, place = k.text(local, "email"), k.text(labels, "domain")
+        more = _longer(k, identity(kind, value), ALPHABETS[1], 6 if (new, place) == (local, labels) else 0)
+        return f"{new}{more}@{place}.{top}"
     if kind == "ip":
         return ".".join(map(str, k.permute([int(x) for x in value.split(".")], [256] * 4, "ip")))
     if kind == "mac":
@@ -241,7 +257,7 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     if kind == "phone":
         digits = re.sub(r"\D", "", value)
         n = _country(digits) if _abroad(value) else 0
-        return _fill_digits(value, digits[:n] + k.text(digits[n:], f"phone{digits[:n]}"))
+        return _fill_digits(value, digits[:n] + k.text(digits[n:], f"phone{digits[:n]}")) + _longer(k, identity(kind, value), ALPHABETS[0])
     if kind in ("number", "ssn"):
         digits = identity(kind, value)
         if kind == "number" and luhn(digits) % 10 == 0:
@@ -257,7 +273,7 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         head = re.match(r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|AIza)?", value)[0]
         rest = value[len(head) :]
         hexed = next((a for a in (_HEX, _HEX_UP) if rest and set(rest) <= set(a)), None)
-        return head + (k.text(rest, "hex", _hex(hexed)) if hexed else k.text(rest, f"secret{head}"))
+        return head + (k.text(rest, "hex", _hex(hexed)) if hexed else k.text(rest, f"secret{head}")) + _longer(k, value, _HEX)
     if kind == "family":
         return _family(value, k)
     return person(value, key, lambda w: attempt)
@@ -274,6 +290,12 @@ def person(value: str, key: bytes, attempt: Callable[[str], int]) -> str:
     return " ".join([names[Keyed(key).permute([names.index(first)], [len(names)], f"given{script}{gender}")[0]], *family])
 
 
+def _longer(k: Keyed, value: str, alphabet: str, least: int = 0) -> str:
+    """What is put behind a surrogate once its format has run out of free values: a symbol more with each draw."""
+    n = max(least, k.attempt - GROW + 1)
+    return "".join(alphabet[x % len(alphabet)] for x in k.numbers(n, "longer", value)) if n > 0 else ""
+
+
 def _fill_digits(template: str, digits: str) -> str:
     it = iter(digits)
     return re.sub(r"\d", lambda m: next(it), template)
@@ -281,7 +303,7 @@ def _fill_digits(template: str, digits: str) -> str:
 
 def _family(value: str, k: Keyed) -> str:
     script = "cyrillic" if re.search("[Ѐ-ӿ]", value) else "greek" if re.search("[Ͱ-Ͽ]", value) else "latin"
-    made = "".join(SYLLABLES[script][x % len(SYLLABLES[script])] for x in k.numbers(4, "family", value))
+    made = "".join(SYLLABLES[script][x % len(SYLLABLES[script])] for x in k.numbers(4 + k.attempt // 2, "family", value))
     return made.capitalize()
 
 
