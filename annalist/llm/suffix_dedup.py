@@ -1,11 +1,11 @@
-"""Suffix-array dedup: longest previous factors over partitions of the corpus that hold all places of a string.
+"""Substring dedup: whether longest previous factors reach a length, over partitions of the corpus that hold all places of a string.
 
 A byte is removed if it lies in a ``length``-byte string that also starts earlier. To bring equal strings together without
 sorting every suffix in one place, each ``length``-byte window is sent where its anchor says: the smallest k-gram hash
 in the window, leftmost on ties, which depends on the window's bytes alone. Consecutive windows with one anchor travel as one
-segment. In a partition a suffix array of the segments is built by doubling (ranks of 8, 16, 32, 64, then ``length`` bytes),
-its common prefixes cut it into runs, and in a run a place has a previous or next smaller place (in document order)
-exactly if its longest previous factor reaches ``length``.
+segment. In a partition the windows whose hash has a twin are ranked by doubling (8, 16, 32, 64, then ``length`` bytes). Equal
+ranks are a run; its earliest place (in document order) stands in for the arrays of previous and next smaller places, for a
+longest previous factor reaches ``length`` exactly if a place is not its run's earliest. ``lpf`` is the full array, for tests.
 
 Segments that are equal as a whole collapse before the shuffle (once in each task's buffer) and again before sorting, keeping
 the earliest, so a text copied a million times costs one segment a task and not a group in one of them.
