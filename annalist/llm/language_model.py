@@ -6,16 +6,17 @@ learned by expectation-maximisation on documents whose own counts were deleted.
 All n-grams of the training documents are counted, and every document is scored with exact counts, without exploding tokens into
 rows: a task turns a batch of documents into its distinct keys (64-bit hashes of words and word pairs) with their counts, and deals these
 in sorted, packed blocks by key range. Each range adds up its keys over all batches and answers every block with the totals, in the
-block's order. A batch then scores its documents from its answers. A frequent word is one key in each batch, so no key is hot; the driver
+block's order. A batch then scores its documents from its answers, a chunk of about 1 MB of text at a time. A frequent word is one key in each batch, so no key is hot; the driver
 gets only sums and the histogram of EM.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 from annalist.llm.common import NULL_ID, cut, fresh_path, labels, partitions, restore_id, small_batches, table
 from annalist.llm.files import attempt_name, resolve
 from annalist.llm.language_id import in_fold
-from annalist.llm.text import chunks, mix64, words
+from annalist.llm.text import chunks, mix64, release, words
 
 U64 = np.uint64
 #: Tokens of a batch, unless one document has more.
 BATCH_TOKENS = 1_000_000
+#: Answer bytes that a key range gathers before it hands on rows.
+ANSWER_BYTES = 1 << 20
 END, START = U64(0x5EED0E4D), U64(0x5EED057A)
 _Q = U64(0xC2B2AE3D27D4EB4F)
 #: EM: steps of log2(p / p0) per octave, and rounds.
@@ -80,45 +83,66 @@ def unpack_counts(body: bytes, counts: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(raw[8 * n * i : 8 * n * (i + 1)].reshape(8, n).T).view("<i8").ravel() for i in range(counts)]
 
 
-def save_batch(folder: str, name: str, ids, flags, data, offsets) -> None:
-    """The batch's file; tasks that run again write the same bytes under the same name."""
+def pack_rows(ids, flags, data, offsets) -> bytes:
+    """Documents of one chunk, compressed."""
     head = struct.pack("<qq", len(ids), len(data)) + ids.astype("<i8").tobytes() + flags.astype(np.uint8).tobytes() + offsets.astype("<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + data.tobytes())
+
+
+def unpack_rows(body: bytes):
+    body = zstandard.ZstdDecompressor().decompress(body)
+    n, size = struct.unpack_from("<qq", body)
+    ids = np.frombuffer(body, "<i8", n, 16)
+    flags = np.frombuffer(body, np.uint8, n, 16 + 8 * n)
+    offsets = np.frombuffer(body, "<i8", n + 1, 16 + 9 * n)
+    return ids, flags, np.frombuffer(body, np.uint8, size, 16 + 9 * n + 8 * (n + 1)), offsets
+
+
+def save_batch(folder: str, stem: str, chunks_: list[bytes]) -> str:
+    """Write a batch's chunks and return its name, which holds a hash of them: a task that runs again over rows in another order makes
+    another batch, and never writes over one whose counts are already known."""
+    body = struct.pack(f"<q{len(chunks_)}q", len(chunks_), *map(len, chunks_)) + b"".join(chunks_)
+    name = f"{stem}-{hashlib.blake2b(body, digest_size=12).hexdigest()}"
     fs, path = resolve(folder)
     fs.create_dir(path, recursive=True)
     own = attempt_name(name, ".tmp")
     with fs.open_output_stream(f"{path}/{own}", compression=None) as out:
-        out.write(zstandard.ZstdCompressor(level=3).compress(head + data.tobytes()))
+        out.write(body)
     fs.move(f"{path}/{own}", f"{path}/{name}")
+    return name
 
 
-def load_batch(folder: str, name: str):
+def load_batch(folder: str, name: str) -> Iterator[tuple]:
+    """The documents of each chunk in turn."""
     fs, path = resolve(folder)
     with fs.open_input_file(f"{path}/{name}") as source:
-        body = zstandard.ZstdDecompressor().decompress(source.readall())
-    n, size = struct.unpack_from("<qq", body)
-    ids = np.frombuffer(body, "<i8", n, 16)
-    flags = np.frombuffer(body, np.uint8, n, 16 + 8 * n)
-    offsets = np.frombuffer(body, "<i8", n + 1, 16 + 9 * n)
-    return ids, flags, np.frombuffer(body, np.uint8, size, 16 + 9 * n + 8 * (n + 1)), offsets
+        (n,) = struct.unpack("<q", source.read(8))
+        for size in struct.unpack(f"<{n}q", source.read(8 * n)):
+            yield unpack_rows(source.read(size))
+
+
+def _sum_up(keys: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+    return every[first], *(np.add.reduceat(np.concatenate(c)[order], first) if len(first) else np.zeros(0, np.int64) for c in counts)
+
+
+def _distinct(keys: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys of a chunk with how often they stand in rows to learn from, and in rows to tune with."""
+    return _sum_up([keys], [(flag & 1).astype(np.int64)], [(flag >> 1 & 1).astype(np.int64)])
 
 
 def _deal(folder: str, label: list[int]):
     deals = len(label)
 
-    def blocks(parts, name):
-        ids, flags, data, unit, context, first = ([p[i] for p in parts] for i in range(6))
-        size = np.cumsum([0, *[len(d) for d in data]])
-        offsets = np.r_[np.concatenate([p[6][:-1] + s for p, s in zip(parts, size, strict=False)]), size[-1]]
-        ids, flags = np.concatenate(ids), np.concatenate(flags)
-        save_batch(folder, name, ids, flags, np.concatenate(data), offsets)
-        n = np.concatenate([np.diff(f) for f in first])
-        flag = np.repeat(flags, n)
-        pairs = np.concatenate([pair_keys(u, c, f) for u, c, f in zip(unit, context, first, strict=True)])
-        rows = []
-        for kind, every in zip(KINDS, (np.concatenate(unit), pairs), strict=True):
-            keys, where = np.unique(every, return_inverse=True)
-            learn = np.bincount(where, (flag & 1).astype(float), len(keys)).astype(np.int64)
-            tune = np.bincount(where, (flag >> 1 & 1).astype(float), len(keys)).astype(np.int64)
+    def blocks(stem, texts, counts):
+        name, rows = save_batch(folder, stem, texts), []
+        for kind in KINDS:
+            keys, learn, tune = _sum_up(*zip(*counts[kind], strict=True))
+            counts[kind].clear()
             edges = np.searchsorted(keys, np.array([(d << 64) // deals for d in range(1, deals)], U64))
             for d, (a, b) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(keys)], strict=True)):
                 if a < b:
@@ -127,42 +151,62 @@ def _deal(folder: str, label: list[int]):
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["label", "deal", "batch", "kind", "payload"])
 
     def run(batches):
-        parts, n, made, task = [], 0, 0, TaskContext.get().partitionId()
+        texts, counts, n, made, task = [], {k: [] for k in KINDS}, 0, 0, TaskContext.get().partitionId()
         for part, data, offsets in chunks(batches):
             unit, context, first = tokens(data, offsets)
             flags = np.asarray(part.column("learn").cast(pa.uint8())) | np.asarray(part.column("tune").cast(pa.uint8())) << 1
-            parts.append((part.column("doc_id").to_numpy(), flags, data, unit, context, first, offsets))
+            texts.append(pack_rows(part.column("doc_id").to_numpy(), flags, data, offsets))
+            flag = np.repeat(flags, np.diff(first))
+            counts[1].append(_distinct(unit, flag))
+            counts[2].append(_distinct(pair_keys(unit, context, first), flag))
             n += len(unit)
             if n >= BATCH_TOKENS:
-                yield blocks(parts, f"batch-{task:06d}-{made:05d}")
-                parts, n, made = [], 0, made + 1
-        if parts:
-            yield blocks(parts, f"batch-{task:06d}-{made:05d}")
+                yield blocks(f"batch-{task:06d}-{made:05d}", texts, counts)
+                texts, n, made = [], 0, made + 1
+        if texts:
+            yield blocks(f"batch-{task:06d}-{made:05d}", texts, counts)
+        release()
 
     return run
 
 
 ANSWER = "batch string, deal int, kind int, payload binary, n long, v long, n_kept long, v_kept long"
+_ANSWER = pa.schema([("batch", pa.string()), ("deal", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary()), *[(c, pa.int64()) for c in ("n", "v", "n_kept", "v_kept")]])
+
+
+def _answer(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
 
 
-def _count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Totals of one key range; a row without batch has the range's share of N and V, of all training documents and of those kept by EM."""
-    out, deal = [], int(frame["deal"].iloc[0])
-    for kind, own in frame.groupby("kind"):
-        blocks = [unpack(p, 2) for p in own["payload"]]
-        keys, where = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
-        learn = np.bincount(where, np.concatenate([b[1] for b in blocks]), len(keys)).astype(np.int64)
-        tune = np.bincount(where, np.concatenate([b[2] for b in blocks]), len(keys)).astype(np.int64)
+    seen: dict[int, list] = {k: [] for k in KINDS}
+    deal = 0
+    for rows in (b for b in batches if b.num_rows):
+        deal = rows.column("deal")[0].as_py()
+        for name, kind, body in zip(rows.column("batch").to_pylist(), rows.column("kind").to_pylist(), rows.column("payload"), strict=True):
+            seen[kind].append((name, *unpack(body.as_buffer(), 2)))
+    for kind, own in seen.items():
+        if not own:
+            continue
+        names, key_lists, learns, tunes = zip(*own, strict=True)
+        seen[kind] = own = None
+        keys, learn, tune = _sum_up(key_lists, learns, tunes)
+        del learns, tunes
         if kind == 1:
             kept = learn - tune
-            out.append((None, deal, 0, None, int(learn.sum()), int((learn > 0).sum()), int(kept.sum()), int((kept > 0).sum())))
-        at = 0
-        for name, (own_keys, *_) in zip(own["batch"], blocks, strict=True):
-            mine = where[at : at + len(own_keys)]
-            out.append((name, deal, int(kind), pack_counts(learn[mine], tune[mine]), None, None, None, None))
-            at += len(own_keys)
-    out = pd.DataFrame(out, columns=["batch", "deal", "kind", "payload", "n", "v", "n_kept", "v_kept"])
-    return out.astype({c: "Int64" for c in ("n", "v", "n_kept", "v_kept")})
+            yield _answer([(None, deal, 0, None, int(learn.sum()), int((learn > 0).sum()), int(kept.sum()), int((kept > 0).sum()))])
+        out, size = [], 0
+        for name, mine in zip(names, key_lists, strict=True):
+            at = np.searchsorted(keys, mine)
+            out.append((name, deal, kind, pack_counts(learn[at], tune[at]), None, None, None, None))
+            size += len(out[-1][3])
+            if size >= ANSWER_BYTES:
+                yield _answer(out)
+                out, size = [], 0
+        if out:
+            yield _answer(out)
+    release()
 
 
 def bucket(context_count: np.ndarray) -> np.ndarray:
@@ -170,20 +214,34 @@ def bucket(context_count: np.ndarray) -> np.ndarray:
     return np.frexp(context_count.astype(float))[1]
 
 
-def answered(folder: str, name: str, frame: pd.DataFrame):
-    """A batch's documents and, for each token, totals of its word, its context and the pair: (learn, tune) each."""
-    ids, flags, data, offsets = load_batch(folder, name)
-    unit, context, first = tokens(data, offsets)
+def answered(folder: str, batches: Iterable[pa.RecordBatch]):
+    """For each chunk of a batch its documents and, for each token, totals of its word, its context and the pair: (learn, tune) each."""
+    got: dict[int, dict[int, bytes]] = {k: {} for k in KINDS}
+    name = ""
+    for rows in (b for b in batches if b.num_rows):
+        name = rows.column("batch")[0].as_py()
+        for kind, deal, body in zip(rows.column("kind").to_pylist(), rows.column("deal").to_pylist(), rows.column("payload").to_pylist(), strict=True):
+            got[kind][deal] = body
+    parts = []
+    for ids, flags, data, offsets in load_batch(folder, name):
+        unit, _, first = tokens(data, offsets)
+        parts.append((ids, flags, unit, first))
+    pairs_of = lambda unit, first: pair_keys(unit, np.r_[END, unit[:-1]][: len(unit)], first)  # noqa: E731  ``pair_keys`` sets what starts a document
+    words_ = np.unique(np.concatenate([np.unique(unit) for _, _, unit, _ in parts]))
+    pairs = np.unique(np.concatenate([np.unique(pairs_of(unit, first)) for _, _, unit, first in parts]))
     totals = {}
-    for kind, own in frame.groupby("kind"):
-        blocks = [unpack_counts(p, 2) for p in own.sort_values("deal")["payload"]]
-        totals[int(kind)] = [np.concatenate([b[i] for b in blocks]) for i in (0, 1)]
-    keys, where = np.unique(unit, return_inverse=True)
-    pairs, pair_at = np.unique(pair_keys(unit, context, first), return_inverse=True)
-    if len(totals[1][0]) != len(keys) or len(totals[2][0]) != len(pairs):
-        raise RuntimeError(f"{name}: answers are incomplete")
-    of_context = np.searchsorted(keys, context)
-    return ids, flags, first, [t[where] for t in totals[1]], [t[of_context] for t in totals[1]], [t[pair_at] for t in totals[2]]
+    for kind, keys in zip(KINDS, (words_, pairs), strict=True):
+        blocks = [unpack_counts(got[kind].pop(d), 2) for d in sorted(got[kind])]
+        totals[kind] = [np.concatenate([b[i] for b in blocks]) for i in (0, 1)]
+        if len(totals[kind][0]) != len(keys):
+            raise RuntimeError(f"{name}: answers are incomplete")
+    end = np.searchsorted(words_, END)
+    for ids, flags, unit, first in parts:
+        at = np.searchsorted(words_, unit)
+        before = np.r_[end, at[:-1]][: len(at)]
+        before[first[:-1]] = end  # a document's first token stands behind START, which END counts
+        pair_at = np.searchsorted(pairs, pairs_of(unit, first))
+        yield ids, flags, first, [t[at] for t in totals[1]], [t[before] for t in totals[1]], [t[pair_at] for t in totals[2]]
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -193,15 +251,18 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _tune(folder: str, n: int, v: int):
     """Histogram of (bucket, log2(p2/p0), log2(p1/p0)) over the tokens of tuning documents, with their own counts deleted."""
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ids, flags, first, one, context, two = answered(folder, key[0], frame)
-        use = np.repeat((flags >> 1 & 1).astype(bool), np.diff(first))
-        c1, cc, c2 = (x[0][use] - x[1][use] for x in (one, context, two))
-        steps = []
-        for p in (_ratio(c2, cc), c1 / max(n, 1)):
-            steps.append(np.where(p > 0, np.round(np.log2(np.maximum(p * (v + 1), 1e-300)) * GRAIN), -(10**6)).astype(np.int64))
-        rows, count = np.unique(np.stack([bucket(cc), *steps]), axis=1, return_counts=True) if use.any() else (np.zeros((3, 0), np.int64), np.zeros(0, np.int64))
-        return pd.DataFrame({"b": rows[0], "r2": rows[1], "r1": rows[2], "count": count}).astype("int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, flags, first, one, context, two in answered(folder, batches):
+            use = np.repeat((flags >> 1 & 1).astype(bool), np.diff(first))
+            if not use.any():
+                continue
+            c1, cc, c2 = (x[0][use] - x[1][use] for x in (one, context, two))
+            steps = []
+            for p in (_ratio(c2, cc), c1 / max(n, 1)):
+                steps.append(np.where(p > 0, np.round(np.log2(np.maximum(p * (v + 1), 1e-300)) * GRAIN), -(10**6)).astype(np.int64))
+            rows, count = np.unique(np.stack([bucket(cc), *steps]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows.astype(np.int64)), pa.array(count.astype(np.int64))], names=["b", "r2", "r1", "count"])
+        release()
 
     return run
 
@@ -233,15 +294,17 @@ SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score dou
 
 
 def _score(folder: str, n: int, v: int, weights: np.ndarray):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ids, _, first, one, context, two = answered(folder, key[0], frame)
-        c1, cc, c2 = one[0], context[0], two[0]
-        w = weights[bucket(cc)]
-        p = w[:, 0] / (v + 1) + w[:, 1] * c1 / max(n, 1) + w[:, 2] * _ratio(c2, cc)
-        if n == 0:
-            p = np.ones(len(p))
-        add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every document has a token at least
-        return pd.DataFrame({"doc_id": ids, "n_tokens": np.diff(first), "n_known": add((c1 > 0).astype(np.int64)), "base_score": add(np.log10((c1 + 1) / (n + v + 1))), "score": add(np.log10(p))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, first, one, context, two in answered(folder, batches):
+            c1, cc, c2 = one[0], context[0], two[0]
+            w = weights[bucket(cc)]
+            p = w[:, 0] / (v + 1) + w[:, 1] * c1 / max(n, 1) + w[:, 2] * _ratio(c2, cc)
+            if n == 0:
+                p = np.ones(len(p))
+            add = lambda x, at=first[:-1]: np.add.reduceat(x, at)  # noqa: E731  every document has a token at least
+            columns = [ids, np.diff(first), add((c1 > 0).astype(np.int64)), add(np.log10((c1 + 1) / (n + v + 1))), add(np.log10(p))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        release()
 
     return run
 
@@ -263,12 +326,12 @@ def deleted_interpolation(docs: DataFrame, learn: Column, tune: Column, id_col:
         F.coalesce(learn & tune, F.lit(False)).alias("tune"),
     )
     dealt = rows.mapInArrow(_deal(folder, label), "label int, deal int, batch string, kind int, payload binary")
-    answers = cut(dealt.repartition(len(label), "label").groupBy("label").applyInPandas(_count, ANSWER), "lm-counts")
+    answers = cut(dealt.repartition(len(label), "label").groupBy("label").applyInArrow(_count, ANSWER), "lm-counts")
     sums = answers.where("batch is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_kept", "v_kept")]).first()
     by_batch = answers.where("batch is not null").select("batch", "deal", "kind", "payload").groupBy("batch")
-    seen = by_batch.applyInPandas(_tune(folder, sums.n_kept, sums.v_kept), "b long, r2 long, r1 long, count long")
+    seen = by_batch.applyInArrow(_tune(folder, sums.n_kept, sums.v_kept), "b long, r2 long, r1 long, count long")
     histogram = [tuple(r) for r in seen.groupBy("b", "r2", "r1").agg(F.sum("count").alias("count")).collect()]  # bins, however large the corpus
-    scored = by_batch.applyInPandas(_score(folder, sums.n, sums.v, em(sorted(histogram))), SCORES)
+    scored = by_batch.applyInArrow(_score(folder, sums.n, sums.v, em(sorted(histogram))), SCORES)
     return scored.withColumn("train_tokens", F.lit(sums.n).cast("long")).withColumn("doc_id", restore_id("doc_id"))
 
 

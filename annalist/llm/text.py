@@ -6,6 +6,8 @@ separators are ASCII, a multi-byte character is never split.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,6 +35,15 @@ NOT_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give a finished task's memory back: Python workers live on, and the C library would keep what arrays have freed."""
+    for kind in [k for k, x in _powers.items() if len(x) > CHUNK + (1 << 16)]:  # as grown for a long document
+        del _powers[kind]
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _power(kind: str, n: int) -> np.ndarray:
     base = _P if kind == "up" else pow(_P, -1, 2**64)
     if kind not in _powers or len(_powers[kind]) < n:

@@ -111,6 +111,25 @@ def interpolated(docs, weights):
     return out
 
 
+def em_histogram(docs, learns, tunes, grain=4):
+    """(bucket, r2, r1) -> count over the tokens of tuning documents, from counts of the other training documents."""
+    tokens = {d: [*SPACED.findall(lower(t)), None] for d, t in docs}
+    one, two, ctx = Counter(), Counter(), Counter()
+    for d, ts in tokens.items():
+        if learns(d) and not tunes(d):
+            one.update(ts)
+            for a, b in zip(["<s>", *ts[:-1]], ts, strict=True):
+                two[a, b] += 1
+                ctx[a] += 1
+    n, v, out = sum(one.values()), len(one), Counter()
+    step = lambda p: round(math.log2(p * (v + 1)) * grain) if p > 0 else -(10**6)
+    for d, ts in tokens.items():
+        if tunes(d):
+            for a, b in zip(["<s>", *ts[:-1]], ts, strict=True):
+                out[int(ctx[a]).bit_length(), step(two[a, b] / ctx[a] if ctx[a] else 0), step(one[b] / n)] += 1
+    return out
+
+
 def tokens(docs, tokenizer, end=2):
     at, out = 0, []
     for d, text in sorted(docs, key=lambda d: d[0]):

@@ -259,6 +259,25 @@ def test_language_model_scores_by_its_formula(docs, rows, monkeypatch):
     assert {r.doc_id: r.score for r in out} == pytest.approx(brute.interpolated(pairs(rows), weights), rel=1e-6)
 
 
+@pytest.mark.parametrize("batch", [500, 1_000_000])
+def test_em_learns_from_deleted_counts(docs, rows, monkeypatch, batch):
+    seen, real = [], language_model.em
+    monkeypatch.setattr(language_model, "em", lambda histogram: seen.append(histogram) or real(histogram))
+    monkeypatch.setattr(language_model, "BATCH_TOKENS", batch)
+    language_model.deleted_interpolation(docs, ~language_id.in_fold(F.col("doc_id"), 7, 2), language_id.in_fold(F.col("doc_id"), 7, 3)).count()
+    fold = lambda d: zlib.crc32(str(d).encode()) % 7
+    want = brute.em_histogram(pairs(rows), lambda d: fold(d) != 2, lambda d: fold(d) == 3)
+    assert {tuple(r[:3]): r[3] for r in seen[0]} == want
+
+
+def test_batch_names_follow_their_rows(tmp_path):
+    a, b = [language_model.pack_rows(np.array([i]), np.array([0]), np.frombuffer(t, np.uint8), np.array([0, len(t)])) for i, t in ((1, b"x y"), (2, b"z"))]
+    names = {language_model.save_batch(str(tmp_path), "batch-0", c) for c in ([a, b], [b, a], [a, b])}
+    assert len(names) == 2
+    for n in names:
+        assert sorted(int(ids[0]) for ids, *_ in language_model.load_batch(str(tmp_path), n)) == [1, 2]
+
+
 def test_em_finds_the_mixture():
     w = language_model.em([(3, 8, -(10**6), 900), (3, -(10**6), 8, 100), (0, -(10**6), 8, 50)])
     assert w[3, 2] > 0.8 and w[0, 2] == 0 and np.allclose(w.sum(axis=1), 1)

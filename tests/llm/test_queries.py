@@ -55,10 +55,16 @@ def test_op4(spark, docs):
     assert sorted(tuple(r) for r in run(spark, "op4_tokens").collect()) == sorted(want)
 
 
-def test_op5(spark, docs):
+def test_op5(spark, docs, monkeypatch):
+    from annalist.llm import language_model
+
+    seen, real = [], language_model.em
+    monkeypatch.setattr(language_model, "em", lambda histogram: seen.append(real(histogram)) or seen[-1])
     want = brute.base_scores(docs)
     out = run(spark, "op5_language_model").collect()
     assert {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in out} == {d: w[:4] for d, w in want.items()}
+    assert {r.doc_id: r.base_score for r in out} == pytest.approx({d: w[4] for d, w in want.items()}, rel=1e-9)
+    assert {r.doc_id: r.score for r in out} == pytest.approx(brute.interpolated(docs, seen[0]), rel=1e-9)
     held = [r for r in out if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
