@@ -13,11 +13,13 @@ gets only sums and the histogram of EM.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from annalist.llm.common import NULL_ID, cut, fresh_path, labels, partitions, restore_id, small_batches, table
 from annalist.llm.files import attempt_name, resolve
 from annalist.llm.language_id import in_fold
-from annalist.llm.text import chunks, mix64, release, words
+from annalist.llm.text import chunks, distinct, mix64, raw, release, words
 
 U64 = np.uint64
 #: Tokens of a batch, unless one document has more.
@@ -124,7 +126,7 @@ def load_batch(folder: str, name: str) -> Iterator[tuple]:
 def _sum_up(keys: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """Distinct keys, ascending, and the sums of their counts."""
     every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     every = every[order]
     first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
     return every[first], *(np.add.reduceat(np.concatenate(c)[order], first) if len(first) else np.zeros(0, np.int64) for c in counts)
@@ -151,20 +153,34 @@ def _deal(folder: str, label: list[int]):
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["label", "deal", "batch", "kind", "payload"])
 
     def run(batches):
-        texts, counts, n, made, task = [], {k: [] for k in KINDS}, 0, 0, TaskContext.get().partitionId()
-        for part, data, offsets in chunks(batches):
-            unit, context, first = tokens(data, offsets)
-            flags = np.asarray(part.column("learn").cast(pa.uint8())) | np.asarray(part.column("tune").cast(pa.uint8())) << 1
-            texts.append(pack_rows(part.column("doc_id").to_numpy(), flags, data, offsets))
-            flag = np.repeat(flags, np.diff(first))
-            counts[1].append(_distinct(unit, flag))
-            counts[2].append(_distinct(pair_keys(unit, context, first), flag))
-            n += len(unit)
-            if n >= BATCH_TOKENS:
-                yield blocks(f"batch-{task:06d}-{made:05d}", texts, counts)
-                texts, n, made = [], 0, made + 1
-        if texts:
-            yield blocks(f"batch-{task:06d}-{made:05d}", texts, counts)
+        task, made = TaskContext.get().partitionId(), itertools.count()
+        # documents that tune go to batches of their own, so that EM reads no others
+        open_ = {kind: ([], {k: [] for k in KINDS}, []) for kind in ("tune", "rest")}
+
+        def close(kind):
+            texts, counts, size = open_[kind]
+            if texts:
+                yield blocks(f"{kind}-{task:06d}-{next(made):05d}", texts, counts)
+            texts.clear(), size.clear()
+
+        for whole, *_ in chunks(batches):
+            for kind in open_:
+                part = whole.filter(whole.column("tune") if kind == "tune" else pc.invert(whole.column("tune")))
+                if not part.num_rows:
+                    continue
+                texts, counts, size = open_[kind]
+                data, offsets = raw(part.column("text"))
+                unit, context, first = tokens(data, offsets)
+                flags = np.asarray(part.column("learn").cast(pa.uint8())) | np.asarray(part.column("tune").cast(pa.uint8())) << 1
+                texts.append(pack_rows(part.column("doc_id").to_numpy(), flags, data, offsets))
+                flag = np.repeat(flags, np.diff(first))
+                counts[1].append(_distinct(unit, flag))
+                counts[2].append(_distinct(pair_keys(unit, context, first), flag))
+                size.append(len(unit))
+                if sum(size) >= BATCH_TOKENS:
+                    yield from close(kind)
+        for kind in open_:
+            yield from close(kind)
         release()
 
     return run
@@ -224,24 +240,23 @@ def answered(folder: str, batches: Iterable[pa.RecordBatch]):
             got[kind][deal] = body
     parts = []
     for ids, flags, data, offsets in load_batch(folder, name):
-        unit, _, first = tokens(data, offsets)
-        parts.append((ids, flags, unit, first))
-    pairs_of = lambda unit, first: pair_keys(unit, np.r_[END, unit[:-1]][: len(unit)], first)  # noqa: E731  ``pair_keys`` sets what starts a document
-    words_ = np.unique(np.concatenate([np.unique(unit) for _, _, unit, _ in parts]))
-    pairs = np.unique(np.concatenate([np.unique(pairs_of(unit, first)) for _, _, unit, first in parts]))
-    totals = {}
-    for kind, keys in zip(KINDS, (words_, pairs), strict=True):
+        unit, context, first = tokens(data, offsets)
+        found = [np.unique(x, return_inverse=True) for x in (unit, pair_keys(unit, context, first))]
+        parts.append((ids, flags, first, [(keys, where.astype(np.int32)) for keys, where in found]))
+    every, totals = [], []
+    for i, kind in enumerate(KINDS):
+        every.append(distinct(np.concatenate([found[i][0] for *_, found in parts])))
         blocks = [unpack_counts(got[kind].pop(d), 2) for d in sorted(got[kind])]
-        totals[kind] = [np.concatenate([b[i] for b in blocks]) for i in (0, 1)]
-        if len(totals[kind][0]) != len(keys):
+        totals.append([np.concatenate([b[j] for b in blocks]) for j in (0, 1)])
+        if len(totals[i][0]) != len(every[i]):
             raise RuntimeError(f"{name}: answers are incomplete")
-    end = np.searchsorted(words_, END)
-    for ids, flags, unit, first in parts:
-        at = np.searchsorted(words_, unit)
+    end = np.searchsorted(every[0], END)
+    for ids, flags, first, found in parts:
+        # a chunk's own keys ascend, so looking them up runs through the batch's keys once
+        at, pair_at = (np.searchsorted(keys, mine)[where] for keys, (mine, where) in zip(every, found, strict=True))
         before = np.r_[end, at[:-1]][: len(at)]
         before[first[:-1]] = end  # a document's first token stands behind START, which END counts
-        pair_at = np.searchsorted(pairs, pairs_of(unit, first))
-        yield ids, flags, first, [t[at] for t in totals[1]], [t[before] for t in totals[1]], [t[pair_at] for t in totals[2]]
+        yield ids, flags, first, [t[at] for t in totals[0]], [t[before] for t in totals[0]], [t[pair_at] for t in totals[1]]
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -328,10 +343,10 @@ def deleted_interpolation(docs: DataFrame, learn: Column, tune: Column, id_col:
     dealt = rows.mapInArrow(_deal(folder, label), "label int, deal int, batch string, kind int, payload binary")
     answers = cut(dealt.repartition(len(label), "label").groupBy("label").applyInArrow(_count, ANSWER), "lm-counts")
     sums = answers.where("batch is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_kept", "v_kept")]).first()
-    by_batch = answers.where("batch is not null").select("batch", "deal", "kind", "payload").groupBy("batch")
-    seen = by_batch.applyInArrow(_tune(folder, sums.n_kept, sums.v_kept), "b long, r2 long, r1 long, count long")
+    of = lambda names: answers.where(F.col("batch").startswith(names)).select("batch", "deal", "kind", "payload").groupBy("batch")
+    seen = of("tune-").applyInArrow(_tune(folder, sums.n_kept, sums.v_kept), "b long, r2 long, r1 long, count long")
     histogram = [tuple(r) for r in seen.groupBy("b", "r2", "r1").agg(F.sum("count").alias("count")).collect()]  # bins, however large the corpus
-    scored = by_batch.applyInArrow(_score(folder, sums.n, sums.v, em(sorted(histogram))), SCORES)
+    scored = of("").applyInArrow(_score(folder, sums.n, sums.v, em(sorted(histogram))), SCORES)
     return scored.withColumn("train_tokens", F.lit(sums.n).cast("long")).withColumn("doc_id", restore_id("doc_id"))
 
 

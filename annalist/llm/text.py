@@ -151,6 +151,12 @@ def inside(doc: np.ndarray, k: int) -> np.ndarray:
     return doc[:n] == doc[k - 1 : k - 1 + n]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending; by a sort, which is many times faster than the hash table of ``np.unique``."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive values, by doubling."""
     if len(values) < w:
