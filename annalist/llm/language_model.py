@@ -275,8 +275,10 @@ def _tune(folder: str, n: int, v: int):
             steps = []
             for p in (_ratio(c2, cc), c1 / max(n, 1)):
                 steps.append(np.where(p > 0, np.round(np.log2(np.maximum(p * (v + 1), 1e-300)) * GRAIN), -(10**6)).astype(np.int64))
-            rows, count = np.unique(np.stack([bucket(cc), *steps]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, rows.astype(np.int64)), pa.array(count.astype(np.int64))], names=["b", "r2", "r1", "count"])
+            half = 1 << 20  # all three in one number
+            bins, count = np.unique((bucket(cc).astype(np.int64) << 42) | (steps[0] + half << 21) | (steps[1] + half), return_counts=True)
+            rows = (bins >> 42, (bins >> 21 & (2 * half - 1)) - half, (bins & (2 * half - 1)) - half)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows, count)], names=["b", "r2", "r1", "count"])
         release()
 
     return run
