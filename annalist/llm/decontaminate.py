@@ -1,98 +1,29 @@
 """Benchmark decontamination by winnowing.
 
-A shared span of ``window`` words holds ``window - k + 1`` k-grams; the smallest k-gram hash of each such stretch is
-its fingerprint, so training and test text that share the span share a fingerprint at the same place in it. Test
-fingerprints are joined with the documents' fingerprints, and each hit is extended: the windows around it are
-compared with the test windows, and words in equal windows are hit. Items shorter than a window are one window of
-their own length, found by that length's hashes at every position.
-
-The test side is taken in blocks of at most ``block_bytes`` text, one broadcast each, so its size is bounded whatever
-the table's; for several blocks the documents' hits are merged by document.
+A window of ``window`` words holds ``window - k + 1`` k-grams; the smallest k-gram hash in it is the window's fingerprint, so a span that
+training and test text share has equal fingerprints in both. An item of fewer words is one window of its own length, and its fingerprint is its
+hash. Fingerprints of both sides are joined; each hit is extended to the whole windows around it, which are joined by a second hash of all
+their words; the words of windows that test text holds are hit.
+
+Both sides are tables of any size, and neither ever reaches the driver. Before the join a document's fingerprints pass a bit filter of the test
+fingerprints, whose size is fixed; what it lets through by chance the join drops. Joins are by distinct fingerprint or window first, so that
+a passage that many documents or items share is one row in them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.common import id_text, restore_id, table
-from annalist.llm.text import NOT_ALNUM, chunks, grams, inside, member, sliding_max, sliding_min, words
+from annalist.llm.common import cut, id_text, join_small, restore_id, table
+from annalist.llm.text import NOT_ALNUM, chunks, grams, inside, mix64, release, sliding_min, words
 
 WINDOW, K = 13, 6
-BLOCK_BYTES = 32 << 20
-
-
-def selected(hashes: np.ndarray, ok: np.ndarray, w: int) -> np.ndarray:
-    """Positions that hold the minimum of some stretch of w k-grams inside one document (all of them on ties)."""
-    if len(hashes) < w:
-        return np.zeros(0, np.int64)
-    whole = sliding_min(ok.astype(np.uint8), w).astype(bool)
-    low = sliding_min(hashes, w)
-    low[~whole] = 0  # below any real minimum, so never equal to a hash; 0 itself is as good as absent
-    pad = np.zeros(w - 1, np.uint64)
-    reach = sliding_max(np.concatenate([pad, low, pad]), w)
-    return np.flatnonzero((reach == hashes) & (reach > 0))
-
-
-class Index:
-    """Fingerprints and windows of one block of test items."""
-
-    def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW, k: int = K):
-        self.window, self.k, self.items = window, k, [i for i, _ in items]
-        data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
-        offsets = np.cumsum([0, *[len(t) for _, t in items]])
-        found = words(data, offsets, NOT_ALNUM)
-        doc, n = found.doc, np.diff(found.first)
-        self.prints = np.unique(grams(found.hash, k)[selected(grams(found.hash, k), inside(doc, k), window - k + 1)])
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for length in sorted({min(int(x), window) for x in n if x}):
-            whole = grams(found.hash, length)
-            ok = inside(doc, length) & ((n[doc[: len(whole)]] == length) if length < window else True)
-            keys, owners = whole[ok], doc[: len(whole)][ok]
-            order = np.lexsort((owners, keys))
-            keys, owners = keys[order], owners[order]
-            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])])
-            keys, owners = keys[first], owners[first]
-            distinct, start = np.unique(keys, return_index=True)
-            self.by_length[length] = (distinct, np.r_[start, len(keys)], owners)
-
-    def find(self, data: np.ndarray, offsets: np.ndarray):
-        """words by document, hit mask of all words, (document, item) pairs."""
-        found = words(data, offsets, NOT_ALNUM)
-        doc, hit, pairs = found.doc, np.zeros(len(found.hash) + 1, np.int64), []
-        for length, (keys, start, owners) in self.by_length.items():
-            if len(found.hash) < length:
-                continue
-            ok = inside(doc, length)
-            if length == self.window:
-                small = grams(found.hash, self.k)
-                at = selected(small, inside(doc, self.k), self.window - self.k + 1)
-                at = at[member(small[at], self.prints)]
-                if not len(at):
-                    continue
-                spot = np.unique((at[:, None] - np.arange(self.window - self.k + 1)[None, :]).ravel())
-                spot = spot[(spot >= 0) & (spot < len(ok))]
-                spot = spot[ok[spot]]
-                whole = np.zeros(len(spot), np.uint64)
-                whole = grams_at(found.hash, spot, length)
-            else:
-                spot = np.flatnonzero(ok)
-                whole = grams(found.hash, length)[spot]
-            good = member(whole, keys)
-            spot, which = spot[good], np.searchsorted(keys, whole[good])
-            np.add.at(hit, spot, 1)
-            np.add.at(hit, spot + length, -1)
-            seen = np.unique(np.stack([doc[spot], which]), axis=1)
-            count = start[seen[1] + 1] - start[seen[1]]
-            if count.sum():
-                inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                pairs.append(np.stack([np.repeat(seen[0], count), owners[np.repeat(start[seen[1]], count) + inner]]))
-        found_pairs = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-        return found, np.cumsum(hit[:-1]) > 0, found_pairs
+#: The filter has 2 ** FILTER_BITS bits (2 MB), two of them for each test fingerprint.
+FILTER_BITS = 24
+_SECOND = np.uint64(0x51ED270B1F2C3D47)
 
 
 def grams_at(hashes: np.ndarray, spots: np.ndarray, k: int) -> np.ndarray:
@@ -103,79 +34,121 @@ def grams_at(hashes: np.ndarray, spots: np.ndarray, k: int) -> np.ndarray:
     return grams(hashes[picked], k)[::k]
 
 
-def blocks(bench: DataFrame, limit: int) -> Iterator[list[tuple[int, bytes]]]:
-    """Items in blocks of about ``limit`` bytes, read from the executors a partition at a time."""
-    block, size = [], 0
-    for row in bench.toLocalIterator():
-        body = row.text.encode("utf-8", "surrogatepass")
-        block.append((row.doc_id, body))
-        size += len(body)
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def fingerprints(hashes: np.ndarray, doc: np.ndarray, n: int, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all runs of n words inside one document, and their fingerprints."""
+    at = np.flatnonzero(inside(doc, n))
+    every = grams(hashes, n) if n < window else sliding_min(grams(hashes, k), window - k + 1)
+    return at, every[at]
 
 
-FOUND = "doc_id long, n_words long, hits array<struct<s:long,e:long>>, items array<long>"
+def extended(hashes: np.ndarray, at: np.ndarray, n: int, window: int) -> np.ndarray:
+    """A hash of all words of the runs at these starts; of another kind than the runs' fingerprints."""
+    return grams_at(hashes if n == window else mix64(hashes ^ _SECOND), at, n)
 
 
-def _scan(index):
+def _windows(window: int, k: int):
     def run(batches):
         for rows, data, offsets in chunks(batches):
-            found, hit, pairs = index.value.find(data, offsets)
-            n_words = np.diff(found.first)
-            edge = np.diff(np.r_[False, hit, False].astype(np.int8))
-            breaks = found.first[1:-1]  # runs end where documents do
-            inner = breaks[(breaks > 0) & (breaks < len(hit))]
-            inner = np.unique(inner[hit[inner] & hit[inner - 1]])
-            s = np.sort(np.r_[np.flatnonzero(edge == 1), inner])
-            e = np.sort(np.r_[np.flatnonzero(edge == -1), inner])
-            owner = np.searchsorted(found.first, s, "right") - 1
-            base = found.first[owner]
-            runs = pa.StructArray.from_arrays([pa.array(s - base, pa.int64()), pa.array(e - base, pa.int64())], names=["s", "e"])
-            run_at = np.searchsorted(owner, np.arange(rows.num_rows + 1)).astype(np.int32)
-            item_at = np.searchsorted(pairs[0], np.arange(rows.num_rows + 1)).astype(np.int32)
-            ids = np.array(index.value.items, np.int64)[pairs[1].astype(np.int64)]
+            found = words(data, offsets, NOT_ALNUM)
+            ids, size = rows.column("doc_id").to_numpy(), np.diff(found.first)
+            for n in sorted({min(int(x), window) for x in size if x}):
+                at, prints = fingerprints(found.hash, found.doc, n, window, k)
+                owner = found.doc[at]
+                mine = size[owner] >= window if n == window else size[owner] == n
+                at, prints, owner = at[mine], prints[mine], owner[mine]
+                columns = [ids[owner], np.full(len(at), n, np.int32), prints.view(np.int64), extended(found.hash, at, n, window).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["item", "n", "print", "key"])
+        release()
+
+    return run
+
+
+def bit_filter(windows: DataFrame, filter_bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit set of 2 ** filter_bits bits, whatever the table's size, in which each fingerprint sets two."""
+    mask = (1 << filter_bits) - 1
+    bits = windows.select("print").distinct().select(F.explode(F.array(F.col("print").bitwiseAND(mask), F.shiftrightunsigned("print", filter_bits).bitwiseAND(mask))).alias("bit"))
+    found = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (filter_bits - 6), np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Which fingerprints may be among those of the filter."""
+    ok = np.ones(len(prints), bool)
+    filter_bits = 6 + (len(bits) - 1).bit_length()
+    for shift in (0, filter_bits):
+        bit = (prints >> np.uint64(shift)) & np.uint64((1 << filter_bits) - 1)
+        ok &= (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+SCAN = "doc_id long, n_words long, found array<struct<n:int,at:int,print:long,key:long>>"
+
+
+def _scan(shared, lengths: list[int], window: int, k: int):
+    def run(batches):
+        bits = shared.value
+        for rows, data, offsets in chunks(batches):
+            found = words(data, offsets, NOT_ALNUM)
+            doc, parts = found.doc, []
+            for n in lengths:
+                at, prints = fingerprints(found.hash, doc, n, window, k)
+                good = passes(bits, prints)
+                at = at[good]
+                parts.append((np.full(len(at), n, np.int32), at, prints[good], extended(found.hash, at, n, window)))
+            n, at, prints, keys = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.int32, np.int64, np.uint64, np.uint64))
+            order = np.argsort(at, kind="stable")
+            n, at, prints, keys = n[order], at[order], prints[order], keys[order]
+            struct = pa.StructArray.from_arrays(
+                [pa.array(n), pa.array((at - found.first[doc[at]]).astype(np.int32)), pa.array(prints.view(np.int64)), pa.array(keys.view(np.int64))], names=["n", "at", "print", "key"]
+            )
+            where = np.searchsorted(at, found.first).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(run_at), runs), pa.ListArray.from_arrays(pa.array(item_at), pa.array(ids, pa.int64()))],
-                names=["doc_id", "n_words", "hits", "items"],
+                [rows.column("doc_id"), pa.array(np.diff(found.first), pa.int64()), pa.ListArray.from_arrays(pa.array(where), struct)], names=["doc_id", "n_words", "found"]
             )
+        release()
 
     return run
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """doc_id, n_words, hits (runs of hit words: s inclusive, e exclusive), n_hit, items (ids with an occurring window).
+def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, n_words, hits (runs of hit words: s inclusive, e exclusive), n_hit, items (ids with an occurring window), one row for each row of docs.
 
     Null or empty text has no words and no hits; a document without words is not contaminated. Null, empty or
-    wordless items match nothing; repeated items are all reported. Repeated doc_ids are merged only if the test side takes
-    several blocks, and then only where their texts are equal too. Extra columns are pruned; either table may be empty.
+    wordless items match nothing; rows that repeat an item's id are one item of several texts, and a null id is one item whose id is null. Rows of docs that
+    repeat an id or have none are each judged by their own text. Extra columns are pruned; either table may be empty.
+    Windows are equal if two 64-bit hashes of their words are.
     """
     spark = docs.sparkSession
-    rows = id_text(docs, id_col, text_col)
-    parts = []
-    for block in blocks(id_text(bench, item_col, text_col), block_bytes):
-        index = spark.sparkContext.broadcast(Index(block, window, k))
-        parts.append(rows.mapInArrow(_scan(index), FOUND))
-    if not parts:
-        parts = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(Index([], window, k))), FOUND)]
-    found = parts[0]
-    if len(parts) > 1:
-        for other in parts[1:]:
-            found = found.unionByName(other)
-        found = found.groupBy("doc_id", "n_words").agg(
-            F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        # runs of several blocks may overlap
-        found = found.withColumn(
-            "hits",
-            F.expr("""aggregate(hits, cast(array() as array<struct<s:bigint,e:bigint>>), (a, x) -> if(size(a) > 0 and element_at(a, -1).e >= x.s,
-                concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))), concat(a, array(x))))"""),
-        )
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
-    return found.select(restore_id("doc_id").alias("doc_id"), "n_words", "hits", n_hit.alias("n_hit"), "items")
+    made = id_text(bench, item_col, text_col).mapInArrow(_windows(window, k), "item long, n int, print long, key long")
+    windows = cut(made.distinct(), "test-windows")
+    lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # at most ``window`` numbers
+    bits = spark.sparkContext.broadcast(bit_filter(windows, filter_bits))
+    scanned = id_text(docs, id_col, text_col).mapInArrow(_scan(bits, lengths, window, k), SCAN)
+    scanned = cut(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    found = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    asked = cut(found.select("n", "print", "key").distinct(), "asked")
+    # the fingerprint join, then the windows of the fingerprints that both sides have
+    prints = cut(asked.select("print").distinct().join(windows.select("print").distinct(), "print", "left_semi"), "prints")
+    near = join_small(asked, prints, ["print"], "inner")
+    both = cut(near.join(windows.select("n", "print", "key").distinct(), ["n", "print", "key"], "left_semi"), "shared-windows")
+    hits = cut(join_small(found, both, ["n", "print", "key"], "inner"), "hits")
+    inner = Window.partitionBy("row").orderBy("s")
+    ends = hits.groupBy("row", F.col("at").alias("s")).agg(F.max(F.col("at") + F.col("n")).alias("e"))
+    ends = ends.withColumn("before", F.max("e").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("run", F.count_if(F.coalesce(F.col("s") > F.col("before"), F.lit(True))).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = ends.groupBy("row", "run").agg(F.min("s").cast("long").alias("s"), F.max("e").cast("long").alias("e"))
+    spans = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("hits"), F.sum(F.col("e") - F.col("s")).alias("n_hit"))
+    owners = cut(windows.join(both, ["n", "print", "key"], "left_semi").select("n", "print", "key", "item"), "owners")
+    items = join_small(hits.select("row", "n", "print", "key").distinct(), owners, ["n", "print", "key"], "inner").select("row", "item").distinct()
+    items = items.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    out = scanned.select("row", "doc_id", "n_words").join(spans, "row", "left").join(items, "row", "left")
+    return out.select(
+        restore_id("doc_id").alias("doc_id"), "n_words",
+        F.coalesce("hits", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("hits"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.transform(F.coalesce("items", F.array().cast("array<bigint>")), restore_id).alias("items"),
+    )
 
 
 def contaminated(found: DataFrame) -> DataFrame:

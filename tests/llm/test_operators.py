@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.llm import (
+    common,
     decontaminate,
     exact_dedup,
     language_id,
@@ -436,18 +437,40 @@ def test_components(spark):
 # 10
 
 
-@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 300])
-def test_contamination(spark, docs, rows, block_bytes):
+@pytest.mark.parametrize(("broadcast", "bits"), [(20_000, 24), (0, 24), (20_000, 8)])
+def test_contamination(spark, docs, rows, monkeypatch, broadcast, bits):
+    """With small sides broadcast and not, and with a filter that lets through nearly everything."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     rng = random.Random(9)
     long = [t for _, t in pairs(rows) if t and len(t.split()) > 40]
     items = [(i, " ".join(rng.choice(long).upper().split()[3 : 3 + n])) for i, n in enumerate((30, 13, 12, 5, 14, 20, 1, 40))]
-    items += [(90, None), (91, ""), (92, "!!"), (93, items[0][1]), (94, "never seen words in here at all"), (95, "x")]
+    items += [(90, None), (91, ""), (92, "!!"), (93, items[0][1]), (94, "never seen words in here at all"), (95, "x"), (96, "x"), (96, items[1][1])]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    out = decontaminate.contamination(docs, bench, block_bytes=block_bytes)
-    got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in out.collect()}
-    assert got == brute.contamination(pairs(rows), items)
-    for r in out.collect():
-        assert all(0 <= h.s < h.e <= r.n_words for h in r.hits)
+    out = decontaminate.contamination(docs, bench, filter_bits=bits).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in out} == brute.contamination(pairs(rows), items)
+    for r in out:
+        assert all(0 <= h.s < h.e <= r.n_words for h in r.hits) and r.n_hit == sum(h.e - h.s for h in r.hits)
+        assert all(a.e < b.s for a, b in zip(r.hits[:-1], r.hits[1:], strict=True))
+
+
+def test_contamination_is_by_row(spark):
+    """Rows of one id, or of none, are judged by their own text; an item without an id is found as such."""
+    rng = random.Random(3)
+    passage, clean = " ".join(prose(rng, 14).replace("\n", " ").split()), " ".join(f"c{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, passage), (1, clean), (1, passage), (None, clean), (None, passage + " " + clean), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (7, passage), (7, passage)], "item_id long, text string")
+    n = len(brute.ALNUM.findall(passage))
+    out = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench).collect()), key=repr)
+    assert out == sorted([(1, n, n, [None, 7]), (1, 14, 0, []), (1, n, n, [None, 7]), (0, 14, 0, []), (0, n + 14, n, [None, 7]), (0, 0, 0, [])], key=repr)
+
+
+def test_filter_has_one_size(spark):
+    for n in (0, 1, 5000):
+        rng = np.random.default_rng(n)
+        prints = rng.integers(-(2**63), 2**63 - 1, n)
+        bits = decontaminate.bit_filter(spark.createDataFrame([(int(p),) for p in prints], "print long"))
+        assert bits.nbytes == 1 << 21 and decontaminate.passes(bits, prints.astype(np.int64).view(np.uint64)).all()
+        assert decontaminate.passes(bits, rng.integers(0, 2**63, 1000).astype(np.uint64)).mean() < 0.01
 
 
 # All of them on empty tables, null ids and repeated rows
