@@ -1,14 +1,15 @@
-"""Substring dedup: whether longest previous factors reach a length, over partitions of the corpus that hold all places of a string.
+"""Substring dedup by longest previous factors, over partitions of the corpus that hold all places of a string.
 
 A byte is removed if it lies in a ``length``-byte string that also starts earlier. To bring equal strings together without
 sorting every suffix in one place, each ``length``-byte window is sent where its anchor says: the smallest k-gram hash
 in the window, leftmost on ties, which depends on the window's bytes alone. Consecutive windows with one anchor travel as one
-segment. In a partition the windows whose hash has a twin are ranked by doubling (8, 16, 32, 64, then ``length`` bytes). Equal
-ranks are a run; its earliest place (in document order) stands in for the arrays of previous and next smaller places, for a
-longest previous factor reaches ``length`` exactly if a place is not its run's earliest. ``lpf`` is the full array, for tests.
+segment. In a partition the windows whose hash has a twin are sorted as suffixes, by doubling (8, 16, 32, 64, then ``length`` bytes);
+the bytes of neighbours in suffix order give their common prefixes, and each window's previous and next smaller places in that order give its
+longest previous factor, up to ``length``. Where that reaches ``length``, the window stands earlier too.
 
 Segments that are equal as a whole collapse before the shuffle (once in each task's buffer) and again before sorting, keeping
-the earliest, so a text copied a million times costs one segment a task and not a group in one of them.
+the earliest, so a text copied a million times costs one segment a task and not a group in one of them. k-grams that many documents share
+(counted in a sample) are anchors only of windows that hold no others: what stands around a common line is dealt by what differs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.common import id_text, labels, partitions, restore_id, table
-from annalist.llm.text import CHUNK, Rolling, chunks, ranges, sliding_min
+from annalist.llm.text import CHUNK, Rolling, chunks, inside, ranges, release, sliding_min
 
 LENGTH = 100
 K = 12
@@ -33,46 +34,20 @@ LEVEL = 5
 PIECE = 8 << 20
 #: Segment bytes that a task buffers before it deals them out.
 BUFFER = 16 << 20
+#: A k-gram is common if more than COMMON_SHARE / deals of the documents hold it, in a sample of SAMPLE documents a deal; common k-grams are known by so many bits.
+COMMON_SHARE, SAMPLE, COMMON_BITS = 4, 16, 20
 U64 = np.uint64
 
 
-def lpf(data: np.ndarray, cap: int | None = None) -> np.ndarray:
-    """Longest previous factor of each position of one text, up to ``cap``: from the suffix array, the common prefixes of
-    neighbours, and each position's previous and next smaller positions in suffix order."""
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of starts in order of their first ``length`` bytes, and the eight bytes at every position as one number."""
     n = len(data)
-    body = data.tobytes()
-    order = sorted(range(n), key=lambda i: body[i:])
-    cap = n if cap is None else cap
-    common = [0] * n
-    for r in range(1, n):
-        a, b = order[r - 1], order[r]
-        m = 0
-        while max(a, b) + m < n and body[a + m] == body[b + m]:
-            m += 1
-        common[r] = m
-    out = np.zeros(n, np.int64)
-    for step in (1, -1):  # previous smaller, then next smaller
-        stack: list[list[int]] = []  # positions with the least common prefix to the one on top of them
-        for r in range(n) if step == 1 else range(n - 1, -1, -1):
-            here = common[r] if step == 1 else (common[r + 1] if r + 1 < n else 0)
-            while stack and stack[-1][0] > order[r]:
-                here = min(here, stack.pop()[1])
-            if stack:
-                out[order[r]] = max(out[order[r]], here)
-            stack.append([order[r], here])
-    return np.minimum(out, cap)
-
-
-def repeated(data: np.ndarray, starts: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
-    """Which starts have an earlier equal ``length``-byte string; rank: document order, equal ranks are no earlier."""
-    n = len(data)
-    if not len(starts):
-        return np.zeros(0, bool)
     padded = np.r_[data, np.zeros(8, np.uint8)]
-    ranks, h = np.zeros(n, U64), min(8, length)
-    for j in range(h):
-        ranks = (ranks << U64(8)) | padded[j : j + n]
-    ranks = np.unique(ranks, return_inverse=True)[1].astype(U64)
+    head = np.zeros(n, U64)
+    for j in range(8):
+        head = (head << U64(8)) | padded[j : j + n]
+    h = min(8, length)
+    ranks = np.unique(head >> U64(64 - 8 * h), return_inverse=True)[1].astype(U64)
     while h < length:
         step = min(h, length - h)
         at = np.arange(n - step) if h + step < length else starts
@@ -85,11 +60,54 @@ def repeated(data: np.ndarray, starts: np.ndarray, rank: np.ndarray, length: int
         h += step
     if len(ranks) != len(starts):
         ranks = ranks[starts]
-    order = np.lexsort((starts, ranks))  # suffix order; runs with a common prefix of ``length``
-    run = np.r_[0, np.flatnonzero(np.diff(ranks[order])) + 1]
-    least = np.minimum.reduceat(rank[order], run)
-    out = np.zeros(len(starts), bool)
-    out[order] = rank[order] > np.repeat(least, np.diff(np.r_[run, len(order)]))
+    return np.argsort(ranks, kind="stable"), head
+
+
+def common_prefix(head: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that the strings at a and at b have in common, up to ``length``."""
+    out = np.full(len(a), length, np.int64)
+    left = np.arange(len(a))
+    for j in range(0, length, 8):
+        x = head[a[left] + j] ^ head[b[left] + j]
+        differ = x != 0
+        same = sum((x[differ] < U64(1 << 8 * (8 - i))).astype(np.int64) for i in range(1, 8))
+        out[left[differ]] = np.minimum(length, j + same)
+        left = left[~differ]
+        if not len(left):
+            break
+    return out
+
+
+def before_smaller(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each entry the least of ``common`` on the way back to the nearest entry of smaller place; 0 if there is none.
+
+    common: of each entry and the one before it. Links skip entries of no smaller place, all at once, and so grow like powers of two."""
+    link, least = np.arange(len(place)) - 1, common.copy()
+    open_ = np.arange(1, len(place))
+    open_ = open_[place[link[open_]] >= place[open_]]
+    while len(open_):
+        by = link[open_]
+        least[open_] = np.minimum(least[open_], least[by])
+        link[open_] = link[by]
+        open_ = open_[link[open_] >= 0]
+        open_ = open_[place[link[open_]] >= place[open_]]
+    least[link < 0] = 0
+    return least
+
+
+def previous_factors(data: np.ndarray, starts: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """For each start the longest prefix of its ``length`` bytes that also stands at a start of smaller place.
+
+    That is the longer of those shared with the previous and the next smaller place in suffix order."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    order, head = suffix_order(data, starts, length)
+    at, place = starts[order], place[order]
+    common = np.r_[0, common_prefix(head, at[:-1], at[1:], length)]
+    back = before_smaller(place, common)
+    ahead = before_smaller(place[::-1], np.r_[0, common[:0:-1]])[::-1]
+    out = np.zeros(len(starts), np.int64)
+    out[order] = np.maximum(back, ahead)
     return out
 
 
@@ -107,8 +125,8 @@ def place_order(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
-    """First and last window of each segment, and its anchor."""
+def segments(data: np.ndarray, offsets: np.ndarray, length: int, k: int, common: np.ndarray | None = None):
+    """First and last window of each segment, and its anchor. common: which k-grams, by the first bits of their hashes, are anchors at need only."""
     n = len(data)
     size = np.diff(offsets)
     whole = np.flatnonzero(size >= length)
@@ -117,7 +135,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
         return empty, empty, empty
     roll = Rolling(data)
     at = np.arange(n - k + 1)
-    gram = (roll(at, at + k) & ~U64(0xFFFFFF)) | at.astype(U64)
+    gram = roll(at, at + k)
+    last_choice = common[gram >> U64(64 - COMMON_BITS)].astype(U64) << U64(63) if common is not None else U64(0)
+    gram = ((gram >> U64(1)) & ~U64(0xFFFFFF)) | last_choice | at.astype(U64)
     anchor = (sliding_min(gram, length - k + 1) & U64(0xFFFFFF)).astype(np.int64)
     ok = np.zeros(n - length + 2, np.int8)
     np.add.at(ok, offsets[whole], 1)
@@ -132,11 +152,11 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
 class Buffer:
     """Segments of one task until they are dealt out: copies collapse to the earliest."""
 
-    def __init__(self, length: int, k: int, deals: int):
-        self.length, self.k, self.deals, self.parts, self.size = length, k, deals, [], 0
+    def __init__(self, length: int, k: int, deals: int, common: np.ndarray | None = None):
+        self.length, self.k, self.deals, self.common, self.parts, self.size = length, k, deals, common, [], 0
 
     def add(self, ids, base, data, offsets):
-        first, last, anchor = segments(data, offsets, self.length, self.k)
+        first, last, anchor = segments(data, offsets, self.length, self.k, self.common)
         if len(first):
             doc = np.searchsorted(offsets, first, "right") - 1
             n = last - first + self.length
@@ -150,9 +170,7 @@ class Buffer:
         doc, pos, run, shift, data = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
         akey, skey, at, n = keys(data, run, shift, self.length, self.k)
-        order = np.lexsort((pos, doc, skey, akey))
-        first = np.r_[True, (np.diff(akey[order]) != 0) | (np.diff(skey[order]) != 0)]
-        stay, gone = order[first], later(order, first, doc, pos)
+        stay, gone = copies(data, akey, skey, at, n, doc, pos)
         deal = (akey >> U64(40)).astype(np.int64) % self.deals
         r_doc, r_s, r_e = union(doc[gone], pos[gone], pos[gone] + run[gone] - 1 + self.length)
         r_deal = np.abs(r_doc) % self.deals
@@ -188,10 +206,32 @@ def keys(data, run, shift, length, k):
     return akey, skey, at, n
 
 
-def later(order, first, doc, pos):
-    """Copies of the first segment of their run; of segments at one place (a repeated row) none is earlier."""
-    copy, owner = order[~first], order[first][np.cumsum(first) - 1][~first]
-    return copy[(doc[copy] != doc[owner]) | (pos[copy] != pos[owner])]
+def copies(data, akey, skey, at, n, doc, pos):
+    """Segments that stay, in order of their anchors, and those that are later copies of one of them.
+
+    Copies have equal hashes and equal bytes; of segments at one place (a repeated row) none is earlier."""
+    order = np.lexsort((pos, doc, skey, akey))
+    first = np.r_[True, (np.diff(akey[order]) != 0) | (np.diff(skey[order]) != 0)]
+    owner = order[first][np.cumsum(first) - 1]
+    copy = ~first
+    copy[copy] = same_bytes(data, at[order[copy]], at[owner[copy]], n[order[copy]], n[owner[copy]])
+    stay, copy, owner = order[~copy], order[copy], owner[copy]
+    return stay, copy[(doc[copy] != doc[owner]) | (pos[copy] != pos[owner])]
+
+
+def same_bytes(data, a, b, n, m) -> np.ndarray:
+    """Which of the byte strings at a, n long, equal those at b, m long."""
+    same = n == m
+    check = np.flatnonzero(same)
+    end = np.cumsum(n[check])
+    i = 0
+    while i < len(check):  # in parts, so that temporaries stay small
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + CHUNK)))
+        some = check[i:j]
+        differ = data[ranges(a[some], n[some])] != data[ranges(b[some], n[some])]
+        same[some] = ~np.logical_or.reduceat(differ, np.r_[0, np.cumsum(n[some])[:-1]])
+        i = j
+    return same
 
 
 def union(doc, s, e):
@@ -209,9 +249,34 @@ def union(doc, s, e):
     return doc[at], s[at], (top - lift)[np.r_[at[1:] - 1, len(doc) - 1]]
 
 
-def _deal(length: int, k: int, label: list[int]):
+def _grams(k: int):
+    def run(batches):
+        for _, data, offsets in chunks(batches):
+            at = np.flatnonzero(inside(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), k))
+            found, count = np.unique(Rolling(data)(at, at + k), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count)], names=["gram", "n"])
+        release()
+
+    return run
+
+
+def common_grams(base: DataFrame, k: int, deals: int) -> np.ndarray:
+    """Which k-grams, by the first COMMON_BITS bits of their hashes, more than COMMON_SHARE / deals of the documents hold.
+
+    Counted in a sample of about SAMPLE * deals documents, by id. This decides where windows meet and not which are equal: other samples give the same result."""
+    rows = base.count()
+    share = min(1.0, SAMPLE * deals / max(rows, 1))
+    some = base.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    seen = some.mapInArrow(_grams(k), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = seen.where(F.col("n") > max(SAMPLE * COMMON_SHARE // 2, int(share * rows * COMMON_SHARE / deals))).select(F.shiftrightunsigned("gram", 64 - COMMON_BITS).alias("gram")).distinct()
+    out = np.zeros(1 << COMMON_BITS, bool)  # and so at most as many rows reach the driver
+    out[found.toArrow()["gram"].to_numpy()] = True
+    return out
+
+
+def _deal(length: int, k: int, label: list[int], common=None):
     def run(batches):
-        buffer = Buffer(length, k, len(label))
+        buffer = Buffer(length, k, len(label), common.value if common is not None else None)
 
         def out():
             rows = list(buffer.flush())
@@ -231,6 +296,7 @@ def _deal(length: int, k: int, label: list[int]):
             if buffer.size >= BUFFER:
                 yield from out()
         yield from out()
+        release()
 
     return run
 
@@ -253,11 +319,8 @@ def find(payloads, length: int, k: int):
     del parts, body  # the bytes are held once
     if len(doc):
         akey, skey, at, n = keys(data, run, shift, length, k)
-        order = np.lexsort((pos, doc, skey, akey))
-        first = np.r_[True, (np.diff(akey[order]) != 0) | (np.diff(skey[order]) != 0)]
-        copy = later(order, first, doc, pos)
+        rep, copy = copies(data, akey, skey, at, n, doc, pos)
         gone.append(np.stack([doc[copy], pos[copy], pos[copy] + n[copy]]))
-        rep = order[first]
         same = np.diff(akey[rep]) == 0
         rep = rep[np.r_[False, same] | np.r_[same, False]]
         if len(rep):
@@ -293,13 +356,14 @@ def windows(doc, pos, run, n, data, length):
     shift[kept] = moved
     s, o = start[twin], own[twin]
     place = pos[o] + s - at[o]
-    hit = repeated(data[ranges(at[kept], n[kept])], s + shift[o], place_order(doc[o], place), length)
+    hit = previous_factors(data[ranges(at[kept], n[kept])], s + shift[o], place_order(doc[o], place), length) >= length
     return np.stack([doc[o][hit], place[hit], place[hit] + length])
 
 
 def _find(length: int, k: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         doc, s, e = find(frame["payload"], length, k)
+        release()
         return pd.DataFrame({"doc_id": doc, "s": s, "e": e})
 
     return run
@@ -348,7 +412,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, deals: int |
         raise ValueError("k must be at least 8 and less than length")
     base = id_text(docs, id_col, text_col)
     label = labels(docs.sparkSession, deals or 2 * partitions(docs.sparkSession))
-    dealt = base.mapInArrow(_deal(length, k, label), "label int, payload binary")
+    common = docs.sparkSession.sparkContext.broadcast(common_grams(base, k, len(label)))  # 1 << COMMON_BITS bytes
+    dealt = base.mapInArrow(_deal(length, k, label, common), "label int, payload binary")
     gone = dealt.repartition(len(label), "label").groupBy("label").applyInPandas(_find(length, k), "doc_id long, s long, e long")
     ranges_ = gone.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
     return (

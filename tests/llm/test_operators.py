@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -129,18 +130,58 @@ def test_suffix_dedup_in_pieces(length, k, piece, rows, monkeypatch):
     assert {d: len(g) for d, g in gone.items()} == {d: w[1] for d, w in want.items()}
 
 
-def test_repeated_agrees_with_lpf():
-    for seed in range(20):
-        rng = np.random.default_rng(seed)
-        data = rng.integers(97, 99, 120).astype(np.uint8)
-        length = int(rng.integers(8, 14))
-        starts = np.arange(len(data) - length + 1)
-        want = suffix_dedup.lpf(data, length)[starts] >= length
-        assert (suffix_dedup.repeated(data, starts, starts, length) == want).all()
-        body = data.tobytes()
-        for i in range(0, 120, 17):
-            true = max((next((m for m in range(120 - i) if body[i + m] != body[j + m]), 120 - i) for j in range(i)), default=0)
-            assert suffix_dedup.lpf(data)[i] == true
+@pytest.mark.parametrize("seed", range(12))
+def test_previous_factors(seed):
+    """Against the definition, with places in text order and in any other, some of them equal."""
+    rng = np.random.default_rng(seed)
+    data = rng.integers(97, 99 + seed % 3, 150).astype(np.uint8)
+    length = int(rng.integers(8, 40))
+    starts = np.sort(rng.choice(len(data) - length + 1, 60, replace=False))
+    body = data.tobytes()
+    for place in (starts, rng.permutation(60) // 2):
+        got = suffix_dedup.previous_factors(data, starts, place, length)
+        for i, a in enumerate(starts):
+            shared = [next((m for m in range(length) if body[a + m] != body[b + m]), length) for b, p in zip(starts, place, strict=True) if p < place[i]]
+            assert got[i] == max(shared, default=0)
+
+
+def test_nearest_smaller_places_at_scale():
+    """Sorted, reversed and constant places, for which a walk back by one would be quadratic."""
+    n = 200_000
+    ones = np.r_[0, np.full(n - 1, 100)]
+    for place in (np.arange(n), np.arange(n)[::-1], np.zeros(n, np.int64)):
+        got = suffix_dedup.before_smaller(place, ones)
+        assert (got[1:] == (100 if place[1] > place[0] else 0)).all() and got[0] == 0
+
+
+def test_copies_are_compared_by_bytes():
+    """Two segments whose hashes collide are not copies."""
+    data = np.frombuffer(b"aaaabbbbaaaa", np.uint8)
+    at, n, same = np.array([0, 4, 8]), np.array([4, 4, 4]), np.zeros(3, np.uint64)
+    stay, copy = suffix_dedup.copies(data, same, same, at, n, np.array([1, 2, 3]), np.zeros(3, np.int64))
+    assert sorted(stay) == [0, 1] and list(copy) == [2]
+
+
+def test_suffix_dedup_with_a_line_in_every_document(spark):
+    """One line stands in all documents, between texts that differ: no deal gets what stands around it, and the result is the definition's."""
+    rng = random.Random(11)
+    line = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and its files."
+    rows = [(i, "".join(rng.choice("abcdefghijklmnop ") for _ in range(150)) + line + "".join(rng.choice("qrstuvwxyz ") for _ in range(150))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    base, deals = common.id_text(docs), 64
+    known = suffix_dedup.common_grams(base, suffix_dedup.K, deals)
+    assert 60 <= known.sum() <= 120  # the line's own k-grams
+
+    def largest(some):
+        data, offsets = text.raw(pa.array([t for _, t in rows]))
+        first, last, anchor = suffix_dedup.segments(data, offsets, 100, suffix_dedup.K, some)
+        n = last - first + 100
+        dealt = {(bytes(data[a : a + suffix_dedup.K]), bytes(data[f : f + m])) for a, f, m in zip(anchor, first, n, strict=True)}  # copies collapse
+        return max(Counter(a for a, _ in dealt).values())
+
+    assert largest(None) > 200 > 40 > largest(known)
+    out = {r.doc_id: (r.n_bytes, sum(s.e - s.s for s in r.spans)) for r in suffix_dedup.suffix_dedup(docs, deals=deals).collect()}
+    assert out == {d: w[:2] for d, w in brute.suffix_dedup(rows).items()}
 
 
 @pytest.mark.parametrize("n", [1, 4])
