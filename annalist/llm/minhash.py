@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from annalist.llm.common import cut, id_text, join_small, restore_id, table
 from annalist.llm.components import components
-from annalist.llm.text import chunks, grams, inside, mix64, words
+from annalist.llm.text import chunks, grams, inside, mix64, release, words
 
 SHINGLE = 5
-#: 16 bands of 4: a pair at similarity 0.85 shares none with probability 8e-6.
-BANDS, ROWS = 16, 4
+#: 24 bands of 4: a pair at similarity 0.80 shares none with probability 3e-6, one at 0.85 with 2e-8.
+BANDS, ROWS = 24, 4
 BLOCK_SHINGLES = 6_000_000
 #: A component is spread over up to FAN blocks of at least SPREAD_SHINGLES; past FAN * BLOCK_SHINGLES over as many as memory asks for.
 SPREAD_SHINGLES, FAN = 75_000, 8
@@ -103,6 +103,7 @@ def _signatures(k: int, bands: int, rows: int):
                 [part.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(s.view(np.int64)) for s in sums], pa.ListArray.from_arrays(bands_at, pa.array(keys.ravel().view(np.int64)))],
                 names=["doc_id", "n_shingles", "s1", "s2", "bands"],
             )
+        release()
 
     return run
 
@@ -163,12 +164,14 @@ def _verify(k: int, percent: int):
             sets.append(shingle_sets(raw, np.array([0, len(raw)]), k)[0])
         ids = frame["doc_id"].to_numpy()
         found = links(sets, percent)
+        del sets
+        release()
         return pd.DataFrame({"a": ids[[a for a, _ in found]], "b": ids[[b for _, b in found]]}, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept.
 
     Links: 100 * |A & B| >= percent * |A | B| on the sets of distinct k-word shingles; a document of fewer words has its
@@ -211,4 +214,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, bands:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
