@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from annalist.llm.common import cut, fresh_path, id_text, restore_id, table
 from annalist.llm.files import attempt_name, open_new, resolve
-from annalist.llm.text import LOWER, Rolling, chunks, member, ranges
+from annalist.llm.text import LOWER, Rolling, chunks, member, ranges, release
 
 MAGIC = b"BPLANES1"
 BLOCK = 1 << 16
@@ -141,18 +141,30 @@ class Encoder:
             vocabulary = self.tokenizer.get_vocab()
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
             self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+            self.length = np.zeros(len(self.last), np.int64)
+            for t, i in vocabulary.items():
+                self.length[i] = len(t.removesuffix("</w>"))
             self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(array("I", x.ids), "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _spelt(self, letters: list[str], ids: np.ndarray, ends: np.ndarray) -> bool:
+        """Whether the tokens up to each end are as long in bytes as that part; a part with two ends beside one with none would not be."""
+        size = np.diff(np.r_[0, np.cumsum(self.length[ids])[ends - 1]]) if len(ends) else np.zeros(0, np.int64)
+        return bool((size == [len(x.encode()) for x in letters]).all())
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has."""
         alpha = np.array([t.isalpha() for t in texts], bool)
         letters = list(itertools.compress(texts, alpha))
         ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(letters) or (len(ends) and ends[-1] != len(ids)):  # a letter that the normaliser turns into something else
+        # a part ends at one token and starts behind the last one's: its tokens then spell just its own letters
+        whole = len(ends) == len(letters) and (not len(ends) or ends[-1] == len(ids))
+        if whole and not self._spelt(letters, ids, ends):  # a letter that the normaliser turns into something else
+            whole = False
+        if not whole:
             found = self._plain(letters)
             ids, ends = np.concatenate(found), np.cumsum([len(x) for x in found])
         others = self._plain(list(itertools.compress(texts, ~alpha)))
@@ -268,6 +280,7 @@ def _write(folder, tokenizer, end, by_part, block, planes):
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "first": [first], "docs": [sum(map(len, out.docs))], "ids": [out.total]})
+        release()
 
     return run
 
