@@ -39,13 +39,17 @@ def restore_id(col: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where unset (as in tests) a local one is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a local one is set if driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = found.get() if found.isDefined() else "file:///tmp/checkpoints/annalist"
-        if not found.isDefined():
+        if found.isDefined():
+            folder = found.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            folder = "file:///tmp/checkpoints/annalist"
             spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -61,6 +65,17 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n)
+        out.append(n)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,13 +92,13 @@ def labels(spark: SparkSession, n: int) -> list[int]:
     return [found[j] for j in range(n)]
 
 
-def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 16, hint: DataFrame | None = None) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 16, hint: DataFrame | None = None, salt_col: str = "_salt") -> DataFrame:
     """Join with a side that is usually small. It is counted (``hint``: a cheaper frame with as many rows);
     up to BROADCAST_ROWS it is broadcast, beyond that both sides are shuffled with ``salts`` salts, so that
     no key of the left side lands in one task."""
     if (hint if hint is not None else right).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), on, how)
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    salted = right.withColumn(salt_col, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = left.withColumn(salt_col, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     # a merge join by name: Spark would guess the salted side's size from its files, without the salts
-    return dealt.join(salted.hint("merge"), [*on, "_salt"], how).drop("_salt")
+    return dealt.join(salted.hint("merge"), [*on, salt_col], how).drop(salt_col)

@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import NULL_ID, restore_id, small_batches, table
-from annalist.llm.text import chunks, raw
+from annalist.llm.common import NULL_ID, fresh, restore_id, small_batches, table
+from annalist.llm.text import chunks, raw, release
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
@@ -214,21 +214,51 @@ def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [data[a:b].view("<u2") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def _judge(m: Model, text: pa.Array, letters: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and acceptance of each text."""
+    known = np.asarray(letters.fill_null(False))
+    langs, score = [UNKNOWN] * len(known), np.zeros(len(known))
+    if m.langs:
+        best, p = m.predict(text)
+        score = np.where(known, p, 0.0)
+        langs = [m.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+    return langs, score, known & (score >= m.reject_below) & bool(m.langs)
+
+
 def _identify(model):
     def run(batches):
-        m = model.value
         for part, _, _ in chunks(batches):
-            known = np.asarray(part.column("letters").fill_null(False))
-            langs, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-            if m.langs:
-                best, p = m.predict(part.column("text"))
-                score = np.where(known, p, 0.0)
-                langs = [m.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(score), pa.array(known & (score >= m.reject_below) & bool(m.langs))], names=["doc_id", "lang_pred", "score", "accepted"])
+            langs, score, accepted = _judge(model.value, part.column("text"), part.column("letters"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(score), pa.array(accepted)], names=["doc_id", "lang_pred", "score", "accepted"])
+        release()
+
+    return run
+
+
+def _accepted(model, body: str):
+    def run(batches):
+        for part, _, _ in chunks(batches, column=body):
+            good = _judge(model.value, part.column(body).fill_null(""), part.column(part.num_columns - 1))[2]
+            kept = part.filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-2], names=kept.schema.names[:-2])
+        release()
 
     return run
 
 
+def accepted_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is identified with a score that the model accepts. Each row is judged by its own text, ids play no part, and nothing is shuffled.
+
+    Null and empty texts and those without a letter go, as do all rows if the model knows no language; repeated rows stay or go together.
+    """
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    body, letters = fresh(docs, "body", "letters")
+    text = F.col(text_col).cast("string")
+    rows = docs.select("*", text.alias(body), F.coalesce(text.rlike(LETTER), F.lit(False)).alias(letters))
+    return rows.mapInArrow(_accepted(shared, body), docs.schema)
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (calibrated probability, 0 to 1), accepted, for every row and its whole text.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.common import cut, join_small, table
+from annalist.llm.common import cut, fresh, join_small, table
 
 #: Bits of the 60-bit hash used at each level; after the last a bucket is one hash value.
 LEVELS = (12, 12, 12, 12, 12)
@@ -51,14 +51,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size (words), source_size, target (its source's), copies, taken.
+def source_key(source: Column) -> Column:
+    """A key without nulls."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
-    A document is taken floor(target / source_size) times, and once more if its hash is under its source's
-    threshold, so at most ``most`` times. Null texts have size 0. A null source is a source of its own, last
-    in order. The document at a threshold is taken if that brings its source nearer to its target. Documents with one id share a hash and are taken or left together. A source without words has target 0
-    and no copies. Extra columns are pruned; an empty table gives an empty result. The same rows always give the same mix.
-    """
+
+def thresholds(docs: DataFrame, weights: tuple[int, ...], most: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(documents as doc_id, source, size, h, k; sources as k, source_size, target, whole, threshold)."""
     base = cut(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
@@ -71,8 +70,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, id
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = cut(plan.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
-    name = lambda df: df.withColumn("k", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))  # noqa: E731  a key without nulls
-    base, plan = name(base), name(plan)
+    base, plan = base.withColumn("k", source_key(F.col("source"))), plan.withColumn("k", source_key(F.col("source")))
 
     state = plan.select("k", F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("left"))
     used = 0
@@ -98,13 +96,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, id
             ),
             "mix-level",
         )
-    cuts = plan.join(state.select("k", F.col("prefix").alias("threshold")), "k").select("k", "source_size", "target", "whole", "threshold")
-    out = join_small(base, cuts, ["k"], "inner")
-    copies = F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")
-    out = out.withColumn("copies", F.when(F.col("whole") >= most, F.lit(most)).otherwise(copies).cast("long"))
+    return base, plan.join(state.select("k", F.col("prefix").alias("threshold")), "k").select("k", "source_size", "target", "whole", "threshold")
+
+
+def copies_of(whole: Column, threshold: Column, h: Column, most: int) -> Column:
+    return F.when(whole >= most, F.lit(most)).otherwise(whole + (h < threshold).cast("long")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, source, size (words), source_size, target (its source's), copies, taken.
+
+    A document is taken floor(target / source_size) times, and once more if its hash is under its source's
+    threshold, so at most ``most`` times. Null texts have size 0. A null source is a source of its own, last
+    in order. The document at a threshold is taken if that brings its source nearer to its target. Documents with one id share a hash and are taken or left together. A source without words has target 0
+    and no copies. Extra columns are pruned; an empty table gives an empty result. The same rows always give the same mix.
+    """
+    base, cuts = thresholds(docs, weights, most, id_col, text_col, source_col)
+    out = join_small(base, cuts, ["k"], "inner").withColumn("copies", copies_of(F.col("whole"), F.col("threshold"), F.col("h"), most))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, with all their columns, as often as ``mix`` takes them. Only the table of sources is joined, so rows are not shuffled."""
+    _, cuts = thresholds(docs, weights, most, id_col, text_col, source_col)
+    k, whole, threshold, copy = fresh(docs, "k", "whole", "threshold", "copy")
+    plan = cuts.select(F.col("k").alias(k), F.col("whole").alias(whole), F.col("threshold").alias(threshold))
+    rows = join_small(docs.withColumn(k, source_key(F.col(source_col))), plan, [k], "inner", salt_col=fresh(docs, "salt")[0])
+    n = copies_of(F.col(whole), F.col(threshold), hash60(F.col(id_col)), most)
+    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(True), n.cast("int"))).alias(copy)).drop(copy)
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -103,7 +103,7 @@ def test_pipeline(spark, duck):
     texts, sources = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
     known = set(steps[0][1])
     assert known >= {d for d, t in texts.items() if t and len(t) > 100}
-    near = brute.near_duplicates([(d, texts[d]) for d in known])
+    near = brute.near_duplicates([(d, texts[d]) for d in known], percent=80)  # the stage's own threshold
     assert steps[1][1] == sorted(d for d, r in near.items() if r[2])
     hits = brute.contamination([(d, texts[d]) for d in steps[1][1]], duck.execute("SELECT item_id, text FROM benchmark").fetchall())
     assert steps[2][1] == sorted(d for d, (n, h, _) in hits.items() if not (h > 0 and 20 * h >= n))
@@ -135,3 +135,54 @@ def test_pipeline_dedup_is_by_row(spark):
     assert out.columns == ["doc_id", "text"]
     want = [(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (5, texts[4]), (7, ""), (7, " "), (8, ""), (None, None)]
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
+def test_pipeline_dedup_takes_similarity_of_eight_tenths(spark):
+    """A pair between 0.80 and 0.85 is a duplicate to the stage, one under 0.80 is not."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:168], *(f"x{i}" for i in range(5))])), (3, " ".join(f"v{i}" for i in range(200))), (4, " ".join(f"v{i}" for i in range(155)))]
+    a, b, c, d = (brute.shingles(t) for _, t in rows)
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85 and len(c & d) / len(c | d) < 0.80
+    out = corpus_pipeline.minhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, _row long, _key string, copies int, body string, letters string, k string, salt int, _salt int, threshold string, row string, at int, found string, hits int"
+
+
+def odd_documents(spark, n=0):
+    """Null ids, ids shared by unlike texts, repeated rows, null and empty texts, one of a million bytes, in columns whose names stages use inside."""
+    texts = [" ".join(f"{c}{c}{i} the and" for i in range(40)) for c in "abcdefgh"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, None), (1, texts[2]), (1, texts[3]), (1, texts[2]), (2, ""), (2, ""), (3, "one two"), (4, texts[4] * 700), (5, "12 34")]
+    rows = [(d, t, "en" if i % 2 else "de", None if i % 3 == 0 else "s", 1, i, "key", 7, "b", "l", "k", 1, 2, "t", "r", 3, "f", 4) for i, (d, t) in enumerate(rows)]
+    return spark.createDataFrame(rows[: n or None] if n >= 0 else [], CLASH).repartition(3)
+
+
+@pytest.mark.parametrize("n", [0, -1])
+def test_pipeline_stages_keep_odd_rows_and_columns(spark, tmp_path, n):
+    """Each stage by itself: columns come back as they were, and rows are judged each by itself."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = odd_documents(spark, n)
+    item = " ".join(f"dd{i} the and" for i in range(20))
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    got = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        got[name] = sorted((tuple(r) for r in out.collect()), key=repr)
+        assert set(got[name]) <= set(rows)
+    tokens = corpus_pipeline.tokenize(spark, docs, "").collect()
+    assert len(tokens) == len(rows) and sum(r.doc_id is None for r in tokens) == sum(r[0] is None for r in rows)
+    if n == -1:
+        assert not any(got.values())
+        return
+    long = [r for r in rows if r[1] and len(r[1]) > 100]
+    assert set(got["language_id"]) >= set(long) and not any(not r[1] or r[1] == "12 34" for r in got["language_id"])
+    shown = lambda some: sorted(((r[0], (r[1] or "")[:20]) for r in some), key=repr)
+    once = {(r[0], r[1] or ""): r for r in rows}  # of the repeated rows one stays, of null and empty texts one for each id
+    assert shown(got["minhash_dedup"]) == shown(once.values())
+    assert got["decontaminate"] == sorted((r for r in rows if "dd0 " not in (r[1] or "")), key=repr)
+    taken = {s: sum(len((r[1] or "").split()) for r in got["mix_sources"] if r[3] == s) for s in (None, "s")}
+    assert taken["s"] > 0 and all(got["mix_sources"].count(r) <= 3 for r in rows)
