@@ -9,50 +9,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import NULL_ID, cut, fresh_path, table
+from annalist.llm.common import NULL_ID, cut, fresh, fresh_path, join_small, table
 from annalist.llm.decontaminate import contaminated, contamination
-from annalist.llm.language_id import identify, train
+from annalist.llm.language_id import accepted_rows, train
 from annalist.llm.minhash import near_duplicates
-from annalist.llm.mixing import mix
+from annalist.llm.mixing import mixed_rows
 from annalist.llm.token_store import token_rows
 
 
-def _with(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Documents whose id is decided for; null ids match null ids. A document keeps the number of its rows."""
-    key = lambda c: F.coalesce(c, F.lit(NULL_ID))
-    found = docs.withColumn("_key", key(F.col("doc_id"))).join(decided.select(key(F.col("doc_id")).alias("_key")), "_key", "left_semi")
-    return found.select(*docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, written, for it has to be the same in every scan; and that column's name."""
+    (row,) = fresh(docs, "_row")
+    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def _without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """Rows whose number is not among ``gone`` (column: row); broadcast only if these are few."""
+    (salt,) = fresh(rows, "_salt")
+    return join_small(rows, cut(gone.select(row), "gone"), [row], "left_anti", salt_col=salt).drop(row)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification accepts; the model learns from the stage's own labelled rows."""
-    found = identify(docs, train(docs))
-    return _with(docs, found.where("accepted"))
+    """Documents that language identification accepts; the model learns from the stage's own labelled rows. Each row is judged by its text; null, empty and letterless texts go."""
+    return accepted_rows(docs, train(docs))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group, that of smallest id (null first). Each row is a node of its own, so rows that share an id or have none
+    """One row of each near-duplicate group (similarity of 0.8 or more), that of smallest id (null first). Each row is a node of its own, so rows that share an id or have none
     go only if their texts link; wordless texts link with nothing, and of those only rows of equal id and text are one."""
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, for the key has to be the same in every scan
-    found = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
-    ids = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    rows, row = _numbered(docs)
+    found = near_duplicates(rows, id_col=row).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    ids = rows.select(F.col(row).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     wordless = F.col("n_shingles") == 0
-    group = [F.when(~wordless, F.col("component_id")), F.when(wordless, F.col("id")), F.when(wordless, F.col("digest"))]
-    first = ids.join(found, "_row").groupBy(*group).agg(F.min(F.struct("id", "digest", "_row")).alias("first"))
-    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    group = [F.when(~wordless, F.col("component_id")).alias("a"), F.when(wordless, F.col("id")).alias("b"), F.when(wordless, F.col("digest")).alias("c")]
+    placed = cut(ids.join(found, "_row").select(*group, F.struct("id", "digest", "_row").alias("place")), "placed")
+    first = placed.groupBy("a", "b", "c").agg(F.min("place").alias("place")).select("place._row")
+    gone = placed.select("place._row").join(first, "_row", "left_anti").select(F.col("_row").alias(row))
+    return _without(rows, row, gone).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated with benchmark items."""
-    found = contaminated(contamination(docs, table(spark, sf_dir, "benchmark")))
-    return _with(docs, found.where("not contaminated"))
+    """Documents that are not contaminated with benchmark items; each row is judged by its own text, whatever its id."""
+    rows, row = _numbered(docs)
+    found = contaminated(contamination(rows, table(spark, sf_dir, "benchmark"), id_col=row))
+    return _without(rows, row, found.where("contaminated").select(F.col("doc_id").alias(row))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    plan = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])
-    taken = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]), "inner")
-    return taken.select(*[taken[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    """Each document as often as the mix takes it; rows that share an id and a source are taken alike."""
+    return mixed_rows(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
