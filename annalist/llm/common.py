@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,16 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends in files that outlive any executor."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``cut`` wrote; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -76,6 +86,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of a table of Parquet files with a number of their own, the same in every scan, and that column's name.
+
+    A number is a hash of the row's file, with a seed for which the hashes of all files differ, and its place in the file. What is not read from Parquet files is written first."""
+    (row,) = fresh(df, "_row")
+    try:
+        meta = df.metadataColumn("_metadata")
+        placed = df.select("*", meta["file_path"].alias(row), meta["row_index"].alias(f"{row}_at"))
+        placed.schema  # noqa: B018  resolved here, or not at all
+    except AnalysisException:
+        return numbered(cut(df, "rows"))
+    found = placed.agg(F.count_distinct(row).alias("files"), F.coalesce(F.max(f"{row}_at"), F.lit(0)).alias("most")).first()
+    bits = max(20, int(found.most).bit_length())
+    for seed in range(1000):
+        key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(row)), bits + 1)
+        if seed or found.files > 1:
+            if placed.agg(F.count_distinct(key)).first()[0] != found.files:
+                continue
+        return placed.withColumn(row, F.shiftleft(key, bits).bitwiseOR(F.col(f"{row}_at"))).drop(f"{row}_at"), row
+    raise RuntimeError("no seed tells all files apart")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -98,6 +98,22 @@ def test_labels_are_dealt_evenly(spark, n):
     assert [r.v for r in df.withColumn("p", F.spark_partition_id()).orderBy("p").collect()] == label
 
 
+def test_rows_are_numbered_by_file_and_place(spark, tmp_path):
+    """The same numbers whatever the splits and columns read; frames that are no files are written first."""
+    spark.range(1000).withColumn("_row", F.lit("x")).repartition(7).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    rows, row = common.numbered(df)
+    want = {r.id: r[row] for r in rows.collect()}
+    assert row == "_row_" and len(set(want.values())) == 1000 and min(want.values()) >= 0
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    assert {r.id: r[row] for r in rows.select(row, "id").collect()} == want
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    other, name = common.numbered(spark.range(10))
+    assert {r.id: r[name] for r in other.collect()} == {r.id: r[name] for r in other.collect()} and other.columns == ["id", "_row"]
+    empty, _ = common.numbered(df.where("false"))
+    assert empty.count() == 0
+
+
 # 1
 
 
