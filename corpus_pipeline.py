@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import NULL_ID, cut, fresh, fresh_path, join_small, table
+from annalist.llm.common import NULL_ID, cut, fresh, fresh_path, join_small, numbered, table
 from annalist.llm.decontaminate import contaminated, contamination
 from annalist.llm.language_id import accepted_rows, train
 from annalist.llm.minhash import near_duplicates
@@ -17,16 +17,9 @@ from annalist.llm.mixing import mixed_rows
 from annalist.llm.token_store import token_rows
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a number of their own, written, for it has to be the same in every scan; and that column's name."""
-    (row,) = fresh(docs, "_row")
-    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
-
-
 def _without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
-    """Rows whose number is not among ``gone`` (column: row); broadcast only if these are few."""
-    (salt,) = fresh(rows, "_salt")
-    return join_small(rows, cut(gone.select(row), "gone"), [row], "left_anti", salt_col=salt).drop(row)
+    """Rows whose number is not among ``gone`` (column: row). Numbers are unique, so the join has no hot key."""
+    return rows.join(gone.select(row).hint("merge"), row, "left_anti").drop(row)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group (similarity of 0.8 or more), that of smallest id (null first). Each row is a node of its own, so rows that share an id or have none
     go only if their texts link; wordless texts link with nothing, and of those only rows of equal id and text are one."""
-    rows, row = _numbered(docs)
+    rows, row = numbered(docs)
     found = near_duplicates(rows, id_col=row).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
     ids = rows.select(F.col(row).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     wordless = F.col("n_shingles") == 0
@@ -50,9 +43,10 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark items; each row is judged by its own text, whatever its id."""
-    rows, row = _numbered(docs)
+    rows, row = numbered(docs)
     found = contaminated(contamination(rows, table(spark, sf_dir, "benchmark"), id_col=row))
-    return _without(rows, row, found.where("contaminated").select(F.col("doc_id").alias(row))).select(*docs.columns)
+    gone = cut(found.where("contaminated").select(F.col("doc_id").alias(row)), "contaminated")
+    return join_small(rows, gone, [row], "left_anti", salt_col=fresh(rows, "_salt")[0]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
