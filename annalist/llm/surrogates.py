@@ -1,32 +1,36 @@
 """PII surrogates: detected entities get keyed replacements of their own type and format.
 
-Detection: patterns for addresses, numbers and secrets, and names that begin with a known given name or a title. A replacement is a keyed permutation
+Detection: patterns for addresses, numbers and secrets, dates of birth, street addresses, and names that begin with a known given name or a title or
+stand where a person is named. A replacement is a keyed permutation
 of the entity's symbols (a Feistel network over mixed alphabets: digits stay digits, letters stay letters of their case and script, hex stays
 hex; country codes, separators, top-level domains and check digits stay valid), so equal entities have equal surrogates everywhere and, of one format,
 different ones different surrogates. Names get given names of the same gender and script and built family names. All distinct entities
-of the corpus are then checked: a surrogate that is somebody's real value, or another entity's surrogate, is drawn again until none is left.
+of the corpus are then checked, whatever their types: a surrogate that reads as somebody's real value, or as another entity's surrogate, is drawn again until none is left.
 Of a name the entities are its family words, wherever they stand; given names are permuted, so names differ as their family words do.
-Symbols of no alphabet are replaced by keyed letters, and what finds no free value is made longer.
+Symbols of no alphabet are replaced by keyed letters, and what finds no free value is made longer, by a symbol more with each draw.
+Dates of birth are permuted among all days of two centuries, which keeps different ones different; of so few days any is somebody's.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import BROADCAST_ROWS, NULL_ID, cut, restore_id, small_batches, table
-from annalist.llm.text import chunks
+from annalist.llm.common import BROADCAST_ROWS, NULL_ID, cut, discard, restore_id, small_batches, table
+from annalist.llm.text import chunks, release
 
 ROUNDS = 8
-#: Draws of a surrogate before the job gives up; family names grow with them, and from draw GROW on other values of any number of entities.
-ATTEMPTS, GROW = 50, 10
+#: Family names grow with each second draw of a surrogate, and from draw GROW on all other values do with each draw.
+GROW = 10
 
 # Given names by script and gender (f, m), and what family names are built of.
 GIVEN = {
@@ -57,12 +61,34 @@ _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][a-zß-öø-ÿа-яёά-ώ]+(?:-[A-ZÀ-ÖØ-
 _GIVEN = {n: (s, g) for s, by in GIVEN.items() for g, names in by.items() for n in names}
 #: A value behind the name of a secret.
 _KEYED = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b\s*[:=]\s*[\"']?([A-Za-z0-9_\-+/.=]{8,})")
+# What a date of birth stands behind, months, words for streets (before, behind and at the end of their names), and what names a person.
+BORN = r"(?i:born(?: on)?|date of birth|birth ?date|d\.?o\.?b\.?|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento|дата рождения|ημερομηνία γέννησης)"
+MONTHS = {
+    "en": ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"],
+    "de": ["Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"],
+    "fr": ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"],
+    "es": ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"],
+}
+STREET_BEHIND = ["Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Square", "Terrace"]
+STREET_BEFORE = ["rue", "Rue", "avenue", "boulevard", "Calle", "calle", "Avenida", "avenida", "Via"]
+STREET_END = ["straße", "strasse", "str.", "gasse", "weg", "platz", "allee"]
+NAMED = r"(?i:full name|contact person|signed by|nombre completo|vollständiger name|nom complet):?"
+NAMED_SELF = r"(?i:my name is|mein name ist|ich heiße|je m'appelle|mi nombre es|me llamo|меня зовут|με λένε)"
+_MONTH = {m.lower(): i + 1 for names in MONTHS.values() for i, m in enumerate(names)}
+_DATE = rf"\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|(?i:{'|'.join(sorted(_MONTH))}) \d{{1,2}},? \d{{4}}|\d{{1,2}}\.? (?:de )?(?i:{'|'.join(sorted(_MONTH))}) (?:de )?\d{{4}}"
+_WORD = r"[A-ZÀ-ÖØ-Þ][\wà-ÿ'-]+"
+
 #: (type, pattern), the first that matches a stretch of text wins; group 1, if there is one, is the entity.
 PATTERNS = [
     ("email", re.compile(r"[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}")),
     ("secret", _KEYED),
     ("secret", re.compile(r"\b((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9\-_]{20,}|xox[abp]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{30,})\b")),
     ("secret", re.compile(r"(?<![0-9A-Za-z])((?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128})(?![0-9A-Za-z])")),
+    ("birth", re.compile(rf"\b{BORN}\s*[:,]?\s*({_DATE})(?!\w)")),
+    ("address", re.compile(rf"(?<![\w.])\d{{1,5}}[a-z]? (?:{_WORD} ){{1,3}}(?:{'|'.join(STREET_BEHIND)})\b")),
+    ("address", re.compile(rf"(?<![\w.])\d{{1,4}},? (?:{'|'.join(STREET_BEFORE[:4])}) (?:de |du |des |la |l')*{_WORD}(?: {_WORD})?")),
+    ("address", re.compile(rf"\b(?:{'|'.join(STREET_BEFORE[4:])}) (?:de |del |la |los )*{_WORD}(?: {_WORD})?,? \d{{1,4}}\b")),
+    ("address", re.compile(rf"\b[A-ZÄÖÜ][a-zäöüß-]+(?:{'|'.join(map(re.escape, STREET_END))}) \d{{1,4}}[a-z]?\b")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("mac", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")),
@@ -74,10 +100,12 @@ PATTERNS = [
     ("number", re.compile(r"(?<!\w)\d{13,19}(?!\w)")),
     ("person", re.compile(rf"\b(?:{'|'.join(sorted(_GIVEN))}) {_NAME}(?: {_NAME})?(?!\w)")),
     ("person", re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ({_NAME}(?: {_NAME})?)(?!\w)")),
+    ("person", re.compile(rf"\b{NAMED}\s+({_NAME} {_NAME}(?: {_NAME})?)(?!\w)")),
+    ("person", re.compile(rf"\b{NAMED_SELF}\s+({_NAME}(?: {_NAME}){{0,2}})(?!\w)")),
 ]
 #: What a text with an entity, or with a name, holds at least; both are searched much faster than the patterns.
 _HINT = re.compile(r"[@\d:=]|sk-|xox[abp]-|gh[pousr]_|AKIA|ASIA|AIza|(?:[A-Fa-f]{2}-){5}")
-_NAME_HINT = re.compile("|".join(sorted([*_GIVEN, *TITLES])))
+_NAME_HINT = re.compile("|".join([*sorted([*_GIVEN, *TITLES]), NAMED, NAMED_SELF]))
 
 
 @dataclass(frozen=True)
@@ -94,33 +122,103 @@ def _random(value: str) -> bool:
 
 
 def detect(text: str) -> list[Entity]:
-    """Entities in order, without overlaps; of overlapping ones the earlier pattern wins."""
+    """Entities in order, without overlaps; of overlapping ones the earlier pattern wins. Time is linear in the text and in the entities."""
     found: list[Entity] = []
-    taken: list[tuple[int, int]] = []
     hinted, named = _HINT.search(text) is not None, _NAME_HINT.search(text) is not None
     if not hinted and not named:
         return found
+    taken = bytearray(len(text))
+
+    def claim(kind: str, s: int, e: int) -> None:
+        if taken.find(1, s, e) < 0:
+            taken[s:e] = b"\1" * (e - s)
+            found.append(Entity(kind, s, e, text[s:e]))
+
     for kind, pattern in PATTERNS:
         if not (named if kind == "person" else hinted):
             continue
         for m in pattern.finditer(text):
-            g = 1 if kind in ("secret", "person") and pattern.groups else 0
-            s, e = m.span(g)
-            if pattern is _KEYED and not _random(text[s:e]):
-                continue
-            if any(s < b and a < e for a, b in taken):
+            s, e = m.span(1 if kind in ("secret", "person", "birth") and pattern.groups else 0)
+            if (pattern is _KEYED and not _random(text[s:e])) or (kind == "birth" and date_of(text[s:e]) is None):
                 continue
-            taken.append((s, e))
-            found.append(Entity(kind, s, e, text[s:e]))
-    for p in [x for x in found if x.kind == "person"]:  # parts of a full name that stand alone
-        for part in p.value.split(" ")[-1:] if " " in p.value else []:
-            for m in re.finditer(rf"(?<!\w){re.escape(part)}(?!\w)", text):
-                if not any(m.start() < b and a < m.end() for a, b in taken):
-                    taken.append(m.span())
-                    found.append(Entity("family", *m.span(), part))
+            claim(kind, s, e)
+    # parts of a full name that stand alone
+    parts = {x.value.split(" ")[-1] for x in found if x.kind == "person" and " " in x.value}
+    if parts:
+        before = None
+        for m in re.finditer(r"\w+", text):
+            if before and before.end() + 1 == m.start() and text[before.end()] == "-" and text[before.start() : m.end()] in parts:
+                claim("family", before.start(), m.end())
+            elif m[0] in parts:
+                claim("family", *m.span())
+            before = m
     return sorted(found, key=lambda x: x.start)
 
 
+#: Days that dates of birth are permuted among.
+_DAY_ONE, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
+
+
+def date_of(value: str) -> tuple[date, list[str]] | None:
+    """A written date and what its fields are, in order; day before month unless the numbers say otherwise. None: no such day, or of another century."""
+    fields = re.findall(r"\d+|[^\W\d_]+", value)
+    fields = [f for f in fields if f.lower() != "de"]
+    month = next((i for i, f in enumerate(fields) if not f.isdigit()), None)
+    if month is not None:
+        kinds = ["month", "day", "year"] if month == 0 else ["day", "month", "year"]
+    elif len(fields[0]) == 4:
+        kinds = ["year", "month", "day"]
+    else:
+        kinds = ["month", "day", "year"] if int(fields[1]) > 12 else ["day", "month", "year"]
+    by = dict(zip(kinds, fields, strict=True))
+    try:
+        found = date(int(by["year"]), _MONTH[by["month"].lower()] if month is not None else int(by["month"]), int(by["day"]))
+    except ValueError:
+        return None
+    return (found, kinds) if 0 <= found.toordinal() - _DAY_ONE < _DAYS else None
+
+
+def _birth(value: str, k: Keyed) -> str:
+    """Another day, written in the same way; one day has one surrogate however it is written."""
+    found, kinds = date_of(value)
+    n = found.toordinal() - _DAY_ONE
+    while True:  # until it is one of the days: a permutation of a superset, walked along its cycle, is one of the days
+        high, low = k.permute([n >> 8, n & 255], [(_DAYS >> 8) + 1, 256], "birth")
+        n = high << 8 | low
+        if n < _DAYS:
+            break
+    new = date.fromordinal(n + _DAY_ONE)
+    order = iter(kinds)
+
+    def field(m: re.Match) -> str:
+        if m[0].lower() == "de":
+            return m[0]
+        kind = next(order)
+        if kind == "month" and not m[0].isdigit():
+            names = next(x for x in MONTHS.values() if m[0].lower() in [y.lower() for y in x])
+            word = names[new.month - 1]
+            return word.upper() if m[0].isupper() else word.lower() if m[0].islower() else word.capitalize()
+        return str(getattr(new, kind)).zfill(len(m[0]))
+
+    return re.sub(r"\d+|[^\W\d_]+", field, value)
+
+
+def _address(value: str, k: Keyed) -> str:
+    """Another house number, and built names for those of the street."""
+    keep = {*STREET_BEHIND, *STREET_BEFORE}
+
+    def word(m: re.Match) -> str:
+        w = m[0]
+        if w[0].isdigit():
+            return k.text(w, f"house{len(w)}{value}")
+        if w in keep or w[0].islower():
+            return w
+        end = next((x for x in STREET_END if w.endswith(x)), "")
+        return _family(w[: len(w) - len(end)], k) + end
+
+    return re.sub(r"\d+|[\w'-]+\.?", word, value) + _longer(k, value, ALPHABETS[0])
+
+
 def _abroad(value: str) -> bool:
     """Whether a phone number begins with its country's code."""
     return value.startswith("+") or "(" in value and not value.startswith("(")
@@ -136,9 +234,16 @@ def checked(e: Entity) -> list[tuple[str, str, str]]:
     """kind, entity, value of what a mention's surrogate is built from."""
     if e.kind in ("person", "family"):
         return [("family", w, w) for w in family_words(e.value)]
+    if e.kind == "birth":
+        return []  # a permutation of all days, which needs no draws
     return [(e.kind, identity(e.kind, e.value), e.value)]
 
 
+def reading(made: str) -> str:
+    """What a value reads as, whatever its type and form: letters and digits."""
+    return "".join(c for c in made.casefold() if c.isalnum())
+
+
 def identity(kind: str, value: str) -> str:
     """What makes two mentions the same entity."""
     if kind == "email":
@@ -249,26 +354,27 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         more = _longer(k, identity(kind, value), ALPHABETS[1], 6 if (new, place) == (local, labels) else 0)
         return f"{new}{more}@{place}.{top}"
     if kind == "ip":
-        return ".".join(map(str, k.permute([int(x) for x in value.split(".")], [256] * 4, "ip")))
+        return ".".join(map(str, k.permute([int(x) for x in value.split(".")], [256] * 4, "ip"))) + _longer(k, value, ALPHABETS[0], mark="-")
     if kind == "mac":
         plain = identity(kind, value)
         made = _refill(value, k.text(plain, "mac", _hex(_HEX_UP)), ":-")
-        return made if value.upper() == value else made.lower()
+        return (made if value.upper() == value else made.lower()) + _longer(k, plain, _HEX, mark="-")
     if kind == "phone":
         digits = re.sub(r"\D", "", value)
         n = _country(digits) if _abroad(value) else 0
         return _fill_digits(value, digits[:n] + k.text(digits[n:], f"phone{digits[:n]}")) + _longer(k, identity(kind, value), ALPHABETS[0])
     if kind in ("number", "ssn"):
         digits = identity(kind, value)
+        more = _longer(k, digits, ALPHABETS[0], mark="-")
         if kind == "number" and luhn(digits) % 10 == 0:
             body = digits[0] + k.text(digits[1:-1], f"card{digits[0]}")
-            return _fill_digits(value, body + _check_digit(body))
-        return _fill_digits(value, digits[0] + k.text(digits[1:], f"{kind}{digits[0]}"))
+            return _fill_digits(value, body + _check_digit(body)) + more
+        return _fill_digits(value, digits[0] + k.text(digits[1:], f"{kind}{digits[0]}")) + more
     if kind == "iban":
         plain = identity(kind, value)
         body = k.text(plain[4:], f"iban{plain[:2]}")
         valid = int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
-        return _refill(value, plain[:2] + (_iban_check(plain[:2], body) if valid else plain[2:4]) + body, " ")
+        return _refill(value, plain[:2] + (_iban_check(plain[:2], body) if valid else plain[2:4]) + body, " ") + _longer(k, plain, ALPHABETS[2], mark="-")
     if kind == "secret":
         head = re.match(r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|AIza)?", value)[0]
         rest = value[len(head) :]
@@ -276,6 +382,10 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         return head + (k.text(rest, "hex", _hex(hexed)) if hexed else k.text(rest, f"secret{head}")) + _longer(k, value, _HEX)
     if kind == "family":
         return _family(value, k)
+    if kind == "birth":
+        return _birth(value, Keyed(key))
+    if kind == "address":
+        return _address(value, k)
     return person(value, key, lambda w: attempt)
 
 
@@ -290,10 +400,10 @@ def person(value: str, key: bytes, attempt: Callable[[str], int]) -> str:
     return " ".join([names[Keyed(key).permute([names.index(first)], [len(names)], f"given{script}{gender}")[0]], *family])
 
 
-def _longer(k: Keyed, value: str, alphabet: str, least: int = 0) -> str:
+def _longer(k: Keyed, value: str, alphabet: str, least: int = 0, mark: str = "") -> str:
     """What is put behind a surrogate once its format has run out of free values: a symbol more with each draw."""
     n = max(least, k.attempt - GROW + 1)
-    return "".join(alphabet[x % len(alphabet)] for x in k.numbers(n, "longer", value)) if n > 0 else ""
+    return mark + "".join(alphabet[x % len(alphabet)] for x in k.numbers(n, "longer", value)) if n > 0 else ""
 
 
 def _fill_digits(template: str, digits: str) -> str:
@@ -315,39 +425,43 @@ def _mentions(batches):
         for part, _, _ in chunks([batch]):
             seen = {(k, i): v for t in part.column("text").to_pylist() if t for e in detect(t) for k, i, v in checked(e)}
             keys = sorted(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.string()), pa.array([seen[k] for k in keys], pa.string())], names=["kind", "entity", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.string()), pa.array([seen[k] for k in keys], pa.string()), pa.array([reading(i) for _, i in keys], pa.string())], names=["kind", "entity", "value", "reads"])
+    release()
+
+
+MENTION = "kind string, entity string, value string, reads string"
 
 
 def _drawn(key: bytes):
     def run(batches):
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in ("kind", "value", "attempt")), strict=True)
-            made = [identity(k, surrogate(k, v, key, a)) for k, v, a in rows]
+            made = [reading(identity(k, surrogate(k, v, key, a))) for k, v, a in rows]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, "made"])
+        release()
 
     return run
 
 
 def draws(entities: DataFrame, key: bytes) -> DataFrame:
-    """entities(kind, entity, value) -> kind, entity, attempt > 0 of those whose first surrogate was taken: by a real entity of its kind, or by another surrogate.
+    """entities(kind, entity, value, reads) -> kind, entity, attempt > 0 of those whose first surrogate was taken: it reads as a real entity, or as another's surrogate.
 
-    Entities that keep their surrogate are never drawn again, so the rounds only shrink."""
-    originals = entities.select("kind", F.col("entity").alias("made"))
-    open_ = entities.withColumn("attempt", F.lit(0))
+    Entities that keep their surrogate are never drawn again, so the rounds only shrink; values grow with the draws, so that they end."""
+    originals = entities.select(F.col("reads").alias("made")).distinct()
+    open_ = entities.select("kind", "entity", "value").withColumn("attempt", F.lit(0))
     fixed = None
-    for attempt in range(ATTEMPTS):
+    for attempt in itertools.count():
         made = cut(open_.mapInArrow(_drawn(key), "kind string, entity string, value string, attempt int, made string"), "surrogates")
-        first = made.groupBy("kind", "made").agg(F.min("entity").alias("entity"))
-        good = made.join(first, ["kind", "made", "entity"], "left_semi").join(originals, ["kind", "made"], "left_anti")
+        first = made.groupBy("made").agg(F.min(F.struct("kind", "entity")).alias("first")).select("made", "first.*")
+        good = made.join(first, ["kind", "made", "entity"], "left_semi").join(originals, "made", "left_anti")
         if fixed is not None:
-            good = good.join(fixed.select("kind", "made"), ["kind", "made"], "left_anti")
+            good = good.join(fixed.select("made"), "made", "left_anti")
         good = cut(good, "surrogates")
         fixed = good if fixed is None else fixed.unionByName(good)
         rest = made.join(good.select("kind", "entity"), ["kind", "entity"], "left_anti")
         if rest.isEmpty():
             return fixed.where("attempt > 0").select("kind", "entity", "attempt")
         open_ = rest.select("kind", "entity", "value", F.lit(attempt + 1).alias("attempt"))
-    raise RuntimeError("surrogates of some entities collide after every draw")
 
 
 OUT = "doc_id long, text string, entities array<struct<kind:string,start:int,end:int,surrogate:string>>"
@@ -383,6 +497,7 @@ def _apply(key: bytes, known):
                     texts.append(new)
                     spans.append(found)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, pa.list_(_ENTITY))], names=["doc_id", "text", "entities"])
+        release()
 
     return run
 
@@ -401,13 +516,15 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """doc_id, text (with surrogates), entities (kind, start, end in the new text, surrogate); originals are never returned.
 
     Null text stays null; empty text and text without entities come back unchanged. Null ids come back as null, repeated rows get equal rows, extra columns are
-    pruned, an empty table gives an empty result. The table of distinct entities, as sensitive as the input, is written to the shared folder.
+    pruned, an empty table gives an empty result. Very long texts are handled alone, in time linear in them. The table of distinct entities, as sensitive as the
+    input, is written to the shared folder and deleted once their surrogates are settled.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    mentions = rows.mapInArrow(_mentions, "kind string, entity string, value string")
-    entities = cut(mentions.groupBy("kind", "entity").agg(F.min("value").alias("value")), "entities")
+    mentions = rows.mapInArrow(_mentions, MENTION)
+    entities = cut(mentions.groupBy("kind", "entity").agg(F.min("value").alias("value"), F.min("reads").alias("reads")), "entities")
     again = cut(draws(entities, key), "redrawn")
+    discard(entities)
     few = again.limit(BROADCAST_ROWS + 1).collect()
     if len(few) <= BROADCAST_ROWS:
         known = docs.sparkSession.sparkContext.broadcast({(r.kind, r.entity): r.attempt for r in few}) if few else None
