@@ -25,6 +25,8 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 #: Labelled rows that training and calibration see, at most; they are those of smallest id hash.
 SAMPLE = 4000
+#: Of a sampled row training and calibration see the subwords that stand in it most often, at most so many; predictions see all.
+FEATURES = 4096
 EPOCHS, STEP, BATCH = 8, 0.3, 64
 #: Of the calibration texts that are predicted right, at most this share may be rejected.
 LOSS = 0.002
@@ -163,6 +165,14 @@ def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def frequent(buckets: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The FEATURES buckets of highest count (lower ones on ties), in their order."""
+    if len(buckets) <= FEATURES:
+        return buckets, count
+    kept = np.sort(np.lexsort((buckets, -count))[:FEATURES])
+    return buckets[kept], count[kept]
+
+
 def _sampled(batches):
     for batch in batches:
         for part, _, _ in chunks([batch]):
@@ -176,11 +186,12 @@ def _sampled(batches):
                 short.append(" ".join(split[at : at + 2 + h % 7]))
             short = features(pa.array(short, pa.string()))
             for rows in (whole, short):
+                rows = [frequent(*r) for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("lang"), part.column("h"),
                         pa.array([i.astype("<u2").tobytes() for i, _ in rows], pa.binary()),
-                        pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in rows], pa.binary()),
+                        pa.array([c.astype("<u4").tobytes() for _, c in rows], pa.binary()),
                     ],
                     names=["doc_id", "lang", "h", "buckets", "counts"],
                 )
@@ -189,7 +200,7 @@ def _sampled(batches):
 def train(docs: DataFrame, where: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from at most ``sample`` rows with text and label (all rows if there are no more) that satisfy ``where``.
 
-    Which rows: those whose ids have the smallest hash. Only their bucket counts (at most 2 * BUCKETS * 4 bytes a row) reach the driver.
+    Which rows: those whose ids have the smallest hash. Only their bucket counts (at most 2 * FEATURES * 6 bytes a row, 200 MB in all) reach the driver.
     Without a labelled row the model knows no language.
     """
     small_batches(docs.sparkSession)
@@ -203,15 +214,15 @@ def train(docs: DataFrame, where: Column | None = None, sample: int = SAMPLE, id
         return fit([], [], np.zeros(0, bool))
     found = rows.where(F.col("h") <= last).mapInArrow(_sampled, "doc_id long, lang string, h long, buckets binary, counts binary").toArrow().combine_chunks()
     ids, h, labels = found["doc_id"].to_numpy(), found["h"].to_numpy(), found["lang"].to_pylist()
-    pairs = list(zip(_views(found["buckets"]), _views(found["counts"]), strict=True))
+    pairs = list(zip(_views(found["buckets"], "<u2"), _views(found["counts"], "<u4"), strict=True))
     order = sorted(range(len(h)), key=lambda i: (h[i], ids[i], labels[i], -len(pairs[i][0]), pairs[i][0].tobytes()))
     return fit([pairs[i] for i in order], [labels[i] for i in order], (h[order] >> 8) % 5 == 0)
 
 
-def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """16-bit numbers of each binary value, without a copy."""
+def _views(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    """The numbers of each binary value, without a copy."""
     data, offsets = raw(column)
-    return [data[a:b].view("<u2") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return [data[a:b].view(kind) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 def _judge(m: Model, text: pa.Array, letters: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -130,6 +130,26 @@ def em_histogram(docs, learns, tunes, grain=4):
     return out
 
 
+def language(model, text):
+    """(language, score) of a text by the model's table, one subword after the other."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    body = b" " + b"".join(bytes([b]) if b >= 128 or 97 <= b <= 122 else b" " for b in text.lower().encode()) + b" "
+    total, sums = 0, [0.0] * len(model.langs)
+    for n in (1, 2, 3, 4):
+        for i in range(len(body) - n + 1):
+            s = body[i : i + n]
+            if b" " in s[1:-1] or s == b" " or (n > 1 and s[:1] == b" " and s[-1:] == b" "):
+                continue
+            bucket = (int.from_bytes(s, "big") * ((0x9E3779B1 + 2 * 0x1000193 * n) % 2**32) % 2**32) >> 17
+            total += 1
+            sums = [x + float(y) for x, y in zip(sums, model.scores[bucket], strict=True)]
+    logits = [(x / max(total, 1) + float(b)) / model.temperature for x, b in zip(sums, model.bias, strict=True)]
+    p = [math.exp(x - max(logits)) for x in logits]
+    best = max(range(len(p)), key=p.__getitem__)
+    return model.langs[best], p[best] / sum(p)
+
+
 def tokens(docs, tokenizer, end=2):
     at, out = 0, []
     for d, text in sorted(docs, key=lambda d: d[0]):
