@@ -41,8 +41,9 @@ def member(record: bytes, level: int = 6) -> bytes:
     squeeze = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = squeeze.compress(record) + squeeze.flush()
     size = 10 + 2 + 12 + len(body) + 8
+    stated = size if size < 1 << 32 else 0  # 0: not stated, and the reader inflates the member to find its end
     return (
-        b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + b"SL" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
+        b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + b"SL" + struct.pack("<HII", 8, stated, len(record) & 0xFFFFFFFF)
         + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
     )
 
@@ -100,13 +101,13 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = LEAST,
     rows = pages.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("text"),
-    ).withColumns({"digest": F.sha1("text"), "size": F.octet_length("text")})
+    ).withColumns({"digest": F.sha1("text"), "strong": F.sha2("text", 256), "size": F.octet_length("text")})  # fmt: skip  equal payloads have equal SHA-256, whatever their SHA-1
     again = cut(
-        rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("digest", "size", "largest"),
+        rows.where(F.col("size") >= least).groupBy("digest", "strong", "size").agg(F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select("digest", "strong", "size", "largest"),
         "revisits",
     )
-    marked = join_small(rows, again, ["digest", "size"])
+    marked = join_small(rows, again, ["digest", "strong", "size"])
     marked = marked.select("doc_id", "url", "text", F.when(F.col("largest") != F.col("doc_id"), F.col("largest")).alias("refers_to"))
     made = cut(marked.mapInArrow(_write(folder, file_bytes), "file string, records long, bytes long"), "warc-files")
     files = [[r.file.rpartition("/")[2], r.records] for r in made.toLocalIterator()]  # a name and a count per file
