@@ -2,8 +2,8 @@
 
 Sampled splitters range-partition the normalised text (``repartitionByRange``), the external sort of the window
 operator places equal texts next to each other, and the window compares each row's whole text with its
-neighbour's. Splitters are the text's first characters and a hash of all of it, so the sample that the driver sorts
-stays small however long the texts are, and many texts with one beginning still spread. To let no group of copies land in one task, rows are first dealt by (text, salt): each salted run
+neighbour's. Splitters are the text's first characters and a 64-bit hash of all of it, in place of the whole text, so the sample that the driver sorts
+stays small however long the texts are, and many texts with one beginning still spread; what is equal is decided on whole texts alone. To let no group of copies land in one task, rows are first dealt by (text, salt): each salted run
 finds its representative, and only representatives - at most ``salts`` a text - take part in the second sort.
 """
 
@@ -12,21 +12,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.common import id_text, restore_id, table
+from annalist.llm.common import id_text, partitions, restore_id, table
 
 #: Characters of the text in a splitter.
 HEAD = 32
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=lambda c: c, keep: str = "smallest", salts: int = 32) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=lambda c: c, keep: str = "smallest", salts: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty, and all empty texts are equal. ``keep``: which id of equal texts stays. Rows that
     share id and text are one group member each; of those with the kept id one row is kept. A null id sorts
-    lowest and comes back as null. Extra columns are pruned; an empty table gives an empty result.
+    lowest and comes back as null. ``salts``: how many runs a group of copies is dealt into by id, unless given one for each shuffle partition
+    (32 at least), so that a group of any size keeps all tasks busy. Extra columns are pruned; an empty table gives an empty result.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
+    salts = salts or max(32, partitions(docs.sparkSession))
     rows = id_text(docs, id_col, text_col)
     rows = rows.select("doc_id", normalise(F.col("text")).alias("body")).withColumns(
         {"salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"), "head": F.substring("body", 1, HEAD), "mark": F.xxhash64("body")}
