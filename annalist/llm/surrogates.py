@@ -105,7 +105,16 @@ PATTERNS = [
 ]
 #: What a text with an entity, or with a name, holds at least; both are searched much faster than the patterns.
 _HINT = re.compile(r"[@\d:=]|sk-|xox[abp]-|gh[pousr]_|AKIA|ASIA|AIza|(?:[A-Fa-f]{2}-){5}")
-_NAME_HINT = re.compile("|".join([*sorted([*_GIVEN, *TITLES]), NAMED, NAMED_SELF]))
+_NAME_HINT = re.compile("|".join(sorted([*_GIVEN, *TITLES])))
+#: What stands, in lower case, in a text that one of these patterns may match; substrings are found many times faster than patterns without regard to case.
+_CUES = {
+    BORN: ["born", "birth", "o.b", "dob", "d.ob", "geboren", "geburtsdatum", "né le", "née le", "de naissance", "nacid", "nacimiento", "дата рождения", "ημερομηνία γέννησης"],
+    NAMED: ["full name", "contact person", "signed by", "nombre completo", "vollständiger name", "nom complet"],
+    NAMED_SELF: ["my name is", "mein name ist", "ich heiße", "je m'appelle", "mi nombre es", "me llamo", "меня зовут", "με λένε"],
+}
+
+
+_CUE_OF = {p: cue for _, p in PATTERNS for cue in _CUES if cue in p.pattern}
 
 
 @dataclass(frozen=True)
@@ -124,8 +133,9 @@ def _random(value: str) -> bool:
 def detect(text: str) -> list[Entity]:
     """Entities in order, without overlaps; of overlapping ones the earlier pattern wins. Time is linear in the text and in the entities."""
     found: list[Entity] = []
-    hinted, named = _HINT.search(text) is not None, _NAME_HINT.search(text) is not None
-    if not hinted and not named:
+    hinted, named, low = _HINT.search(text) is not None, _NAME_HINT.search(text) is not None, text.lower()
+    cued = {cue for cue, words in _CUES.items() if any(w in low for w in words)}
+    if not hinted and not named and not cued & {NAMED, NAMED_SELF}:
         return found
     taken = bytearray(len(text))
 
@@ -135,7 +145,10 @@ def detect(text: str) -> list[Entity]:
             found.append(Entity(kind, s, e, text[s:e]))
 
     for kind, pattern in PATTERNS:
-        if not (named if kind == "person" else hinted):
+        if pattern in _CUE_OF:
+            if _CUE_OF[pattern] not in cued:
+                continue
+        elif not (named if kind == "person" else hinted):
             continue
         for m in pattern.finditer(text):
             s, e = m.span(1 if kind in ("secret", "person", "birth") and pattern.groups else 0)
