@@ -181,6 +181,26 @@ def mask_email(c: str | Column) -> Column:
     return F.regexp_replace(col(c), r"^(.).*(@.*)$", "$1***$2")
 
 
+def format_ms(ms: str | Column) -> Column:
+    """Milliseconds for display, rounded to a tenth; null (never measured) as n/a."""
+    return F.coalesce(F.concat(F.format_string("%.1f", F.round(col(ms).cast("double"), 1)), F.lit(" ms")), F.lit("n/a"))
+
+
+def input_producer(kind: str | Column, producer: str | Column, default: str) -> Column:
+    """The producer of a source's input; a blank one of kind pi is the ``default``."""
+    blank = F.trim(F.coalesce(col(producer), F.lit(""))) == ""
+    return F.when((col(kind) == "pi") & blank, F.lit(default)).otherwise(col(producer))
+
+
+def quoted(c: str | Column) -> Column:
+    """The value as a JSON string in quotes, with controls (also C1 and line separators, which JSON leaves alone) escaped."""
+    body = F.to_json(F.array(col(c)))
+    body = F.substring(body, F.lit(2), F.length(body) - 2)
+    bad = F.regexp_extract_all(body, F.lit("([\\x7f-\\x9f\\u2028\\u2029])"))
+    escape = lambda out, x: F.replace(out, x, F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(F.encode(x, "UTF-16BE")), 4, "0"))))
+    return F.when(col(c).isNull(), F.lit("null")).otherwise(F.aggregate(F.array_distinct(bad), body, escape))
+
+
 def input_cap(window: Column, *output_caps: Column, configured: Column | None = None) -> Column:
     """Tokens left for input: the window without the smallest output cap and a margin of 1024, at most what is configured."""
     room = window - (F.least(*output_caps) if len(output_caps) > 1 else output_caps[0]) - 1024

@@ -13,16 +13,19 @@ def ancestor_paths(path: str | Column) -> Column:
     return F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
-def closest_root(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:
-    """Adds the columns of the longest root that contains each path; paths outside all roots are left out.
+def closest_root(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root", order: list[str] | None = None) -> DataFrame:
+    """Adds the columns of the longest root that contains each path; paths outside all roots are left out, repeated rows stay repeated.
 
-    Of equal roots (in several repositories) the first in order of all columns wins.
+    Of equal roots (in several repositories) the smallest in order of ``order`` wins, by default of all other columns; nulls come first.
+    Each distinct path is resolved once, and the rows then meet their path's root.
     """
-    keyed = paths.withColumn("_row", F.struct(*paths.columns))
-    up = keyed.select("_row", F.explode(ancestor_paths(path)).alias(root)).where(F.col(root) != "")
     rest = [c for c in roots.columns if c != root]
-    found = up.join(roots, root).groupBy("_row").agg(F.max_by(F.struct(root, *rest), F.struct(F.length(root), *[F.hash(F.col(c)) for c in rest])).alias("_best"))
-    return found.select("_row.*", F.col(f"_best.{root}").alias(root), *[F.col(f"_best.{c}").alias(c) for c in rest])
+    first = roots.groupBy(root).agg(F.min_by(F.struct(*rest), F.struct(*(order or rest))).alias("_rest")) if rest else roots.select(root).distinct()
+    up = paths.select(path).distinct().select(F.col(path), F.explode(ancestor_paths(path)).alias(root)).where(F.col(root) != "")
+    # the roots that contain a path differ in length, so the longest is one
+    found = up.join(first, root).groupBy(path).agg(F.max_by(F.struct(root, *(["_rest"] if rest else [])), F.length(root)).alias("_best"))
+    found = found.select(path, F.col(f"_best.{root}").alias(root), *[F.col(f"_best._rest.{c}").alias(c) for c in rest])
+    return paths.join(found, path).select(*paths.columns, root, *rest)
 
 
 def relative_path(path: Column, root: Column) -> Column:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import posixpath
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from annalist.functions import exprs as X
 from annalist.operators.containment import closest_root, relative_path
@@ -20,14 +17,14 @@ _SESSION_MESSAGE = "struct<message:struct<role:string,toolCallId:string,content:
 _TRANSCRIPT_MESSAGE = "struct<sourceToolAssistantUUID:string,message:struct<content:array<struct<type:string,id:string,name:string,tool_use_id:string,input:struct<file_path:string>>>>>"
 
 
-@F.pandas_udf(StringType())
-def absolute_path(cwd: pd.Series, path: pd.Series) -> pd.Series:
-    """The path resolved against cwd, without . and .. segments; null for a blank path."""
-
-    def one(c, p):
-        return posixpath.normpath(posixpath.join(c or "/", p)) if isinstance(p, str) and p.strip() else None
-
-    return pd.Series([one(c, p) for c, p in zip(cwd, path, strict=True)], dtype=object)
+def absolute_path(cwd: Column, path: Column) -> Column:
+    """The path resolved against cwd (null: the root), without . and .. segments; null for a blank path."""
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.coalesce(cwd, F.lit("/")), F.lit("/"), path))
+    segments = F.filter(F.split(full, "/"), lambda s: ~s.isin("", "."))
+    # a .. takes the segment before it along; at the root there is none
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda out, s: F.when(s != "..", F.array_append(out, s)).when(F.size(out) > 0, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out))
+    kept = F.when(full.contains(".."), kept).otherwise(segments)
+    return F.when(F.trim(path) != "", F.concat(F.lit("/"), F.array_join(kept, "/")))
 
 
 def origin_path_ok(path: Column) -> Column:
@@ -52,7 +49,7 @@ def session_tool_uses(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resolve(calls: DataFrame, worktrees: DataFrame, cwd: Column) -> DataFrame:
     """Adds the file of each call: worktrees(repository_id, root, commit, branch, dirty); the innermost root wins."""
     full = calls.withColumn("absolute", absolute_path(cwd, F.col("path"))).where("absolute is not null")
-    found = closest_root(full, worktrees, path="absolute")
+    found = closest_root(full, worktrees, path="absolute", order=["repository_id"])
     return found.withColumn("relative_path", relative_path(F.col("absolute"), F.col("root"))).withColumn("file_id", X.file_urn(F.col("repository_id"), F.col("relative_path")))
 
 
@@ -61,7 +58,7 @@ def session_evidence(entries: DataFrame, worktrees: DataFrame, cwd: Column) -> t
     calls, results = session_tool_uses(entries)
     calls = resolve(calls, worktrees, cwd)
     place = ["file_id", "repository_id", "relative_path", "commit", "branch", "dirty"]
-    last = calls.withColumn("_r", F.row_number().over(Window.partitionBy("session_id", "call_id").orderBy(F.desc("ordinal"), F.desc("at")))).where("_r = 1")
+    last = calls.groupBy("session_id", "call_id").agg(F.max_by(F.struct(*place), F.struct("ordinal", "at")).alias("_l")).select("session_id", "call_id", "_l.*")
     hits = calls.select("session_id", "entry_id", *place, F.struct("ordinal", "at").alias("_o")).unionByName(
         results.join(last.select("session_id", "call_id", *place), ["session_id", "call_id"]).select("session_id", "entry_id", *place, F.struct(F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("at")).alias("_o"))
     )

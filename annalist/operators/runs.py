@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions.canonical import snapshot_json
@@ -60,12 +60,19 @@ def read_runs(runs: DataFrame, limit: int, history: bool = False, name: str | No
     if name is not None and derivations is not None:
         runs = runs.join(derivations.where(F.col("name") == name).select(F.col("id").alias("derivation_id")), "derivation_id", "left_semi")
     if not history:
-        w = Window.partitionBy("derivation_id").orderBy(F.desc_nulls_first("created_at"), "id")
-        runs = runs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+        # a run without a time counts as the newest; of equal times the smallest id
+        newest = runs.groupBy("derivation_id").agg(F.max(F.struct(F.col("created_at").isNull().alias("n"), F.col("created_at").alias("t"))).alias("m"))
+        top = runs.join(newest, "derivation_id").where(F.col("created_at").eqNullSafe(F.col("m.t"))).groupBy("derivation_id").agg(F.min("id").alias("id"))
+        runs = runs.join(top, ["derivation_id", "id"], "left_semi")
     found = runs.orderBy(F.desc_nulls_first("created_at"), "id").take(limit + 1)
     return found[:limit], len(found) > limit
 
 
+def sessions_newest_first(sessions: DataFrame) -> DataFrame:
+    """Sessions by creation, newest first; those without a time stand before all others, equal ones are in order of id."""
+    return sessions.orderBy(F.desc_nulls_first("created_at"), "id")
+
+
 def evidence_runs(runs: DataFrame, conclusions: DataFrame, memory_id: str) -> DataFrame:
     """Runs with a conclusion that a memory supports or contradicts; any run, not only the latest."""
     cited = conclusions.where(F.array_contains("supporting_memory_ids", memory_id) | F.array_contains("conflicting_memory_ids", memory_id))

@@ -31,18 +31,25 @@ def ancestors(entries: DataFrame) -> DataFrame:
 def _durable(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/annalist")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file:///tmp/checkpoints/annalist")
     return df.checkpoint()
 
 
 def lineage(ids: DataFrame, edges: DataFrame, most: int = 128) -> DataFrame:
-    """ids(id), edges(child, parent) -> id, ancestor, depth (0: itself), over at most ``most`` edges; each pair once, at its least depth."""
-    found = ids.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).distinct()
-    frontier, edges = found, edges.where("child <> parent").select(F.col("child").alias("ancestor"), "parent").distinct()
-    for depth in range(1, most + 1):
-        step = frontier.join(edges, "ancestor").select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        frontier = _durable(step.join(found.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+    """ids(id), edges(child, parent) -> id, ancestor, depth (0: itself), over at most ``most`` edges; each pair once, at its least depth.
+
+    Rounds double: once paths of up to n edges are known, two of them make one of up to 2n, so 128 edges take 7 joins.
+    Several parents and cycles are allowed. Ids without edges have only themselves.
+    """
+    edges = edges.where("child <> parent").select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+    reach, known, n = _durable(edges), 1, edges.isEmpty()
+    while known < most and not n:
+        step = reach.select("id", F.col("ancestor").alias("_by"), "depth").join(reach.select(F.col("id").alias("_by"), "ancestor", F.col("depth").alias("_more")), "_by")
+        step = step.select("id", "ancestor", (F.col("depth") + F.col("_more")).alias("depth")).where((F.col("depth") <= most) & (F.col("id") != F.col("ancestor")))
+        grown = _durable(reach.unionByName(step).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+        known, n, reach = known * 2, grown.where(F.col("depth") > known).isEmpty(), grown
+    own = ids.select("id").distinct()
+    return own.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(reach.join(own, "id", "left_semi").select("id", "ancestor", F.col("depth").cast("int").alias("depth")))
