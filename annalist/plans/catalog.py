@@ -1,7 +1,9 @@
-"""Tables as snapshots: every change writes a new snapshot folder, and one small pointer file makes it current.
+"""Tables as snapshots: a commit writes new files, and creating one small version file makes them current.
 
-There is no MERGE on Parquet, so an upsert is read, join, write, swap. Readers follow the pointer once and keep
-their snapshot whatever is committed meanwhile.
+A version file lists the snapshot of every table, so a commit of several tables is one step: a reader sees all of it or nothing. Versions are numbered, and
+the file of a number can be created once only: of two writers that start from one version the second finds its number taken and fails with
+``SnapshotConflict``. A table may be split into buckets by a hash of its scope (a session, say); a change then writes the buckets
+it touches anew, and the new snapshot names the old files of all others. Readers keep the version they began with whatever is committed meanwhile.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ import json
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class SnapshotConflict(RuntimeError):
@@ -19,86 +23,193 @@ class SnapshotConflict(RuntimeError):
 
 
 class Catalog:
-    """Tables below one folder of any file system that Spark reaches."""
+    """Tables below one folder of any file system that Spark reaches and that can create a file only if it is not there.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+    ``buckets``: tables split into buckets, {name: (column, how many)}.
+    """
 
-    def _pointer(self, name: str):
-        return self._path(f"{self.root}/{name}/_current")
+    def __init__(self, spark: SparkSession, root: str, buckets: dict[str, tuple[str, int]] | None = None):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets or {}
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def version(self, name: str) -> str | None:
-        pointer = self._pointer(name)
-        if not self._fs.exists(pointer):
-            return None
-        stream = self._fs.open(pointer)
+    # versions
+
+    def _version_path(self, n: int):
+        return self._path(f"{self.root}/_versions/{n:012d}")
+
+    def number(self) -> int:
+        """Of the current version; 0 before the first commit."""
+        folder = self._path(f"{self.root}/_versions")
+        if not self._fs.exists(folder):
+            return 0
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def tables(self, n: int | None = None) -> dict[str, dict]:
+        """{table: {snapshot, folders: {bucket or "": folder}}} of a version (the current one)."""
+        n = self.number() if n is None else n
+        if n == 0:
+            return {}
+        stream = self._fs.open(self._version_path(n))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())["snapshot"]
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def version(self, name: str) -> str | None:
+        return self.tables().get(name, {}).get("snapshot")
+
     def missing(self, names: list[str]) -> list[str]:
         """Tables of the list that have no snapshot yet: readiness of a fresh catalog."""
-        return [n for n in names if self.version(n) is None]
+        have = self.tables()
+        return [n for n in names if n not in have]
 
     def read(self, name: str, snapshot: str | None = None) -> DataFrame:
-        snapshot = snapshot or self.version(name)
-        if snapshot is None:
+        """A table as it is, or as an earlier version had it."""
+        found = self.tables().get(name)
+        if snapshot is not None and (found is None or found["snapshot"] != snapshot):
+            found = next((t[name] for n in range(self.number(), 0, -1) if (t := self.tables(n)).get(name, {}).get("snapshot") == snapshot), None)
+        if found is None:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/{snapshot}")
+        return self._rows(found)
 
-    def write(self, name: str, df: DataFrame, expect: str | None | object = ..., partition_by: list[str] | None = None, guard: Callable[[], bool] | None = None, unique: list[str] | None = None) -> str:
-        """Commit df as the table. ``expect``: the snapshot that the change was computed from; ``guard``: checked just before the swap; ``unique``: a key that no two rows may share."""
-        before = self.version(name) if expect is ... else expect
-        snapshot = f"snapshot-{uuid.uuid4().hex}"
-        writer = df.write
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.root}/{name}/{snapshot}")
-        if unique and not self.read(name, snapshot).groupBy(*unique).count().where("count > 1").isEmpty():
-            raise SnapshotConflict(f"{name}: {', '.join(unique)} is not unique")
-        if self.version(name) != before or (guard is not None and not guard()):
-            raise SnapshotConflict(name)
-        staged = self._path(f"{self.root}/{name}/_next-{uuid.uuid4().hex}")
-        out = self._fs.create(staged, True)
-        out.write(bytearray(json.dumps({"snapshot": snapshot}).encode()))
-        out.close()
-        self._swap(staged, self._pointer(name))
-        return snapshot
+    def _rows(self, table: dict) -> DataFrame:
+        schema = StructType.fromJson(table["schema"])
+        paths = sorted(table["folders"].values())
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    # commits
 
-    def _swap(self, staged, pointer) -> None:
-        """Replace the pointer in one step, so a reader sees the old snapshot or the new one."""
+    def _written(self, name: str, df: DataFrame, old: dict | None, touched: list[int] | None = None) -> dict:
+        """Files of a new snapshot of df. touched: df has the rows of these buckets only, and the others stay as they are."""
+        snapshot = f"snapshot-{uuid.uuid4().hex}"
+        table = {"snapshot": snapshot, "schema": json.loads(df.schema.json())}
+        if name not in self.buckets:
+            df.write.parquet(folder := f"{self.root}/{name}/{snapshot}")
+            return table | {"folders": {"": folder}}
+        column, n = self.buckets[name]
+        placed = df.withColumn("_bucket", bucket_of(column, n))
+        placed.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{name}/{snapshot}")
+        made = {f.getPath().getName().partition("=")[2]: f"{self.root}/{name}/{snapshot}/{f.getPath().getName()}" for f in self._fs.listStatus(self._path(f"{self.root}/{name}/{snapshot}")) if f.isDirectory()}
+        kept = {} if touched is None or old is None else {b: f for b, f in old["folders"].items() if int(b) not in touched}
+        if kept.keys() & made.keys():
+            raise ValueError(f"{name}: rows outside the scope of the change")
+        return table | {"folders": kept | made}
+
+    def commit(self, tables: dict[str, dict], base: int, guard: Callable[[], bool] | None = None) -> int:
+        """Make snapshots current in one step, if ``base`` is still the last version; otherwise nothing changes.
+
+        A table that another commit has changed since ``base`` is a conflict; commits to other tables are taken over and the step is tried again.
+        """
+        before = self.tables(base)
+        while True:
+            now = self.number()
+            current = self.tables(now)
+            changed = [t for t in tables if current.get(t, {}).get("snapshot") != before.get(t, {}).get("snapshot")]
+            if changed or (guard is not None and not guard()):
+                raise SnapshotConflict(", ".join(changed) or "the guard does not hold")
+            if self._create(now + 1, current | tables):
+                return now + 1
+
+    def _create(self, n: int, tables: dict[str, dict]) -> bool:
+        """Create a version's file, whole, unless it is there."""
         jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        options = gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self.spark._jsc.hadoopConfiguration()).rename(staged, pointer, options)
+        target = self._version_path(n)
+        staged = self._path(f"{self.root}/_staged/{uuid.uuid4().hex}")
+        self._fs.mkdirs(target.getParent())
+        out = self._fs.create(staged, False)
+        out.write(bytearray(json.dumps(tables).encode()))
+        out.close()
+        none = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        none[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+        if self._fs.getScheme() == "file":
+            # the local file system's rename looks first and moves then; a hard link is one step
+            files, paths = jvm.java.nio.file.Files, jvm.java.nio.file.Paths
+            at = lambda p: paths.get(p.toUri().getPath(), gateway.new_array(jvm.java.lang.String, 0))
+            step = lambda: files.createLink(at(target), at(staged))
+        else:
+            step = lambda: jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(staged, target, none)
+        try:
+            step()
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            self._fs.delete(staged, False)
+        return True
+
+    def write(self, name: str, df: DataFrame, expect: str | None | object = ..., guard: Callable[[], bool] | None = None, unique: list[str] | None = None) -> str:
+        """Commit df as the table. ``expect``: the snapshot that the change was computed from; ``guard``: checked just before the commit; ``unique``: a key that no two rows may share."""
+        base = self.number()
+        old = self.tables(base).get(name)
+        if expect is not ... and (old or {}).get("snapshot") != expect:
+            raise SnapshotConflict(name)
+        table = self._written(name, df, old)
+        if unique and not self._rows(table).groupBy(*unique).count().where("count > 1").isEmpty():
+            raise SnapshotConflict(f"{name}: {', '.join(unique)} is not unique")
+        self.commit({name: table}, base, guard)
+        return table["snapshot"]
+
+    def _part(self, name: str, table: dict | None, rows: DataFrame, on: str | None) -> tuple[DataFrame | None, list[int] | None]:
+        """(the table's rows that a change by ``rows`` may touch, the buckets they are in; no buckets: the whole table)."""
+        if table is None:
+            return None, None
+        if on is None or self.buckets.get(name, ("",))[0] != on:
+            return self._rows(table), None
+        touched = [r.b for r in rows.select(bucket_of(on, self.buckets[name][1]).alias("b")).distinct().collect()]  # at most as many as there are buckets
+        return self._rows(table | {"folders": {b: f for b, f in table["folders"].items() if int(b) in touched}}), touched
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], overwrite_null: list[str] | None = None) -> str:
-        before = self.version(name)
-        merged = rows if before is None else merge_rows(self.read(name, before), rows, keys, overwrite_null)
-        return self.write(name, merged, expect=before)
+        """Merge rows by their keys; of a bucketed table whose column is a key, only the touched buckets are read and written."""
+        base = self.number()
+        table = self.tables(base).get(name)
+        old, touched = self._part(name, table, rows, next((k for k in keys if k == self.buckets.get(name, ("",))[0]), None))
+        made = self._written(name, rows if old is None else merge_rows(old, rows, keys, overwrite_null), table, touched)
+        self.commit({name: made}, base)
+        return made["snapshot"]
+
+    def replaced(self, base: int, name: str, rows: DataFrame, scope: DataFrame, on: list[str]) -> dict:
+        """Files of a snapshot in which the rows that ``scope`` names are replaced by ``rows``; for ``commit``."""
+        table = self.tables(base).get(name)
+        named = scope.select(*on).distinct()
+        old, touched = self._part(name, table, named, on[0] if len(on) == 1 else None)
+        return self._written(name, rows if old is None else old.join(named, on, "left_anti").unionByName(rows), table, touched)
 
     def replace_scope(self, name: str, rows: DataFrame, scope: DataFrame, on: list[str]) -> str:
-        """Full replacement of the rows that ``scope`` names (for instance the sessions projected anew)."""
-        before = self.version(name)
-        out = rows if before is None else self.read(name, before).join(scope.select(*on).distinct(), on, "left_anti").unionByName(rows)
-        return self.write(name, out, expect=before)
+        """Full replacement of the rows that ``scope`` names (for instance the sessions projected anew); ``rows`` must lie in the scope."""
+        return self.replace_all({name: rows}, scope, on)[name]
+
+    def replace_all(self, tables: dict[str, DataFrame], scope: DataFrame, on: list[str], guard: Callable[[], bool] | None = None) -> dict[str, str]:
+        """``replace_scope`` of several tables in one commit."""
+        base = self.number()
+        made = {name: self.replaced(base, name, rows, scope, on) for name, rows in tables.items()}
+        self.commit(made, base, guard)
+        return {name: t["snapshot"] for name, t in made.items()}
 
     def insert_new(self, name: str, rows: DataFrame, keys: list[str], payload: str) -> str:
-        """Append rows whose key is new; a known key with another payload is a conflict and nothing is written."""
-        before = self.version(name)
-        rows = rows.dropDuplicates(keys)
-        if before is None:
-            return self.write(name, rows, expect=None, unique=keys)
-        old = self.read(name, before)
-        clash = rows.select(*keys, F.col(payload).alias("_new")).join(old.select(*keys, F.col(payload).alias("_old")), keys).where("_new <> _old")
-        if not clash.isEmpty():
+        """Append rows whose key is new. A key with two payloads, among the rows or between them and the table, is a conflict, and nothing is written; null is a payload like others."""
+        base = self.number()
+        table = self.tables(base).get(name)
+        old, touched = self._part(name, table, rows, next((k for k in keys if k == self.buckets.get(name, ("",))[0]), None))
+        if not payload_conflicts(rows, old, keys, payload).isEmpty():
             raise SnapshotConflict(f"{name}: immutable payload differs")
-        return self.write(name, old.unionByName(rows.join(old.select(*keys), keys, "left_anti")), expect=before)
+        once = rows.dropDuplicates(keys)
+        made = self._written(name, once if old is None else old.unionByName(once.join(old.select(*keys), keys, "left_anti")), table, touched)
+        self.commit({name: made}, base)
+        return made["snapshot"]
+
+
+def bucket_of(column: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def payload_conflicts(rows: DataFrame, old: DataFrame | None, keys: list[str], payload: str) -> DataFrame:
+    """Keys of ``rows`` that have more than one payload among the rows and the table."""
+    new = rows.select(*keys, F.struct(payload).alias("_p"))
+    every = new if old is None else new.unionByName(old.select(*keys, F.struct(payload).alias("_p")).join(rows.select(*keys).distinct(), keys, "left_semi"))
+    return every.groupBy(*keys).agg(F.min("_p").alias("_a"), F.max("_p").alias("_b")).where("not (_a <=> _b)").select(*keys)
 
 
 def merge_rows(old: DataFrame, new: DataFrame, keys: list[str], overwrite_null: list[str] | None = None) -> DataFrame:

@@ -61,14 +61,14 @@ def graph_urns(t: Tables) -> DataFrame:
 def session_lines(t: Tables) -> DataFrame:
     """A session log per conversation: session_id, content (header, then a line a turn, each the child of the one before)."""
     entry = F.concat(LIT('{"type":"message","id":"'), S("turn"), LIT('","parentId":'), F.when(F.col("turn") == 0, LIT("null")).otherwise(F.concat(LIT('"'), (F.col("turn") - 1).cast("string"), LIT('"'))),
-                     LIT(',"message":{"role":"'), F.col("role"), LIT('"},"h":"'), F.md5(F.col("text").cast("binary")), LIT('"}\n'))
+                     LIT(',"message":{"role":"'), F.col("role"), LIT('","content":'), X.quoted("text"), LIT('}}\n'))
     lines = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))), lambda x: x["e"]), "").alias("body"))
     header = F.concat(LIT('{"type":"session","id":"'), S("conv_id"), LIT('"}\n'))
     return lines.select(S("conv_id").alias("path"), F.concat(header, F.col("body")).cast("binary").alias("content"))
 
 
 _LINES = """l AS (SELECT conv_id, turn, role, '{"type":"message","id":"' || turn || '","parentId":' || CASE WHEN turn = 0 THEN 'null' ELSE '"' || (turn - 1) || '"' END
- || ',"message":{"role":"' || role || '"},"h":"' || md5(text) || '"}' AS line, '{"type":"session","id":"' || conv_id || '"}' || chr(10) AS header FROM conversations)"""
+ || ',"message":{"role":"' || role || '","content":' || to_json(text) || '}}' AS line, '{"type":"session","id":"' || conv_id || '"}' || chr(10) AS header FROM conversations)"""
 
 
 @query(f"""WITH {_LINES} SELECT conv_id, turn AS ordinal, role, sha256(line) AS payload_hash, CAST(strlen(line) AS BIGINT) AS payload_bytes,
@@ -281,11 +281,11 @@ def repository_origins(t: Tables) -> DataFrame:
 
 
 def _memories(t: Tables) -> DataFrame:
-    """Parts are observations, orders reflections of their parts; owners are nations."""
+    """Parts are observations; what an order has of one owner's parts is a reflection of these. Readers see what they may, here owner 3."""
     strings = F.array().cast("array<string>")
     o = t.part.select(F.concat(LIT("p"), S("p_partkey")).alias("id"), (F.col("p_partkey") % 25).cast("string").alias("owner_id"), F.col("p_brand").alias("session_id"), LIT("observation").alias("kind"), (F.col("p_size") > 45).alias("dropped"), LIT(None).cast("array<string>").alias("supporting_memory_ids"), F.array(F.concat(LIT("git@h:o/"), F.col("p_type"))).alias("repository_origins"), F.array(F.concat(LIT("a."), F.when(F.col("p_size") % 2 == 0, "py").otherwise("rs"))).alias("linked_paths"))
-    sup = t.lineitem.where("l_partkey % 25 = 3").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(LIT("p"), S("l_partkey")))).alias("supporting_memory_ids"))
-    r = sup.select(F.concat(LIT("o"), S("l_orderkey")).alias("id"), LIT("3").alias("owner_id"), LIT("s").alias("session_id"), LIT("reflection").alias("kind"), LIT(None).cast("boolean").alias("dropped"), "supporting_memory_ids", strings.alias("repository_origins"), strings.alias("linked_paths"))
+    sup = t.lineitem.groupBy("l_orderkey", (F.col("l_partkey") % 25).cast("string").alias("owner_id")).agg(F.array_sort(F.collect_set(F.concat(LIT("p"), S("l_partkey")))).alias("supporting_memory_ids"))
+    r = sup.select(F.concat(LIT("o"), S("l_orderkey"), LIT("/"), "owner_id").alias("id"), "owner_id", LIT("s").alias("session_id"), LIT("reflection").alias("kind"), LIT(None).cast("boolean").alias("dropped"), "supporting_memory_ids", strings.alias("repository_origins"), strings.alias("linked_paths"))
     return o.unionByName(r)
 
 
@@ -298,7 +298,7 @@ def selected_input(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT DISTINCT 'o' || l_orderkey AS id, 'p' || l_partkey AS sup FROM lineitem WHERE l_partkey % 25 = 3), o AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey % 25 = 3 AND p_size <= 45),
+WITH r AS (SELECT DISTINCT 'o' || l_orderkey || '/' || (l_partkey % 25) AS id, 'p' || l_partkey AS sup FROM lineitem WHERE l_partkey % 25 = 3), o AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey % 25 = 3 AND p_size <= 45),
 u AS (SELECT DISTINCT id, 'evidence' AS role FROM r UNION SELECT id, 'evidence' FROM o UNION SELECT sup, 'historical-support' FROM r)
 SELECT id, list_sort(list(role)) AS roles FROM u GROUP BY id""")
 def selected_roles(t: Tables) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -69,15 +70,26 @@ def project(memories: Memories, entries: DataFrame, touches: DataFrame, user: Co
     return Projection(o, r, link_observations(o, touches, by_stream), sourced, supported, notes)
 
 
-def replace_projection(catalog: Catalog, p: Projection, sessions: DataFrame) -> None:
-    """Everything that ``sessions`` (session_id) remember is replaced by the projection; other sessions keep theirs. Ids are stable, so edges from elsewhere stay valid."""
+def replace_projection(catalog: Catalog, p: Projection, sessions: DataFrame, evidence: tuple[DataFrame, DataFrame] | None = None, guard: Callable[[], bool] | None = None) -> dict[str, str]:
+    """Everything that ``sessions`` (session_id) remember is replaced by the projection, in one commit; other sessions keep theirs. Ids are stable, so edges from elsewhere stay valid.
+
+    evidence: (touches, diagnostics) of the sessions, replaced in the same commit; guard: checked just before it (``unchanged``).
+    """
     scope = sessions.select("session_id").distinct()
     owned_o, owned_r = p.observations.select(F.col("id").alias("observation_id"), "session_id"), p.reflections.select(F.col("id").alias("reflection_id"), "session_id")
-    catalog.replace_scope("observations", p.observations, scope, ["session_id"])
-    catalog.replace_scope("reflections", p.reflections, scope, ["session_id"])
-    catalog.replace_scope("about", p.about.join(owned_o, "observation_id"), scope, ["session_id"])
-    catalog.replace_scope("sourced_from", p.sourced_from.join(owned_o, "observation_id"), scope, ["session_id"])
-    catalog.replace_scope("supported_by", p.supported_by.join(owned_r, "reflection_id"), scope, ["session_id"])
+    tables = {
+        "observations": p.observations, "reflections": p.reflections, "about": p.about.join(owned_o, "observation_id"),
+        "sourced_from": p.sourced_from.join(owned_o, "observation_id"), "supported_by": p.supported_by.join(owned_r, "reflection_id"),
+    }
+    if evidence is not None:
+        tables |= {"touches": evidence[0], "evidence_diagnostics": evidence[1]}
+    return catalog.replace_all(tables, scope, ["session_id"], guard)
+
+
+def unchanged(catalog: Catalog, expected: DataFrame) -> Callable[[], bool]:
+    """A guard: the catalog's sessions still have the log hash, size and leaf that a projection was computed from. expected(id, log_hash, log_bytes, current_leaf_id)."""
+    columns = ["id", "log_hash", "log_bytes", "current_leaf_id"]
+    return lambda: expected.select(*columns).exceptAll(catalog.read("sessions").select(*columns)).isEmpty()
 
 
 def import_status(local: DataFrame, stored: DataFrame) -> DataFrame:

@@ -88,8 +88,9 @@ def compact_content(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, list_contains(json_keys(props), 'k') AS has_k, list_contains(json_keys(props), 'z') AS has_z FROM events")
 def json_access(t: Tables) -> DataFrame:
-    keys = F.json_object_keys("props")
-    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.array_contains(keys, "k").alias("has_k"), F.array_contains(keys, "z").alias("has_z"))
+    from annalist.sources.logs import has_key
+
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), has_key(F.col("props"), "k").alias("has_k"), has_key(F.col("props"), "z").alias("has_z"))
 
 
 @query("SELECT n AS attempt, CAST(least(60000, 1000 * pow(2, least(20, n - 1))) AS BIGINT) AS delay_ms FROM range(1, 26) r(n)")
@@ -120,26 +121,40 @@ WITH c AS (SELECT user_id, max(event_id) AS cp FROM events WHERE day(ts) <= 15 G
 s AS (SELECT user_id, max(event_id) AS last, count(*) AS entries FROM events GROUP BY user_id)
 SELECT s.user_id, entries, cp AS checkpoint, CASE WHEN cp IS NULL THEN 'pending' WHEN cp = last THEN 'unchanged' ELSE 'pending' END AS status FROM s LEFT JOIN c USING (user_id)""")
 def checkpoint_plan(t: Tables) -> DataFrame:
-    # one pass: the checkpoint is a conditional maximum
-    s = t.events.groupBy("user_id").agg(F.max("event_id").alias("last"), n("entries"), F.max(F.when(F.dayofmonth("ts") <= 15, F.col("event_id"))).alias("checkpoint"))
-    return s.select("user_id", "entries", "checkpoint", F.when(F.col("checkpoint") == F.col("last"), "unchanged").otherwise("pending").alias("status"))
+    plan, _ = _event_plan(t)
+    s = t.events.groupBy("user_id").agg(n("entries"), F.max(F.when(F.dayofmonth("ts") <= 15, F.col("event_id"))).alias("checkpoint"))
+    return plan.join(s, "user_id").select("user_id", "entries", "checkpoint", "status")
+
+
+def _event_plan(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A user's events are a log, of which the first half of the month is stored already."""
+    from annalist.operators.sync import plan_sync
+
+    text = lambda c: F.col(c).cast("string")
+    entries = t.events.select("user_id", F.col("event_id").alias("ordinal"), F.col("event_id").alias("next_byte_offset"), F.sha2(text("event_id"), 256).alias("prefix_hash"))
+    logs = entries.groupBy("user_id").agg(F.max("ordinal").alias("last"), n("entry_count"))
+    logs = logs.select("user_id", F.sha2(text("last"), 256).alias("log_hash"), "entry_count", F.col("last").alias("log_bytes"), F.lit(0).cast("long").alias("header_next_byte_offset"), F.lit("h").alias("header_prefix_hash"))
+    stored = t.events.where(F.dayofmonth("ts") <= 15).groupBy("user_id").agg(F.max("event_id").alias("cp_ordinal"))
+    count = logs.select("user_id", F.col("entry_count").alias("cp_entry_count"))  # as if nothing had come since; the log's hash tells
+    stored = stored.join(count, "user_id").select("user_id", "cp_ordinal", F.col("cp_ordinal").alias("cp_byte_offset"), F.sha2(text("cp_ordinal"), 256).alias("cp_prefix_hash"), F.sha2(text("cp_ordinal"), 256).alias("cp_log_hash"), "cp_entry_count")
+    return plan_sync(logs, entries, stored, "user_id")
 
 
 @query("SELECT e.user_id, e.event_id FROM events e LEFT JOIN (SELECT user_id, max(event_id) AS cp FROM events WHERE day(ts) <= 15 GROUP BY user_id) c USING (user_id) WHERE e.event_id > coalesce(cp, -1)")
 def suffix_entries(t: Tables) -> DataFrame:
-    cp = t.events.where(F.dayofmonth("ts") <= 15).groupBy("user_id").agg(F.max("event_id").alias("cp"))
-    return t.events.join(cp, "user_id", "left").where(F.col("event_id") > F.coalesce("cp", F.lit(-1))).select("user_id", "event_id")
+    return _event_plan(t)[1].select("user_id", F.col("ordinal").alias("event_id"))
 
 
 @query("""
 WITH RECURSIVE a(conv_id, turn, depth) AS (
-  SELECT conv_id, turn, 0 FROM conversations WHERE turn = 2 UNION ALL
+  SELECT conv_id, max(turn), 0 FROM conversations GROUP BY conv_id UNION ALL
   SELECT c.conv_id, c.turn, depth + 1 FROM a JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = a.turn - 1)
 SELECT conv_id, turn, CAST(depth AS BIGINT) AS depth FROM a""")
 def ancestor_walk(t: Tables) -> DataFrame:
     from annalist.operators.walks import ancestors
 
-    c = t.conversations.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("entry_id"), F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")).alias("parent_id"), (F.col("turn") == 2).alias("is_leaf"))
+    last = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    c = t.conversations.join(last, "conv_id").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("entry_id"), F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")).alias("parent_id"), (F.col("turn") == F.col("last")).alias("is_leaf"))
     return ancestors(c).select(F.col("session_id").cast("long").alias("conv_id"), F.col("entry_id").cast("long").alias("turn"), "depth")
 
 
@@ -164,11 +179,16 @@ SELECT doc_id, text_key, ordinal = 1 AS accepted, ordinal > 1 AND source IS DIST
  SELECT doc_id, sha256(coalesce(text, '')) AS text_key, source, row_number() OVER w AS ordinal, first_value(source) OVER w AS first_source
  FROM documents WINDOW w AS (PARTITION BY coalesce(text, '') ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
 def first_definition_wins(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", "source", X.sha256(F.coalesce("text", F.lit(""))).alias("text_key"))
-    # min_by is an aggregate with map-side combine: no group of copies is gathered in one task, as a window would
-    first = d.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.min_by(F.struct("source"), "doc_id")["source"].alias("first_source"))
-    own = F.col("doc_id") == F.col("first_id")
-    return d.join(first, "text_key").select("doc_id", "text_key", own.alias("accepted"), (~own & ~F.col("source").eqNullSafe(F.col("first_source"))).alias("conflict"))
+    from annalist.operators.memory import first_definitions
+
+    lit = lambda v: F.lit(v)
+    rows = t.documents.select(lit("pi").alias("source_kind"), lit("s").alias("source_session_id"), lit("p").alias("producer"), X.sha256(F.coalesce("text", F.lit(""))).alias("memory_id"),
+                              lit(0).alias("origin"), F.col("doc_id").alias("ordinal"), lit(0).alias("at"), F.col("doc_id").cast("string").alias("record_id"), "source")
+    winners, later = first_definitions(rows, ["source"], "observation")
+    own = winners.select(F.col("ordinal").alias("first_id"), F.col("memory_id").alias("text_key"))
+    clash = later.select(F.col("ordinal").alias("doc_id"), F.lit(True).alias("_clash"))
+    out = rows.select(F.col("ordinal").alias("doc_id"), F.col("memory_id").alias("text_key")).join(own, "text_key").join(clash, "doc_id", "left")
+    return out.select("doc_id", "text_key", (F.col("doc_id") == F.col("first_id")).alias("accepted"), F.coalesce("_clash", F.lit(False)).alias("conflict"))
 
 
 @query("""
@@ -219,7 +239,7 @@ def tombstones(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT o.o_custkey, l.* FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l_partkey < 40),
+WITH m AS (SELECT o.o_custkey, l.* FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey),
 obs AS (
  SELECT 'observation' AS kind, l_orderkey AS memory_id, o_custkey AS owner, l_partkey AS file, list_sort(list(DISTINCT l_suppkey)) AS entries
  FROM m WHERE l_returnflag <> 'R' GROUP BY ALL),
@@ -232,7 +252,7 @@ WHERE c_mktsegment = 'BUILDING' ORDER BY kind, memory_id, file LIMIT 200""")
 def file_memory_surrogate(t: Tables) -> DataFrame:
     owner = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("owner"))
     sessions = t.orders.select(F.col("o_orderkey").alias("memory_id"), F.col("o_custkey").alias("owner"), "o_orderstatus").join(owner, "owner", "left_semi")
-    evidence = t.lineitem.where("l_partkey < 40").select(F.col("l_orderkey").alias("memory_id"), F.col("l_partkey").alias("file"), "l_suppkey", "l_returnflag")
+    evidence = t.lineitem.select(F.col("l_orderkey").alias("memory_id"), F.col("l_partkey").alias("file"), "l_suppkey", "l_returnflag")
     m = sessions.join(evidence, "memory_id").join(t.part.select(F.col("p_partkey").alias("file")), "file", "left_semi")
     fold = lambda df, kind: df.groupBy(F.lit(kind).alias("kind"), "memory_id", "owner", "file").agg(X.distinct_sorted("l_suppkey").alias("entries"))
     both = fold(m.where("l_returnflag <> 'R'"), "observation").unionByName(fold(m.where("o_orderstatus = 'F'"), "reflection"))
@@ -249,18 +269,29 @@ def optional_provenance(t: Tables) -> DataFrame:
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1")
 def latest_per_bucket(t: Tables) -> DataFrame:
-    # an aggregate, not a window: partial maxima are combined before the shuffle
-    top = t.orders.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", (-F.col("o_orderkey")).alias("k"))).alias("m"))
-    return top.select("o_custkey", (-F.col("m.k")).alias("o_orderkey"), F.col("m.o_orderdate").alias("o_orderdate"))
+    from annalist.plans.catalog import latest
+
+    return latest(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.desc("o_orderdate"), F.col("o_orderkey")])
 
 
 @query("SELECT o_orderkey, (SELECT count(*) FROM orders) > 25 AS truncated FROM (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25)")
 def truncation_probe(t: Tables) -> DataFrame:
-    # one more than the page tells whether there is more
-    probe = t.orders.select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(26)
-    place = Window.orderBy(F.desc("o_orderdate"), "o_orderkey")
-    page = probe.select("o_orderkey", F.row_number().over(place).alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("c"))
-    return page.where("r <= 25").select("o_orderkey", (F.col("c") > 25).alias("truncated"))
+    from annalist.operators.runs import read_runs
+
+    runs = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("derivation_id"), F.col("o_orderdate").alias("created_at"))
+    page, more = read_runs(runs, 25, history=True)
+    return t.spark.createDataFrame([(r.id, more) for r in page], "o_orderkey long, truncated boolean")
+
+
+@query("""
+SELECT o_custkey, o_orderkey, (SELECT count(DISTINCT o_custkey) FROM orders) > 40 AS truncated FROM (
+ SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1) ORDER BY o_orderdate DESC, o_orderkey LIMIT 40""")
+def latest_runs_page(t: Tables) -> DataFrame:
+    from annalist.operators.runs import read_runs
+
+    runs = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("derivation_id"), F.col("o_orderdate").alias("created_at"))
+    page, more = read_runs(runs, 40)  # a page of each customer's newest
+    return t.spark.createDataFrame([(r.derivation_id, r.id, more) for r in page], "o_custkey long, o_orderkey long, truncated boolean")
 
 
 @query("""
@@ -292,9 +323,13 @@ def anti_unresolved(t: Tables) -> DataFrame:
     return t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti").withColumn("diagnostic", F.lit("unresolved-reference"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def orphans(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey").join(t.lineitem.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    """Repositories (parts) that no session works on (no large order line names) are deleted; these are left."""
+    from annalist.plans.catalog import drop_orphans
+
+    worked = t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("repository_id"))
+    return drop_orphans(t.part.select(F.col("p_partkey").alias("id")), worked).select(F.col("id").alias("p_partkey"))
 
 
 _ROOTS = "SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[a-z]+)', 1) FROM pages WHERE page_id % 2 = 0"
@@ -345,22 +380,35 @@ def duplicates_having(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").groupBy(X.sha256("text").alias("text_key")).agg(n("copies")).where("copies > 1")
 
 
-@query("SELECT event_id, CASE WHEN age >= 600000 THEN 'parked' ELSE 'pending' END AS state, age AS age_ms FROM (SELECT event_id, greatest(0, 1704412800000 - epoch_us(ts) // 1000) AS age FROM events)")
+@query("SELECT event_id, CASE WHEN greatest(0, 1704412800000 - epoch_us(ts) // 1000) >= 600000 THEN 'parked' ELSE 'pending' END AS state, greatest(0, 1704412800000 - epoch_us(ts) // 1000) AS age_ms FROM events")
 def notification_expiry(t: Tables) -> DataFrame:
-    age = F.greatest(F.lit(0).cast("long"), F.lit(1704412800000) - F.unix_millis(F.col("ts").cast("timestamp")))
-    return t.events.select("event_id", F.when(X.expired(age, 600_000), "parked").otherwise("pending").alias("state"), age.alias("age_ms"))
+    from annalist.sources.spool import expire
+
+    rows = t.events.select("event_id", F.lit("pending").alias("state"), F.unix_millis(F.col("ts").cast("timestamp")).alias("file_mtime_ms"), F.lit(None).cast("string").alias("queued_at"))
+    age = X.age_ms(F.lit(1704412800000), F.col("file_mtime_ms"), F.col("queued_at"))
+    return expire(rows, 1704412800000, 600_000).select("event_id", "state", age.cast("long").alias("age_ms"))
 
 
 @query("""
-SELECT o_custkey, CASE WHEN count(*) = 0 THEN 1 ELSE CAST(min(CASE o_orderstatus WHEN 'O' THEN 3 WHEN 'F' THEN 2 ELSE coalesce(NULL, 1) END) AS BIGINT) END AS version FROM orders GROUP BY o_custkey""")
+SELECT o_custkey, CAST(min(CASE o_orderstatus WHEN 'O' THEN 3 WHEN 'F' THEN 2 ELSE 1 END) AS BIGINT) AS version FROM orders GROUP BY o_custkey""")
 def version_rollup(t: Tables) -> DataFrame:
-    version = F.when(F.col("o_orderstatus") == "O", 3).when(F.col("o_orderstatus") == "F", 2)
-    return t.orders.groupBy("o_custkey").agg(F.min(F.coalesce(version, F.lit(1))).cast("long").alias("version"))
+    from annalist.plans.catalog import effective_version
+
+    version = F.when(F.col("o_orderstatus") == "O", 3).when(F.col("o_orderstatus") == "F", 2)  # others have none
+    found = effective_version(t.orders.select(F.col("o_custkey").alias("user_id"), version.alias("code_memory_version")))
+    return found.select(F.col("user_id").alias("o_custkey"), F.col("code_memory_version").cast("long").alias("version"))
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) AS total FROM events GROUP BY user_id")
+@query("""
+SELECT CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS acknowledged, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS failed,
+ CAST(count(*) FILTER (WHERE event_type = 'signup') AS BIGINT) AS expired, CAST(count(*) FILTER (WHERE event_type NOT IN ('click', 'error', 'signup')) AS BIGINT) AS waiting FROM events""")
 def counters(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "error").alias("failed"), n("total"))
+    from annalist.sources.spool import drain_report
+
+    kind = F.col("event_type")
+    status = F.when(kind == "click", "ok").when(kind == "error", "failed").when(kind == "signup", "expired").otherwise("waiting")
+    outcomes = t.events.groupBy(F.col("user_id").alias("group"), status.alias("status")).agg(n("notifications"))
+    return drain_report(outcomes).select(*[F.col(c).cast("long").alias(c) for c in ("acknowledged", "failed", "expired", "waiting")])
 
 
 @query("SELECT 'lineitem' AS name, count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS n_keys, count(*) = count(DISTINCT (l_orderkey, l_linenumber)) AS is_key FROM lineitem")
@@ -390,3 +438,82 @@ def upsert_merge(t: Tables) -> DataFrame:
     o = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
     new = o.where("o_orderkey % 5 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "N").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
     return merge_rows(o.where("o_orderkey % 3 <> 0"), new, ["o_orderkey"])
+
+
+# Catalog
+
+
+@query("""
+WITH r AS (SELECT l_partkey AS k, l_suppkey AS p FROM lineitem WHERE l_linenumber > 3), o AS (SELECT l_partkey AS k, l_suppkey AS p FROM lineitem WHERE l_linenumber <= 3),
+u AS (SELECT * FROM r UNION ALL SELECT * FROM o WHERE k IN (SELECT k FROM r))
+SELECT k AS l_partkey FROM u GROUP BY k HAVING min(p) IS DISTINCT FROM max(p)""")
+def insert_conflicts(t: Tables) -> DataFrame:
+    """Keys (parts) whose immutable payload (the supplier) differs among new rows or from the stored ones."""
+    from annalist.plans.catalog import payload_conflicts
+
+    rows = t.lineitem.select("l_partkey", "l_suppkey", "l_linenumber")
+    return payload_conflicts(rows.where("l_linenumber > 3"), rows.where("l_linenumber <= 3"), ["l_partkey"], "l_suppkey")
+
+
+def _scratch(spark: SparkSession, what: str) -> str:
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/annalist"
+    return f"{folder.rstrip('/')}/catalogs/{what}-{uuid.uuid4().hex}"
+
+
+@query("""
+SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 3 = 0 THEN 'projected' ELSE o_orderstatus END AS state FROM orders WHERE NOT (o_custkey % 3 = 0 AND o_orderstatus = 'F')""")
+def projection_replace(t: Tables) -> DataFrame:
+    """The orders of every third customer are replaced as a whole, two tables in one commit; only their buckets are written anew."""
+    from annalist.plans.catalog import Catalog
+
+    catalog = Catalog(t.spark, _scratch(t.spark, "replace"), {"observations": ("o_custkey", 8), "about": ("o_custkey", 8)})
+    rows = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("state"))
+    scope = rows.where("o_custkey % 3 = 0").select("o_custkey").distinct()
+    catalog.replace_all({"observations": rows, "about": rows.select("o_custkey", "o_orderkey")}, rows.select("o_custkey").distinct(), ["o_custkey"])
+    new = rows.where("o_custkey % 3 = 0 and state <> 'F'").withColumn("state", F.lit("projected"))
+    catalog.replace_all({"observations": new, "about": new.select("o_custkey", "o_orderkey")}, scope, ["o_custkey"])
+    return catalog.read("observations").join(catalog.read("about"), ["o_custkey", "o_orderkey"], "left_semi").select("o_orderkey", "o_custkey", "state")
+
+
+@query("""
+SELECT c_custkey, 'replica' AS origin, c_mktsegment AS segment FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new', c_mktsegment FROM customer WHERE c_custkey % 2 = 1""")
+def insert_if_absent(t: Tables) -> DataFrame:
+    """Known keys keep their row, new ones are appended, to a table that a catalog holds."""
+    from annalist.plans.catalog import Catalog
+
+    catalog = Catalog(t.spark, _scratch(t.spark, "insert"))
+    rows = t.customer.select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    catalog.insert_new("entries", rows.where("c_custkey % 2 = 0").withColumn("origin", F.lit("replica")), ["c_custkey"], "segment")
+    catalog.insert_new("entries", rows.withColumn("origin", F.lit("new")), ["c_custkey"], "segment")
+    return catalog.read("entries").select("c_custkey", "origin", "segment")
+
+
+@query("""
+SELECT conv_id, turn, '"' || replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t') || '"' AS quoted FROM conversations""")
+def quoted_text(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", X.quoted("text").alias("quoted"))
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 'default' WHEN s_suppkey % 2 = 0 THEN '' ELSE s_name END AS producer,
+ substr(s_name, 1, 1) || '***@x.org' AS masked, CASE WHEN s_acctbal > 0 THEN format('{:.1f} ms', round(s_acctbal, 1)) ELSE 'n/a' END AS shown FROM supplier""")
+def display_forms(t: Tables) -> DataFrame:
+    s = t.supplier
+    producer = F.when(F.col("s_suppkey") % 2 == 0, "").otherwise(F.col("s_name"))
+    kind = F.when(F.col("s_suppkey") % 3 == 0, "pi").otherwise("other")
+    return s.select("s_suppkey", X.input_producer(kind, producer, "default").alias("producer"), X.mask_email(F.concat("s_name", F.lit("@x.org"))).alias("masked"), X.format_ms(F.when(F.col("s_acctbal") > 0, F.col("s_acctbal"))).alias("shown"))
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[^?#]*') AS path, regexp_extract(url, '^(https?://[^/]+)', 1) AS host FROM pages),
+r AS (SELECT DISTINCT host AS root, page_id % 3 AS repository FROM p), s AS (SELECT root, min(repository) AS repository FROM r GROUP BY root)
+SELECT page_id, root, repository FROM (SELECT * FROM p UNION ALL SELECT * FROM p WHERE page_id % 2 = 0) JOIN s ON starts_with(path, root || '/')""")
+def prefix_ties(t: Tables) -> DataFrame:
+    """Equal roots of several repositories, the first of which wins, and paths that stand twice."""
+    from annalist.operators.containment import closest_root
+
+    p = t.pages.select("page_id", F.regexp_extract("url", "^[^?#]*", 0).alias("path"))
+    roots = t.pages.select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("root"), (F.col("page_id") % 3).alias("repository")).distinct()
+    return closest_root(p.unionByName(p.where("page_id % 2 = 0")), roots, order=["repository"]).select("page_id", "root", "repository")
