@@ -178,12 +178,16 @@ def locator_path(kind: Column, session: Column, producer: Column) -> Column:
 
 
 def mask_email(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), r"^(.).*(@.*)$", "$1***$2")
+    """The first letter and the domain; what has no name before its first @ is hidden whole."""
+    found = F.regexp_extract(col(c), r"(?s)^([^@])[^@]*(@.*)$", 0) != ""
+    return F.when(found, F.regexp_replace(col(c), r"(?s)^([^@])[^@]*(@.*)$", "$1***$2")).when(col(c).isNotNull(), "***")
 
 
 def format_ms(ms: str | Column) -> Column:
-    """Milliseconds for display, rounded to a tenth; null (never measured) as n/a."""
-    return F.coalesce(F.concat(F.format_string("%.1f", F.round(col(ms).cast("double"), 1)), F.lit(" ms")), F.lit("n/a"))
+    """Milliseconds for display, rounded to a tenth that is left out if it is zero; null (never measured) as n/a."""
+    tenths = F.floor(col(ms).cast("double") * 10 + 0.5).cast("long")
+    shown = F.regexp_replace((tenths / 10).cast("decimal(30,1)").cast("string"), r"\.0$", "")
+    return F.coalesce(F.concat(shown, F.lit(" ms")), F.lit("n/a"))
 
 
 def input_producer(kind: str | Column, producer: str | Column, default: str) -> Column:
@@ -193,10 +197,10 @@ def input_producer(kind: str | Column, producer: str | Column, default: str) ->
 
 
 def quoted(c: str | Column) -> Column:
-    """The value as a JSON string in quotes, with controls (also C1 and line separators, which JSON leaves alone) escaped."""
+    """The value as a JSON string in quotes, with controls (also C1, line separators and marks of direction, which JSON leaves alone) escaped."""
     body = F.to_json(F.array(col(c)))
     body = F.substring(body, F.lit(2), F.length(body) - 2)
-    bad = F.regexp_extract_all(body, F.lit("([\\x7f-\\x9f\\u2028\\u2029])"))
+    bad = F.regexp_extract_all(body, F.lit("([\\x7f-\\x9f\\u2028-\\u202e\\u2066-\\u2069])"))
     escape = lambda out, x: F.replace(out, x, F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(F.encode(x, "UTF-16BE")), 4, "0"))))
     return F.when(col(c).isNull(), F.lit("null")).otherwise(F.aggregate(F.array_distinct(bad), body, escape))
 

@@ -6,11 +6,13 @@ Walks branch and need the whole session at hand, so a session (and, for copied e
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from annalist.functions.canonical import parse_json
 
@@ -232,7 +234,7 @@ def originals(found: DataFrame, entries: DataFrame, sessions: DataFrame, most: i
     sessions(id, user_id, source_kind, parent_session, parent_ids array). A step is taken while the one parent of same kind and owner holds the same entry with the same bytes.
     Several parents, a parent that is declared but not there, a copy that differs, and a cycle give no occasion.
     """
-    from annalist.operators.walks import _durable
+    from annalist.operators.walks import durable
 
     hashed = entries.select(F.col("session_id").alias("p"), F.col("stream_id").alias("anchor_stream"), F.col("entry_id").alias("anchor_entry"), F.sha2(F.col("raw_json").cast("binary"), 256).alias("_copy"))
     s = sessions.select(F.col("id").alias("at"), F.col("user_id").alias("_u"), F.col("source_kind").alias("_k"), F.col("parent_session").isNotNull().alias("_declared"), F.coalesce("parent_ids", F.array().cast("array<string>")).alias("_parents"))
@@ -246,7 +248,7 @@ def originals(found: DataFrame, entries: DataFrame, sessions: DataFrame, most: i
         here = (F.size("_parents") == 0) & ~F.col("_declared") | (F.size("_parents") == 1) & same & F.col("_copy").isNull()
         up = (F.size("_parents") == 1) & same & (F.col("_copy") == F.col("raw_hash")) & ~F.array_contains("path", F.col("p"))
         keep = ["session_id", "stream_id", "entry_id", "anchor_stream", "anchor_entry", "raw_hash"]
-        step = _durable(step.select(*keep, "at", "path", "p", here.alias("_here"), F.coalesce(up, F.lit(False)).alias("_up")))
+        step = durable(step.select(*keep, "at", "path", "p", here.alias("_here"), F.coalesce(up, F.lit(False)).alias("_up")))
         ended = step.where("_here").select(*keep[:5], F.col("at").alias("origin_session"))
         done = ended if done is None else done.unionByName(ended)
         live = step.where("_up and not _here").select(*keep, F.col("p").alias("at"), F.concat("path", F.array("p")).alias("path"))
@@ -267,3 +269,54 @@ def verified_occasions(memories: DataFrame, entries: DataFrame, sessions: DataFr
     seen = cited.join(found, ["session_id", "stream_id", "entry_id"]).groupBy("id").agg(F.array_sort(F.collect_set(o)).alias("source_occasions"))
     none = F.array().cast("array<struct<session_id:string,stream_id:string,entry_id:string>>")
     return memories.select("id").join(seen, "id", "left").select("id", F.coalesce("source_occasions", none).alias("source_occasions"))
+
+
+# Fields that a compact record keeps, if they are strings, numbers or booleans.
+RECORD_FIELDS = ("id", "uuid", "sessionId", "agentId", "type", "subtype", "parentId", "parentUuid", "logicalParentUuid", "requestId", "sourceToolAssistantUUID",
+                 "isMeta", "isSynthetic", "isCompactSummary", "isSessionTranscriptOnly", "promptSource", "turnOrigin", "userType")
+MESSAGE_FIELDS = ("role", "toolCallId", "isSynthetic")
+BLOCK_FIELDS = ("type", "id", "name", "tool_use_id")
+ORIGIN_FIELDS = ("promptSource", "turnOrigin", "userType")
+#: UTF-16 units of a user's text that a compact record keeps.
+TEXT_UNITS = 512
+
+
+def _scalars(value: dict, fields: tuple[str, ...]) -> dict:
+    return {f: value[f] for f in fields if isinstance(value.get(f), (str, bool, int, float))}
+
+
+def _opening(text: str) -> str:
+    return text.lstrip().encode("utf-16-le", "surrogatepass")[: 2 * TEXT_UNITS].decode("utf-16-le", "ignore")
+
+
+def compact_record(raw: str) -> dict | None:
+    """What occasions need of a raw record: listed scalar fields, and of messages the listed fields of blocks and the opening of what users wrote. None: no JSON object."""
+    try:
+        value = parse_json(raw)
+    except ValueError:
+        return None
+    if not isinstance(value, dict):
+        return None
+    out = _scalars(value, RECORD_FIELDS)
+    message = value.get("message")
+    if isinstance(message, dict):
+        user, content, kept = message.get("role") == "user", message.get("content"), None
+        if isinstance(content, str):
+            kept = _opening(content) if user else None
+        elif isinstance(content, list):
+            kept = []
+            for b in content:
+                b = b if isinstance(b, dict) else {}
+                kept.append(_scalars(b, BLOCK_FIELDS) | ({"text": _opening(b["text"])} if user and isinstance(b.get("text"), str) else {}))
+        out["message"] = _scalars(message, MESSAGE_FIELDS) | {"content": kept}
+    out["originMalformed"] = any(f in value and not isinstance(value[f], str) for f in ORIGIN_FIELDS)
+    if isinstance(value.get("toolUseResult"), dict):
+        out["toolUseResult"] = _scalars(value["toolUseResult"], ("agentId",))
+    return out
+
+
+@F.pandas_udf(StringType())
+def compact_json(raw: pd.Series) -> pd.Series:
+    """``compact_record`` as JSON; null for what is no JSON object."""
+    found = [compact_record(r) if isinstance(r, str) else None for r in raw]
+    return pd.Series([None if r is None else json.dumps(r, ensure_ascii=False, separators=(",", ":")) for r in found], dtype=object)

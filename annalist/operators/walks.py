@@ -28,7 +28,8 @@ def ancestors(entries: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").applyInPandas(_chain, "session_id string, entry_id string, depth long")
 
 
-def _durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder that driver and executors share: lineage ends there, and losing an executor loses nothing."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -45,11 +46,11 @@ def lineage(ids: DataFrame, edges: DataFrame, most: int = 128) -> DataFrame:
     Several parents and cycles are allowed. Ids without edges have only themselves.
     """
     edges = edges.where("child <> parent").select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    reach, known, n = _durable(edges), 1, edges.isEmpty()
+    reach, known, n = durable(edges), 1, edges.isEmpty()
     while known < most and not n:
         step = reach.select("id", F.col("ancestor").alias("_by"), "depth").join(reach.select(F.col("id").alias("_by"), "ancestor", F.col("depth").alias("_more")), "_by")
         step = step.select("id", "ancestor", (F.col("depth") + F.col("_more")).alias("depth")).where((F.col("depth") <= most) & (F.col("id") != F.col("ancestor")))
-        grown = _durable(reach.unionByName(step).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+        grown = durable(reach.unionByName(step).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
         known, n, reach = known * 2, grown.where(F.col("depth") > known).isEmpty(), grown
     own = ids.select("id").distinct()
     return own.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(reach.join(own, "id", "left_semi").select("id", "ancestor", F.col("depth").cast("int").alias("depth")))

@@ -152,6 +152,12 @@ class Catalog:
         self.commit({name: table}, base, guard)
         return table["snapshot"]
 
+    def appended(self, name: str, rows: DataFrame, table: dict | None) -> dict:
+        """Files of a snapshot with these rows as well; those that are there are kept as they are. For ``commit``; the table must not be bucketed."""
+        made = self._written(name, rows, table)
+        old = {} if table is None else {f: path for f, path in enumerate(table["folders"].values())}
+        return made | {"folders": {str(i): path for i, path in enumerate([*old.values(), *made["folders"].values()])}}
+
     def _part(self, name: str, table: dict | None, rows: DataFrame, on: str | None) -> tuple[DataFrame | None, list[int] | None]:
         """(the table's rows that a change by ``rows`` may touch, the buckets they are in; no buckets: the whole table)."""
         if table is None:

@@ -12,7 +12,6 @@ from annalist.plans import catalog, projection
 from annalist.plans.file_memory import Graph, file_memory
 from annalist.plans.surrogates import Tables, n, query
 from annalist.sources import spool
-from annalist.sources.framing import scan_session
 
 S = lambda c: F.col(c).cast("string")
 LIT = F.lit
@@ -92,11 +91,10 @@ def session_log_summary(t: Tables) -> DataFrame:
 SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'conflict' ELSE 'pending' END AS status, CASE WHEN conv_id % 4 = 0 THEN 'prefix-mismatch' END AS reason,
  CAST(count(*) FILTER (WHERE conv_id % 4 <> 0 AND turn > 0) AS BIGINT) AS pending FROM s GROUP BY conv_id""")
 def sync_plan(t: Tables) -> DataFrame:
-    from annalist.sources.logs import session_entries, session_summaries
+    from annalist.sources.logs import session_scan
 
-    source = session_lines(t)
-    entries = session_entries(source)
-    s = session_summaries(source).withColumnRenamed("record_count", "entry_count")
+    entries, s = session_scan(session_lines(t))
+    s = s.withColumnRenamed("record_count", "entry_count")
     bad = F.col("session_id").cast("long") % 4 == 0
     cp = entries.where("ordinal = 0").select("session_id", F.col("ordinal").alias("cp_ordinal"), F.col("next_byte_offset").alias("cp_byte_offset"), F.when(bad, LIT("x")).otherwise(F.col("prefix_hash")).alias("cp_prefix_hash"), LIT(None).cast("string").alias("cp_log_hash"), LIT(None).cast("long").alias("cp_entry_count"))
     plan, pending = sync.plan_sync(s, entries, cp)
@@ -106,23 +104,53 @@ def sync_plan(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_LINES} SELECT conv_id, sha256(any_value(header) || string_agg(line || chr(10), '' ORDER BY turn)) AS log_hash FROM l GROUP BY conv_id""")
 def restore_validation(t: Tables) -> DataFrame:
-    """What a restored log would hash to, from its entries alone."""
-    import hashlib
+    """What a restored log hashes to, from its entries alone."""
+    from annalist.plans.restore import validated
+    from annalist.sources.logs import session_scan
 
-    import pandas as pd
+    entries, summaries = session_scan(session_lines(t))
+    sessions = summaries.select(F.col("session_id").alias("id"), "header_json", F.col("path").alias("source_file"), F.col("record_count").alias("entry_count"), "log_hash", "log_bytes", "has_final_newline")
+    return validated(entries, sessions).where("status = 'valid'").select(F.col("session_id").cast("long").alias("conv_id"), F.sha2("log", 256).alias("log_hash"))
 
-    from annalist.sources.logs import session_entries, session_summaries
 
-    source = session_lines(t)
-    rows = session_entries(source).join(session_summaries(source).select("session_id", "header_json"), "session_id").select("session_id", "ordinal", "raw_json", "header_json")
+def transcript_lines(t: Tables) -> DataFrame:
+    """A transcript per conversation, parents first or not: path, content, session_id, stream_id, agent_id."""
+    up = F.when(F.col("turn") == 0, LIT("null")).otherwise(F.concat(LIT('"'), (F.col("turn") - 1).cast("string"), LIT('"')))
+    line = F.concat(LIT('{"type":"'), F.col("role"), LIT('","uuid":"'), S("turn"), LIT('","parentUuid":'), up, LIT(',"sessionId":"'), S("conv_id"), LIT('","requestId":"q'), F.floor(F.col("turn") / 2).cast("string"),
+                    LIT('","message":{"role":"'), F.col("role"), LIT('","content":'), X.quoted("text"), LIT("}}\n"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("o"), line.alias("e")))), lambda x: x["e"]), "")
+    tail = LIT('{"type":"last-prompt","leafUuid":"0"}\n{"unfinished":')
+    return t.conversations.groupBy("conv_id").agg(body.alias("b")).select(S("conv_id").alias("path"), F.concat("b", tail).cast("binary").alias("content"), S("conv_id").alias("session_id"), LIT("main").alias("stream_id"), LIT(None).cast("string").alias("agent_id"))
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ordinal")
-        log = "\n".join([frame["header_json"].iloc[0], *frame["raw_json"], ""]).encode()
-        _, summary = scan_session(log)
-        return pd.DataFrame({"conv_id": [int(frame["session_id"].iloc[0])], "log_hash": [hashlib.sha256(log).hexdigest() if summary["log_bytes"] == len(log) else None]})
 
-    return rows.groupBy("session_id").applyInPandas(one, "conv_id long, log_hash string")
+@query("""
+WITH l AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS ordinal, '{"type":"' || role || '","uuid":"' || turn || '","parentUuid":' || CASE WHEN turn = 0 THEN 'null' ELSE '"' || (turn - 1) || '"' END
+ || ',"sessionId":"' || conv_id || '","requestId":"q' || (turn // 2) || '","message":{"role":"' || role || '","content":' || to_json(text) || '}}' AS line FROM conversations)
+SELECT conv_id, ordinal, role, CAST(turn AS VARCHAR) AS entry_id, CASE WHEN turn > 0 THEN CAST(turn - 1 AS VARCHAR) END AS parent_id, 'q' || (turn // 2) AS request_id, sha256(line) AS payload_hash,
+ CAST(sum(strlen(line) + 1) OVER (PARTITION BY conv_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS BIGINT) AS next_byte_offset FROM l""")
+def transcript_scan(t: Tables) -> DataFrame:
+    """Records of transcripts whose parents stand behind their children, and whose last line is not finished."""
+    from annalist.sources.logs import transcript_entries
+
+    e = transcript_entries(transcript_lines(t)).where("record_uuid is not null")
+    return e.select(F.col("session_id").cast("long").alias("conv_id"), "ordinal", "role", "entry_id", "parent_id", "request_id", "payload_hash", "next_byte_offset")
+
+
+@query("""
+SELECT conv_id, CAST(count(*) + 1 AS BIGINT) AS records, '0' AS leaf, CAST(14 AS BIGINT) AS waiting FROM conversations GROUP BY conv_id""")
+def transcript_summary(t: Tables) -> DataFrame:
+    from annalist.sources.logs import transcript_summaries
+
+    s = transcript_summaries(transcript_lines(t))
+    return s.select(F.col("session_id").cast("long").alias("conv_id"), F.col("record_count").alias("records"), F.col("current_leaf_id").alias("leaf"), F.col("incomplete_tail_bytes").alias("waiting"))
+
+
+@query("""
+SELECT conv_id, turn, '{"id":"' || turn || '","type":"message","message":{"role":"' || role || '","content":' || CASE WHEN role = 'user' THEN to_json(substr(ltrim(text), 1, 512)) ELSE 'null' END || '},"originMalformed":false}' AS compact FROM conversations""")
+def compact_activity(t: Tables) -> DataFrame:
+    """Raw records without what occasions do not need."""
+    raw = F.concat(LIT('{"type":"message","id":"'), S("turn"), LIT('","extra":{"a":1},"message":{"role":"'), F.col("role"), LIT('","usage":[1],"content":'), X.quoted(F.concat(LIT(" "), "text")), LIT("}}"))
+    return t.conversations.select("conv_id", "turn", occasions.compact_json(raw).alias("compact"))
 
 
 # Events

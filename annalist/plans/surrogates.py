@@ -498,12 +498,12 @@ def quoted_text(t: Tables) -> DataFrame:
 
 @query("""
 SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 'default' WHEN s_suppkey % 2 = 0 THEN '' ELSE s_name END AS producer,
- substr(s_name, 1, 1) || '***@x.org' AS masked, CASE WHEN s_acctbal > 0 THEN format('{:.1f} ms', round(s_acctbal, 1)) ELSE 'n/a' END AS shown FROM supplier""")
+ substr(s_name, 1, 1) || '***@x.org' AS masked, CASE WHEN s_suppkey % 4 > 0 THEN CASE WHEN s_suppkey % 10 = 0 THEN CAST(s_suppkey // 10 AS VARCHAR) ELSE (s_suppkey // 10) || '.' || (s_suppkey % 10) END || ' ms' ELSE 'n/a' END AS shown FROM supplier""")
 def display_forms(t: Tables) -> DataFrame:
     s = t.supplier
     producer = F.when(F.col("s_suppkey") % 2 == 0, "").otherwise(F.col("s_name"))
     kind = F.when(F.col("s_suppkey") % 3 == 0, "pi").otherwise("other")
-    return s.select("s_suppkey", X.input_producer(kind, producer, "default").alias("producer"), X.mask_email(F.concat("s_name", F.lit("@x.org"))).alias("masked"), X.format_ms(F.when(F.col("s_acctbal") > 0, F.col("s_acctbal"))).alias("shown"))
+    return s.select("s_suppkey", X.input_producer(kind, producer, "default").alias("producer"), X.mask_email(F.concat("s_name", F.lit("@x.org"))).alias("masked"), X.format_ms(F.when(F.col("s_suppkey") % 4 > 0, F.col("s_suppkey") / 10)).alias("shown"))
 
 
 @query("""

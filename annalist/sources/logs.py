@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.operators.walks import durable
 from annalist.sources.framing import LogError, scan_session, scan_sidecar, scan_transcript
 
 ENTRY = (
@@ -38,7 +40,11 @@ def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
     return out.astype(kinds)
 
 
-def _scan(source: DataFrame, scan: Callable[[dict], tuple[list[dict], dict]], schema: str, summaries: bool) -> DataFrame:
+#: Entries and summaries in one frame.
+BOTH = ", ".join(["kind string", *ENTRY.split(", "), *[c for c in SUMMARY.split(", ") if c not in ENTRY.split(", ")]])
+
+
+def _scan(source: DataFrame, scan: Callable[[dict], tuple[list[dict], dict]], schema: str, summaries: bool | None) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.to_dict("records"):
@@ -47,6 +53,9 @@ def _scan(source: DataFrame, scan: Callable[[dict], tuple[list[dict], dict]], sc
                     records, summary = scan(row)
                 except LogError as e:  # one broken log never stops the others
                     records, summary = [], {"error": e.reason, "error_line": e.line}
+                if summaries is None:
+                    yield _frame([base | {"kind": "summary"} | {k: v for k, v in summary.items() if v is not None}], schema)
+                    base = base | {"kind": "entry"}
                 if summaries:
                     yield _frame([base | {k: v for k, v in summary.items() if v is not None}], schema)
                 elif records:
@@ -57,6 +66,12 @@ def _scan(source: DataFrame, scan: Callable[[dict], tuple[list[dict], dict]], sc
     return source.mapInPandas(run, schema)
 
 
+def session_scan(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, summaries) of session logs, from one scan that is written once (``checkpoint``)."""
+    rows = durable(_scan(source.select("path", "content", F.lit("main").alias("stream_id")), lambda r: scan_session(bytes(r["content"])), BOTH, None))
+    return rows.where("kind = 'entry'").select(*_names(ENTRY)), rows.where("kind = 'summary'").select(*_names(SUMMARY))
+
+
 def session_entries(source: DataFrame) -> DataFrame:
     """Entries of session logs (``files``); logs that break a rule have none, and an error in ``session_summaries``."""
     return _scan(source.select("path", "content"), lambda r: scan_session(bytes(r["content"])), ENTRY, False)
@@ -96,10 +111,25 @@ def sidecar_summaries(source: DataFrame) -> DataFrame:
     return _scan(source.select("path", "content"), lambda r: scan_sidecar(bytes(r["content"])), SUMMARY, True)
 
 
+#: A first line beyond this is no header.
+HEADER_BYTES = 1 << 20
+
+
+def _first_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = []
+        for path in frame["path"]:
+            fs, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+            with fs.open_input_file(name) as f:
+                line = f.read(HEADER_BYTES).partition(b"\n")[0]
+            out.append((path, line.decode("utf-8", "replace") if len(line) < HEADER_BYTES else None))
+        yield pd.DataFrame(out, columns=["path", "line"])
+
+
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """Only the header of each session log, without reading entries into rows: path, id, cwd, parent_session. A first line over 1 MiB is no header."""
-    first = F.substring_index(F.decode(F.substring("content", 1, 1 << 20), "UTF-8"), "\n", 1)
-    h = files(spark, path).select("path", F.try_parse_json(first).alias("v"))
+    """Only the header of each session log: path, id, cwd, parent_session. Of a file no more than the first 1 MiB is read; a longer first line is no header."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(path).select("path")  # contents are not read
+    h = listed.mapInPandas(_first_lines, "path string, line string").select("path", F.try_parse_json("line").alias("v"))
     text = lambda k: F.try_variant_get("v", f"$.{k}", "string")
     return h.where(text("type") == "session").select("path", text("id").alias("id"), text("cwd").alias("cwd"), text("parentSession").alias("parent_session"))
 

@@ -91,3 +91,73 @@ def parse_worktrees(listing: DataFrame) -> DataFrame:
     fields = F.split(F.regexp_replace("block", "^\0+|\0+$", ""), "\0")
     value = lambda name: F.get(F.transform(F.filter(fields, lambda f: f.startswith(name + " ")), lambda f: F.substring(f, len(name) + 2, 1 << 20)), F.lit(0))
     return blocks.select("repository_id", value("worktree").alias("root"), value("HEAD").alias("commit"), F.regexp_replace(value("branch"), "^refs/heads/", "").alias("branch"), F.array_contains(fields, "bare").alias("bare")).where("root is not null")
+
+
+# Changes, made by the driver: files appear whole, under their final name, and repeating a change is harmless
+
+
+def _put(spark: SparkSession, path: str, body: bytes) -> bool:
+    """Write a file next to its place and rename it there; False if the name is taken."""
+    import uuid
+
+    jvm = spark._jvm
+    target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    out = fs.create(staged, False)
+    try:
+        out.write(bytearray(body))
+        out.hsync()
+    finally:
+        out.close()
+    if fs.exists(target) or not fs.rename(staged, target):
+        fs.delete(staged, False)
+        return False
+    return True
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+
+
+def _body(n: dict) -> bytes:
+    import json
+
+    wire = {"version": 1, "id": n["id"], "queuedAt": n["queued_at"], "sourceKind": n["source_kind"], "sourceSessionId": n["source_session_id"], "producerId": n["producer_id"], "sidecarLocator": n["locator"]}
+    body = (json.dumps(wire, ensure_ascii=False, separators=(",", ":")) + "\n").encode()
+    if len(body) > MAX_NOTIFICATION:
+        raise ValueError("the notification is too large")
+    return body
+
+
+def enqueue(spark: SparkSession, folder: str, notification: dict) -> str:
+    """A new active notification, named by its id; returns its path."""
+    path = f"{folder.rstrip('/')}/{notification['id']}.json"
+    if not _put(spark, path, _body(notification)):
+        raise FileExistsError(path)
+    return path
+
+
+def park(spark: SparkSession, folder: str, archive: str, notification: dict) -> str:
+    """Keep one notification for each locator in the archive (the one that is there wins), then acknowledge it."""
+    import hashlib
+
+    path = f"{archive.rstrip('/')}/{hashlib.sha256(notification['locator'].encode()).hexdigest()}.json"
+    _put(spark, path, _body(notification))
+    acknowledge(spark, folder, notification)
+    return path
+
+
+def requeue(spark: SparkSession, folder: str, parked_path: str, notification: dict, new_id: str) -> str:
+    """A fresh active notification for a parked one, which then goes; after a crash in between both are there, which does no harm."""
+    made = enqueue(spark, folder, notification | {"id": new_id})
+    _drop(spark, parked_path)
+    return made
+
+
+def acknowledge(spark: SparkSession, folder: str, notification: dict) -> None:
+    """Remove an active notification; one that is gone already is fine. The id is checked, so that nothing outside the folder can be named."""
+    if "/" in notification["id"] or notification["id"] in ("", ".", ".."):
+        raise ValueError("no notification of this folder")
+    _drop(spark, f"{folder.rstrip('/')}/{notification['id']}.json")

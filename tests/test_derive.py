@@ -238,6 +238,82 @@ def test_catalog(spark, tmp_path):
     assert {r.id for r in c.read("t").collect()} == {"3", "4", "9"}
 
 
+def test_two_writers_of_one_table(spark, tmp_path):
+    """Of two that start from one version the second fails; writers of other tables do not disturb each other; no commit is lost."""
+    a, b = Catalog(spark, str(tmp_path / "c")), Catalog(spark, str(tmp_path / "c"))
+    df = lambda *r: spark.createDataFrame([(x,) for x in r], "id string")
+    a.write("t", df("1"))
+    base = b.number()
+    slow = b._written("t", df("late"), b.tables(base).get("t"))
+    a.write("t", df("1", "2"))
+    with pytest.raises(SnapshotConflict):
+        b.commit({"t": slow}, base)
+    assert {r.id for r in b.read("t").collect()} == {"1", "2"}
+    base = b.number()
+    other = b._written("u", df("x"), None)
+    a.write("t", df("3"))
+    b.commit({"u": other}, base)
+    assert {r.id for r in a.read("t").collect()} == {"3"} and a.read("u").count() == 1
+    n = a.number()
+    assert a._create(n + 1, a.tables()) and not b._create(n + 1, {}) and b.read("t").count() == 1  # one number, one file
+
+
+def test_commit_of_several_tables_is_one_step(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "c"), {"o": ("s", 4), "e": ("s", 4)})
+    rows = lambda *r: spark.createDataFrame(list(r), "s string, v int")
+    every = [(f"s{i}", i) for i in range(12)]
+    c.replace_all({"o": rows(*every), "e": rows(*every)}, rows(*every), ["s"])
+    old, before = c.tables(), c.read("o")
+    with pytest.raises(SnapshotConflict):
+        c.replace_all({"o": rows(("s1", 9)), "e": rows()}, rows(("s1", 0)), ["s"], guard=lambda: False)
+    assert c.tables() == old
+    c.replace_all({"o": rows(("s1", 9)), "e": rows()}, rows(("s1", 0)), ["s"])
+    assert {tuple(r) for r in c.read("o").collect()} == {*every} - {("s1", 1)} | {("s1", 9)} and {tuple(r) for r in c.read("e").collect()} == {*every} - {("s1", 1)}
+    assert len({*old["o"]["folders"].values()} & {*c.tables()["o"]["folders"].values()}) == len(old["o"]["folders"]) - 1  # other buckets' files are as they were
+    assert {tuple(r) for r in before.collect()} == set(every)  # readers keep what they began with
+    c.upsert("o", rows(("s2", 20), ("new", 1)), ["s"])
+    assert {tuple(r) for r in c.read("o").collect()} == {*every} - {("s1", 1), ("s2", 2)} | {("s1", 9), ("s2", 20), ("new", 1)}
+    with pytest.raises(ValueError):
+        c.replace_all({"o": rows(*every)}, rows(("s1", 0)), ["s"])
+
+
+def test_inserted_payloads_are_immutable(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "c"))
+    df = lambda *r: spark.createDataFrame(list(r), "id string, p string")
+    with pytest.raises(SnapshotConflict):
+        c.insert_new("t", df(("1", "a"), ("1", "b")), ["id"], "p")
+    c.insert_new("t", df(("1", "a"), ("1", "a"), ("2", None)), ["id"], "p")
+    assert c.read("t").count() == 2
+    for clash in (("1", None), ("2", "x")):
+        with pytest.raises(SnapshotConflict):
+            c.insert_new("t", df(clash, ("3", "n")), ["id"], "p")
+    c.insert_new("t", df(("2", None), ("3", "n")), ["id"], "p")
+    assert {tuple(r) for r in c.read("t").collect()} == {("1", "a"), ("2", None), ("3", "n")}
+
+
+def test_published_under_a_lease(spark, tmp_path):
+    from annalist.operators.runs import CONCLUSION, LINK, RUN, RunTables
+    from annalist.plans import publish as P
+
+    c = Catalog(spark, str(tmp_path / "c"))
+
+    def run(i, t):
+        return RunTables(spark.createDataFrame([(i, "d", t, "full", f"json {i}", ["m1", "m2"], "f", "g", 2, None)], RUN), spark.createDataFrame([(f"c{i}", i, "text", None, None, None, [], ["m1"], [])], CONCLUSION), spark.createDataFrame([], LINK), spark.createDataFrame([(i, "m1", ["evidence"]), (i, "m2", [])], "run_id string, memory_id string, roles array<string>"))
+
+    assert not P.reusable(c, "d", "json r1")
+    assert P.acquire(c, "d", "a", 0, 100) and not P.acquire(c, "d", "b", 50, 100) and P.held(c, "d", "a", 99) and not P.held(c, "d", "a", 100)
+    P.publish(c, run("r1", "2024"), "a", 50)
+    with pytest.raises(SnapshotConflict):
+        P.publish(c, run("r1", "2024"), "a", 50)
+    assert P.acquire(c, "d", "b", 200, 100) and not P.renew(c, "d", "a", 210, 100) and P.renew(c, "d", "b", 210, 100)
+    with pytest.raises(SnapshotConflict):  # the first owner was slow, and another has the lease
+        P.publish(c, run("r2", "2025"), "a", 220)
+    assert c.read("runs").count() == 1 and P.reusable(c, "d", "json r1") and not P.reusable(c, "d", "json r2")
+    P.publish(c, run("r2", "2025"), "b", 220)
+    assert c.read("runs").count() == 2 and c.read("conclusions").count() == 2 and P.reusable(c, "d", "json r2") and not P.reusable(c, "d", "json r1")
+    assert P.release(c, "d", "b") and not P.release(c, "d", "b") and P.acquire(c, "d", "z", 230, 1) and P.acquire(c, "other", "y", 230, 1)
+
+
 def test_checkpoints_and_versions(spark):
     s = "session_id string, byte_offset long, prefix_hash string, ordinal long"
     old = spark.createDataFrame([("a", 10, "h", 1), ("b", 10, "h", 1), ("c", 10, "h", 1)], s)

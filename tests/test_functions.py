@@ -99,3 +99,33 @@ def test_fingerprint_ignores_key_order(spark):
     got = [r.f for r in rows.select(C.fingerprint_column(F.col("raw")).alias("f")).collect()]
     assert got[0] == got[1] == C.fingerprint({"a": 1, "b": [2, {"c": 2, "d": 1}]})
     assert got[2] is None and got[3] is None
+
+
+def test_compact_records():
+    import json
+
+    from annalist.operators.occasions import compact_record
+
+    raw = {"id": "1", "type": "user", "isMeta": True, "extra": [1], "turnOrigin": 5, "toolUseResult": {"agentId": "a", "more": {}}, "message": {"role": "user", "usage": {}, "content": [{"type": "text", "text": "  " + "x" * 511 + "😀" + "y"}, 7]}}
+    got = compact_record(json.dumps(raw))
+    assert got == {"id": "1", "type": "user", "isMeta": True, "turnOrigin": 5, "originMalformed": True, "toolUseResult": {"agentId": "a"}, "message": {"role": "user", "content": [{"type": "text", "text": "x" * 511}, {}]}}
+    assert compact_record(json.dumps({"message": {"role": "assistant", "content": "long"}}))["message"] == {"role": "assistant", "content": None}
+    assert compact_record("[1]") is None and compact_record("{") is None
+
+
+def test_paths_quotes_and_forms(spark):
+    import posixpath
+
+    from annalist.functions import exprs as X
+    from annalist.operators.evidence import absolute_path
+    from pyspark.sql import functions as F
+
+    rows = [("/a/b", "c.py"), ("/a/b", "../c.py"), ("/a", "/x//y/./z"), (None, "k"), ("/a", "../../../q"), ("/a/b/", "./d/../e"), ("/a", "  "), ("/a", None), ("/a/..b", "..c/f..")]
+    df = spark.createDataFrame(rows, "c string, p string")
+    want = [posixpath.normpath(posixpath.join(c or "/", p)) if p and p.strip() else None for c, p in rows]
+    assert [r.x for r in df.select(absolute_path(F.col("c"), F.col("p")).alias("x")).collect()] == want
+    odd = spark.createDataFrame([('a"b\n\x7f\u2028é\\',), (None,), ("\u202e",)], "t string")
+    assert [r.q for r in odd.select(X.quoted("t").alias("q")).collect()] == ['"a\\"b\\n\\u007f\\u2028é\\\\"', "null", '"\\u202e"']
+    forms = spark.createDataFrame([(12.34, "pi", " ", "ann@x.org"), (None, "cc", "", "@x.org"), (5.0, "pi", "p", "none")], "ms double, k string, p string, e string")
+    got = [tuple(r) for r in forms.select(X.format_ms("ms"), X.input_producer("k", "p", "dflt"), X.mask_email("e")).collect()]
+    assert got == [("12.3 ms", "dflt", "a***@x.org"), ("n/a", "", "***"), ("5 ms", "p", "***")]

@@ -87,3 +87,38 @@ def test_commits_are_idempotent(spark, tmp_path):
     commit(batch, 0)
     commit(batch, 0)
     assert catalog.read("t").count() == 2
+
+
+def test_notifications_are_queued_parked_and_acknowledged(spark, tmp_path):
+    import os
+    import uuid
+
+    import pytest
+
+    from annalist.sources import spool
+
+    active, archive = str(tmp_path / "active"), str(tmp_path / "archive")
+    import hashlib
+
+    def made():
+        return {"id": str(uuid.uuid4()), "queued_at": "2024-01-01T00:00:00Z", "source_kind": "pi", "source_session_id": "s1", "producer_id": "p", "locator": "/x/pi/" + hashlib.sha256(b"s1").hexdigest() + "/p.jsonl"}
+
+    a, b = made(), made()
+    for n in (a, b):
+        spool.enqueue(spark, active, n)
+    with pytest.raises(FileExistsError):
+        spool.enqueue(spark, active, a)
+    seen = spool.scan_memory(spark, active).collect()
+    assert {r.id for r in seen} == {a["id"], b["id"]} and {r.state for r in seen} == {"pending"}
+    one, two = spool.park(spark, active, archive, a), spool.park(spark, active, archive, b)
+    assert one == two and len(os.listdir(active)) == sum(x.endswith(".crc") for x in os.listdir(active))  # one for the locator
+    again = str(uuid.uuid4())
+    spool.requeue(spark, active, one, a, again)
+    assert [r.id for r in spool.scan_memory(spark, active).collect()] == [again] and not os.path.exists(one)
+    spool.acknowledge(spark, active, a | {"id": again})
+    spool.acknowledge(spark, active, a | {"id": again})  # gone already
+    for bad in ("../x", ".."):
+        with pytest.raises(ValueError):
+            spool.acknowledge(spark, active, a | {"id": bad})
+    with pytest.raises(ValueError):
+        spool.enqueue(spark, active, a | {"producer_id": "p" * 5000})
