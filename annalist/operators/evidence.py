@@ -34,15 +34,22 @@ def origin_path_ok(path: Column) -> Column:
     return F.coalesce((F.trim(path) == path) & (path != "") & ~path.contains("\\") & ~path.rlike("^[A-Za-z]:/") & ~bad, F.lit(False))
 
 
+def _may_hold(word: str) -> Column:
+    """Whether a raw record may hold a word: as it is, or with an escaped letter. Most records hold neither, and are not parsed."""
+    return F.col("raw_json").contains(word) | F.col("raw_json").contains("\\u00")
+
+
 def session_tool_uses(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls: session_id, entry_id, ordinal, at, call_id, path; results: session_id, entry_id, call_id) of selected session entries."""
-    m = entries.select("session_id", "entry_id", "ordinal", F.from_json("raw_json", _SESSION_MESSAGE)["message"].alias("m"))
-    blocks = m.where("m.role = 'assistant'").select("session_id", "entry_id", "ordinal", F.posexplode("m.content").alias("at", "b"))
+    m = F.from_json("raw_json", _SESSION_MESSAGE)["message"]
+    # outer, for the inner form would parse again to see whether there is anything; blocks of other roles and types go right after
+    content = entries.where(_may_hold("toolCall")).select("session_id", "entry_id", "ordinal", F.when(m["role"] == "assistant", m["content"]).alias("content"))
+    blocks = content.select("session_id", "entry_id", "ordinal", F.posexplode_outer("content").alias("at", "b"))
     named = (F.col("b.type") == "toolCall") & F.col("b.id").isNotNull() & F.col("b.name").isin(*SESSION_TOOLS) & (F.trim("b.arguments.path") != "")
     calls = blocks.where(named).select("session_id", "entry_id", "ordinal", "at", F.col("b.id").alias("call_id"), F.col("b.arguments.path").alias("path"))
     # results carry a string or blocks as content; only their call matters
-    call = F.get_json_object("raw_json", "$.message.toolCallId")
-    results = entries.where(F.get_json_object("raw_json", "$.message.role") == "toolResult").select("session_id", "entry_id", call.alias("call_id")).where("call_id is not null")
+    r = F.from_json("raw_json", "struct<message:struct<role:string,toolCallId:string>>")["message"]
+    results = entries.where(_may_hold("toolResult")).select("session_id", "entry_id", F.when(r["role"] == "toolResult", r["toolCallId"]).alias("call_id")).where("call_id is not null")
     return calls, results
 
 
@@ -55,8 +62,10 @@ def resolve(calls: DataFrame, worktrees: DataFrame, cwd: Column) -> DataFrame:
 
 def session_evidence(entries: DataFrame, worktrees: DataFrame, cwd: Column) -> tuple[DataFrame, DataFrame]:
     """(files, touches) of session entries on the selected branch; of calls that share an id the last one names a result's file."""
+    from annalist.operators.walks import durable
+
     calls, results = session_tool_uses(entries)
-    calls = resolve(calls, worktrees, cwd)
+    calls = durable(resolve(calls, worktrees, cwd))  # read for hits and for the last call of each id
     place = ["file_id", "repository_id", "relative_path", "commit", "branch", "dirty"]
     last = calls.groupBy("session_id", "call_id").agg(F.max_by(F.struct(*place), F.struct("ordinal", "at")).alias("_l")).select("session_id", "call_id", "_l.*")
     hits = calls.select("session_id", "entry_id", *place, F.struct("ordinal", "at").alias("_o")).unionByName(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +31,19 @@ def ancestors(entries: DataFrame) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder that driver and executors share: lineage ends there, and losing an executor loses nothing."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+    """The rows as a table in the checkpoint folder, which driver and executors share: they are computed once, lineage ends there, and losing an executor loses nothing.
+
+    Where no folder is set, a local one is taken if driver and executors are one process."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (found.get() if found.isDefined() else None)
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file:///tmp/checkpoints/annalist")
-    return df.checkpoint()
+        folder = "file:///tmp/checkpoints/annalist"
+    path = f"{folder.rstrip('/')}/annalist/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lineage(ids: DataFrame, edges: DataFrame, most: int = 128) -> DataFrame:

@@ -40,12 +40,14 @@ def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
     return out.astype(kinds)
 
 
+#: Rows, or characters of raw records, that a task hands on at once.
+FRAME_ROWS, FRAME_TEXT = 5000, 4 << 20
 #: Entries and summaries in one frame.
 BOTH = ", ".join(["kind string", *ENTRY.split(", "), *[c for c in SUMMARY.split(", ") if c not in ENTRY.split(", ")]])
 
 
 def _scan(source: DataFrame, scan: Callable[[dict], tuple[list[dict], dict]], schema: str, summaries: bool | None) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for frame in frames:
             for row in frame.to_dict("records"):
                 base = {k: v for k, v in row.items() if k != "content"}
@@ -53,21 +55,29 @@ def _scan(source: DataFrame, scan: Callable[[dict], tuple[list[dict], dict]], sc
                     records, summary = scan(row)
                 except LogError as e:  # one broken log never stops the others
                     records, summary = [], {"error": e.reason, "error_line": e.line}
-                if summaries is None:
-                    yield _frame([base | {"kind": "summary"} | {k: v for k, v in summary.items() if v is not None}], schema)
-                    base = base | {"kind": "entry"}
-                if summaries:
-                    yield _frame([base | {k: v for k, v in summary.items() if v is not None}], schema)
-                elif records:
-                    shared = base | {k: summary[k] for k in ("session_id",) if summary.get(k)}
-                    for i in range(0, len(records), 5000):
-                        yield _frame([shared | r for r in records[i : i + 5000]], schema)
+                if summaries is not False:
+                    yield base | ({"kind": "summary"} if summaries is None else {}) | {k: v for k, v in summary.items() if v is not None}
+                if not summaries:
+                    shared = base | {k: summary[k] for k in ("session_id",) if summary.get(k)} | ({"kind": "entry"} if summaries is None else {})
+                    yield from (shared | r for r in records)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # logs are many and small, and a frame for each would cost more than its scan
+        rows, size = [], 0
+        for r in found(frames):
+            rows.append(r)
+            size += len(r.get("raw_json") or "")
+            if len(rows) >= FRAME_ROWS or size >= FRAME_TEXT:
+                yield _frame(rows, schema)
+                rows, size = [], 0
+        if rows:
+            yield _frame(rows, schema)
 
     return source.mapInPandas(run, schema)
 
 
 def session_scan(source: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries, summaries) of session logs, from one scan that is written once (``checkpoint``)."""
+    """(entries, summaries) of session logs, from one scan that is written once."""
     rows = durable(_scan(source.select("path", "content", F.lit("main").alias("stream_id")), lambda r: scan_session(bytes(r["content"])), BOTH, None))
     return rows.where("kind = 'entry'").select(*_names(ENTRY)), rows.where("kind = 'summary'").select(*_names(SUMMARY))
 
