@@ -60,6 +60,18 @@ def resolve(calls: DataFrame, worktrees: DataFrame, cwd: Column) -> DataFrame:
     return found.withColumn("relative_path", relative_path(F.col("absolute"), F.col("root"))).withColumn("file_id", X.file_urn(F.col("repository_id"), F.col("relative_path")))
 
 
+def file_repositories(locators: DataFrame, worktrees: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """locators(cwd, path, ...) with absolute, root, repository_id and nested; a locator outside all roots keeps nulls.
+
+    The innermost of worktrees(repository_id, root) covers a path, unless a directory between its root and the file holds a repository of its own, boundaries(directory):
+    then repository_id is null, nested true and root that directory, which is to be looked up. A worktree's own root is no boundary to it.
+    """
+    full = locators.withColumn("absolute", absolute_path(F.col("cwd"), F.col("path")))
+    roots = worktrees.select("root", "repository_id", F.lit(False).alias("nested")).unionByName(boundaries.select(F.col("directory").alias("root"), F.lit(None).cast("string").alias("repository_id"), F.lit(True).alias("nested")))
+    found = closest_root(full.select("absolute").where("absolute is not null").distinct(), roots, path="absolute", order=["nested", "repository_id"])
+    return full.join(found, "absolute", "left").select(*locators.columns, "absolute", "root", "repository_id", F.coalesce("nested", F.lit(False)).alias("nested"))
+
+
 def session_evidence(entries: DataFrame, worktrees: DataFrame, cwd: Column) -> tuple[DataFrame, DataFrame]:
     """(files, touches) of session entries on the selected branch; of calls that share an id the last one names a result's file."""
     from annalist.operators.walks import durable

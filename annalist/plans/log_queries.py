@@ -443,3 +443,85 @@ def missing_streams(t: Tables) -> DataFrame:
     have = loc.where("user_id % 4 <> 1").select(F.concat(LIT("file:"), F.col("transcript_path")).alias("path"), LIT(b"").alias("content"))
     _, missing = located(have, loc.drop("user_id"))
     return missing.select(F.substring("stream_id", 7, 100).alias("stream_id"), F.col("session_id").cast("long").alias("session_id"))
+
+
+# Replication, generation input
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, day(ts) <= 15 AS early FROM events),
+s AS (SELECT user_id, max(event_id) FILTER (WHERE early) AS cp, max(event_id) AS last, min(event_id) AS first FROM e GROUP BY 1),
+p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM e JOIN s USING (user_id) WHERE event_id > coalesce(cp, -1)),
+n AS (SELECT user_id, max(r) AS n FROM p GROUP BY 1),
+k AS (SELECT s.*, coalesce(n, 0) AS n, CASE WHEN user_id % 7 = 6 THEN 'missing-source-session' WHEN cp = last THEN NULL WHEN user_id % 7 = 3 AND cp IS NOT NULL THEN 'prefix-mismatch'
+ WHEN user_id % 7 = 5 AND first <> last THEN 'payload-mismatch' END AS reason FROM s LEFT JOIN n USING (user_id))
+SELECT k.user_id, CASE WHEN user_id % 7 = 6 THEN 'rejected' WHEN cp = last THEN 'unchanged' WHEN reason IS NOT NULL THEN 'conflict' ELSE 'mirrored' END AS status, reason,
+ CASE WHEN reason IS NULL THEN n ELSE 0 END AS entries_written, CASE WHEN reason IS NULL THEN (n + 2) // 3 ELSE 0 END AS batches_written,
+ CASE WHEN user_id % 7 = 6 THEN NULL WHEN reason IS NULL THEN last WHEN reason = 'prefix-mismatch' OR n <= 3 THEN cp ELSE (SELECT event_id FROM p WHERE p.user_id = k.user_id AND r = 3 * ((k.n - 1) // 3)) END AS checkpoint,
+ user_id % 7 <> 6 AND reason IS NOT NULL AS conflicted, CASE WHEN user_id % 7 = 6 THEN NULL ELSE 1 + (cp IS NOT NULL)::INT END::BIGINT AS revision FROM k""")
+def replicated_logs(t: Tables) -> DataFrame:
+    """Users' events are logs, carried over once up to the middle of the month and then as a whole, by three entries a batch. Some users' logs begin differently the second time, in
+    some the last entry takes the first one's id, and some users have no session."""
+    from annalist.plans.replicate import replicate
+    from annalist.plans.surrogates import _scratch
+
+    e = t.events.select("user_id", "event_id", (F.dayofmonth("ts") <= 15).alias("early"))
+
+    def scanned(rows: DataFrame, again: bool) -> tuple[DataFrame, DataFrame]:
+        ends = rows.groupBy("user_id").agg(F.min("event_id").alias("_first"), F.max("event_id").alias("_last"), n("entry_count"))
+        changed = LIT(again) & (F.col("user_id") % 7 == 3)
+        named = F.when(LIT(again) & (F.col("user_id") % 7 == 5) & (F.col("event_id") == F.col("_last")), F.col("_first")).otherwise(F.col("event_id"))
+        entries = rows.join(ends.select("user_id", "_first", "_last"), "user_id").select(
+            S("user_id").alias("log_id"), named.cast("string").alias("id"), F.col("event_id").alias("ordinal"), F.md5(S("event_id").cast("binary")).alias("payload_hash"), LIT(100).cast("long").alias("payload_bytes"),
+            F.col("event_id").alias("next_byte_offset"), F.concat(F.when(changed, "x").otherwise("h"), S("event_id")).alias("prefix_hash"),
+        )
+        logs = ends.select(S("user_id").alias("log_id"), S("user_id").alias("session_id"), S("_last").alias("log_hash"), "entry_count", F.col("_last").alias("log_bytes"), LIT(-1).cast("long").alias("header_next_byte_offset"),
+                           LIT("head").alias("header_prefix_hash"), LIT(100).cast("long").alias("largest_entry_bytes"), LIT(True).alias("has_final_newline"), F.concat(LIT("/logs/"), S("user_id")).alias("source_file"))
+        return logs, entries
+
+    replica = catalog.Catalog(t.spark, _scratch(t.spark, "replica"), {"sessions": ("id", 8)})
+    replica.write("sessions", e.where("user_id % 7 <> 6").select(S("user_id").alias("id"), LIT(None).cast("long").alias("memory_revision")).distinct())
+    replicate(replica, *scanned(e.where("early"), False), limit=300, sessions=True)
+    report = replicate(replica, *scanned(e, True), limit=300, sessions=True)
+    streams = replica.read("streams").select("log_id", F.when(F.col("ordinal") >= 0, F.col("ordinal")).alias("checkpoint"), "conflicted")
+    out = report.join(streams, "log_id", "left").join(replica.read("sessions").select(F.col("id").alias("log_id"), F.col("memory_revision").alias("revision")), "log_id", "left")
+    return out.select(F.col("log_id").cast("long").alias("user_id"), "status", "reason", "entries_written", "batches_written", "checkpoint", F.coalesce("conflicted", LIT(False)).alias("conflicted"), "revision")
+
+
+@query("""
+WITH m AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+l AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS paths, count(DISTINCT p_brand) AS brands, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS sources FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+f AS (SELECT m.*, coalesce(paths, 0) AS paths, coalesce(brands, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END) AS repositories, coalesce(brands, 0) AS origins, coalesce(sources, 0) AS sources FROM m LEFT JOIN l ON l_orderkey = o_orderkey)
+SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus = 'F' AS dropped, paths, repositories, origins, sources, 0 AS supports, true AS ok FROM f
+UNION ALL SELECT 'r' || o_orderkey, false, paths, repositories, origins, 0, 1, o_orderkey % 5 <> 0 FROM f WHERE o_orderstatus = 'F'""")
+def generation_input(t: Tables) -> DataFrame:
+    """Orders and their reflections as a reader of two segments gets them; each fifth reflection declares a support that it has no edge to."""
+    from annalist.operators import inputs
+
+    g = _order_graph(t)
+    strings = LIT(None).cast("array<string>")
+    declared = F.when(F.col("memory_id").cast("long") % 5 == 0, F.array("memory_id", LIT("lost"))).otherwise(F.array("memory_id"))
+    both = g.observations.select("id", "session_id", "memory_id", "producer", "content", "dropped", LIT("observation").alias("kind"), strings.alias("supporting_observation_ids"))
+    both = both.unionByName(g.reflections.select("id", "session_id", "memory_id", "producer", "content", LIT(None).cast("boolean").alias("dropped"), LIT("reflection").alias("kind"), declared.alias("supporting_observation_ids")))
+    memories = both.join(g.sessions.select(F.col("id").alias("session_id"), F.col("user_id").alias("owner_id"), "source_kind", "source_session_id"), "session_id")
+    cited = g.sourced_from.join(g.entries.select(F.col("id").alias("entry_urn"), "entry_id", "stream_id"), "entry_urn").join(g.observations.select(F.col("id").alias("observation_id"), "session_id"), "observation_id")
+    home = g.sessions.select(F.col("id").alias("session_id"), LIT("home").alias("repository_id"))
+    worked = home.unionByName(home.where("cast(session_id as long) % 2 = 1").withColumn("repository_id", LIT("second")))
+    repositories = t.part.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("normalized_origin")).distinct()
+    grants = t.spark.range(1).select(LIT("MACHINERY").alias("owner_id"), LIT("BUILDING").alias("reader_id"), LIT("read").alias("permission"))
+    rows = inputs.input_rows(inputs.Tables(memories, cited, g.supported_by, g.about, g.files, repositories, worked), "BUILDING", grants)
+    size = lambda c: F.size(F.coalesce(c, F.array())).cast("int")
+    return rows.select("id", "dropped", size("linked_paths").cast("long").alias("paths"), size("repository_ids").cast("long").alias("repositories"), size("repository_origins").cast("long").alias("origins"),
+                       size("source_entries").cast("long").alias("sources"), size("supporting_memory_ids").alias("supports"), "ok")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size >= 10 AND p_partkey % 10 < 5 THEN 'N' || (p_partkey % 10) END AS repository_id, p_size < 10 AS nested,
+ CASE WHEN p_size < 10 THEN '/w/' || (p_partkey % 10) || '/' || p_size WHEN p_partkey % 10 < 5 THEN '/w/' || (p_partkey % 10) END AS root FROM part""")
+def nested_roots(t: Tables) -> DataFrame:
+    """Half of the folders of parts are worktrees, and small sizes' folders hold repositories of their own."""
+    folder = (F.col("p_partkey") % 10).cast("string")
+    locators = t.part.select("p_partkey", LIT("/w").alias("cwd"), F.concat(folder, LIT("/./"), S("p_size"), LIT("/x.py")).alias("path"))
+    worktrees = t.spark.range(5).select(F.concat(LIT("N"), S("id")).alias("repository_id"), F.concat(LIT("/w/"), S("id")).alias("root"))
+    own = t.part.where("p_size < 10").select(F.concat(LIT("/w/"), folder, LIT("/"), S("p_size")).alias("directory")).distinct()
+    boundaries = own.unionByName(worktrees.select(F.col("root").alias("directory")))
+    return evidence.file_repositories(locators, worktrees, boundaries).select("p_partkey", "repository_id", "nested", "root")
