@@ -7,6 +7,7 @@ from annalist.operators.evidence import file_repositories
 from annalist.operators.selection import SelectionError
 from annalist.plans.catalog import Catalog, SnapshotConflict
 from annalist.plans.replicate import replicate, with_leaves
+from annalist.plans.saved_reads import rendered_runs, saved_text
 
 LOG = "log_id string, session_id string, log_hash string, entry_count long, log_bytes long, header_next_byte_offset long, header_prefix_hash string, largest_entry_bytes long, has_final_newline boolean, source_file string, semantic_conflict boolean"
 ENTRY = "log_id string, id string, ordinal long, payload_hash string, payload_bytes long, next_byte_offset long, prefix_hash string, raw_json string"
@@ -132,3 +133,30 @@ def test_token_estimate():
     assert derive.token_estimate(len)("abc", "de") == 32 + 6 and derive.token_estimate(len)("") == 32 and derive.token_estimate(len)("x" * 11) == 32 + 14
     named = {"m": "o200k_base", "old": "p50k_base"}.get
     assert [derive.model_encoding({"provider": p, "id": i}, named) for p, i in (("openai", "m"), ("openai", "old"), ("openai-codex", "new"), ("other", "m"))] == ["o200k_base", None, "o200k_base", None]
+
+
+def test_saved_runs_as_text(spark):
+    items = spark.createDataFrame(
+        [(1, "r1", "style", "language", "py", None, "available", "current", "2026", "m"), (2, "r2", "style", "none", None, "active", "unauthorized", None, "2026", "m"), (3, "r3", "s", "none", None, "full", "available", "unavailable", "2026", "m"),
+         (4, "r4", 'a"b', "none", None, "full", "available", None, "2026", "m")],
+        "position int, id string, name string, filter_type string, filter_value string, depth string, status string, freshness string, created_at string, model string",
+    )
+    conclusions = spark.createDataFrame(
+        [("r1", 1, "c2", "two", "x", "agreement", "user", ["u"], ["m1"], ["gone"]), ("r1", 0, "c1", "one", "x", "agreement", "repository", ["A", "B"], ["m1", "m2"], []), ("r3", 0, "c3", "secret", "x", "y", "user", ["u"], ["m1"], [])],
+        "run_id string, position int, id string, content string, category string, basis string, scope_type string, scope_subject_ids array<string>, supporting_memory_ids array<string>, conflicting_memory_ids array<string>",
+    )
+    links = spark.createDataFrame([("c1", "c2", "refines"), ("c2", "c3", "replaces")], "from_id string, to_id string, relation string")
+    memories = spark.createDataFrame([("m1", "u", "s", "p", "observation", "seen\n", [("main", "e2"), ("main", "e1"), ("main", "e2")]), ("m2", "v", "t", "p", "reflection", "sum", [])], "id string, owner_id string, session_id string, producer string, kind string, content string, source_entries array<struct<stream_id:string,entry_id:string>>")
+    rows = rendered_runs(items, conclusions, links, memories).collect()
+    assert [(r.position, r.status) for r in rows] == [(1, "available"), (2, "unauthorized"), (3, "unavailable"), (4, "available")]
+    assert rows[0].text.split("\n") == [
+        '"style" for language "py", depth full, current', '  run "r1" of "2026" by "m"', '  "c1" [agreement, x] "one"', '    about repository "A", "B"; supports: 2, conflicts: 0',
+        '  "c2" [agreement, x] "two"', '    about user "u"; supports: 1, conflicts: 1 (there is evidence against it)', '  "c1" refines "c2"', "  a relation to a result that is not shown",
+    ]
+    assert rows[1].text == "a saved result that is unauthorized" and rows[3].text == '"a\\"b" for none, depth full, unknown\n  run "r4" of "2026" by "m"\n  no conclusions'
+    assert not any("secret" in r.text or "c3" in r.text for r in rows)
+    one = rendered_runs(items, conclusions, links, memories, evidence="c2").collect()
+    assert [r.position for r in one] == [1, 2, 3] and "c1\" [" not in one[0].text
+    assert one[0].text.split("\n")[4:7] == ['    supported by "m1": observation of "p", owner "u", session "s", citing "main"/"e1", "main"/"e2"', '      "seen\\n"', '    contradicted by "gone": not available']
+    assert saved_text(rendered_runs(items.limit(0), conclusions, links, memories)) == "No saved results."
+    assert saved_text(rendered_runs(items, conclusions, links, memories), more=True).endswith("There are more saved results.")
