@@ -212,9 +212,10 @@ SELECT user_id, event_type, island, max(event_id) AS event_id, count(*) AS coale
  SELECT *, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM events)
 WHERE event_type <> 'signup' GROUP BY user_id, event_type, island""")
 def coalesce_barriers(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = t.events.withColumn("island", F.sum((F.col("event_type") == "signup").cast("long")).over(w)).where("event_type <> 'signup'")
-    return e.groupBy("user_id", "event_type", "island").agg(F.max("event_id").alias("event_id"), n("coalesced"))
+    from annalist.sources.spool import coalesced
+
+    requests = t.events.select("user_id", "event_id", "event_type", (F.col("event_type") != "signup").alias("automatic"))
+    return coalesced(requests, ["user_id"], "event_id", "event_type", "automatic").where("automatic").select("user_id", "event_type", "island", "event_id", "coalesced")
 
 
 @query("""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import exprs as X
@@ -74,6 +74,20 @@ def groups(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(last.alias("_l"), F.array_sort(F.collect_list("id")).alias("ids"), F.min(place).alias("first_place")).select(*by, *[F.col(f"_l.{c}").alias(c) for c in rows.columns if c not in by], "ids", "first_place")
 
 
+def coalesced(requests: DataFrame, queue: list[str], order: str, path: str, automatic: str) -> DataFrame:
+    """Waiting requests as they are worked off: automatic ones for one path become the newest of them, in the place of the first, but never across an explicit request; those all stay.
+
+    Adds place (the ``order`` of the first), island (explicit requests up to it) and coalesced (how many it stands for). A queue is sorted by one task; null paths are one path.
+    """
+    before = Window.partitionBy(*queue).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    barrier = ~F.coalesce(F.col(automatic), F.lit(False))
+    rows = requests.withColumn("island", F.count_if(barrier).over(before)).withColumn("_own", F.when(barrier, F.col(order)))
+    keys = [*queue, "island", path, "_own"]
+    last = F.max_by(F.struct(*[c for c in requests.columns if c not in keys]), F.col(order))
+    out = rows.groupBy(*keys).agg(last.alias("_l"), F.min(order).alias("place"), F.count(F.lit(1)).alias("coalesced"))
+    return out.select(*[F.col(c) if c in keys else F.col(f"_l.{c}") for c in requests.columns], "island", "place", "coalesced")
+
+
 def drain_report(outcomes: DataFrame) -> DataFrame:
     """outcomes(group, status: ok, failed, expired, waiting; notifications): one row of counters. A failed group keeps its notifications."""
     count = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("notifications"))), F.lit(0)).alias({"ok": "acknowledged"}.get(s, s))

@@ -6,6 +6,7 @@ from annalist.operators import derive, inputs
 from annalist.operators.evidence import file_repositories
 from annalist.operators.selection import SelectionError
 from annalist.plans.catalog import Catalog, SnapshotConflict
+from annalist.plans.projection import fill_missing
 from annalist.plans.replicate import replicate, with_leaves
 from annalist.plans.saved_reads import rendered_runs, saved_text
 
@@ -160,3 +161,10 @@ def test_saved_runs_as_text(spark):
     assert one[0].text.split("\n")[4:7] == ['    supported by "m1": observation of "p", owner "u", session "s", citing "main"/"e1", "main"/"e2"', '      "seen\\n"', '    contradicted by "gone": not available']
     assert saved_text(rendered_runs(items.limit(0), conclusions, links, memories)) == "No saved results."
     assert saved_text(rendered_runs(items, conclusions, links, memories), more=True).endswith("There are more saved results.")
+
+
+def test_streams_whose_files_are_gone_come_from_the_replica(spark):
+    schema = "session_id string, stream_id string, entry_id string"
+    scanned, mirrored = spark.createDataFrame([("s", "main", "1")], schema), spark.createDataFrame([("s", "main", "old"), ("s", "agent", "2"), ("t", "agent", "3")], schema)
+    got = fill_missing(scanned, spark.createDataFrame([("s", "agent")], "session_id string, stream_id string"), mirrored)
+    assert sorted(tuple(r) for r in got.collect()) == [("s", "agent", "2"), ("s", "main", "1")]

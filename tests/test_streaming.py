@@ -122,3 +122,11 @@ def test_notifications_are_queued_parked_and_acknowledged(spark, tmp_path):
             spool.acknowledge(spark, active, a | {"id": bad})
     with pytest.raises(ValueError):
         spool.enqueue(spark, active, a | {"producer_id": "p" * 5000})
+
+
+def test_waiting_requests_coalesce_but_not_across_explicit_ones(spark):
+    from annalist.sources.spool import coalesced
+
+    rows = [(1, "a", True, "x"), (2, "b", True, "y"), (3, "a", True, "z"), (4, "a", False, "now"), (5, "a", True, "u"), (6, "a", False, "now"), (7, None, True, "n"), (8, None, True, "m")]
+    got = coalesced(spark.createDataFrame([("q", *r) for r in rows], "q string, at int, path string, automatic boolean, body string"), ["q"], "at", "path", "automatic")
+    assert [(r.place, r.at, r.body, r.coalesced) for r in got.orderBy("place").collect()] == [(1, 3, "z", 2), (2, 2, "y", 1), (4, 4, "now", 1), (5, 5, "u", 1), (6, 6, "now", 1), (7, 8, "m", 2)]
