@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,23 +13,28 @@ BATCH_BYTES = 4 * 1024 * 1024
 def byte_batches(entries: DataFrame, by: list[str], limit: int = BATCH_BYTES) -> DataFrame:
     """Adds batch: entries in order of ordinal, a new batch where the current one has rows and would exceed ``limit``.
 
-    The greedy sum starts anew at each cut, so it is a fold over a log; a log is one task.
+    The greedy sum starts anew at each cut, so it is a fold over a log in order. A log is in one task, which passes over its sorted logs and holds an Arrow batch of rows at a time.
     """
     if limit <= 0:
         raise ValueError("the batch limit must be positive")
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ordinal")
-        out, batch, size, rows = [], 0, 0, 0
-        for n in frame["payload_bytes"]:
-            if rows and size + n > limit:
-                batch, size, rows = batch + 1, 0, 0
-            size, rows = size + n, rows + 1
-            out.append(batch)
-        return frame.assign(batch=out)
+    def fold(parts):
+        log, batch, size, rows = None, 0, 0, 0
+        for part in parts:
+            out = []
+            for key, n in zip(part.column("_log").to_pylist(), part.column("payload_bytes").to_pylist(), strict=True):
+                if key != log:
+                    log, batch, size, rows = key, 0, 0, 0
+                n = n or 0  # an unknown size counts as none
+                if rows and size + n > limit:
+                    batch, size, rows = batch + 1, 0, 0
+                size, rows = size + n, rows + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.int64())], names=[*part.schema.names[:-1], "batch"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema) + ", batch long"
-    return entries.groupBy(*by).applyInPandas(fold, schema)
+    ordered = entries.repartition(*by).sortWithinPartitions(*by, "ordinal")
+    return ordered.withColumn("_log", F.to_json(F.struct(*by))).mapInArrow(fold, schema)
 
 
 def plan_sync(summaries: DataFrame, entries: DataFrame, checkpoints: DataFrame, key: str = "session_id") -> tuple[DataFrame, DataFrame]:
