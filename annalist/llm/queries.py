@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from annalist.llm.decontaminate import op10_decontaminate
 from annalist.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from annalist.llm.imatch import op11_imatch
 from annalist.llm.language_id import op8_language_id
 from annalist.llm.language_model import op5_language_model
 from annalist.llm.minhash import op9_minhash
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_imatch": op11_imatch,
 }
 ORACLE_SQL = {
     "op1_suffix_dedup": OP1_SQL,
