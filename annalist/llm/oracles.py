@@ -45,3 +45,30 @@ SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS
        sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256
 FROM d LEFT JOIN m USING (doc_id)
 """
+#: crc32 of a decimal id, a byte at a time: ``t`` is the table of the 256 remainders.
+OP12_SQL = r"""
+WITH t AS (
+  SELECT list(list_reduce([CAST(b AS BIGINT)] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) AS r(b)),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (
+  SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n,
+    xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INT) + 1])), 4294967295) AS h
+  FROM d, t),
+g AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+e AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+o AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(n)] ELSE w END AS w FROM e),
+x AS (SELECT doc_id, n, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS k FROM (SELECT doc_id, n, w, unnest(range(n - 2)) AS i FROM o WHERE n >= 6)),
+q AS (SELECT doc_id, l.i, r.i - l.i AS q FROM x l JOIN x r USING (doc_id, k) WHERE r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+s AS (SELECT doc_id, q, min(i) AS s, max(i) + 3 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS j FROM q) GROUP BY doc_id, q, j),
+l AS (SELECT * FROM s WHERE e - s >= greatest(6, 4 * q)),
+r AS (SELECT * FROM l WHERE NOT EXISTS (FROM l AS m WHERE m.doc_id = l.doc_id AND m.q < l.q AND m.s <= l.s AND m.e >= l.e)),
+c AS (
+  SELECT doc_id, coalesce(string_agg(w[i + 1], ' ' ORDER BY i), '') AS kept
+  FROM (SELECT doc_id, w, unnest(range(n)) AS i FROM o) b WHERE NOT EXISTS (FROM r WHERE r.doc_id = b.doc_id AND b.i >= r.s + r.q AND b.i < r.e) GROUP BY doc_id),
+f AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS runs, first({'s': s, 'l': e - s, 'q': q} ORDER BY e - s DESC, s, q) AS b
+  FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
