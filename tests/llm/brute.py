@@ -178,3 +178,91 @@ def mix(docs, weights=(5, 2, 1), most=3):
                 free.discard(s)
         left = spare
     return sizes, target
+
+
+def imatch(docs, low=math.log(100), high=math.log(100_000)):
+    """Fingerprints and likenesses of (doc_id, text) and of their edited texts: doc_id -> row."""
+    import xxhash
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    h_text = lambda s, seed=42: xxhash.xxh64_intdigest(s.encode(), seed)
+
+    def h_longs(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest((v % 2**64).to_bytes(8, "little"), seed)
+        return seed
+
+    def terms(text):
+        return {signed(h_text(w)) for w in ALNUM.findall(text.lower())}
+
+    docs = sorted(((d, t or "") for d, t in docs), key=lambda r: -r[0])
+    n, df = len(docs), Counter(b for _, t in docs for b in {x % 2**21 for x in terms(t)})
+    band = {b for b, c in df.items() if n * math.exp(-high) <= c <= (n + math.exp(low)) * math.exp(-low)}
+
+    def fingerprint(text):
+        own = sorted(x for x in terms(text) if x % 2**21 in band)
+        step = 5
+        while len(own) > 1.5 * 2**step:
+            step += 2
+
+        def subsets(bits):
+            place = lambda x: (x % 2**64 >> 21) % 2**bits
+            # a subset's terms as the number of the subset above 58 bits of the term
+            held = [[k << 58 | x % 2**64 >> 6 for x in own if place(x) == k] for k in range(32)]
+            return [signed(h_longs(vs)) % (2**24 - 1) + 1 if vs else 0 for vs in held]
+
+        full = h_longs(own) if own else h_text("text", h_text(text))
+        return full, step, subsets(step), subsets(step + 2)
+
+    def likeness(a, b):
+        if a[0] == b[0]:
+            return 1.0
+        x, y = {0: (a[2] + a[3], b[2] + b[3]), 2: (a[3], b[2]), -2: (a[2], b[3])}.get(b[1] - a[1], ([], []))
+        either = [(p, q) for p, q in zip(x, y, strict=True) if p or q]
+        return sum(p == q for p, q in either) / len(either) if either else 0.0
+
+    show = lambda f: f"{f[0]:016x}:{f[1]}:" + "".join(f"{h:06x}" for h in f[2] + f[3])
+    out = {}
+    for i, (d, text) in enumerate(docs):
+        after = docs[(i + 1) % n][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, other, nxt = fingerprint(text), fingerprint(edited), fingerprint(after)
+        out[d] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), show(own), show(other), likeness(own, other), likeness(own, nxt))
+    return out
+
+
+def periodic_runs(words):
+    """(start, length, period) by start and period."""
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            size = i + q - s
+            if size >= max(6, 4 * q) and not any(all(words[k] == words[k + p] for k in range(s, s + size - p)) for p in range(1, q)):
+                out.append((s, size, q))
+            i += 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def hard_negatives(rows, anchor, positives=5, negatives=3, scale=256, low=50, high=95):
+    """rows: (id, label, vector) in order of place; anchor(id) -> bool. Null ids sort lowest."""
+    kept = []
+    for place, (i, label, v) in enumerate(rows):
+        if label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, label, [math.floor(float(x) * scale) for x in v], place))
+    order = lambda s: (-s[0], s[1] is not None, s[1] or 0)
+    out = []
+    for i, label, v, place in kept:
+        if i is None or not anchor(i):
+            continue
+        found = [(sum(a * b for a, b in zip(v, w, strict=False)), j, m) for j, m, w, at in kept if at != place]
+        best = sorted((s for s in found if s[2] == label), key=order)[:positives]
+        for ps, pid, _ in best:
+            fit = sorted((s for s in found if s[2] != label and low * ps <= 100 * s[0] <= high * ps), key=order)[:negatives]
+            out += [(i, pid, rank, nid, ps, ns) for rank, (ns, nid, _) in enumerate(fit, 1)]
+    return out

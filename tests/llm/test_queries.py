@@ -233,3 +233,11 @@ def test_pipeline_stages_keep_odd_rows_and_columns(spark, tmp_path, n):
     assert got["decontaminate"] == sorted((r for r in rows if "dd0 " not in (r[1] or "")), key=repr)
     taken = {s: sum(len((r[1] or "").split()) for r in got["mix_sources"] if r[3] == s) for s in (None, "s")}
     assert taken["s"] > 0 and all(got["mix_sources"].count(r) <= 3 for r in rows)
+
+
+def test_op11(spark, docs):
+    out = {r.doc_id: r for r in run(spark, "op11_imatch").collect()}
+    want = brute.imatch(docs)
+    assert {d: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for d, r in out.items()} == {d: w[:4] for d, w in want.items()}
+    assert {d: r.near_edited for d, r in out.items()} == pytest.approx({d: w[4] for d, w in want.items()})
+    assert {d: r.near_next for d, r in out.items()} == pytest.approx({d: w[5] for d, w in want.items()})
