@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -131,15 +132,77 @@ def test_unresolved_references(spark):
     assert got == {("a" * 12, "gone", None), ("b" * 12, None, "c" * 12)}
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.fixture
+def keyed(spark):
+    from annalist.streaming.sidecar import PROVIDER
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, PROVIDER)
+    yield
+    spark.conf.set(name, before)
+
+
+def streamed(spark, tmp_path, parts, *, restart_after=None, **options):
+    """Rows that come out when each part is a file and a micro-batch; the query is started anew after ``restart_after`` parts."""
     from annalist.streaming.sidecar import classify_stream
 
+    progress = []
+    for stage in (parts[:restart_after], parts[restart_after:]) if restart_after else (parts,):
+        done = len(list(tmp_path.glob("in/*")))
+        for i, part in enumerate(stage):
+            spark.createDataFrame(part, REC).coalesce(1).write.json(str(tmp_path / f"in/{done + i:04d}"))
+        stream = spark.readStream.schema(REC).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+        q = classify_stream(stream, **options).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        assert q.exception() is None
+        progress += [p for p in q.recentProgress if p.numInputRows]
+    return spark.read.parquet(str(tmp_path / "out")), progress
+
+
+def test_stream_equals_batch(spark, tmp_path, keyed):
     events = [event("1"), event("2", bytes_=5), event("1"), event("2", bytes_=50), event("3", bytes_=60)]
     data = rows("prod", *events)
-    for i, part in enumerate((data[:2], data[1:4], data[4:])):  # the second file delivers a record again
-        spark.createDataFrame(part, REC).coalesce(1).write.mode("append").json(str(tmp_path / f"in/{i}"))
-    stream = spark.readStream.schema(REC).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
-    q = classify_stream(stream).writeStream.format("memory").queryName("sidecar_out").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = spark.sql("select ordinal, semantic_status, diagnostics from sidecar_out order by ordinal").collect()
-    assert [(r.semantic_status, r.diagnostics) for r in got] == statuses(*events)
+    out, _ = streamed(spark, tmp_path, [data[:2], data[1:4], data[4:]], restart_after=2)  # the second file delivers a record again
+    assert [(r.semantic_status, r.diagnostics) for r in out.orderBy("ordinal").collect()] == statuses(*events)
+
+
+def test_random_micro_batches_and_a_restart_change_nothing(spark, tmp_path, keyed):
+    rng = random.Random(11)
+    data = []
+    for producer in ("prod", "q", "r"):
+        at, events = 10, []
+        for i in range(60):
+            at += rng.choice([0, 1, 1, -3 if i % 9 == 8 else 1])
+            known = rng.randrange(i) if i and rng.random() < 0.2 else i
+            events.append(event(f"{known}", bytes_=at) if known == i or (producer == "r" and i > 40) else events[known])
+        data.append(rows(producer, *events))
+    parts = [[] for _ in range(5)]
+    for log in data:
+        cuts = sorted(rng.sample(range(len(log)), 4))
+        for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(log)], strict=True)):
+            parts[i] += log[max(0, a - 2) : b]  # some are delivered again
+    for p in parts:
+        rng.shuffle(p)
+    want = {(r.producer_id, r.ordinal): (r.semantic_status, r.diagnostics, r.event_hash) for r in classified(spark, *data).collect()}
+    assert {v[0] for v in want.values()} == {"accepted", "replay", "skipped", "conflict", "blocked"}
+    out, _ = streamed(spark, tmp_path, [p for p in parts if p], restart_after=3)
+    got = out.collect()
+    assert len(got) == len(want) and {(r.producer_id, r.ordinal): (r.semantic_status, r.diagnostics, r.event_hash) for r in got} == want
+
+
+def test_state_grows_by_the_batch(spark, tmp_path, keyed):
+    """After 300 events, a micro-batch of 3 writes their 3 entries and the log's one value."""
+    data = rows("prod", *[event(str(i), bytes_=10 + i) for i in range(303)])
+    _, progress = streamed(spark, tmp_path, [data[:300], data[300:]])
+    first, second = [p.stateOperators[0] for p in progress]
+    assert first.numRowsUpdated >= 300 and second.numRowsUpdated <= 4 and second.numRowsTotal >= 303
+    kept = spark.read.format("statestore").option("stateVarName", "hashes").load(str(tmp_path / "cp"))
+    assert kept.count() == 303
+
+
+def test_stream_needs_its_state_provider(spark):
+    from annalist.streaming.sidecar import classify_stream
+
+    with pytest.raises(RuntimeError, match="providerClass"):
+        classify_stream(spark.readStream.format("rate").load().selectExpr("'a' source_kind", "'b' source_session_id", "'c' producer_id", "value ordinal", "'' raw_json"))
