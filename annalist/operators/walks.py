@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,20 +30,24 @@ def ancestors(entries: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").applyInPandas(_chain, "session_id string, entry_id string, depth long")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows as a table in the checkpoint folder, which driver and executors share: they are computed once, lineage ends there, and losing an executor loses nothing.
-
-    Where no folder is set, a local one is taken if driver and executors are one process."""
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
+def fresh_folder(df_or_session: DataFrame | SparkSession, what: str) -> str:
+    """A new folder name below the checkpoint folder, which driver and executors share. Where none is set, a local one is taken if driver and executors are one process."""
+    spark = df_or_session.sparkSession if isinstance(df_or_session, DataFrame) else df_or_session
+    context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None) or (found.get() if found.isDefined() else None)
     if not folder:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file:///tmp/checkpoints/annalist"
-    path = f"{folder.rstrip('/')}/annalist/rows-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/annalist/{what}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows as a table in a ``fresh_folder``: they are computed once, lineage ends there, and losing an executor loses nothing."""
+    path = fresh_folder(df, "rows")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lineage(ids: DataFrame, edges: DataFrame, most: int = 128) -> DataFrame:

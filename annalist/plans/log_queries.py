@@ -463,7 +463,7 @@ def replicated_logs(t: Tables) -> DataFrame:
     """Users' events are logs, carried over once up to the middle of the month and then as a whole, by three entries a batch. Some users' logs begin differently the second time, in
     some the last entry takes the first one's id, and some users have no session."""
     from annalist.plans.replicate import replicate
-    from annalist.plans.surrogates import _scratch
+    from annalist.operators.walks import fresh_folder
 
     e = t.events.select("user_id", "event_id", (F.dayofmonth("ts") <= 15).alias("early"))
 
@@ -479,7 +479,7 @@ def replicated_logs(t: Tables) -> DataFrame:
                            LIT("head").alias("header_prefix_hash"), LIT(100).cast("long").alias("largest_entry_bytes"), LIT(True).alias("has_final_newline"), F.concat(LIT("/logs/"), S("user_id")).alias("source_file"))
         return logs, entries
 
-    replica = catalog.Catalog(t.spark, _scratch(t.spark, "replica"), {"sessions": ("id", 8)})
+    replica = catalog.Catalog(t.spark, fresh_folder(t.spark, "replica"), {"sessions": ("id", 8)})
     replica.write("sessions", e.where("user_id % 7 <> 6").select(S("user_id").alias("id"), LIT(None).cast("long").alias("memory_revision")).distinct())
     replicate(replica, *scanned(e.where("early"), False), limit=300, sessions=True)
     report = replicate(replica, *scanned(e, True), limit=300, sessions=True)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import exprs as X
+from annalist.operators.walks import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -456,20 +457,13 @@ def insert_conflicts(t: Tables) -> DataFrame:
     return payload_conflicts(rows.where("l_linenumber > 3"), rows.where("l_linenumber <= 3"), ["l_partkey"], "l_suppkey")
 
 
-def _scratch(spark: SparkSession, what: str) -> str:
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/annalist"
-    return f"{folder.rstrip('/')}/catalogs/{what}-{uuid.uuid4().hex}"
-
-
 @query("""
 SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 3 = 0 THEN 'projected' ELSE o_orderstatus END AS state FROM orders WHERE NOT (o_custkey % 3 = 0 AND o_orderstatus = 'F')""")
 def projection_replace(t: Tables) -> DataFrame:
     """The orders of every third customer are replaced as a whole, two tables in one commit; only their buckets are written anew."""
     from annalist.plans.catalog import Catalog
 
-    catalog = Catalog(t.spark, _scratch(t.spark, "replace"), {"observations": ("o_custkey", 8), "about": ("o_custkey", 8)})
+    catalog = Catalog(t.spark, fresh_folder(t.spark, "replace"), {"observations": ("o_custkey", 8), "about": ("o_custkey", 8)})
     rows = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("state"))
     scope = rows.where("o_custkey % 3 = 0").select("o_custkey").distinct()
     catalog.replace_all({"observations": rows, "about": rows.select("o_custkey", "o_orderkey")}, rows.select("o_custkey").distinct(), ["o_custkey"])
@@ -484,7 +478,7 @@ def insert_if_absent(t: Tables) -> DataFrame:
     """Known keys keep their row, new ones are appended, to a table that a catalog holds."""
     from annalist.plans.catalog import Catalog
 
-    catalog = Catalog(t.spark, _scratch(t.spark, "insert"))
+    catalog = Catalog(t.spark, fresh_folder(t.spark, "insert"))
     rows = t.customer.select("c_custkey", F.col("c_mktsegment").alias("segment"))
     catalog.insert_new("entries", rows.where("c_custkey % 2 = 0").withColumn("origin", F.lit("replica")), ["c_custkey"], "segment")
     catalog.insert_new("entries", rows.withColumn("origin", F.lit("new")), ["c_custkey"], "segment")

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
@@ -238,9 +239,17 @@ class LogSource(DataSource):
         return TailReader(self.options)
 
 
+def register(spark: SparkSession) -> None:
+    try:
+        spark.dataSource.register(LogSource)
+    except AnalysisException as e:  # a session made from another one has its sources already
+        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+            raise
+
+
 def split_ranges(spark: SparkSession, folder: str, suffix: str = ".jsonl", split_bytes: int = SPLIT) -> DataFrame:
     """path, range_start, range_end, records, first (ordinal of the range's first record), tail (whether it ends the log), as a written table: one row a range."""
-    spark.dataSource.register(LogSource)
+    register(spark)
     counted = spark.read.format("annalist_logs").options(mode="ranges", suffix=suffix, splitBytes=split_bytes).load(folder)
     before = Window.partitionBy("path").orderBy("range_start")
     first = F.coalesce(F.sum("records").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))

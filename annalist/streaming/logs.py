@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from annalist.sources.log_source import CHAIN, SPLIT, LogSource, link
+from annalist.sources.log_source import CHAIN, SPLIT, link, register
 from annalist.streaming.sidecar import keyed_state
 
 NUMBERED = "path string, ordinal long, byte_offset long, next_byte_offset long, type string, payload_hash string, chain_hash string, raw binary"
@@ -20,7 +20,7 @@ def tail(spark: SparkSession, folder: str, suffix: str = ".jsonl", split_bytes:
 
     A record comes when its newline has come, in the micro-batch that finds it; of bytes read before only those of its beginning are read again. Files that appear later are
     read from their start. ``max_bytes``: about how much a micro-batch may take (0: all there is)."""
-    spark.dataSource.register(LogSource)
+    register(spark)
     stream = spark.readStream.format("annalist_logs").options(suffix=suffix, splitBytes=split_bytes, maxBytes=max_bytes).load(folder)
     return stream.drop("ordinal")
 
