@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ SESSION_TOOLS = ("read", "edit", "write")
 TRANSCRIPT_TOOLS = ("Read", "Edit", "Write")
 
 _SESSION_MESSAGE = "struct<message:struct<role:string,toolCallId:string,content:array<struct<type:string,id:string,name:string,arguments:struct<path:string>>>>>"
+_BLOCKS = "array<struct<type:string,id:string,name:string,tool_use_id:string,input:struct<file_path:string>>>"
 _TRANSCRIPT_MESSAGE = "struct<sourceToolAssistantUUID:string,message:struct<content:array<struct<type:string,id:string,name:string,tool_use_id:string,input:struct<file_path:string>>>>>"
 
 
@@ -123,57 +123,39 @@ def selected_session_entries(entries: DataFrame, leaves: DataFrame | None = None
     return entries.join(ancestors(marked).select("session_id", "entry_id"), ["session_id", "entry_id"], "left_semi")
 
 
-def _select_transcript(frame: pd.DataFrame) -> pd.DataFrame:
-    """Fixpoint over the parent stream: ancestry, the messages that results name, fragments of one request, and results of selected calls."""
-    from annalist.functions.canonical import parse_json
-
-    main = frame[frame["stream_id"] == "main"]
-    rows = {}
-    for r in main.to_dict("records"):
-        if r["record_uuid"] is None:
-            continue
-        value = parse_json(r["raw_json"])
-        message = value.get("message")
-        blocks = message.get("content") if isinstance(message, dict) and isinstance(message.get("content"), list) else []
-        blocks = [b for b in blocks if isinstance(b, dict)]
-        text = lambda v: v if isinstance(v, str) and v else None
-        r["calls"] = {b["id"] for b in blocks if b.get("type") == "tool_use" and text(b.get("id"))}
-        r["results"] = {b["tool_use_id"] for b in blocks if b.get("type") == "tool_result" and text(b.get("tool_use_id"))}
-        r["source"] = text(value.get("sourceToolAssistantUUID"))
-        rows[r["record_uuid"]] = r
-    by_request: dict[str, list[str]] = {}
-    by_source: dict[str, list[str]] = {}
-    for u, r in rows.items():
-        if r["request_id"] is not None:
-            by_request.setdefault(r["request_id"], []).append(u)
-        if r["source"] is not None and r["results"]:
-            by_source.setdefault(r["source"], []).append(u)
-    chosen, queue = set(), []
-    at = frame["current_leaf_id"].iloc[0]
-    while at in rows and at not in chosen:
-        chosen.add(at)
-        queue.append(at)
-        at = rows[at]["parent_id"] or rows[at]["logical_parent_id"]
-    while queue:  # each record is taken once: linear in records and their links
-        r = rows[queue.pop()]
-        more = [r["source"]] if r["results"] and r["source"] in rows else []
-        if r["request_id"] is not None:
-            more += by_request.get(r["request_id"], [])
-        more += [u for u in by_source.get(r["record_uuid"], []) if rows[u]["results"] & r["calls"]]
-        for u in more:
-            if u not in chosen:
-                chosen.add(u)
-                queue.append(u)
-    keep = (frame["stream_id"] != "main") | frame["record_uuid"].isin(chosen)
-    return frame.loc[keep, ["session_id", "stream_id", "ordinal"]]
+def transcript_links(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the parent stream's records: nodes(session_id, node, up) by uuid, the parent before the logical parent; edges(session_id, node, to) from a record to those that are
+    selected with it: from results to the message they name, between fragments of one request, and from calls to their results.
+
+    A request is a node between its fragments, so that a request of n records has 2n edges and not n². ``r`` and ``q`` keep records and requests apart.
+    """
+    v = F.from_json("raw_json", _TRANSCRIPT_MESSAGE)
+    ids = lambda kind, field: F.array_distinct(F.filter(F.transform(F.filter(F.coalesce(F.col("b"), F.array().cast(_BLOCKS)), lambda b: b["type"] == kind), lambda b: b[field]), lambda x: x.isNotNull() & (x != "")))
+    main = entries.where("stream_id = 'main' and record_uuid is not null").withColumn("v", v).select("session_id", F.concat(F.lit("r"), "record_uuid").alias("node"), "parent_id", "logical_parent_id", "request_id", F.col("v.sourceToolAssistantUUID").alias("source"), F.col("v.message.content").alias("b"))
+    said = lambda c: F.when(F.col(c) != "", F.concat(F.lit("r"), c))
+    main = main.select("session_id", "node", F.coalesce(said("parent_id"), said("logical_parent_id")).alias("up"), "request_id", said("source").alias("source"), ids("tool_use", "id").alias("calls"), ids("tool_result", "tool_use_id").alias("results"))
+    results = main.where(F.col("source").isNotNull() & (F.size("results") > 0))
+    named = results.select("session_id", "node", F.col("source").alias("to")).join(main.select("session_id", F.col("node").alias("to")), ["session_id", "to"], "left_semi")
+    part = main.where("request_id is not null").select("session_id", "node", F.concat(F.lit("q"), "request_id").alias("to"))
+    made = main.select("session_id", "node", F.explode("calls").alias("call"))
+    given = results.select("session_id", F.col("source").alias("node"), F.col("node").alias("to"), F.explode("results").alias("call"))
+    answered = made.join(given, ["session_id", "node", "call"]).select("session_id", "node", "to")
+    edges = named.select("session_id", "node", "to").unionByName(part).unionByName(part.select("session_id", F.col("to").alias("node"), F.col("node").alias("to"))).unionByName(answered)
+    return main.select("session_id", "node", "up"), edges
 
 
 def selected_transcript_entries(entries: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Selected records of the parent stream, and all records of subagent streams. leaves(session_id, current_leaf_id)."""
-    rows = entries.join(leaves.select("session_id", "current_leaf_id"), "session_id", "left")
-    rows = rows.select("session_id", "stream_id", "ordinal", "record_uuid", "parent_id", "logical_parent_id", "request_id", "raw_json", "current_leaf_id")
-    kept = rows.groupBy("session_id").applyInPandas(_select_transcript, "session_id string, stream_id string, ordinal long")
-    return entries.join(kept, ["session_id", "stream_id", "ordinal"], "left_semi")
+    """Selected records of the parent stream, and all records of subagent streams. leaves(session_id, current_leaf_id).
+
+    Selected are the leaf's ancestry, and with a record the messages that its results name, the fragments of its request and the results of its calls, as long as that adds any. A session of any size
+    is joined by keys of its records; of a session without a leaf nothing of the parent stream is selected."""
+    from annalist.operators.walks import climb, durable, reachable
+
+    nodes, edges = transcript_links(durable(entries.select("session_id", "stream_id", "record_uuid", "parent_id", "logical_parent_id", "request_id", "raw_json")))
+    starts = leaves.where("current_leaf_id is not null").select("session_id", F.concat(F.lit("r"), "current_leaf_id").alias("node"))
+    chosen = reachable(climb(nodes, starts), edges).where(F.col("node").startswith("r")).select("session_id", F.substr("node", F.lit(2)).alias("record_uuid"))
+    main = entries.where("stream_id = 'main'").join(chosen, ["session_id", "record_uuid"], "left_semi")
+    return main.select(*entries.columns).unionByName(entries.where("stream_id <> 'main'"))
 
 
 def link_observations(observations: DataFrame, touches: DataFrame, by_stream: bool = True) -> DataFrame:

@@ -229,32 +229,42 @@ def copied_requests(entries: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def originals(found: DataFrame, entries: DataFrame, sessions: DataFrame, most: int = 128) -> DataFrame:
-    """Follows each anchor through fork parents to the session where it was first written.
+    """Follows each anchor through fork parents to the session where it was first written, over at most ``most`` forks.
 
     sessions(id, user_id, source_kind, parent_session, parent_ids array). A step is taken while the one parent of same kind and owner holds the same entry with the same bytes.
-    Several parents, a parent that is declared but not there, a copy that differs, and a cycle give no occasion.
+    Several parents, a parent that is declared but not there, a copy that differs, an entry that stands twice in its session, and a cycle give no occasion.
+
+    Each copy of an anchored entry is a node that points to its copy one fork up, ends here, or breaks off. A round replaces what a node points to by what that points to, so paths double: 128 forks are
+    7 rounds and 8 written tables, and what still points somewhere after them is on a cycle or too deep.
     """
     from annalist.operators.walks import durable
 
-    hashed = entries.select(F.col("session_id").alias("p"), F.col("stream_id").alias("anchor_stream"), F.col("entry_id").alias("anchor_entry"), F.sha2(F.col("raw_json").cast("binary"), 256).alias("_copy"))
-    s = sessions.select(F.col("id").alias("at"), F.col("user_id").alias("_u"), F.col("source_kind").alias("_k"), F.col("parent_session").isNotNull().alias("_declared"), F.coalesce("parent_ids", F.array().cast("array<string>")).alias("_parents"))
-    p = sessions.select(F.col("id").alias("p"), F.col("user_id").alias("_pu"), F.col("source_kind").alias("_pk"))
-    live = found.withColumn("at", F.col("session_id")).withColumn("path", F.array("session_id"))
-    done = None
-    for _ in range(most + 1):
-        step = live.join(s, "at").withColumn("p", F.when(F.size("_parents") == 1, F.col("_parents")[0]))
-        step = step.join(p, "p", "left").join(hashed, ["p", "anchor_stream", "anchor_entry"], "left")
-        same = F.col("_pu").eqNullSafe(F.col("_u")) & F.col("_pk").eqNullSafe(F.col("_k")) & F.col("_pu").isNotNull()
-        here = (F.size("_parents") == 0) & ~F.col("_declared") | (F.size("_parents") == 1) & same & F.col("_copy").isNull()
-        up = (F.size("_parents") == 1) & same & (F.col("_copy") == F.col("raw_hash")) & ~F.array_contains("path", F.col("p"))
-        keep = ["session_id", "stream_id", "entry_id", "anchor_stream", "anchor_entry", "raw_hash"]
-        step = durable(step.select(*keep, "at", "path", "p", here.alias("_here"), F.coalesce(up, F.lit(False)).alias("_up")))
-        ended = step.where("_here").select(*keep[:5], F.col("at").alias("origin_session"))
-        done = ended if done is None else done.unionByName(ended)
-        live = step.where("_up and not _here").select(*keep, F.col("p").alias("at"), F.concat("path", F.array("p")).alias("path"))
-        if live.isEmpty():
+    at = ["anchor_stream", "anchor_entry"]
+    copies = entries.select("session_id", F.col("stream_id").alias("anchor_stream"), F.col("entry_id").alias("anchor_entry"), "raw_json").join(found.select(*at).distinct(), at, "left_semi")
+    copies = copies.groupBy("session_id", *at).agg(F.count(F.lit(1)).alias("n"), F.first(F.sha2(F.col("raw_json").cast("binary"), 256)).alias("hash")).where("n = 1").drop("n")
+    s = sessions.select(F.col("id").alias("session_id"), F.col("user_id").alias("_u"), F.col("source_kind").alias("_k"), F.col("parent_session").isNotNull().alias("_declared"), F.coalesce("parent_ids", F.array().cast("array<string>")).alias("_parents"))
+    p = sessions.select(F.col("id").alias("_p"), F.col("user_id").alias("_pu"), F.col("source_kind").alias("_pk"))
+    forks = s.withColumn("_p", F.when(F.size("_parents") == 1, F.get("_parents", F.lit(0)))).join(p, "_p", "left")
+    same = F.coalesce((F.col("_pu") == F.col("_u")) & (F.col("_pk") == F.col("_k")), F.lit(False))
+    forks = forks.select("session_id", (F.size("_parents").eqNullSafe(0) & ~F.col("_declared")).alias("_root"), F.when(same, F.col("_p")).alias("_p"))
+    above = copies.select(F.col("session_id").alias("_p"), *at, F.col("hash").alias("_copy"))
+    steps = copies.join(forks, "session_id").join(above, ["_p", *at], "left")
+    ends = F.col("_root") | F.col("_p").isNotNull() & F.col("_copy").isNull()
+    # to: the session that a node's path has come to; live: whether it may go on from there
+    nodes = steps.select("session_id", *at, "hash", F.when(ends, F.col("session_id")).when(F.col("_copy") == F.col("hash"), F.col("_p")).alias("to"), (~ends).alias("live"), F.when(ends, 0).otherwise(1).alias("forks"))
+    nodes, reach = durable(nodes.where("to is not null")), 1
+    while reach < most:
+        on = nodes.select(F.col("session_id").alias("to"), *at, F.col("to").alias("_to"), F.col("live").alias("_live"), F.col("forks").alias("_forks"))
+        # a live path that meets a node which broke off has no row any more
+        grown = nodes.where("live").join(on, ["to", *at]).select("session_id", *at, "hash", F.col("_to").alias("to"), F.col("_live").alias("live"), (F.col("forks") + F.col("_forks")).alias("forks"))
+        nodes, reach = durable(nodes.where("not live").unionByName(grown)), reach * 2
+        if nodes.where("live").isEmpty():
             break
-    return done
+    # a path of ``most`` forks may have come to its end, which its own node tells
+    ended = nodes.where("not live and forks = 0").select("session_id", *at)
+    last = nodes.where("live").join(ended.withColumnRenamed("session_id", "to"), ["to", *at], "left_semi") if reach >= most else nodes.limit(0)
+    done = nodes.where("not live").unionByName(last).where(F.col("forks") <= most)
+    return found.join(done.select("session_id", *at, F.col("hash").alias("raw_hash"), F.col("to").alias("origin_session")), ["session_id", *at, "raw_hash"]).select("session_id", "stream_id", "entry_id", *at, "origin_session")
 
 
 def verified_occasions(memories: DataFrame, entries: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -65,3 +65,41 @@ def lineage(ids: DataFrame, edges: DataFrame, most: int = 128) -> DataFrame:
         known, n, reach = known * 2, grown.where(F.col("depth") > known).isEmpty(), grown
     own = ids.select("id").distinct()
     return own.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(reach.join(own, "id", "left_semi").select("id", "ancestor", F.col("depth").cast("int").alias("depth")))
+
+
+def climb(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """nodes(session_id, node, up), starts(session_id, node) -> session_id, node of every start and of all nodes above it, each once; a start or an ``up`` that is no node ends its path.
+
+    Paths may be as long as a session: a round joins what is reached with jumps of 1, 2, 4, ... steps, so n steps take log2(n) rounds, and a cycle ends where nothing new comes.
+    """
+    known = durable(nodes.select("session_id", "node", "up").dropDuplicates(["session_id", "node"]))
+    at = known.select("session_id", "node")
+    jump = durable(known.join(at.withColumnRenamed("node", "up"), ["session_id", "up"]).select("session_id", "node", F.col("up").alias("to")))
+    reached = durable(starts.select("session_id", "node").distinct().join(at, ["session_id", "node"], "left_semi"))
+    while True:
+        more = reached.join(jump, ["session_id", "node"]).select("session_id", F.col("to").alias("node")).distinct()
+        more = durable(more.join(reached, ["session_id", "node"], "left_anti"))
+        if more.isEmpty():
+            return reached
+        reached = durable(reached.unionByName(more))
+        on = jump.select("session_id", F.col("node").alias("to"), F.col("to").alias("_further"))
+        jump = durable(jump.join(on, ["session_id", "to"]).select("session_id", "node", F.col("_further").alias("to")))
+
+
+def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """starts(session_id, node), edges(session_id, node, to) -> session_id, node of all that is reached over any number of edges, starts included, each once.
+
+    Semi-naive: a round joins the nodes of the last one with the edges, and those that are new make the next, so each edge is used once; the rounds are as many as the longest shortest path.
+    """
+    edges = durable(edges.select("session_id", "node", "to").distinct())
+    reached = new = durable(starts.select("session_id", "node").distinct())
+    rounds = 0
+    while True:
+        found = new.join(edges, ["session_id", "node"]).select("session_id", F.col("to").alias("node")).distinct()
+        new = durable(found.join(reached, ["session_id", "node"], "left_anti"))
+        if new.isEmpty():
+            return reached
+        rounds += 1
+        reached = reached.unionByName(new)
+        if rounds % 8 == 0:  # a plan of few tables, however many rounds there are
+            reached = durable(reached)

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from annalist.plans import log_queries, surrogates, tail_queries  # noqa: F401
+from annalist.plans import graph_queries, log_queries, surrogates, tail_queries  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
