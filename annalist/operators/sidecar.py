@@ -1,18 +1,20 @@
 """Meaning of a producer's event log: envelope inspection, then the stateful fold of replay, conflict, regression and blocking.
 
-The fold is one pure function over the records of a log. The batch form runs it in a task per log, the streaming form keeps its state by key.
+The fold is one pure function over the records of a log, which the streaming form runs with its state by key. The batch form (``classify``) splits it: envelopes and ids are columns and
+windows, and what is left to do in order is a pass with a state of one checkpoint.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from annalist.functions.canonical import CanonicalError, event_hash, parse_json
 
@@ -198,13 +200,53 @@ def fold(records: Iterable[str], locator: Locator, state: State | None = None) -
 SEMANTICS = "source_kind string, source_session_id string, producer_id string, ordinal long, semantic_status string, diagnostics array<string>, event_id string, event_hash string, kind string, raw_json string"
 
 
-def classify(records: DataFrame) -> DataFrame:
-    """records(source_kind, source_session_id, producer_id, ordinal, raw_json) -> the same with semantic_status, diagnostics, event_id, event_hash, kind."""
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Statuses of inspected records in order of log and ordinal. What the fold keeps is one checkpoint and one latch, whatever a log's length."""
+    log, before, latched = None, None, False
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in LOG), strict=True))
+        checkpoints, out = batch.column("checkpoint"), []
+        for i, (key, reason, known) in enumerate(zip(keys, batch.column("reason").to_pylist(), batch.column("known").to_pylist(), strict=True)):
+            if key != log:
+                log, before, latched = key, None, False
+            if reason is not None:
+                out.append(("skipped", [reason]))
+            elif latched:
+                out.append(("blocked", ["stream-conflicted"]))
+            elif known == "same":
+                out.append(("replay", ["idempotent-replay"]))
+            elif known == "other":
+                latched = True
+                out.append(("conflict", ["immutable-event-conflict"]))
+            else:
+                now = checkpoints[i].as_py()
+                if before is not None and regressed(before, now):
+                    out.append(("skipped", ["checkpoint-regression"]))
+                else:
+                    before = now
+                    out.append(("accepted", []))
+        status, why = zip(*out, strict=True) if out else ((), ())
+        columns = [*LOG, "ordinal", "event_id", "event_hash", "kind"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(status, pa.string()), pa.array(why, pa.list_(pa.string()))], names=[*columns, "semantic_status", "diagnostics"])
+
+
+LOG = ["source_kind", "source_session_id", "producer_id"]
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ordinal")
-        out = pd.DataFrame(fold(frame["raw_json"], Locator(*key)), columns=["status", "diagnostics", "event_id", "event_hash", "kind"], index=frame.index)
-        return frame.assign(semantic_status=out["status"], diagnostics=out["diagnostics"], event_id=out["event_id"], event_hash=out["event_hash"], kind=out["kind"])[[c.split()[0] for c in SEMANTICS.split(", ")]]
 
-    keys = ["source_kind", "source_session_id", "producer_id"]
-    return records.select(*keys, "ordinal", "raw_json").groupBy(*keys).applyInPandas(run, SEMANTICS)
+def classify(records: DataFrame) -> DataFrame:
+    """records(source_kind, source_session_id, producer_id, ordinal, raw_json) -> the same with semantic_status, diagnostics, event_id, event_hash, kind.
+
+    Records are inspected in the JVM (``envelope.inspected``). Whether an event's id is known, and with another hash, is told by the first record with that id, over the ids; only checkpoints
+    and the latch need a log's records in order, and that pass sees neither texts nor the ids that came before.
+    """
+    from annalist.operators.envelope import inspected
+    from annalist.operators.walks import durable
+
+    seen = durable(inspected(records).drop("raw_json"))
+    # records without an id are by themselves
+    same = Window.partitionBy(*LOG, "event_id", F.when(F.col("event_id").isNull(), F.col("ordinal"))).orderBy("ordinal")
+    first = F.first("event_hash").over(same)
+    seen = seen.withColumn("known", F.when(F.row_number().over(same) == 1, "new").when(F.col("event_hash") == first, "same").otherwise("other"))
+    ordered = seen.select(*LOG, "ordinal", "reason", "event_id", "event_hash", "kind", "known", "checkpoint").repartition(*LOG).sortWithinPartitions(*LOG, "ordinal")
+    told = ordered.mapInArrow(_turns, "source_kind string, source_session_id string, producer_id string, ordinal long, event_id string, event_hash string, kind string, semantic_status string, diagnostics array<string>")
+    return records.select(*LOG, "ordinal", "raw_json").join(told, [*LOG, "ordinal"]).select(*[c.split()[0] for c in SEMANTICS.split(", ")])

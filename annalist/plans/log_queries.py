@@ -13,7 +13,7 @@ from annalist.plans.file_memory import Graph, file_memory
 from annalist.plans.surrogates import Tables, n, query
 from annalist.sources import spool
 
-S = lambda c: F.col(c).cast("string")
+S = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
 LIT = F.lit
 
 
@@ -183,6 +183,35 @@ def sidecar_semantics(t: Tables) -> DataFrame:
     return sidecar.classify(event_log(t)).select(F.col("source_session_id").cast("long").alias("user_id"), "ordinal", "semantic_status")
 
 
+_VALID = """'{"eventId":"e' || event_id || '","kind":"observations.recorded"' || extra || ',"observations":[{"content":' || to_json(event_type || ' ' || props) || ',"id":"' || md5(CAST(event_id AS VARCHAR))[1:12] || '","relevance":"high","sourceEntries":[{"entryId":"e","streamId":"main"}],"timestamp":"2024-01-01T00:00:00.000Z","tokenCount":3}],"producer":{"id":"p","version":"1"},"protocolVersion":1,"recordedAt":"2024-01-01T00:00:00Z","source":{"kind":"pi","sessionId":"' || user_id || '"},"sourceCheckpoint":{"streams":[{"committedBytes":' || (o + 10) || ',"prefixSha256":"' || repeat('a', 64) || '","selectedLeafEntryId":null,"streamId":"main"}]}}'"""
+
+
+@query(f"""
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS o, event_id % 20 AS v, CASE WHEN event_id % 20 = 14 THEN ',"note":1.5' ELSE '' END AS extra FROM events)
+SELECT user_id, o AS ordinal, CASE WHEN v < 14 THEN 'skipped' ELSE 'accepted' END AS semantic_status,
+  CASE WHEN v < 2 THEN 'malformed-json' WHEN v = 2 THEN 'invalid-envelope' WHEN v = 3 THEN 'unsupported-version' WHEN v = 4 THEN 'unsupported-kind' WHEN v = 11 THEN 'producer-mismatch' WHEN v = 12 THEN 'source-mismatch'
+    WHEN v < 14 THEN 'invalid-envelope' END AS diagnostic,
+  CASE WHEN v >= 14 THEN sha256({_VALID}) END AS event_hash FROM e""")
+def sidecar_validation(t: Tables) -> DataFrame:
+    """An event log per user, of whose records every rule of the envelope stops some: two of three are broken in fourteen ways, and one in twenty is right in a form that only the definition writes alike."""
+    from pyspark.sql import Window
+
+    o = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
+    e = t.events.select("event_id", "user_id", "event_type", "props", o.alias("o"), (F.col("event_id") % 20).alias("v"))
+    at = lambda n, broken, right: F.when(F.col("v") == n, LIT(broken)).otherwise(LIT(right))
+    observation = F.concat(LIT('{"id":"'), memory_hex(S("event_id")), LIT('","content":'), X.quoted(F.concat("event_type", LIT(" "), "props")), LIT(',"timestamp":"2024-01-01T00:00:00.000Z","relevance":"high","tokenCount":3,"sourceEntries":[{"streamId":"'), at(9, "side", "main"), LIT('","entryId":"e"}]}'))
+    reflection = LIT('"reflections":[{"id":"aaaaaaaaaaaa","content":"a\\nb","supportingObservationIds":["bbbbbbbbbbbb"],"tokenCount":1}]')
+    payload = F.when(F.col("v") == 10, reflection).otherwise(F.concat(LIT('"observations":['), observation, F.when(F.col("v") == 8, F.concat(LIT(","), observation)).otherwise(""), LIT("]"), at(7, ',"observationIds":["aaaaaaaaaaaa"]', "")))
+    raw = F.concat(
+        LIT('{"protocolVersion":'), at(3, "2", "1"), LIT(',"eventId":"'), at(5, "a b", "e"), S("event_id"), LIT('","kind":"'), F.when(F.col("v") == 4, "other.kind").when(F.col("v") == 10, "reflections.recorded").otherwise("observations.recorded"),
+        LIT('", "producer":{"id":"'), at(11, "q", "p"), LIT('","version":"1"},"source":{"kind":"pi","sessionId":"'), at(12, "x", ""), S("user_id"), LIT('"},"sourceCheckpoint":{"streams":[{"streamId":"main","committedBytes":'), S(F.col("o") + 10),
+        LIT(',"prefixSha256":"'), F.repeat(LIT("a"), 64), LIT('","selectedLeafEntryId":null}]},"recordedAt":"2024'), at(6, "", "-01-01T00:00:00Z"), LIT('",'), at(13, '"note":"\\ud800",', ""), at(14, '"note":1.50,', ""), payload, LIT("}"), at(1, " {", ""),
+    )
+    raw = F.when(F.col("v") == 0, "{").when(F.col("v") == 2, "[]").otherwise(raw)
+    log = e.select(LIT("pi").alias("source_kind"), S("user_id").alias("source_session_id"), LIT("p").alias("producer_id"), F.col("o").alias("ordinal"), raw.alias("raw_json"))
+    return sidecar.classify(log).select(F.col("source_session_id").cast("long").alias("user_id"), "ordinal", "semantic_status", F.get("diagnostics", LIT(0)).alias("diagnostic"), "event_hash")
+
+
 def _documents_as_events(t: Tables) -> DataFrame:
     """Producers are sources; each document defines the memory of its text, and toxic ones are dropped."""
     d = t.documents.select("doc_id", F.coalesce("source", LIT("none")).alias("source"), F.coalesce("lang", LIT("xx")).alias("lang"), memory_hex(F.coalesce("text", LIT(""))).alias("m"))
