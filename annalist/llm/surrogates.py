@@ -155,8 +155,9 @@ def detect(text: str) -> list[Entity]:
             if (pattern is _KEYED and not _random(text[s:e])) or (kind == "birth" and date_of(text[s:e]) is None):
                 continue
             claim(kind, s, e)
-    # parts of a full name that stand alone
-    parts = {x.value.split(" ")[-1] for x in found if x.kind == "person" and " " in x.value}
+    # the last part of a name that stands alone, or in capitals
+    parts = {x.value.split(" ")[-1] for x in found if x.kind == "person"}
+    parts |= {p.upper() for p in parts}
     if parts:
         before = None
         for m in re.finditer(r"\w+", text):
@@ -243,10 +244,15 @@ def family_words(name: str) -> list[str]:
     return words[1:] if len(words) > 1 and words[0] in _GIVEN else words
 
 
+def written_small(word: str) -> str:
+    """A family word in the case that names have: LOPEZ and Lopez are one."""
+    return word.title() if len(word) > 1 and word.isupper() else word
+
+
 def checked(e: Entity) -> list[tuple[str, str, str]]:
     """kind, entity, value of what a mention's surrogate is built from."""
     if e.kind in ("person", "family"):
-        return [("family", w, w) for w in family_words(e.value)]
+        return [("family", w, w) for w in map(written_small, family_words(e.value))]
     if e.kind == "birth":
         return []  # a permutation of all days, which needs no draws
     return [(e.kind, identity(e.kind, e.value), e.value)]
@@ -456,20 +462,24 @@ def _drawn(key: bytes):
     return run
 
 
-def draws(entities: DataFrame, key: bytes) -> DataFrame:
+def draws(entities: DataFrame, key: bytes, written: list[DataFrame] | None = None) -> DataFrame:
     """entities(kind, entity, value, reads) -> kind, entity, attempt > 0 of those whose first surrogate was taken: it reads as a real entity, or as another's surrogate.
 
-    Entities that keep their surrogate are never drawn again, so the rounds only shrink; values grow with the draws, so that they end."""
+    Entities that keep their surrogate are never drawn again, so the rounds only shrink; values grow with the draws, so that they end. The tables between, which tell entities and
+    surrogates, are added to ``written``: whoever has read the result deletes them."""
+    written = [] if written is None else written
     originals = entities.select(F.col("reads").alias("made")).distinct()
     open_ = entities.select("kind", "entity", "value").withColumn("attempt", F.lit(0))
     fixed = None
     for attempt in itertools.count():
         made = cut(open_.mapInArrow(_drawn(key), "kind string, entity string, value string, attempt int, made string"), "surrogates")
+        written.append(made)
         first = made.groupBy("made").agg(F.min(F.struct("kind", "entity")).alias("first")).select("made", "first.*")
         good = made.join(first, ["kind", "made", "entity"], "left_semi").join(originals, "made", "left_anti")
         if fixed is not None:
             good = good.join(fixed.select("made"), "made", "left_anti")
         good = cut(good, "surrogates")
+        written.append(good)
         fixed = good if fixed is None else fixed.unionByName(good)
         rest = made.join(good.select("kind", "entity"), ["kind", "entity"], "left_anti")
         if rest.isEmpty():
@@ -487,6 +497,9 @@ def replace(text: str, key: bytes, attempt: Callable[[str, str], int]) -> tuple[
     for e in detect(text):
         if e.kind == "person":
             made = person(e.value, key, lambda w: attempt("family", w))
+        elif e.kind == "family" and written_small(e.value) != e.value:
+            small = written_small(e.value)
+            made = surrogate("family", small, key, attempt("family", small)).upper()
         else:
             made = surrogate(e.kind, e.value, key, attempt(e.kind, identity(e.kind, e.value)))
         out += [text[at : e.start], made]
@@ -505,8 +518,8 @@ def _apply(key: bytes, known):
                 own = part.column("redrawn").to_pylist() if "redrawn" in part.schema.names else [None] * part.num_rows
                 texts, spans = [], []
                 for t, more in zip(part.column("text").to_pylist(), own, strict=True):
-                    table_ = {(m["kind"], m["entity"]): m["attempt"] for m in more} if more else shared
-                    new, found = replace(t, key, lambda k, i, d=table_: d.get((k, i), 0)) if t else (t, [])
+                    table_ = {m["tag"]: m["attempt"] for m in more} if more else shared
+                    new, found = replace(t, key, lambda k, i, d=table_: d.get(tag(k, i, key), 0) if d else 0) if t else (t, [])
                     texts.append(new)
                     spans.append(found)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, pa.list_(_ENTITY))], names=["doc_id", "text", "entities"])
@@ -515,36 +528,59 @@ def _apply(key: bytes, known):
     return run
 
 
-def _by_document(batches):
-    for batch in batches:
-        for part, _, _ in chunks([batch]):
-            ids, kinds, entities = [], [], []
-            for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                for k, i in sorted({(k, i) for e in detect(t) for k, i, _ in checked(e)} if t else ()):
-                    ids.append(d), kinds.append(k), entities.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(entities, pa.string())], names=["doc_id", "kind", "entity"])
+def tag(kind: str, entity: str, key: bytes) -> str:
+    """Stands for an entity where it is written down: without the key nobody can tell whose it is."""
+    return hashlib.blake2b(f"{kind}\0{entity}".encode("utf-8", "surrogatepass"), key=key[:64], digest_size=16, person=b"entity").hexdigest()
+
+
+def _tagged(key: bytes):
+    def run(batches):
+        for b in batches:
+            tags = [tag(k, i, key) for k, i in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(tags, pa.string()), b.column("attempt")], names=["tag", "attempt"])
+
+    return run
+
+
+def _by_document(key: bytes):
+    def run(batches):
+        for batch in batches:
+            for part, _, _ in chunks([batch]):
+                ids, tags = [], []
+                for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    for k, i in sorted({(k, i) for e in detect(t) for k, i, _ in checked(e)} if t else ()):
+                        ids.append(d), tags.append(tag(k, i, key))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.string())], names=["doc_id", "tag"])
+        release()
+
+    return run
 
 
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (with surrogates), entities (kind, start, end in the new text, surrogate); originals are never returned.
 
     Null text stays null; empty text and text without entities come back unchanged. Null ids come back as null, repeated rows get equal rows, extra columns are
-    pruned, an empty table gives an empty result. Very long texts are handled alone, in time linear in them. The table of distinct entities, as sensitive as the
-    input, is written to the shared folder and deleted once their surrogates are settled.
+    pruned, an empty table gives an empty result. Very long texts are handled alone, in time linear in them. Tables of entities and of their surrogates, as sensitive as the
+    input, are written to the shared folder and deleted once the surrogates are settled, also where that fails; what is left names entities by keyed hashes.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     mentions = rows.mapInArrow(_mentions, MENTION)
-    entities = cut(mentions.groupBy("kind", "entity").agg(F.min("value").alias("value"), F.min("reads").alias("reads")), "entities")
-    again = cut(draws(entities, key), "redrawn")
-    discard(entities)
+    written: list[DataFrame] = []
+    try:
+        entities = cut(mentions.groupBy("kind", "entity").agg(F.min("value").alias("value"), F.min("reads").alias("reads")), "entities")
+        written.append(entities)
+        again = cut(draws(entities, key, written).mapInArrow(_tagged(key), "tag string, attempt int"), "redrawn")
+    finally:
+        for t in written:
+            discard(t)
     few = again.limit(BROADCAST_ROWS + 1).collect()
     if len(few) <= BROADCAST_ROWS:
-        known = docs.sparkSession.sparkContext.broadcast({(r.kind, r.entity): r.attempt for r in few}) if few else None
+        known = docs.sparkSession.sparkContext.broadcast({r.tag: r.attempt for r in few}) if few else None
         out = rows.mapInArrow(_apply(key, known), OUT)
     else:  # each document gets its own part of the table
-        own = rows.mapInArrow(_by_document, "doc_id long, kind string, entity string").distinct().join(again, ["kind", "entity"])
-        own = own.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("redrawn"))
+        own = rows.mapInArrow(_by_document(key), "doc_id long, tag string").distinct().join(again, "tag")
+        own = own.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "attempt")).alias("redrawn"))
         out = rows.join(own, "doc_id", "left").mapInArrow(_apply(key, None), OUT)
     return out.withColumn("doc_id", restore_id("doc_id"))
 

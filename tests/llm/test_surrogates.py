@@ -242,3 +242,51 @@ def test_odd_rows(spark):
     one, two = S.surrogate("ip", "10.1.2.3", KEY), S.surrogate("ip", "10.1.2.4", KEY)
     mail = S.surrogate("email", "a.b@c.example.com", KEY)
     assert out == sorted([(None, one), (None, None), (1, ""), (2, long.replace("a.b@c.example.com", mail)), (3, one), (3, one), (3, f"other {two}")], key=repr)
+
+
+def test_nothing_real_is_left_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    """No table that a job leaves behind, with or without the join of redrawn entities, holds a real value or a surrogate's origin."""
+    import os
+    from urllib.parse import urlparse
+
+    folder = urlparse(spark.conf.get("spark.checkpoint.dir")).path
+    real = ["maria.lopez@example.org", "Lopez", "555-123-4567", "10.20.30.41"]
+    df = spark.createDataFrame([(i, f"Maria Lopez <{real[0]}> {real[2]} {real[3]}. LOPEZ again. Mr Horvath, {i} times.") for i in range(20)], "doc_id long, text string")
+
+    def left():
+        out = {}
+        for top, _, names in os.walk(folder):
+            for n in names:
+                if n.endswith(".parquet"):
+                    out[f"{top}/{n}"] = None
+        return set(out)
+
+    for rows in (S.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(S, "BROADCAST_ROWS", rows)
+        before = left()
+        texts = [r.text for r in S.pseudonymise(df, KEY).collect()]
+        assert not any(x in t for t in texts for x in [*real, "LOPEZ", "Horvath"])
+        for path in left() - before:
+            found = spark.read.parquet(f"file://{path}")
+            assert not set(found.columns) & {"value", "entity", "made", "reads"}
+    broken = lambda key: (_ for _ in ()).throw(RuntimeError("stop"))
+    monkeypatch.setattr(S, "_tagged", broken)
+    before = left()
+    with pytest.raises(RuntimeError, match="stop"):
+        S.pseudonymise(df, KEY)
+    assert left() == before
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Mr Smith called. Smith paid, and SMITH left.", ["Smith"]), ("Maria Lopez called. LOPEZ paid Lopez.", ["Lopez"]), ("Frau Müller kam. MÜLLER und Müller gingen.", ["Müller"]),
+    ],
+)
+def test_every_mention_of_a_found_name_goes(text, names):
+    """Titles alone and capitals: one surrogate for all, in the case of the mention."""
+    new, _ = S.replace(text, KEY, lambda k, i: 0)
+    for n in names:
+        made = S.surrogate("family", n, KEY, 0)
+        assert n not in new and n.upper() not in new
+        assert new.count(made) == text.count(n) and new.count(made.upper()) == text.count(n.upper())
