@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -223,10 +224,13 @@ def _bare(x: str | None) -> str | None:
 
 
 def _hex(x: str | None) -> str | None:
+    """A digest without its label, in hex: SHA-1 is often written in base32. Others stay as they are, in lower case."""
     if x is None:
         return None
-    x = x.rpartition(":")[2]
-    return base64.b32decode(x).hex() if len(x) == 32 else x.lower()
+    label, _, value = x.rpartition(":")
+    if label.lower() in ("", "sha1", "sha-1") and re.fullmatch("[A-Za-z2-7]{32}", value):
+        return base64.b32decode(value.upper()).hex()
+    return value.lower()
 
 
 class WarcReader(DataSourceReader):
@@ -273,7 +277,10 @@ class WarcReader(DataSourceReader):
                     continue
                 if h.get("content-type", "").startswith("application/http"):
                     want = row["record_type"] in self.payload
-                    block = item.block() if want else item.block(4096)
+                    block, n = item.block(None if want else 4096), 4096
+                    while not want and b"\r\n\r\n" not in block and len(block) == n:  # headers may be of any length
+                        n *= 4
+                        block = item.block(n)
                     top, _, body = block.partition(b"\r\n\r\n")
                     length = next((int(x.partition(b":")[2]) for x in top.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
                     row["payload_length"] = length
