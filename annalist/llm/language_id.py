@@ -17,16 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import NULL_ID, fresh, restore_id, small_batches, table
+from annalist.llm.common import NULL_ID, cut, discard, fresh, restore_id, small_batches, table
 from annalist.llm.text import chunks, raw, release
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 DIMENSIONS = 16
-#: Labelled rows that training and calibration see, at most; they are those of smallest id hash.
-SAMPLE = 4000
-#: Of a sampled row training and calibration see the subwords that stand in it most often, at most so many; predictions see all.
-FEATURES = 4096
+#: Labelled rows that training and calibration see, at most, and bytes of their subword counts (whatever a first row has); they are those of smallest hash of id and text.
+SAMPLE, SAMPLE_BYTES = 4000, 200 << 20
 EPOCHS, STEP, BATCH = 8, 0.3, 64
 #: Of the calibration texts that are predicted right, at most this share may be rejected.
 LOSS = 0.002
@@ -165,14 +163,6 @@ def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def frequent(buckets: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The FEATURES buckets of highest count (lower ones on ties), in their order."""
-    if len(buckets) <= FEATURES:
-        return buckets, count
-    kept = np.sort(np.lexsort((buckets, -count))[:FEATURES])
-    return buckets[kept], count[kept]
-
-
 def _sampled(batches):
     for batch in batches:
         for part, _, _ in chunks([batch]):
@@ -186,7 +176,6 @@ def _sampled(batches):
                 short.append(" ".join(split[at : at + 2 + h % 7]))
             short = features(pa.array(short, pa.string()))
             for rows in (whole, short):
-                rows = [frequent(*r) for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("lang"), part.column("h"),
@@ -200,19 +189,27 @@ def _sampled(batches):
 def train(docs: DataFrame, where: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from at most ``sample`` rows with text and label (all rows if there are no more) that satisfy ``where``.
 
-    Which rows: those whose ids have the smallest hash. Only their bucket counts (at most 2 * FEATURES * 6 bytes a row, 200 MB in all) reach the driver.
-    Without a labelled row the model knows no language.
+    Which rows: those whose ids and texts have the smallest hash, equal rows as one, and of those as many as have SAMPLE_BYTES of counts together. All subwords of a row count.
+    Only the counts reach the driver, 6 bytes a distinct subword. Without a labelled row the model knows no language.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
     )
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (where if where is not None else F.lit(True)))
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
-    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    place = F.struct("h", "lang")
+    last = rows.select("h", "lang").distinct().orderBy("h", "lang").limit(sample).agg(F.max(place)).first()[0]
     if last is None:
         return fit([], [], np.zeros(0, bool))
-    found = rows.where(F.col("h") <= last).mapInArrow(_sampled, "doc_id long, lang string, h long, buckets binary, counts binary").toArrow().combine_chunks()
+    upto = lambda at: (F.col("h") < at[0]) | (F.col("h") == at[0]) & (F.col("lang") <= at[1])
+    chosen = rows.where(upto(last)).groupBy("doc_id", "h", "lang").agg(F.first("text").alias("text"))
+    counted = cut(chosen.mapInArrow(_sampled, "doc_id long, lang string, h long, buckets binary, counts binary"), "subwords")
+    sizes = counted.groupBy("h", "lang").agg(F.sum(F.octet_length("buckets") + F.octet_length("counts")).alias("size")).orderBy("h", "lang").toArrow()
+    fits = int(np.searchsorted(np.cumsum(sizes["size"].to_numpy()), SAMPLE_BYTES, "right"))
+    at = max(0, min(len(sizes), fits) - 1)
+    found = counted.where(upto((sizes["h"][at].as_py(), sizes["lang"][at].as_py()))).toArrow().combine_chunks()
+    discard(counted)
     ids, h, labels = found["doc_id"].to_numpy(), found["h"].to_numpy(), found["lang"].to_pylist()
     pairs = list(zip(_views(found["buckets"], "<u2"), _views(found["counts"], "<u4"), strict=True))
     order = sorted(range(len(h)), key=lambda i: (h[i], ids[i], labels[i], -len(pairs[i][0]), pairs[i][0].tobytes()))

@@ -562,3 +562,42 @@ def test_null_ids_and_repeated_rows(spark, odd):
     assert sum(r.kept for r in out["exact"] if r.group_size == 3) == 1
     assert all(r.n_hit == 3 for r in out["bench"] if r.n_words)
     assert [r.start for r in sorted(out["tokens"], key=lambda r: r.start)][0] == 0
+
+
+def test_language_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    """3,000 rows without ids, a third of them equal: at most 100 rows are learned from, whole and in part, and no more bytes than are allowed."""
+    rng = random.Random(1)
+    words = lambda: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(30))
+    rows = [(None, "same words again" if i % 3 == 0 else words(), "ab"[i % 2]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, real = [], language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda pairs, *a: seen.append(pairs) or real(pairs, *a))
+    language_id.train(df, sample=100)
+    assert 150 < len(seen[0]) <= 200
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 20_000)
+    language_id.train(df, sample=100)
+    assert 0 < sum(b.nbytes + c.nbytes for b, c in seen[1]) <= 20_000 < sum(b.nbytes + c.nbytes for b, c in seen[0])
+
+
+def test_language_features_are_all_kept(spark, monkeypatch):
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(6000))
+    seen, real = [], language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda pairs, *a: seen.append(pairs) or real(pairs, *a))
+    language_id.train(spark.createDataFrame([(1, long, "a"), (2, "b c", "b")], "doc_id long, text string, lang string"))
+    assert max(len(b) for b, _ in seen[0]) == len(language_id.features(pa.array([long]))[0][0]) > 20_000
+
+
+def test_warc_digests_and_long_http_headers(spark, tmp_path):
+    """MD5 digests are no base32, and a length behind 20 KB of headers is read without the payload."""
+    head = b"HTTP/1.1 200 OK\r\n" + b"".join(b"X-Pad-%d: %s\r\n" % (i, b"p" * 90) for i in range(200)) + b"Content-Length: 7\r\n\r\n"
+    for name, make in (("a.warc", lambda r: r), ("b.warc.gz", lambda r: __import__("gzip").compress(r))):
+        out = b""
+        for i, digest in enumerate(("md5:d41d8cd98f00b204e9800998ecf8427e", "sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ", "sha1:3i42h3s6nnfq2msvx7xzkyayscx5qbyj")):
+            block = head + b"payload"
+            out += make(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:%d>\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: %s\r\nContent-Length: %d\r\n\r\n" % (i, digest.encode(), len(block)) + block + b"\r\n\r\n")
+        (tmp_path / name).write_bytes(out)
+    for payload in ("response", ""):
+        rows = warc.read_warc(spark, f"file://{tmp_path}", payload=payload).collect()
+        assert len(rows) == 6 and {r.payload_length for r in rows} == {7} and {r.payload_digest for r in rows} == {"d41d8cd98f00b204e9800998ecf8427e", "da39a3ee5e6b4b0d3255bfef95601890afd80709"}
+        assert {bytes(r.payload) if r.payload is not None else None for r in rows} == ({b"payload"} if payload else {None})
