@@ -52,22 +52,22 @@ def selected_transcript(t: Tables) -> DataFrame:
 
 @query("""
 WITH RECURSIVE s AS (
-  SELECT c_custkey AS k, 'request of ' || (c_custkey // 129) || CASE WHEN c_custkey % 400 = 77 THEN ' changed' ELSE '' END AS copy, c_custkey % 500 = 300 AS entryless, c_custkey % 129 = 0 AS first, c_custkey % 700 = 650 AS torn, c_custkey // 600 AS owner FROM customer),
+  SELECT vec_id AS k, 'request of ' || (vec_id // 129) || CASE WHEN vec_id % 400 = 77 THEN ' changed' ELSE '' END AS copy, vec_id % 500 = 300 AS entryless, vec_id % 129 = 0 AS first, vec_id % 700 = 650 AS torn, vec_id // 600 AS owner FROM embeddings),
 e AS (
   SELECT c.k, c.copy, CASE WHEN c.torn THEN 'break' WHEN c.first THEN 'here' WHEN p.k IS NULL OR p.owner <> c.owner THEN 'break' WHEN p.entryless THEN 'here' WHEN p.copy = c.copy THEN 'up' ELSE 'break' END AS step
   FROM s c LEFT JOIN s p ON p.k = c.k - 1 WHERE NOT c.entryless),
 r(k, node, forks) AS (SELECT k, k, 0 FROM e UNION ALL SELECT r.k, r.node - 1, forks + 1 FROM r JOIN e ON e.k = r.node WHERE e.step = 'up' AND forks < 128)
-SELECT r.k AS c_custkey, r.node AS origin, sha256('request of ' || (r.node // 129)) AS origin_hash FROM r JOIN e ON e.k = r.node WHERE e.step = 'here'""")
+SELECT r.k AS vec_id, r.node AS origin, sha256('request of ' || (r.node // 129)) AS origin_hash FROM r JOIN e ON e.k = r.node WHERE e.step = 'here'""")
 def original_occasions(t: Tables) -> DataFrame:
-    """Sessions (customers) in chains of 128 forks that copy one request: some copies differ or are missing, some sessions have two parents, and owners change within a chain."""
-    k = F.col("c_custkey")
+    """Sessions (one for each vector's id) in chains of 128 forks that copy one request: some copies differ or are missing, some sessions have two parents, and owners change within a chain."""
+    k = F.col("vec_id")
     request = F.concat(F.lit("request of "), S(F.floor(k / 129)))
     first, torn = k % 129 == 0, k % 700 == 650
-    c = t.customer.select("c_custkey")
+    c = t.embeddings.select("vec_id")
     parents = F.when(torn, F.array(S(k - 1), S(k - 2))).when(first, F.array().cast("array<string>")).otherwise(F.array(S(k - 1)))
     sessions = c.select(S(k).alias("id"), S(F.floor(k / 600)).alias("user_id"), F.lit("pi").alias("source_kind"), F.when(~first | torn, S(k - 1)).alias("parent_session"), parents.alias("parent_ids"))
-    entries = c.where("c_custkey % 500 <> 300").select(S(k).alias("session_id"), F.lit("main").alias("stream_id"), F.concat(F.lit("e"), S(F.floor(k / 129))).alias("entry_id"), F.concat(request, F.when(k % 400 == 77, " changed").otherwise("")).alias("raw_json"))
+    entries = c.where("vec_id % 500 <> 300").select(S(k).alias("session_id"), F.lit("main").alias("stream_id"), F.concat(F.lit("e"), S(F.floor(k / 129))).alias("entry_id"), F.concat(request, F.when(k % 400 == 77, " changed").otherwise("")).alias("raw_json"))
     anchor = [F.col("stream_id").alias("anchor_stream"), F.col("entry_id").alias("anchor_entry"), F.sha2(F.col("raw_json").cast("binary"), 256).alias("raw_hash")]
     found = occasions.originals(entries.select("session_id", "stream_id", "entry_id", *anchor), entries, sessions)
     origin = F.col("origin_session").cast("long")
-    return found.select(F.col("session_id").cast("long").alias("c_custkey"), origin.alias("origin"), F.sha2(F.concat(F.lit("request of "), S(F.floor(origin / 129))).cast("binary"), 256).alias("origin_hash"))
+    return found.select(F.col("session_id").cast("long").alias("vec_id"), origin.alias("origin"), F.sha2(F.concat(F.lit("request of "), S(F.floor(origin / 129))).cast("binary"), 256).alias("origin_hash"))
