@@ -55,10 +55,6 @@ def _protocol(s: Column) -> Column:
     return _is(s.rlike(r"\A[a-z0-9][a-z0-9._-]{0,127}\z"))
 
 
-def _count(v: Column) -> Column:
-    return _is(_whole(v).between(0, SAFE_INTEGER))
-
-
 def _usual_time(s: Column) -> Column:
     return _is(_within(s, 1, 64) & s.rlike(r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?Z\z") & F.try_to_timestamp(s).isNotNull())
 
@@ -74,46 +70,45 @@ def _listed(items: Column, check, key) -> Column:
     return _is(F.size(items).between(1, 256) & F.forall(items, check) & (F.size(F.array_distinct(keys)) == F.size(keys)))
 
 
-def _stream(s: Column) -> Column:
-    return _fields(s, "streamId", "committedBytes", "prefixSha256", "selectedLeafEntryId")
+# What lists hold, with each field read once: texts and whole numbers are null where the value is of another type.
 
 
-def _valid_stream(s: Column) -> Column:
-    f = _stream(s)
-    leaf = f["selectedLeafEntryId"]
-    return _is(_host(_text(f["streamId"])) & _count(f["committedBytes"]) & _is(_text(f["prefixSha256"]).rlike(r"\A[a-f0-9]{64}\z")) & leaf.isNotNull() & (F.is_variant_null(leaf) | _host(_text(leaf))))
-
+def _streams(streams: Column) -> Column:
+    each = F.transform(streams, lambda s: _fields(s, "streamId", "committedBytes", "prefixSha256", "selectedLeafEntryId"))
+    leaf = lambda f: F.when(f["selectedLeafEntryId"].isNull(), F.lit("")).when(~F.is_variant_null(f["selectedLeafEntryId"]), F.coalesce(_text(f["selectedLeafEntryId"]), F.lit("")))  # noqa: E731  null: none, empty: not valid
+    return F.transform(each, lambda f: F.struct(_text(f["streamId"]).alias("streamId"), _whole(f["committedBytes"]).alias("committedBytes"), _text(f["prefixSha256"]).alias("prefixSha256"), leaf(f).alias("leaf")))
 
-def _names(streams: Column) -> Column:
-    return F.transform(streams, lambda s: _text(_stream(s)["streamId"]))
 
-
-def _content(f: Column) -> Column:
-    return _memory(_text(f["id"])) & _is(_within(_text(f["content"]), 1, 65536)) & _count(f["tokenCount"])
+def _valid_stream(s: Column) -> Column:
+    return _is(_host(s["streamId"]) & s["committedBytes"].between(0, SAFE_INTEGER) & s["prefixSha256"].rlike(r"\A[a-f0-9]{64}\z") & (s["leaf"].isNull() | _host(s["leaf"])))
 
 
-def _observation(o: Column) -> Column:
-    return _fields(o, "id", "content", "timestamp", "relevance", "sourceEntries", "tokenCount")
+def _cited(entries: Column) -> Column:
+    each = F.transform(entries, lambda e: _fields(e, "streamId", "entryId"))
+    return F.transform(each, lambda e: F.struct(_text(e["streamId"]).alias("s"), _text(e["entryId"]).alias("e")))
 
 
-def _cited(e: Column) -> Column:
-    return _fields(e, "streamId", "entryId")
+def _memories(items: Column) -> Column:
+    """Observations and reflections alike; of the fields that one of them lacks, the lists are null."""
+    each = F.transform(items, lambda o: _fields(o, "id", "content", "timestamp", "relevance", "tokenCount", "sourceEntries", "supportingObservationIds"))
+    typed = lambda f: F.struct(
+        *[_text(f[c]).alias(c) for c in ("id", "content", "timestamp", "relevance")], _whole(f["tokenCount"]).alias("tokenCount"),
+        _cited(_items(f["sourceEntries"])).alias("cited"), F.transform(_items(f["supportingObservationIds"]), _text).alias("supports"),
+    )
+    return F.transform(each, typed)
 
 
-def _valid_observation(o: Column, names: Column) -> Column:
-    f = _observation(o)
-    cited = lambda e: _host(_text(_cited(e)["streamId"])) & _host(_text(_cited(e)["entryId"])) & _is(F.array_contains(names, F.coalesce(_text(_cited(e)["streamId"]), F.lit(""))))
-    each = _listed(_items(f["sourceEntries"]), cited, lambda e: F.struct(_text(_cited(e)["streamId"]).alias("s"), _text(_cited(e)["entryId"]).alias("e")))
-    return _is(f.isNotNull() & _content(f) & _usual_time(_text(f["timestamp"])) & _is(_text(f["relevance"]).isin(*RELEVANCE)) & each)
+def _content(m: Column) -> Column:
+    return _memory(m["id"]) & _is(_within(m["content"], 1, 65536) & m["tokenCount"].between(0, SAFE_INTEGER))
 
 
-def _reflection(r: Column) -> Column:
-    return _fields(r, "id", "content", "supportingObservationIds", "tokenCount")
+def _valid_observation(m: Column, names: Column) -> Column:
+    cited = lambda c: _host(c["s"]) & _host(c["e"]) & _is(F.array_contains(names, F.coalesce(c["s"], F.lit(""))))
+    return _is(_content(m) & _usual_time(m["timestamp"]) & _is(m["relevance"].isin(*RELEVANCE)) & _listed(m["cited"], cited, lambda c: c))
 
 
-def _valid_reflection(r: Column) -> Column:
-    f = _reflection(r)
-    return _is(f.isNotNull() & _content(f) & ~_text(f["content"]).rlike(r"[\r\n]") & _listed(_items(f["supportingObservationIds"]), lambda x: _memory(_text(x)), _text))
+def _valid_reflection(m: Column) -> Column:
+    return _is(_content(m) & ~m["content"].rlike(r"[\r\n]") & _listed(m["supports"], _memory, lambda x: x))
 
 
 @F.pandas_udf(INSPECTED)
@@ -134,21 +129,25 @@ def inspected(records: DataFrame) -> DataFrame:
     rows = records.select(*LOG, "ordinal", "raw_json", F.try_parse_json("raw_json").alias("v"))
     rows = rows.withColumns({"e": _fields(F.col("v"), *top), "text": F.to_json("v")})
     bare = lambda c: F.octet_length(F.translate(c, " \t\r\n", ""))
-    plain = (
-        F.col("v").isNotNull() & ~F.contains("raw_json", F.lit("\\u")) & (bare(F.col("raw_json")) == bare(F.col("text")))
-        # numbers stand behind a key's colon, or in a list
-        & ~F.col("text").rlike(r'(":|[\[,])-?([0-9]+[.eE]|[0-9]{16})') & ~F.col("text").rlike(r"\A-?([0-9]+[.eE]|[0-9]{16})")
+    # a text behind the value, or an escape that need not be one, makes the record longer than its canonical form, as blanks do
+    whole = F.when(F.octet_length("raw_json") == F.octet_length("text"), F.lit(True)).otherwise(bare(F.col("raw_json")) == bare(F.col("text")))
+    # numbers stand behind a key's colon, in a list, or alone
+    plain = F.col("v").isNotNull() & ~F.contains("raw_json", F.lit("\\u")) & whole & ~F.col("text").rlike(r'(?:":|[\[,]|\A)-?[0-9]+(?:[.eE]|(?<=[0-9]{16}))')
+    lists = lambda v: F.coalesce(_items(v), F.array().cast("array<variant>"))
+    rows = rows.select(
+        *LOG, "ordinal", "raw_json", "text", "e", _is(plain).alias("plain"), _streams(lists(F.try_variant_get(F.col("e.sourceCheckpoint"), "$.streams", "variant"))).alias("streams"),
+        _memories(lists(F.col("e.observations"))).alias("observations"), _memories(lists(F.col("e.reflections"))).alias("reflections"), F.transform(lists(F.col("e.observationIds")), _text).alias("observationIds"),
+        _fields(F.col("e.producer"), "id", "version").alias("producer"), _fields(F.col("e.source"), "kind", "sessionId").alias("source"), _text(F.col("e.kind")).alias("kind_"), _text(F.col("e.recordedAt")).alias("at"),
     )
-    rows = rows.select(*LOG, "ordinal", "raw_json", "text", "e", _is(plain).alias("plain"), F.coalesce(_items(F.try_variant_get(F.col("e.sourceCheckpoint"), "$.streams", "variant")), F.array().cast("array<variant>")).alias("streams"),
-                       *[F.coalesce(_items(F.col(f"e.{k}")), F.array().cast("array<variant>")).alias(k) for k in ("observations", "reflections", "observationIds")])
     rows = rows.withColumns({
-        "names": _names(F.col("streams")), "producer": _fields(F.col("e.producer"), "id", "version"), "source": _fields(F.col("e.source"), "kind", "sessionId"), "kind_": _text(F.col("e.kind")),
+        "names": F.transform("streams", lambda s: s["streamId"]), "timely": _usual_time(F.col("at")), "event": _text(F.col("e.eventId")),
+        "producer": F.struct(_text(F.col("producer.id")).alias("id"), _text(F.col("producer.version")).alias("version")), "source": F.struct(_text(F.col("source.kind")).alias("kind"), _text(F.col("source.sessionId")).alias("sessionId")),
     })
-    odd = _odd_time(_text(F.col("e.recordedAt"))) | F.exists("observations", lambda o: _odd_time(_text(_observation(o)["timestamp"]))) | F.exists("names", lambda n: _is(n.rlike(r"[\x{10000}-\x{10FFFF}]")))
+    odd = ~F.col("timely") & _odd_time(F.col("at")) | F.exists("observations", lambda m: _odd_time(m["timestamp"])) | F.exists("names", lambda n: _is(n.rlike(r"[\x{10000}-\x{10FFFF}]")))
     own = {k: F.lit(True) if f is None else {
-        "observations": _listed(F.col("observations"), lambda o: _valid_observation(o, F.col("names")), lambda o: _text(_observation(o)["id"])),
-        "reflections": _listed(F.col("reflections"), _valid_reflection, lambda r: _text(_reflection(r)["id"])),
-        "observationIds": _listed(F.col("observationIds"), lambda x: _memory(_text(x)), _text),
+        "observations": _listed(F.col("observations"), lambda m: _valid_observation(m, F.col("names")), lambda m: m["id"]),
+        "reflections": _listed(F.col("reflections"), _valid_reflection, lambda m: m["id"]),
+        "observationIds": _listed(F.col("observationIds"), _memory, lambda x: x),
     }[f] for k, f in KINDS.items()}
     payload = F.lit(False)
     for k, f in KINDS.items():
@@ -158,26 +157,24 @@ def inspected(records: DataFrame) -> DataFrame:
             alone = alone & o
         payload = F.when(F.col("kind_") == k, alone & own[k]).otherwise(payload)
     valid = (
-        _protocol(_text(F.col("producer.id"))) & _is(_within(_text(F.col("producer.version")), 1, 128))
-        & _listed(F.col("streams"), _valid_stream, lambda s: _text(_stream(s)["streamId"])) & (F.col("names") == F.array_sort("names"))
-        & _protocol(_text(F.col("source.kind"))) & _host(_text(F.col("source.sessionId")))
-        & _is(_text(F.col("e.eventId")).rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]{0,255}\z")) & _usual_time(_text(F.col("e.recordedAt"))) & payload
+        _protocol(F.col("producer.id")) & _is(_within(F.col("producer.version"), 1, 128)) & _listed(F.col("streams"), _valid_stream, lambda s: s["streamId"]) & (F.col("names") == F.array_sort("names"))
+        & _protocol(F.col("source.kind")) & _host(F.col("source.sessionId")) & _is(F.col("event").rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]{0,255}\z")) & F.col("timely") & payload
     )
     reason = (
         F.when(F.col("e").isNull(), "invalid-envelope")
         .when(~_is(_whole(F.col("e.protocolVersion")) == 1), "unsupported-version")
         .when(~_is(F.col("kind_").isin(*KINDS)), "unsupported-kind")
         .when(~_is(valid), "invalid-envelope")
-        .when(~_is(_text(F.col("producer.id")) == F.col("producer_id")), "producer-mismatch")
-        .when(~_is((_text(F.col("source.kind")) == F.col("source_kind")) & (_text(F.col("source.sessionId")) == F.col("source_session_id"))), "source-mismatch")
+        .when(~_is(F.col("producer.id") == F.col("producer_id")), "producer-mismatch")
+        .when(~_is((F.col("source.kind") == F.col("source_kind")) & (F.col("source.sessionId") == F.col("source_session_id"))), "source-mismatch")
     )
-    checkpoint = F.transform("streams", lambda s: F.struct(_text(_stream(s)["streamId"]).alias("streamId"), _whole(_stream(s)["committedBytes"]).alias("committedBytes"), _text(_stream(s)["prefixSha256"]).alias("prefixSha256")))
+    checkpoint = F.transform("streams", lambda s: F.struct(s["streamId"].alias("streamId"), s["committedBytes"].alias("committedBytes"), s["prefixSha256"].alias("prefixSha256")))
     judged = rows.withColumns({"plain": F.col("plain") & ~odd, "reason": reason})
     judged = judged.withColumn("python", _inspected(F.when(~F.col("plain"), F.coalesce("raw_json", F.lit(""))), *LOG))
     sound = F.col("plain") & F.col("reason").isNull()
     pick = lambda jvm, name: F.when(F.col("plain"), F.when(sound, jvm)).otherwise(F.col(f"python.{name}")).alias(name)
     return judged.select(
         *LOG, "ordinal", "raw_json", F.when(F.col("plain"), F.col("reason")).otherwise(F.col("python.reason")).alias("reason"),
-        pick(_text(F.col("e.eventId")), "event_id"), pick(F.sha2(F.col("text").cast("binary"), 256), "event_hash"), pick(F.col("kind_"), "kind"), pick(checkpoint, "checkpoint"),
+        pick(F.col("event"), "event_id"), pick(F.sha2(F.col("text").cast("binary"), 256), "event_hash"), pick(F.col("kind_"), "kind"), pick(checkpoint, "checkpoint"),
     )
 
