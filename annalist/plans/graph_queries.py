@@ -71,3 +71,24 @@ def original_occasions(t: Tables) -> DataFrame:
     found = occasions.originals(entries.select("session_id", "stream_id", "entry_id", *anchor), entries, sessions)
     origin = F.col("origin_session").cast("long")
     return found.select(F.col("session_id").cast("long").alias("vec_id"), origin.alias("origin"), F.sha2(F.concat(F.lit("request of "), S(F.floor(origin / 129))).cast("binary"), 256).alias("origin_hash"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+e AS (SELECT l_orderkey AS o, list_sort(list(DISTINCT CAST(l_suppkey AS VARCHAR))) AS entry_ids, count(DISTINCT CASE WHEN s_acctbal > 0 THEN l_suppkey END) AS contexts FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R' GROUP BY 1),
+m AS (
+  SELECT p_partkey, p_brand, c_mktsegment, CASE WHEN o_orderstatus = 'F' THEN 'reflection' ELSE 'observation' END AS kind, CAST(o_orderkey AS VARCHAR) AS memory_id, CASE WHEN o_orderstatus = 'F' THEN 'sum' ELSE o_orderpriority END AS content, o_orderkey AS o
+  FROM a JOIN part ON p_partkey = a.p JOIN orders ON o_orderkey = a.o JOIN customer ON c_custkey = o_custkey)
+SELECT p_partkey, c_mktsegment AS user_id, CAST(row_number() OVER w AS INT) AS rank, kind, memory_id, content, coalesce(entry_ids, []) AS entry_ids, CAST(CASE WHEN p_partkey = 7 THEN coalesce(contexts, 0) ELSE 0 END AS BIGINT) AS contexts
+FROM m LEFT JOIN e USING (o) WINDOW w AS (PARTITION BY p_partkey, c_mktsegment ORDER BY kind, memory_id) QUALIFY row_number() OVER w <= 20""")
+def file_memory_index(t: Tables) -> DataFrame:
+    """What every user remembers about every file, asked of an index that is built from the graph: the first 20 memories of each."""
+    from annalist.operators.walks import fresh_folder
+    from annalist.plans.file_index import FileIndex
+    from annalist.plans.log_queries import _order_graph
+
+    g = _order_graph(t)
+    index = FileIndex.build(g, fresh_folder(t.spark, "file-index"))
+    asked = index.rows().select("user_id", "repository_id", "relative_path").distinct()
+    out = index.files_memory(asked, limit=20)
+    return out.select(F.col("relative_path").cast("long").alias("p_partkey"), "user_id", "rank", "kind", "memory_id", "content", "entry_ids", F.size("contexts").cast("long").alias("contexts"))
