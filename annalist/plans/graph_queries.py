@@ -92,3 +92,43 @@ def file_memory_index(t: Tables) -> DataFrame:
     asked = index.rows().select("user_id", "repository_id", "relative_path").distinct()
     out = index.files_memory(asked, limit=20)
     return out.select(F.col("relative_path").cast("long").alias("p_partkey"), "user_id", "rank", "kind", "memory_id", "content", "entry_ids", F.size("contexts").cast("long").alias("contexts"))
+
+
+@query("""
+WITH p AS (SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, o_orderpriority, o_totalprice, CAST(i // ((n + 7) // 8) AS INT) AS page FROM p""")
+def keyset_pages(t: Tables) -> DataFrame:
+    """All orders in eight pages, each found behind the last key of the one before."""
+    from annalist.plans.keyset import Order, pages
+
+    o = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
+    order = Order(("o_orderpriority", "o_totalprice", "o_orderkey"), frozenset({"o_orderpriority"}))
+    out = None
+    for i, found in enumerate(pages(o, order, max(1, -(-o.count() // 8)), snapshot="orders")):
+        found = durable(found.withColumn("page", F.lit(i)))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _digest_of(group: dict) -> str:
+    """The work of ``drain_outcomes``: some groups fail."""
+    import hashlib
+
+    if int(group["source_session_id"]) % 7 == 0:
+        raise ValueError("the log of " + group["source_session_id"])
+    return hashlib.sha256(",".join(group["ids"]).encode()).hexdigest()
+
+
+@query("""
+WITH g AS (SELECT user_id, count(*) AS notifications, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY CAST(event_id AS VARCHAR)) AS ids FROM events GROUP BY user_id)
+SELECT user_id, notifications, CASE WHEN user_id % 11 = 0 THEN 'expired' WHEN user_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS status,
+  CASE WHEN user_id % 11 = 0 THEN NULL WHEN user_id % 7 = 0 THEN 'ValueError: the log of ' || user_id ELSE sha256(ids) END AS detail FROM g""")
+def drain_outcomes(t: Tables) -> DataFrame:
+    """Events as notifications of their users' logs: a group a log, worked on executors; some groups fail, some waited too long for their source."""
+    from annalist.sources.spool import groups
+    from annalist.streaming.drain import KEYS, worked
+
+    rows = t.events.select(F.lit("pi").alias("source_kind"), S("user_id").alias("source_session_id"), F.lit("p").alias("producer_id"), S("event_id").alias("id"), S("ts").alias("queued_at"))
+    state = F.when(F.col("source_session_id").cast("long") % 11 == 0, "parked").otherwise("pending")
+    out = worked(groups(rows, KEYS, ["queued_at", "id"]).withColumn("state", state), _digest_of)
+    return out.select(F.col("source_session_id").cast("long").alias("user_id"), "notifications", "status", "detail")
