@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def ancestor_paths(path: str | Column) -> Column:
-    """All proper ancestors of a normalised path, shortest first."""
+    """All proper ancestors of a normalised path, shortest first; of an absolute one the first is ``/``."""
     path = F.col(path) if isinstance(path, str) else path
     parts = F.split(path, "/")
-    return F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    return F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.coalesce(F.nullif(F.array_join(F.slice(parts, 1, i), "/"), F.lit("")), F.lit("/")))
 
 
 def closest_root(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root", order: list[str] | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def closest_root(paths: DataFrame, roots: DataFrame, path: str = "path", root: s
     """
     rest = [c for c in roots.columns if c != root]
     first = roots.groupBy(root).agg(F.min_by(F.struct(*rest), F.struct(*(order or rest))).alias("_rest")) if rest else roots.select(root).distinct()
-    up = paths.select(path).distinct().select(F.col(path), F.explode(ancestor_paths(path)).alias(root)).where(F.col(root) != "")
+    up = paths.select(path).distinct().select(F.col(path), F.explode(ancestor_paths(path)).alias(root)).where(F.col(path) != "/")
     # the roots that contain a path differ in length, so the longest is one
     found = up.join(first, root).groupBy(path).agg(F.max_by(F.struct(root, *(["_rest"] if rest else [])), F.length(root)).alias("_best"))
     found = found.select(path, F.col(f"_best.{root}").alias(root), *[F.col(f"_best._rest.{c}").alias(c) for c in rest])
@@ -29,4 +29,5 @@ def closest_root(paths: DataFrame, roots: DataFrame, path: str = "path", root: s
 
 
 def relative_path(path: Column, root: Column) -> Column:
-    return F.substring(path, F.length(root) + 2, F.length(path))
+    """What is left of a path below its root; the root ``/`` ends where the path's first part begins."""
+    return F.substring(path, F.when(root == "/", 2).otherwise(F.length(root) + 2), F.length(path))

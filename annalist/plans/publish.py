@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +54,11 @@ def release(catalog: Catalog, key: str, token: str) -> bool:
     return _lease(catalog, key, base)[0] == token and _set(catalog, key, None, 0, base)
 
 
-def publish(catalog: Catalog, run: RunTables, token: str, now_ms: int) -> int:
+def publish(catalog: Catalog, run: RunTables, token: str, now_ms: int | Callable[[], int]) -> int:
     """Append a run's tables in one commit, fenced by its derivation's lease: one whose lease has run out, or was taken over, publishes nothing.
 
+    ``now_ms``: a clock, asked when the commit is made, after the tables are written; a number stands still.
+
     A run that is there already is a conflict, as is a table that changes meanwhile.
     """
     base = catalog.number()
@@ -65,7 +69,7 @@ def publish(catalog: Catalog, run: RunTables, token: str, now_ms: int) -> int:
         raise SnapshotConflict("the run is published already")
     for name, rows in new.items():
         made[name] = catalog.appended(name, rows, there.get(name))
-    return catalog.commit(made, base, guard=lambda: held(catalog, key, token, now_ms))
+    return catalog.commit(made, base, guard=lambda: held(catalog, key, token, now_ms() if callable(now_ms) else now_ms))
 
 
 def reusable(catalog: Catalog, derivation_id: str, run_json: str) -> bool:

@@ -8,9 +8,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalist.sources.log_source import file_system
+
 _REPORT = "session_id string, file string, status string, log_bytes long"
 
 
@@ -57,30 +60,41 @@ def validated(entries: DataFrame, sessions: DataFrame) -> DataFrame:
 def materialize(entries: DataFrame, sessions: DataFrame, folder: str) -> DataFrame:
     """``validated`` logs as files -> session_id, file, status, log_bytes. A file appears whole or not at all, and an existing one is never overwritten (status ``exists``, unless it is the same).
 
-    ``folder`` must be a path that executors share.
+    ``folder`` is a path or URI that executors share, of any file system that Arrow knows. Local files get their name by a link; elsewhere a file that is written is moved to a name that was free.
     """
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for sid, name, status, log, size in frame[["session_id", "name", "status", "log", "log_bytes"]].itertuples(index=False):
-                path = os.path.join(folder, name)
+                path = f"{folder.rstrip('/')}/{name}"
                 out.append((sid, path, _place(path, log) if status == "valid" else status, size))
             yield pd.DataFrame(out, columns=["session_id", "file", "status", "log_bytes"])
 
     return validated(entries, sessions).mapInPandas(write, _REPORT)
 
 
-def _place(path: str, log: bytes) -> str:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+def _place(uri: str, log: bytes) -> str:
+    fs, path = file_system(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.tmp"
-    with open(own, "xb") as out:
+
+    def there() -> str:
+        with fs.open_input_stream(path) as f:
+            return "restored" if f.readall() == log else "exists"
+
+    with fs.open_output_stream(own, compression=None) as out:
         out.write(log)
-    try:
-        os.link(own, path)  # fails if the name is taken, so nothing is overwritten
-    except FileExistsError:
-        with open(path, "rb") as there:
-            return "restored" if there.read() == log else "exists"
-    finally:
-        os.unlink(own)
+    if isinstance(fs, pafs.LocalFileSystem):
+        try:
+            os.link(own, path)  # fails if the name is taken, so nothing is overwritten
+        except FileExistsError:
+            return there()
+        finally:
+            os.unlink(own)
+        return "restored"
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_file(own)
+        return there()
+    fs.move(own, path)
     return "restored"

@@ -111,9 +111,12 @@ def parse_worktrees(listing: DataFrame) -> DataFrame:
 
 
 def _put(spark: SparkSession, path: str, body: bytes) -> bool:
-    """Write a file next to its place and rename it there; False if the name is taken."""
+    """Write a file next to its place and give it its name; False if the name is taken. Of two writers of one name one has it: a rename takes no name that is there, and
+    on a local file system, where it would, a link does not."""
     import uuid
 
+    from py4j.protocol import Py4JJavaError
+
     jvm = spark._jvm
     target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -124,6 +127,17 @@ def _put(spark: SparkSession, path: str, body: bytes) -> bool:
         out.hsync()
     finally:
         out.close()
+    if fs.getUri().getScheme() == "file":
+        place = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:
+            jvm.java.nio.file.Files.createLink(place(target), place(staged))
+            return True
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            return False
+        finally:
+            fs.delete(staged, False)
     if fs.exists(target) or not fs.rename(staged, target):
         fs.delete(staged, False)
         return False

@@ -311,6 +311,11 @@ def test_published_under_a_lease(spark, tmp_path):
     assert c.read("runs").count() == 1 and P.reusable(c, "d", "json r1") and not P.reusable(c, "d", "json r2")
     P.publish(c, run("r2", "2025"), "b", 220)
     assert c.read("runs").count() == 2 and c.read("conclusions").count() == 2 and P.reusable(c, "d", "json r2") and not P.reusable(c, "d", "json r1")
+    times = iter([220, 400])  # the lease runs out between two publications of one owner
+    P.publish(c, run("r3", "2026"), "b", lambda: next(times))
+    with pytest.raises(SnapshotConflict):
+        P.publish(c, run("r4", "2027"), "b", lambda: next(times))
+    assert c.read("runs").count() == 3
     assert P.release(c, "d", "b") and not P.release(c, "d", "b") and P.acquire(c, "d", "z", 230, 1) and P.acquire(c, "other", "y", 230, 1)
 
 

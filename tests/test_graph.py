@@ -97,6 +97,16 @@ def result(id_, parent, call_id):
     return {"type": "message", "id": id_, "parentId": parent, "message": {"role": "toolResult", "toolCallId": call_id, "content": "text"}}
 
 
+def test_the_root_of_all_contains_all(spark):
+    from annalist.operators.containment import ancestor_paths, relative_path
+
+    paths = spark.createDataFrame([("/w/a.py",), ("/x.py",), ("/",), ("rel/y.py",), ("",)], "path string")
+    roots = spark.createDataFrame([("all", "/"), ("w", "/w"), ("none", "")], "repository_id string, root string")
+    found = closest_root(paths, roots).withColumn("rest", relative_path(F.col("path"), F.col("root")))
+    assert {(r.path, r.repository_id, r.rest) for r in found.collect()} == {("/w/a.py", "w", "a.py"), ("/x.py", "all", "x.py")}
+    assert spark.range(1).select(ancestor_paths(F.lit("/a/b/c"))).first()[0] == ["/", "/a", "/a/b"]
+
+
 def user(id_, parent, content="do it", **more):
     return {"type": "message", "id": id_, "parentId": parent, "message": {"role": "user", "content": content}, **more}
 

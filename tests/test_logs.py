@@ -103,6 +103,8 @@ def test_restore_round_trip(spark, folder, tmp_path):
     assert [r.status for r in materialize(e, s, str(out)).collect()] == ["restored"]
     assert (out / "good.jsonl").read_bytes() == (folder / "good.jsonl").read_bytes()
     assert [r.status for r in materialize(e.where("ordinal <> 1"), s, str(out)).collect()] == ["incomplete"]
+    assert [(r.status, r.file) for r in materialize(e, s, f"file://{tmp_path}/other/place").collect()] == [("restored", f"file://{tmp_path}/other/place/good.jsonl")]
+    assert sorted(p.name for p in tmp_path.glob("other/place/*")) == ["good.jsonl"]
     (out / "good.jsonl").write_bytes(b"mine")
     assert [r.status for r in materialize(e, s, str(out)).collect()] == ["exists"]
     assert (out / "good.jsonl").read_bytes() == b"mine"

@@ -130,3 +130,22 @@ def test_waiting_requests_coalesce_but_not_across_explicit_ones(spark):
     rows = [(1, "a", True, "x"), (2, "b", True, "y"), (3, "a", True, "z"), (4, "a", False, "now"), (5, "a", True, "u"), (6, "a", False, "now"), (7, None, True, "n"), (8, None, True, "m")]
     got = coalesced(spark.createDataFrame([("q", *r) for r in rows], "q string, at int, path string, automatic boolean, body string"), ["q"], "at", "path", "automatic")
     assert [(r.place, r.at, r.body, r.coalesced) for r in got.orderBy("place").collect()] == [(1, 3, "z", 2), (2, 2, "y", 1), (4, 4, "now", 1), (5, 5, "u", 1), (6, 6, "now", 1), (7, 8, "m", 2)]
+
+
+def test_of_many_writers_of_one_name_one_has_it(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    n = {"id": str(uuid.uuid4()), "queued_at": "2024-01-01T00:00:00.000Z", "source_kind": "pi", "source_session_id": "s", "locator": "/l"}
+
+    def write(i):
+        try:
+            return spool.enqueue(spark, str(tmp_path / "box"), n | {"producer_id": f"p{i}"}) and i
+        except FileExistsError:
+            return None
+
+    from annalist.sources import spool
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [i for i in pool.map(write, range(8)) if i is not None]
+    (left,) = [p for p in (tmp_path / "box").iterdir() if not p.name.endswith(".crc")]
+    assert len(won) == 1 and json.loads(left.read_text())["producerId"] == f"p{won[0]}"
