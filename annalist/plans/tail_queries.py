@@ -43,7 +43,7 @@ SELECT log, 'log' || log AS session_id, ordinal, conv_id || '-' || turn AS entry
   sha256(line) AS payload_hash, prefix_hash FROM s WHERE turn >= 0 AND line <> ''""")
 def split_log_scan(t: Tables) -> DataFrame:
     """Logs of which each is read by many tasks: ordinals from running sums over ranges, rules across records by joins, and prefix hashes from one ordered pass."""
-    records = log_source.split_records(t.spark, write_logs(t), suffix=".txt", split_bytes=RANGE)
+    records = log_source.split_records(t.spark, write_logs(t), suffix=".txt", split_bytes=RANGE, types=False)
     entries, _ = log_source.split_sessions(records)
     hashes = log_source.with_prefix_hash(records).select("path", "byte_offset", "payload_hash", "prefix_hash")
     return entries.join(hashes, ["path", "byte_offset"]).select(_LOG, "session_id", "ordinal", "entry_id", "parent_id", "byte_offset", "next_byte_offset", "payload_hash", "prefix_hash")

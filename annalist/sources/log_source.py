@@ -120,7 +120,7 @@ class _Reading:
 
     def __init__(self, options):
         self.folder, self.suffix = options["path"], options.get("suffix", ".jsonl")
-        self.split = int(options.get("splitBytes", SPLIT))
+        self.split, self.types = int(options.get("splitBytes", SPLIT)), options.get("types", "true") == "true"
         self.kinds: tuple[str, ...] | None = None
 
     def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
@@ -137,7 +137,7 @@ class _Reading:
                     number, ordinal = ordinal, ordinal + 1
                 if marks is not None and b"\\" not in raw and not any(m in raw for m in marks):
                     continue
-                rows.append((part.path, part.start, number, at, at + len(raw) + complete, _type(raw), complete, raw))
+                rows.append((part.path, part.start, number, at, at + len(raw) + complete, _type(raw) if self.types else None, complete, raw))
                 size += 200 + len(raw)
                 if size >= HANDED:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -221,7 +221,7 @@ class TailReader(_Reading, DataSourceStreamReader):
 
 
 class LogSource(DataSource):
-    """``spark.read.format("annalist_logs")`` and ``spark.readStream``. Options: path, suffix, splitBytes, mode (``ranges``: the ranges are what is read), ranges (the table of ranges of a batch), filters (whether the session hands filters on), maxBytes (stream)."""
+    """``spark.read.format("annalist_logs")`` and ``spark.readStream``. Options: path, suffix, splitBytes, mode (``ranges``: the ranges are what is read), ranges (the table of ranges of a batch), filters (whether the session hands filters on), types, maxBytes (stream)."""
 
     @classmethod
     def name(cls):
@@ -256,18 +256,18 @@ def split_ranges(spark: SparkSession, folder: str, suffix: str = ".jsonl", split
     return durable(counted.select("*", first.alias("first"), F.lead("range_start").over(before).isNull().alias("tail")))
 
 
-def split_records(spark: SparkSession, folder: str, suffix: str = ".jsonl", split_bytes: int = SPLIT, ranges: DataFrame | None = None) -> DataFrame:
+def split_records(spark: SparkSession, folder: str, suffix: str = ".jsonl", split_bytes: int = SPLIT, ranges: DataFrame | None = None, types: bool = True) -> DataFrame:
     """Records of all logs below a folder: path, range_start, ordinal (null for blank lines), byte_offset, next_byte_offset, type (of a JSON object), complete (a newline follows), raw.
 
     Logs are cut into ranges of ``split_bytes``, one a task, so a log of any size is read by many, and a task holds one record beside what it hands on. Filters on ``type`` (equality, IN) reach
-    the reader where the session's ``spark.sql.python.filterPushdown.enabled`` is true. Files that grow meanwhile are read up to their size at the first pass. Empty files have no records.
+    the reader where the session's ``spark.sql.python.filterPushdown.enabled`` is true; without ``types`` that column is null and no record is parsed. Files that grow meanwhile are read up to their size at the first pass. Empty files have no records.
     """
     ranges = split_ranges(spark, folder, suffix, split_bytes) if ranges is None else ranges
     table = ranges.inputFiles()
     where = table[0].rsplit("/", 1)[0] if table else None
     if where is None:
         return spark.createDataFrame([], RECORDS)
-    return spark.read.format("annalist_logs").options(ranges=where, suffix=suffix, filters=spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load(folder)
+    return spark.read.format("annalist_logs").options(ranges=where, suffix=suffix, types=str(types).lower(), filters=spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load(folder)
 
 
 def link(chain: str, payload_hash: str) -> str:
