@@ -50,6 +50,18 @@ def selected_transcript(t: Tables) -> DataFrame:
     return chosen.select(F.col("session_id").cast("long").alias("conv_id"), F.col("ordinal").alias("turn"), F.col("request_id").isNotNull().alias("in_request"))
 
 
+@query("""
+SELECT conv_id, turn AS child, CASE WHEN turn % 5 = 4 THEN turn - 3 WHEN turn % 7 = 3 THEN turn - 2 ELSE turn - 1 END AS parent, CASE WHEN turn % 7 = 3 AND turn % 5 <> 4 THEN 'logical' ELSE 'parent' END AS kind FROM conversations WHERE turn > 0""")
+def transcript_edges(t: Tables) -> DataFrame:
+    """Edges of branching transcripts to parents and, across boundaries, to logical parents."""
+    from annalist.plans.projection import parent_edges
+
+    e = durable(branching_transcripts(t).select("session_id", "stream_id", "parent_id", "logical_parent_id", F.col("record_uuid").alias("entry_id"), F.concat_ws("/", "session_id", "record_uuid").alias("id")))
+    both = parent_edges(e).withColumn("kind", F.lit("parent")).unionByName(parent_edges(e, "logical_parent_id").withColumn("kind", F.lit("logical")))
+    at = lambda c, i: F.element_at(F.split(c, "/"), i).cast("long")
+    return both.select(at("child", 1).alias("conv_id"), at("child", 2).alias("child"), at("parent", 2).alias("parent"), "kind")
+
+
 @query("""
 WITH RECURSIVE s AS (
   SELECT vec_id AS k, 'request of ' || (vec_id // 129) || CASE WHEN vec_id % 400 = 77 THEN ' changed' ELSE '' END AS copy, vec_id % 500 = 300 AS entryless, vec_id % 129 = 0 AS first, vec_id % 700 = 650 AS torn, vec_id // 600 AS owner FROM embeddings),
