@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import exprs as X
@@ -33,7 +33,10 @@ _WRITTEN = """l AS (
     || ',"message":{"role":"' || role || '","content":' || to_json(coalesce(text, '')) || '}}' AS line FROM conversations
   UNION ALL SELECT DISTINCT conv_id % 16, -1, -1, '{"type":"session","id":"log' || (conv_id % 16) || '"}' FROM conversations
   UNION ALL SELECT DISTINCT conv_id % 16, conv_id, 1099511627776, '' FROM conversations WHERE conv_id % 5 = 0)"""
-_LOG = F.regexp_extract("path", r"log=(\d+)", 1).cast("long").alias("log")
+
+
+def _log() -> Column:
+    return F.regexp_extract("path", r"log=(\d+)", 1).cast("long").alias("log")
 
 
 @query(f"""WITH {_WRITTEN},
@@ -46,7 +49,7 @@ def split_log_scan(t: Tables) -> DataFrame:
     records = log_source.split_records(t.spark, write_logs(t), suffix=".txt", split_bytes=RANGE, types=False)
     entries, _ = log_source.split_sessions(records)
     hashes = log_source.with_prefix_hash(records).select("path", "byte_offset", "payload_hash", "prefix_hash")
-    return entries.join(hashes, ["path", "byte_offset"]).select(_LOG, "session_id", "ordinal", "entry_id", "parent_id", "byte_offset", "next_byte_offset", "payload_hash", "prefix_hash")
+    return entries.join(hashes, ["path", "byte_offset"]).select(_log(), "session_id", "ordinal", "entry_id", "parent_id", "byte_offset", "next_byte_offset", "payload_hash", "prefix_hash")
 
 
 @query(f"""WITH RECURSIVE {_WRITTEN},
@@ -80,4 +83,4 @@ def log_tail(t: Tables) -> DataFrame:
                 raise q.exception()
     finally:
         t.spark.conf.set(name, before)
-    return t.spark.read.parquet(out).select(_LOG, "ordinal", "byte_offset", "next_byte_offset", "type", "payload_hash", "chain_hash")
+    return t.spark.read.parquet(out).select(_log(), "ordinal", "byte_offset", "next_byte_offset", "type", "payload_hash", "chain_hash")

@@ -37,3 +37,13 @@ def test_matches_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(surrogates.QUERIES) == set(surrogates.ORACLE_SQL)
+
+
+def test_the_registry_needs_no_session():
+    """The driver imports the entry before it starts Spark."""
+    import subprocess
+    import sys
+
+    root = __file__.rsplit("/", 2)[0]
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
