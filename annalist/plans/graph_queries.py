@@ -117,7 +117,7 @@ def keyset_pages(t: Tables) -> DataFrame:
     order = Order(("o_orderpriority", "o_totalprice", "o_orderkey"), frozenset({"o_orderpriority"}))
     out = None
     for i, found in enumerate(pages(o, order, max(1, -(-o.count() // 8)), snapshot="orders")):
-        found = durable(found.withColumn("page", F.lit(i)))
+        found = found.withColumn("page", F.lit(i))
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -1,18 +1,23 @@
-"""Pages of a sorted result by the last key that was shown: each page is a range filter and a top-k, and no page reads what came before."""
+"""Pages of a sorted result by the last key that was shown: no page reads what came before. A page of up to TOP rows is a range filter and a top-k, a larger one all rows between two keys."""
 
 from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.operators.walks import durable
 from annalist.plans.pages import StaleCursor
 
+#: A top-k of more rows would bring so many of each partition into one task.
+TOP = 1_000
+
 
 def _plain(v: object) -> object:
     return [type(v).__name__, v.isoformat() if isinstance(v, (datetime, date)) else str(v)] if isinstance(v, (datetime, date, Decimal)) else v
@@ -54,6 +59,14 @@ class Order:
             out = out & ((F.col(first) <= F.lit(v)) | F.col(first).isNull() if first in self.descending else F.col(first) >= F.lit(v))
         return out
 
+    def upto(self, last: list[object]) -> Column:
+        """The row with these values and all in front of it; again with a condition on the first column."""
+        out = ~F.coalesce(self.after(last), F.lit(False))
+        first, v = self.columns[0], last[0]
+        if first in self.descending:
+            return out if v is None else out & (F.col(first) >= F.lit(v))
+        return out & (F.col(first).isNull() if v is None else (F.col(first) <= F.lit(v)) | F.col(first).isNull())
+
 
 def encode(snapshot: str | None, order: Order, last: list[object]) -> str:
     body = {"snapshot": snapshot, "columns": list(order.columns), "descending": sorted(order.descending), "last": [_plain(v) for v in last]}
@@ -73,6 +86,23 @@ def decode(cursor: str, snapshot: str | None, order: Order) -> list[object]:
     return last
 
 
+def _ends(rows: DataFrame, order: Order, size: int, first: bool = False) -> Iterator[list[object]]:
+    """The last values of each page but the last one, or of the first alone. Keys are sorted by ranges and numbered inside each of them; to the driver come a count a range and the keys that end pages."""
+    keys = order.columns
+    sorted_ = durable(rows.select(*keys).repartitionByRange(*order.by()).withColumn("_range", F.spark_partition_id()))
+    counts, before, starts = dict(sorted_.groupBy("_range").count().collect()), 0, []
+    for r in sorted(counts):
+        starts.append((r, before))
+        before += counts[r]
+    if before <= size:
+        return
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "_range int, _start long"))
+    at = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy(*order.by()))
+    ends = sorted_.join(starts, "_range").withColumn("_at", at).where((F.col("_at") % size == 0) & (F.col("_at") < before))
+    for e in sorted((ends.where(F.col("_at") == size) if first else ends).collect(), key=lambda e: e["_at"]):
+        yield [e[c] for c in keys]
+
+
 def page(rows: DataFrame, order: Order, size: int, snapshot: str | None = None, cursor: str | None = None) -> tuple[DataFrame, str | None]:
     """(the next ``size`` rows in order, the cursor behind them or None at the end).
 
@@ -82,15 +112,25 @@ def page(rows: DataFrame, order: Order, size: int, snapshot: str | None = None,
     if size < 1:
         raise ValueError("a page has a row at least")
     left = rows if cursor is None else rows.where(order.after(decode(cursor, snapshot, order)))
+    if size > TOP:
+        last = next(_ends(left, order, size, first=True), None)
+        return (left if last is None else left.where(order.upto(last))).orderBy(*order.by()), last and encode(snapshot, order, last)
     found = left.orderBy(*order.by()).limit(size)
     nth = left.select(*order.columns).orderBy(*order.by()).limit(size + 1)
-    # the row in front of the one that would be the first of the next page
-    tail = nth.offset(size - 1).collect()
+    # the row in front of the one that would be the first of the next page, and that one; a top-k that is collected would send so many rows of each partition to the driver
+    tail = nth.offset(size - 1).agg(F.collect_list(F.struct(*order.columns)).alias("k")).first().k
     return found, encode(snapshot, order, list(tail[0])) if len(tail) == 2 else None
 
 
-def pages(rows: DataFrame, order: Order, size: int, snapshot: str | None = None):
-    """All pages, one after the other."""
+def pages(rows: DataFrame, order: Order, size: int, snapshot: str | None = None) -> Iterator[DataFrame]:
+    """All pages, one after the other. The ends of large ones are found at once."""
+    if size > TOP:
+        left = rows
+        for last in _ends(rows, order, size):
+            yield left.where(order.upto(last)).orderBy(*order.by())
+            left = rows.where(order.after(last))
+        yield left.orderBy(*order.by())
+        return
     cursor = None
     while True:
         found, cursor = page(rows, order, size, snapshot, cursor)

@@ -5,7 +5,9 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
+from annalist.plans import keyset
 from annalist.plans.catalog import Catalog
 from annalist.plans.keyset import Order, encode, page, pages
 from annalist.plans.pages import StaleCursor
@@ -31,6 +33,36 @@ def test_pages_are_the_sorted_table(table, falls):
             assert [r.id for p in pages(table, order, size) for r in p.collect()] == want
 
 
+@pytest.mark.parametrize(("columns", "falls"), [(("a", "id"), ()), (("a", "id"), ("a", "id")), (("s", "d", "at", "id"), ("d", "at"))])
+def test_large_pages_are_the_sorted_table(table, columns, falls, monkeypatch):
+    monkeypatch.setattr(keyset, "TOP", 0)
+    order = Order(columns, frozenset(falls))
+    want = [r.id for r in table.orderBy(*order.by()).collect()]
+    assert [[r.id for r in p.collect()] for p in pages(table, order, 20)] == [want[:20], want[20:40], want[40:]]
+    found, cursor = page(table, order, 25, "v")
+    rest, end = page(table, order, 35, "v", cursor)
+    assert [r.id for r in found.collect()] == want[:25] and [r.id for r in rest.collect()] == want[25:] and end is None
+
+
+def test_the_driver_gets_keys_and_no_page(spark, monkeypatch):
+    """However many rows a page has, a plan that brings rows to the driver brings the keys that end pages."""
+    sent = []
+    collect = DataFrame.collect
+
+    def counted(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        assert "TakeOrdered" not in plan.getClass().getName()
+        sent.append(collect(df))
+        return sent[-1]
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    rows = spark.range(0, 40_000, 1, 8).select((F.col("id") * 7919 % 40_000).alias("id"))
+    found = list(pages(rows, Order(("id",)), 5_000))
+    assert sum(map(len, sent)) < 100
+    assert [p.agg(F.min("id"), F.max("id")).first() for p in found] == [(5_000 * i, 5_000 * i + 4_999) for i in range(8)]
+    assert page(rows, Order(("id",)), 500)[1] == encode(None, Order(("id",)), [499])
+
+
 def test_a_page_is_a_range_and_a_top_k(table, tmp_path, spark):
     table.write.parquet(str(tmp_path / "t"))
     t = spark.read.parquet(str(tmp_path / "t"))
