@@ -213,7 +213,10 @@ def train(docs: DataFrame, where: Column | None = None, sample: int = SAMPLE, id
     ids, h, labels = found["doc_id"].to_numpy(), found["h"].to_numpy(), found["lang"].to_pylist()
     pairs = list(zip(_views(found["buckets"], "<u2"), _views(found["counts"], "<u4"), strict=True))
     order = sorted(range(len(h)), key=lambda i: (h[i], ids[i], labels[i], -len(pairs[i][0]), pairs[i][0].tobytes()))
-    return fit([pairs[i] for i in order], [labels[i] for i in order], (h[order] >> 8) % 5 == 0)
+    model = fit([pairs[i] for i in order], [labels[i] for i in order], (h[order] >> 8) % 5 == 0)
+    del found, pairs, ids, h
+    release()  # the driver lives on for all later stages
+    return model
 
 
 def _views(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:

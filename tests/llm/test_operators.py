@@ -601,3 +601,15 @@ def test_warc_digests_and_long_http_headers(spark, tmp_path):
         rows = warc.read_warc(spark, f"file://{tmp_path}", payload=payload).collect()
         assert len(rows) == 6 and {r.payload_length for r in rows} == {7} and {r.payload_digest for r in rows} == {"d41d8cd98f00b204e9800998ecf8427e", "da39a3ee5e6b4b0d3255bfef95601890afd80709"}
         assert {bytes(r.payload) if r.payload is not None else None for r in rows} == ({b"payload"} if payload else {None})
+
+
+def test_training_gives_the_drivers_memory_back(spark, monkeypatch):
+    import pyarrow as pa
+
+    from annalist.llm import language_id
+
+    left = []
+    monkeypatch.setattr(language_id, "release", lambda: left.append(pa.total_allocated_bytes()))
+    before = pa.total_allocated_bytes()
+    docs = spark.createDataFrame([(i, " ".join(f"{w}{i * j}" for j in range(50)), lang) for i in range(40) for w, lang in [("der", "de"), ("the", "en")]], "doc_id long, text string, lang string")
+    assert language_id.train(docs).langs == ["de", "en"] and left and left[-1] <= before
