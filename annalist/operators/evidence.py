@@ -55,9 +55,14 @@ def session_tool_uses(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def resolve(calls: DataFrame, worktrees: DataFrame, cwd: Column) -> DataFrame:
     """Adds the file of each call: worktrees(repository_id, root, commit, branch, dirty); the innermost root wins."""
-    full = calls.withColumn("absolute", absolute_path(cwd, F.col("path"))).where("absolute is not null")
+    from annalist.operators.walks import durable
+
+    # records are parsed once; each distinct path is resolved once, and a null folder is the root
+    calls = durable(calls.withColumn("_cwd", F.coalesce(cwd, F.lit("/"))))
+    full = calls.select("_cwd", "path").distinct().withColumn("absolute", absolute_path(F.col("_cwd"), F.col("path"))).where("absolute is not null")
     found = closest_root(full, worktrees, path="absolute", order=["repository_id"])
-    return found.withColumn("relative_path", relative_path(F.col("absolute"), F.col("root"))).withColumn("file_id", X.file_urn(F.col("repository_id"), F.col("relative_path")))
+    found = found.withColumn("relative_path", relative_path(F.col("absolute"), F.col("root"))).withColumn("file_id", X.file_urn(F.col("repository_id"), F.col("relative_path")))
+    return calls.join(durable(found), ["_cwd", "path"]).drop("_cwd")
 
 
 def file_repositories(locators: DataFrame, worktrees: DataFrame, boundaries: DataFrame) -> DataFrame:
@@ -74,10 +79,8 @@ def file_repositories(locators: DataFrame, worktrees: DataFrame, boundaries: Dat
 
 def session_evidence(entries: DataFrame, worktrees: DataFrame, cwd: Column) -> tuple[DataFrame, DataFrame]:
     """(files, touches) of session entries on the selected branch; of calls that share an id the last one names a result's file."""
-    from annalist.operators.walks import durable
-
     calls, results = session_tool_uses(entries)
-    calls = durable(resolve(calls, worktrees, cwd))  # read for hits and for the last call of each id
+    calls = resolve(calls, worktrees, cwd)
     place = ["file_id", "repository_id", "relative_path", "commit", "branch", "dirty"]
     last = calls.groupBy("session_id", "call_id").agg(F.max_by(F.struct(*place), F.struct("ordinal", "at")).alias("_l")).select("session_id", "call_id", "_l.*")
     hits = calls.select("session_id", "entry_id", *place, F.struct("ordinal", "at").alias("_o")).unionByName(

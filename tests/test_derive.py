@@ -372,3 +372,21 @@ def test_recipes(spark):
     for bad in ("[]", json.dumps({"Bad Name": RECIPE}), json.dumps({"a": RECIPE | {"extra": 1}}), json.dumps({"a": RECIPE | {"limits": {}}}), "x" * (300 * 1024)):
         with pytest.raises(recipes.RecipeError):
             recipes.read_recipes(bad)
+
+
+def test_records_are_read_once_and_paths_resolved_once(spark):
+    from pyspark.sql import functions as F
+
+    from annalist.operators.evidence import resolve
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def path_of(i):
+        read.add(1)
+        return f"{i % 3}/./x.py"
+
+    calls = spark.range(0, 60, 1, 2).select(F.col("id"), path_of("id").alias("path"), F.when(F.col("id") % 2 == 0, "/w").alias("cwd"))
+    roots = spark.createDataFrame([("R", "/w", "c")], "repository_id string, root string, commit string")
+    found = resolve(calls, roots, F.col("cwd"))
+    assert {(r.id, r.relative_path) for r in found.collect()} == {(i, f"{i % 3}/x.py") for i in range(0, 60, 2)} and read.value == 60
