@@ -1,8 +1,8 @@
 """An inverted table from files to what is remembered about them, so that a question about a file reads that file's rows and not the edges of all.
 
 One row a file, user and memory, with the provenance that ``file_memory`` would collect for it. Rows lie in buckets by the hash of (repository, path) and are sorted by that hash in
-their files, so a question is one bucket by partition pruning and some pages of it by statistics. Buckets hold about ``BUCKET_ROWS`` rows however many files there are. A bucket's rows are cut into
-ranges of (hash, memory), so that a file with a third of all memories is written by many tasks.
+their files, so a question is one bucket by partition pruning and some pages of it by statistics. Buckets hold about ``BUCKET_ROWS`` rows however many files there are. A file of more
+rows than a bucket's is dealt by the hash of its memories, so that one with a third of all memories is written by many tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from annalist.operators.walks import durable
 from annalist.plans.file_memory import ORDER, Graph, _provenance
 
 BUCKET_ROWS = 20_000
@@ -26,19 +27,35 @@ def _key(repository: str | Column, path: str | Column) -> Column:
     return F.xxhash64(repository, path)
 
 
-def index_rows(g: Graph, files: DataFrame | None = None) -> DataFrame:
-    """repository_id, relative_path, user_id and the columns of ``file_memory``, of all users, for all files or those of ``files`` (columns as Graph.files)."""
+def file_weights(g: Graph) -> DataFrame:
+    """file_id, _rows: a memory's observations and reflections about a file make a row each at most."""
+    supports = g.supported_by.groupBy("observation_id").agg(F.count(F.lit(1)).alias("_supports"))
+    return g.about.select("observation_id", "file_id").join(supports, "observation_id", "left").groupBy("file_id").agg(F.sum(1 + F.coalesce("_supports", F.lit(0))).alias("_rows"))
+
+
+def index_rows(g: Graph, files: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """repository_id, relative_path, user_id and the columns of ``file_memory``, of all users, for all files or those of ``files`` (columns as Graph.files); and _cuts, how many tasks a file's rows
+    are worth by ``weights`` (those of the graph)."""
     files = (g.files if files is None else files).select(F.col("id").alias("file_id"), *_FILE)
-    about = g.about.select("observation_id", "file_id").distinct().join(files.select("file_id"), "file_id", "left_semi")
+    large = (file_weights(g) if weights is None else weights).where(F.col("_rows") > BUCKET_ROWS).select("file_id", F.ceil(F.col("_rows") / BUCKET_ROWS).alias("_cuts"))
+    files = files.join(large, "file_id", "left").withColumn("_cuts", F.coalesce("_cuts", F.lit(1).cast("long")))
+    pairs = g.about.select("observation_id", "file_id").distinct().join(files, "file_id")
+    cited, contexts = _provenance(pairs, g)
+    # memories meet what their observation cites before they meet its files, so texts and lists are moved once and not at every step of a file
     mine = g.sessions.select(F.col("id").alias("session_id"), "user_id", "source_kind", "source_session_id")
     none = F.lit(None).cast("string")
-    o = g.observations.where(~F.coalesce("dropped", F.lit(False))).join(mine, "session_id").withColumn("observation_id", F.col("id"))
-    obs = about.join(o.withColumn("kind", F.lit("observation")), "observation_id").select("observation_id", "file_id", *_MEMORY)
+    o = g.observations.where(~F.coalesce("dropped", F.lit(False))).join(mine, "session_id").withColumns({"observation_id": F.col("id"), "kind": F.lit("observation")})
     r = g.reflections.join(mine, "session_id").withColumns({"reflection_id": F.col("id"), "kind": F.lit("reflection"), "timestamp": none, "relevance": none})
-    ref = g.supported_by.select("reflection_id", "observation_id").distinct().join(about, "observation_id").join(r, "reflection_id").select("observation_id", "file_id", *_MEMORY)
-    joined = obs.unionByName(ref).join(_provenance(about, g), ["observation_id", "file_id"], "left")
-    merged = joined.groupBy("file_id", *_MEMORY).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in _LISTS])
-    return merged.join(files, "file_id").select(*_FILE, *_MEMORY, *_LISTS)
+    # a reflection with one support is all that is known of it, as an observation is; of others what several observations cite is merged file by file
+    edges = g.supported_by.select("reflection_id", "observation_id").distinct().withColumn("_supports", F.count(F.lit(1)).over(Window.partitionBy("reflection_id")))
+    r = edges.join(r.select("reflection_id", *_MEMORY).distinct(), "reflection_id")
+    placed = pairs.join(contexts, ["observation_id", "file_id"], "left")
+    empty = [F.coalesce(c, F.array()).alias(c) for c in _LISTS]
+    alone = o.select("observation_id", *_MEMORY).distinct().unionByName(r.where("_supports = 1").select("observation_id", *_MEMORY))
+    alone = placed.join(alone.join(cited, "observation_id", "left"), "observation_id").select(*_FILE, *_MEMORY, *empty, "_cuts")
+    several = placed.join(r.where("_supports > 1").join(cited, "observation_id", "left"), "observation_id")
+    several = several.groupBy(*_FILE, *_MEMORY).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in _LISTS], F.max("_cuts").alias("_cuts"))
+    return alone.unionByName(several)
 
 
 @dataclass(frozen=True)
@@ -51,10 +68,10 @@ class FileIndex:
     def build(g: Graph, folder: str) -> FileIndex:
         """Write the index of a whole graph to a new folder."""
         spark = g.files.sparkSession
-        # a memory's observations and reflections about a file make a row each at most
-        n = g.about.count() + g.about.join(g.supported_by.select("observation_id"), "observation_id").count()
+        weights = durable(file_weights(g))
+        n = weights.agg(F.sum("_rows")).first()[0] or 0
         made = FileIndex(spark, folder, max(1, -(-n // BUCKET_ROWS)))
-        made._write(index_rows(g), "errorifexists")
+        made._write(index_rows(g, weights=weights), "errorifexists")
         spark.createDataFrame([(made.buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/about")
         return made
 
@@ -64,8 +81,9 @@ class FileIndex:
 
     def _write(self, rows: DataFrame, mode: str) -> None:
         rows = rows.withColumn("key", _key(*_FILE)).withColumn("bucket", F.pmod("key", F.lit(self.buckets)).cast("int"))
-        order = ["bucket", "key", "kind", "memory_id", "id"]
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/rows")
+        # dealt by a hash, as ranges would need all rows twice
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("kind", "memory_id", "id"), "_cuts")).drop("_cuts")
+        dealt.sortWithinPartitions("bucket", "key", "kind", "memory_id", "id").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/rows")
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/rows").where("kind is not null")
@@ -78,7 +96,7 @@ class FileIndex:
         rows = index_rows(g, g.files.withColumn("_bucket", bucket).join(hit, "_bucket", "left_semi").drop("_bucket"))
         held = changed.select(*_FILE).distinct()
         for f in rows.schema.fields[len(_FILE) :]:
-            held = held.withColumn(f.name, F.lit(None).cast(f.dataType))
+            held = held.withColumn(f.name, F.lit(1 if f.name == "_cuts" else None).cast(f.dataType))
         self._write(rows.unionByName(held), "overwrite")
 
     def file_memory(self, user_id: str, repository_id: str, path: str, limit: int = 20) -> DataFrame:
@@ -89,11 +107,13 @@ class FileIndex:
 
     def files_memory(self, asked: DataFrame, limit: int = 20) -> DataFrame:
         """The same for many questions at once: asked(user_id, repository_id, relative_path) -> those columns and the first ``limit`` memories of each, with their place (rank)."""
-        asked = asked.select("user_id", *_FILE).distinct().withColumn("key", _key(*_FILE)).withColumn("bucket", F.pmod("key", F.lit(self.buckets)).cast("int"))
+        asked = durable(asked.select("user_id", *_FILE).distinct())
         rows = self.rows()
         if asked.limit(FEW + 1).count() <= FEW:
-            rows = rows.where(F.col("bucket").isin([r.bucket for r in asked.select("bucket").distinct().collect()]))
+            buckets = asked.select(F.pmod(_key(*_FILE), F.lit(self.buckets)).cast("int").alias("bucket")).distinct()
+            rows = rows.where(F.col("bucket").isin([r.bucket for r in buckets.collect()]))
             asked = F.broadcast(asked)
-        met = rows.join(asked, ["bucket", "key", "user_id", *_FILE])
+        # rows are dealt by the question once, for the join and for the order
+        met = rows.join(asked, ["user_id", *_FILE], "left_semi")
         nth = F.row_number().over(Window.partitionBy("user_id", *_FILE).orderBy(*ORDER, "id"))
         return met.withColumn("rank", nth).where(F.col("rank") <= limit).select(*_FILE, *_MEMORY, *_LISTS, "rank")

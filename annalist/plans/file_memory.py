@@ -36,20 +36,18 @@ class QueryError(ValueError):
         self.code = code
 
 
-def _provenance(rows: DataFrame, g: Graph) -> DataFrame:
-    """rows(key..., observation_id, file_id): optional source entries, and what they touched of the same file, as three distinct sorted lists.
+def _provenance(pairs: DataFrame, g: Graph) -> tuple[DataFrame, DataFrame]:
+    """pairs(observation_id, file_id, more) -> observation_id, entry_ids, source_entries: what observations cite; and observation_id, file_id, contexts: what these entries touched of the same file.
 
-    The provenance side is aggregated by observation before it meets the memories, so a much-cited memory does not multiply its content.
+    The lists are distinct and sorted. What an observation cites is the same for all its files, so it is gathered once an observation; entries meet files only where a file was touched at all.
     """
-    src = g.sourced_from.join(rows.select("observation_id").distinct(), "observation_id", "left_semi")
+    src = g.sourced_from.join(pairs.select("observation_id").distinct(), "observation_id", "left_semi")
     src = src.join(g.entries.select(F.col("id").alias("entry_urn"), "entry_id", F.coalesce("stream_id", F.lit("main")).alias("stream_id")), "entry_urn")
-    hits = rows.select("observation_id", "file_id").distinct().join(src, "observation_id")
-    touched = g.touches.select("entry_urn", "file_id", "commit", "branch", F.coalesce("dirty", F.lit(False)).alias("dirty"), F.lit(True).alias("_t"))
-    hits = hits.join(touched, ["entry_urn", "file_id"], "left")
-    context = F.when(F.col("_t") & F.col("commit").isNotNull(), F.struct("stream_id", "entry_id", "commit", "branch", "dirty"))
-    return hits.groupBy("observation_id", "file_id").agg(
-        F.collect_set("entry_id").alias("entry_ids"), F.collect_set(F.struct("stream_id", "entry_id")).alias("source_entries"), F.collect_set(context).alias("contexts")
-    )
+    cited = src.groupBy("observation_id").agg(F.array_sort(F.collect_set("entry_id")).alias("entry_ids"), F.array_sort(F.collect_set(F.struct("stream_id", "entry_id"))).alias("source_entries"))
+    touched = g.touches.where("commit is not null").select("entry_urn", "file_id", "commit", "branch", F.coalesce("dirty", F.lit(False)).alias("dirty"))
+    hits = pairs.select("observation_id", "file_id").distinct().join(touched.select("file_id").distinct(), "file_id", "left_semi").join(src, "observation_id").join(touched, ["entry_urn", "file_id"])
+    contexts = hits.groupBy("observation_id", "file_id").agg(F.array_sort(F.collect_set(F.struct("stream_id", "entry_id", "commit", "branch", "dirty"))).alias("contexts"))
+    return cited, contexts
 
 
 def file_memory(g: Graph, user_id: str, repository_id: str, path: str, limit: int = 20) -> DataFrame:
@@ -68,7 +66,8 @@ def file_memory(g: Graph, user_id: str, repository_id: str, path: str, limit: in
     none = F.lit(None).cast("string")
     ref = ref.select(F.lit("reflection").alias("kind"), F.col("reflection_id").alias("id"), "observation_id", "file_id", "memory_id", "producer", "content", none.alias("timestamp"), none.alias("relevance"), "source_kind", "source_session_id")
     rows = obs.unionByName(ref)
-    joined = rows.join(_provenance(rows, g), ["observation_id", "file_id"], "left")
+    cited, contexts = _provenance(rows, g)
+    joined = rows.join(cited, "observation_id", "left").join(contexts, ["observation_id", "file_id"], "left")
     keys = ["kind", "id", "memory_id", "producer", "content", "timestamp", "relevance", "source_kind", "source_session_id"]
     merged = joined.groupBy(*keys).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("entry_ids", "source_entries", "contexts")])
     return merged.orderBy(*ORDER, "id").limit(limit)

@@ -90,3 +90,57 @@ def test_refresh_replaces_the_buckets_of_changed_files(spark, tmp_path, monkeypa
     empty = Graph(**{k: v.limit(0) if k != "files" else v for k, v in vars(new).items()})
     index.refresh(empty, changed)
     assert index.file_memory("me", "R2", "src/f7").count() == 0 and index.file_memory("you", "R2", "src/f7").count() == 0
+
+
+def exchanges_of(df, column):
+    """Shuffles of a plan, before it runs, that carry a column."""
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(p.initialPlan())
+        if p.getClass().getSimpleName() == "ShuffleExchangeExec":
+            names = p.output()
+            out.append(column in {names.apply(i).name() for i in range(names.size())})
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(plan)
+    return sum(out)
+
+
+def test_texts_are_not_moved_at_every_step_of_a_file(spark):
+    from annalist.plans.file_index import index_rows
+
+    g = graph(spark, 50)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges_of(index_rows(g), "content") <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_supports_of_a_reflection_are_merged_and_large_files_are_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("annalist.plans.file_index.BUCKET_ROWS", 50)
+    g = graph(spark, 20)
+    # one file has a third of all memories, and a reflection rests on three observations about it and one about another
+    more = spark.range(400).select(F.concat(F.lit("o1"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("observation_id"), F.lit("5").alias("file_id"))
+    seen = more.select(F.col("observation_id").alias("id"), F.lit("s0").alias("session_id"), F.col("observation_id").alias("memory_id"), F.lit("p").alias("producer"), F.lit("c").alias("content"), F.lit("t").alias("timestamp"), F.lit("low").alias("relevance"), F.lit(False).alias("dropped"))
+    edges = spark.createDataFrame([("r0", "o15"), ("r0", "o16"), ("r0", "o17"), ("r0", "o17")], "reflection_id string, observation_id string")
+    g = Graph(**{**vars(g), "about": g.about.unionByName(more), "observations": g.observations.unionByName(seen), "supported_by": g.supported_by.unionByName(edges)})
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = FileIndex.build(g, str(tmp_path / "index"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    for f in (0, 5):
+        want = rows(file_memory(g, "me", f"R{f % 5}", f"src/f{f}", 1000))
+        assert rows(index.file_memory("me", f"R{f % 5}", f"src/f{f}", 1000)) == want
+        asked = spark.createDataFrame([("me", f"R{f % 5}", f"src/f{f}")], "user_id string, repository_id string, relative_path string")
+        assert len(want) == index.files_memory(asked, 1000).count()
+    merged = index.file_memory("me", "R0", "src/f5", 1000).where("id = 'r0'").first()
+    assert merged.entry_ids == ["x15", "x16", "x17"] and [c.entry_id for c in merged.contexts] == ["x16"]
+    files = index.rows().where("relative_path = 'src/f5'").select(F.input_file_name()).distinct().count()
+    assert 2 <= files <= 9
