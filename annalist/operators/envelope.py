@@ -18,13 +18,9 @@ CHECKPOINT = ArrayType(StructType([StructField("streamId", StringType()), Struct
 INSPECTED = StructType([*(StructField(n, StringType()) for n in ("reason", "event_id", "event_hash", "kind")), StructField("checkpoint", CHECKPOINT)])
 
 
-def _fields(v: Column, *names: str) -> Column:
-    """An object's fields as variants (absent: null); null for what is no object."""
-    return F.try_variant_get(v, "$", "struct<" + ",".join(f"{n}:variant" for n in names) + ">")
-
-
-def _items(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
+def _items(v: Column, path: str, items: str) -> Column:
+    """What stands at a path as a list, read to its last field at once; an item that is no object where one is meant is null, and no list is an empty one."""
+    return F.coalesce(F.try_variant_get(v, path, f"array<{items}>"), F.array().cast(f"array<{items}>"))
 
 
 def _text(v: Column) -> Column:
@@ -72,11 +68,13 @@ def _listed(items: Column, check, key) -> Column:
 
 # What lists hold, with each field read once: texts and whole numbers are null where the value is of another type.
 
+STREAM = "struct<streamId:variant,committedBytes:variant,prefixSha256:variant,selectedLeafEntryId:variant>"
+MEMORY = "struct<id:variant,content:variant,timestamp:variant,relevance:variant,tokenCount:variant,sourceEntries:array<struct<streamId:variant,entryId:variant>>,supportingObservationIds:array<variant>>"
+
 
 def _streams(streams: Column) -> Column:
-    each = F.transform(streams, lambda s: _fields(s, "streamId", "committedBytes", "prefixSha256", "selectedLeafEntryId"))
     leaf = lambda f: F.when(f["selectedLeafEntryId"].isNull(), F.lit("")).when(~F.is_variant_null(f["selectedLeafEntryId"]), F.coalesce(_text(f["selectedLeafEntryId"]), F.lit("")))  # noqa: E731  null: none, empty: not valid
-    return F.transform(each, lambda f: F.struct(_text(f["streamId"]).alias("streamId"), _whole(f["committedBytes"]).alias("committedBytes"), _text(f["prefixSha256"]).alias("prefixSha256"), leaf(f).alias("leaf")))
+    return F.transform(streams, lambda f: F.struct(_text(f["streamId"]).alias("streamId"), _whole(f["committedBytes"]).alias("committedBytes"), _text(f["prefixSha256"]).alias("prefixSha256"), leaf(f).alias("leaf")))
 
 
 def _valid_stream(s: Column) -> Column:
@@ -84,18 +82,16 @@ def _valid_stream(s: Column) -> Column:
 
 
 def _cited(entries: Column) -> Column:
-    each = F.transform(entries, lambda e: _fields(e, "streamId", "entryId"))
-    return F.transform(each, lambda e: F.struct(_text(e["streamId"]).alias("s"), _text(e["entryId"]).alias("e")))
+    return F.transform(entries, lambda e: F.struct(_text(e["streamId"]).alias("s"), _text(e["entryId"]).alias("e")))
 
 
 def _memories(items: Column) -> Column:
     """Observations and reflections alike; of the fields that one of them lacks, the lists are null."""
-    each = F.transform(items, lambda o: _fields(o, "id", "content", "timestamp", "relevance", "tokenCount", "sourceEntries", "supportingObservationIds"))
     typed = lambda f: F.struct(
         *[_text(f[c]).alias(c) for c in ("id", "content", "timestamp", "relevance")], _whole(f["tokenCount"]).alias("tokenCount"),
-        _cited(_items(f["sourceEntries"])).alias("cited"), F.transform(_items(f["supportingObservationIds"]), _text).alias("supports"),
+        _cited(f["sourceEntries"]).alias("cited"), F.transform(f["supportingObservationIds"], _text).alias("supports"),
     )
-    return F.transform(each, typed)
+    return F.transform(items, typed)
 
 
 def _content(m: Column) -> Column:
@@ -114,30 +110,39 @@ def _valid_reflection(m: Column) -> Column:
 @F.pandas_udf(INSPECTED)
 def _inspected(raw: pd.Series, kind: pd.Series, session: pd.Series, producer: pd.Series) -> pd.DataFrame:
     """The definition, for the records that are handed on; null for the others."""
-    out = []
-    for r, *key in zip(raw, kind, session, producer, strict=True):
-        e = inspect(r, Locator(*key)) if isinstance(r, str) else {}
-        streams = [(s["streamId"], int(s["committedBytes"]), s["prefixSha256"]) for s in e.get("checkpoint") or ()]
-        out.append((next(iter(e.get("diagnostics", ())), None), e.get("event_id"), e.get("event_hash"), e.get("kind"), [dict(zip(("streamId", "committedBytes", "prefixSha256"), s, strict=True)) for s in streams] or None))
-    return pd.DataFrame(out, columns=["reason", "event_id", "event_hash", "kind", "checkpoint"])
+    out = {n: [None] * len(raw) for n in INSPECTED.names}
+    asked = raw.notna().to_numpy().nonzero()[0]
+    for i, r, *key in zip(asked, *(c.iloc[asked] for c in (raw, kind, session, producer)), strict=True):
+        e = inspect(r, Locator(*key))
+        streams = [{"streamId": s["streamId"], "committedBytes": int(s["committedBytes"]), "prefixSha256": s["prefixSha256"]} for s in e.get("checkpoint") or ()]
+        for n, v in zip(INSPECTED.names, (next(iter(e.get("diagnostics", ())), None), e.get("event_id"), e.get("event_hash"), e.get("kind"), streams or None), strict=True):
+            out[n][i] = v
+    return pd.DataFrame(out, columns=INSPECTED.names, dtype=object)
 
 
 def inspected(records: DataFrame) -> DataFrame:
     """records(source_kind, source_session_id, producer_id, ordinal, raw_json) -> the same with reason (the first rule that the record breaks by itself; null: none), event_id, event_hash, kind and
     checkpoint, all four null where there is a reason. What ``sidecar.inspect`` says of each record. A null record is malformed."""
-    top = ["protocolVersion", "eventId", "kind", "producer", "source", "sourceCheckpoint", "recordedAt", "observations", "reflections", "observationIds"]
+    top = "struct<protocolVersion:variant,eventId:variant,kind:variant,producer:struct<id:variant,version:variant>,source:struct<kind:variant,sessionId:variant>,recordedAt:variant,observations:variant,reflections:variant,observationIds:variant>"
     rows = records.select(*LOG, "ordinal", "raw_json", F.try_parse_json("raw_json").alias("v"))
-    rows = rows.withColumns({"e": _fields(F.col("v"), *top), "text": F.to_json("v")})
-    bare = lambda c: F.octet_length(F.translate(c, " \t\r\n", ""))
-    # a text behind the value, or an escape that need not be one, makes the record longer than its canonical form, as blanks do
-    whole = F.when(F.octet_length("raw_json") == F.octet_length("text"), F.lit(True)).otherwise(bare(F.col("raw_json")) == bare(F.col("text")))
-    # numbers stand behind a key's colon, in a list, or alone
-    plain = F.col("v").isNotNull() & ~F.contains("raw_json", F.lit("\\u")) & whole & ~F.col("text").rlike(r'(?:":|[\[,]|\A)-?[0-9]+(?:[.eE]|(?<=[0-9]{16}))')
-    lists = lambda v: F.coalesce(_items(v), F.array().cast("array<variant>"))
+    rows = rows.withColumns({"e": F.try_variant_get("v", "$", top), "text": F.to_json("v")})
+
+    def bare(c: Column, blanks: str = " \t\r\n") -> Column:
+        for blank in blanks:
+            c = F.replace(c, F.lit(blank))
+        return F.octet_length(c)
+
+    # a text behind the value, or an escape that need not be one, makes the record longer than its canonical form, as blanks do (of which that form escapes all but spaces)
+    whole = F.when(F.octet_length("raw_json") == F.octet_length("text"), F.lit(True)).otherwise(bare(F.col("raw_json")) == bare(F.col("text"), " "))
+    # numbers stand behind a key's colon, in a list, or alone; the character before one is looked for first
+    long = r"-?[0-9]+(?:[.eE]|(?<=[0-9]{16}))"
+    unsure = F.col("text").rlike(r'[:,\[](?<=":|[\[,])' + long) | (~F.startswith("text", F.lit("{")) & F.col("text").rlike(r"\A" + long))
+    plain = F.col("v").isNotNull() & ~F.contains("raw_json", F.lit("\\u")) & whole & ~unsure
+    v = F.col("v")
     rows = rows.select(
-        *LOG, "ordinal", "raw_json", "text", "e", _is(plain).alias("plain"), _streams(lists(F.try_variant_get(F.col("e.sourceCheckpoint"), "$.streams", "variant"))).alias("streams"),
-        _memories(lists(F.col("e.observations"))).alias("observations"), _memories(lists(F.col("e.reflections"))).alias("reflections"), F.transform(lists(F.col("e.observationIds")), _text).alias("observationIds"),
-        _fields(F.col("e.producer"), "id", "version").alias("producer"), _fields(F.col("e.source"), "kind", "sessionId").alias("source"), _text(F.col("e.kind")).alias("kind_"), _text(F.col("e.recordedAt")).alias("at"),
+        *LOG, "ordinal", "raw_json", "text", "e", _is(plain).alias("plain"), _streams(_items(v, "$.sourceCheckpoint.streams", STREAM)).alias("streams"),
+        _memories(_items(v, "$.observations", MEMORY)).alias("observations"), _memories(_items(v, "$.reflections", MEMORY)).alias("reflections"), F.transform(_items(v, "$.observationIds", "variant"), _text).alias("observationIds"),
+        F.col("e.producer").alias("producer"), F.col("e.source").alias("source"), _text(F.col("e.kind")).alias("kind_"), _text(F.col("e.recordedAt")).alias("at"),
     )
     rows = rows.withColumns({
         "names": F.transform("streams", lambda s: s["streamId"]), "timely": _usual_time(F.col("at")), "event": _text(F.col("e.eventId")),

@@ -107,3 +107,19 @@ def test_classify_takes_logs_apart(spark):
     want = {(p, i): (e["status"], e["diagnostics"], e.get("event_id"), e.get("event_hash"), e.get("kind"), logs[p][i]) for p, lines in logs.items() for i, e in enumerate(sidecar.fold(lines, Locator("pi", "sess", p)))}
     assert got == want and {v[0] for v in got.values()} == {"accepted", "replay", "skipped", "conflict", "blocked"}
     assert sidecar.classify(spark.createDataFrame([], REC)).count() == 0
+
+
+def test_a_record_is_read_in_few_passes(spark):
+    plan = inspected(spark.createDataFrame([("pi", "sess", "prod", 0, "{}")], REC))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get(") <= 6 and "translate(" not in plan
+
+
+def test_lists_of_odd_items_are_judged_as_by_the_definition(spark):
+    """Items that are no objects, lists that are none, and numbers behind brackets or in texts."""
+    base = event("1", "observations.recorded", observations=[obs()])
+    odd = [base | {k: v} for k in ("observations", "reflections", "observationIds", "producer", "source", "sourceCheckpoint") for v in (None, 7, "x", [], {}, [None], [[1.5]], [{"id": 1}], {"streams": [None]}, {"streams": 3})]
+    odd += [base | {"observations": [obs() | {k: v}]} for k in ("sourceEntries", "supportingObservationIds", "content", "tokenCount") for v in (None, 7, ["x"], [None], [{}], "at 00:00:00.5,1.5")]
+    texts = [json.dumps(e, ensure_ascii=False) for e in odd] + ["1.5", "12345678901234567", "[1.5]", '"a\\tb"', ' {"a" :\t1}\r\n', json.dumps(base).replace(" ", "\t"), json.dumps(base | {"n": [1, 2.5]})]
+    got = inspected(spark.createDataFrame([("pi", "sess", "prod", i, x) for i, x in enumerate(texts)], REC)).orderBy("ordinal").collect()
+    want = [inspect(x, Locator("pi", "sess", "prod")) for x in texts]
+    assert [(r.reason, r.event_hash) for r in got] == [(next(iter(w["diagnostics"]), None), w.get("event_hash")) for w in want]
