@@ -15,6 +15,6 @@ def authorized_owners(readers: DataFrame, grants: DataFrame) -> DataFrame:
 
 def readable(rows: DataFrame, reader_id: str, grants: DataFrame, owner: str = "owner_id") -> DataFrame:
     """Rows of the reader or of an owner that grants it read; applied before any other predicate."""
-    allowed = grants.where((F.col("permission") == "read") & (F.col("reader_id") == reader_id)).select(F.col("owner_id").alias(owner)).distinct()
-    mine = rows.where(F.col(owner) == reader_id)
-    return mine.unionByName(rows.where(F.col(owner) != reader_id).join(allowed, owner, "left_semi").select(*rows.columns))
+    allowed = grants.where((F.col("permission") == "read") & (F.col("reader_id") == reader_id)).select(F.col("owner_id").alias(owner))
+    own = grants.sparkSession.range(1).select(F.lit(reader_id).alias(owner))
+    return rows.join(allowed.unionByName(own).distinct(), owner, "left_semi").select(*rows.columns)

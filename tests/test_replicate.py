@@ -1,6 +1,7 @@
 """Replication of scanned logs, and the corpus a derivation reads."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from annalist.operators import derive, inputs
 from annalist.operators.evidence import file_repositories
@@ -122,6 +123,33 @@ def test_generation_input(spark):
     assert "ok" not in inputs.load_input(t, "u", grants).columns and inputs.load_input(t, "nobody", grants).count() == 0
 
 
+def test_generation_input_reads_edges_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    n = F.col("id").cast("string")
+    ids = spark.range(40)
+    m = ids.select(F.concat(F.lit("o"), n).alias("id"), F.lit("observation").alias("kind"), F.lit("u").alias("owner_id"), F.lit("s").alias("session_id"), F.lit("pi").alias("source_kind"), F.lit("n").alias("source_session_id"), F.lit("p").alias("producer"),
+                   n.alias("memory_id"), F.lit("c").alias("content"), F.lit(False).alias("dropped"), F.lit(None).cast("array<string>").alias("supporting_observation_ids"))
+    m = m.unionByName(m.withColumns({"id": F.concat(F.lit("r"), "id"), "kind": F.lit("reflection"), "supporting_observation_ids": F.array("memory_id")}))
+    m = m.withColumn("session_id", F.when(F.col("id") != "o7", F.col("session_id")))
+    about = ids.select(F.concat(F.lit("o"), n).alias("observation_id"), F.concat(F.lit("f"), (F.col("id") % 4).cast("string")).alias("file_id"))
+    files = spark.createDataFrame([("f0", "A", "a"), ("f1", "B", "b"), ("f2", None, "c")], "id string, repository_id string, relative_path string")
+    up = ids.select(F.concat(F.lit("ro"), n).alias("reflection_id"), F.concat(F.lit("o"), n).alias("observation_id")).unionByName(spark.createDataFrame([("ro3", "o0"), ("ro3", "gone")], "reflection_id string, observation_id string"))
+    t = inputs.Tables(m, spark.createDataFrame([], "observation_id string, session_id string, stream_id string, entry_id string"), up, about.mapInArrow(counted, about.schema), files,
+                      spark.createDataFrame([("A", "h/a"), ("B", "h/b")], "id string, normalized_origin string"), spark.createDataFrame([("s", "W")], "session_id string, repository_id string"))
+    got = {r.id: r for r in inputs.input_rows(t, "u", spark.createDataFrame([], "owner_id string, reader_id string, permission string")).collect()}
+    assert len(got) == 80 and reads.value == 40
+    assert (got["ro3"].linked_paths, got["ro3"].repository_ids, got["ro3"].repository_origins, got["ro3"].ok) == (["a"], ["A"], ["h/a"], False)
+    # a file that is not known is evidence of nothing; an observation of no session has paths and no scope
+    assert (got["o3"].linked_paths, got["o3"].repository_ids) == ([], []) and (got["o7"].linked_paths, got["o7"].repository_ids, got["o7"].ok) == ([], [], False)
+    assert (got["ro4"].linked_paths, got["ro4"].repository_ids, got["ro4"].ok) == (["a"], ["A"], True) and got["o2"].repository_ids == [] and got["o2"].linked_paths == ["c"]
+
+
 def test_nested_repositories(spark):
     locators = spark.createDataFrame([(1, "/w", "a/x.py"), (2, "/w", "a/sub/x.py"), (3, "/w/a", "../b.py"), (4, None, "/w/a/sub/deep/y"), (5, "/w", " "), (6, "/w", "a/sub")], "n int, cwd string, path string")
     worktrees = spark.createDataFrame([("A", "/w/a"), ("D", "/w/a/sub/deep")], "repository_id string, root string")
