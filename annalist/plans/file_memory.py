@@ -36,18 +36,31 @@ class QueryError(ValueError):
         self.code = code
 
 
+def _sources(g: Graph) -> DataFrame:
+    """entry_urn, observation_id, entry_id, stream_id: the entries that observations cite."""
+    return g.sourced_from.join(g.entries.select(F.col("id").alias("entry_urn"), "entry_id", F.coalesce("stream_id", F.lit("main")).alias("stream_id")), "entry_urn")
+
+
+def _touched(g: Graph) -> DataFrame:
+    return g.touches.where("commit is not null").select("entry_urn", "file_id", "commit", "branch", F.coalesce("dirty", F.lit(False)).alias("dirty"))
+
+
+def _contexts(hits: DataFrame, src: DataFrame, touched: DataFrame) -> DataFrame:
+    """hits(observation_id, file_id) -> and contexts: what the cited entries touched of the same file."""
+    seen = hits.join(src, "observation_id").join(touched, ["entry_urn", "file_id"])
+    return seen.groupBy("observation_id", "file_id").agg(F.array_sort(F.collect_set(F.struct("stream_id", "entry_id", "commit", "branch", "dirty"))).alias("contexts"))
+
+
 def _provenance(pairs: DataFrame, g: Graph) -> tuple[DataFrame, DataFrame]:
     """pairs(observation_id, file_id, more) -> observation_id, entry_ids, source_entries: what observations cite; and observation_id, file_id, contexts: what these entries touched of the same file.
 
     The lists are distinct and sorted. What an observation cites is the same for all its files, so it is gathered once an observation; entries meet files only where a file was touched at all.
     """
-    src = g.sourced_from.join(pairs.select("observation_id").distinct(), "observation_id", "left_semi")
-    src = src.join(g.entries.select(F.col("id").alias("entry_urn"), "entry_id", F.coalesce("stream_id", F.lit("main")).alias("stream_id")), "entry_urn")
+    src = _sources(g).join(pairs.select("observation_id").distinct(), "observation_id", "left_semi")
     cited = src.groupBy("observation_id").agg(F.array_sort(F.collect_set("entry_id")).alias("entry_ids"), F.array_sort(F.collect_set(F.struct("stream_id", "entry_id"))).alias("source_entries"))
-    touched = g.touches.where("commit is not null").select("entry_urn", "file_id", "commit", "branch", F.coalesce("dirty", F.lit(False)).alias("dirty"))
-    hits = pairs.select("observation_id", "file_id").distinct().join(touched.select("file_id").distinct(), "file_id", "left_semi").join(src, "observation_id").join(touched, ["entry_urn", "file_id"])
-    contexts = hits.groupBy("observation_id", "file_id").agg(F.array_sort(F.collect_set(F.struct("stream_id", "entry_id", "commit", "branch", "dirty"))).alias("contexts"))
-    return cited, contexts
+    touched = _touched(g)
+    hits = pairs.select("observation_id", "file_id").distinct().join(touched.select("file_id").distinct(), "file_id", "left_semi")
+    return cited, _contexts(hits, src, touched)
 
 
 def file_memory(g: Graph, user_id: str, repository_id: str, path: str, limit: int = 20) -> DataFrame:

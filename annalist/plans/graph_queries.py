@@ -101,8 +101,7 @@ def file_memory_index(t: Tables) -> DataFrame:
 
     g = _order_graph(t)
     index = FileIndex.build(g, fresh_folder(t.spark, "file-index"))
-    asked = index.rows().select("user_id", "repository_id", "relative_path").distinct()
-    out = index.files_memory(asked, limit=20)
+    out = index.files_memory(limit=20)
     return out.select(F.col("relative_path").cast("long").alias("p_partkey"), "user_id", "rank", "kind", "memory_id", "content", "entry_ids", F.size("contexts").cast("long").alias("contexts"))
 
 

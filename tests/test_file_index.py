@@ -144,3 +144,36 @@ def test_supports_of_a_reflection_are_merged_and_large_files_are_cut(spark, tmp_
     assert merged.entry_ids == ["x15", "x16", "x17"] and [c.entry_id for c in merged.contexts] == ["x16"]
     files = index.rows().where("relative_path = 'src/f5'").select(F.input_file_name()).distinct().count()
     assert 2 <= files <= 9
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_build_gives_its_disk_back_and_goes_in_rounds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("annalist.plans.file_index.BUCKET_ROWS", 100)
+    g = graph(spark, 200)
+    # one file has more memories than a bucket: it is cut, and places count within cuts
+    more = spark.range(300).select(F.concat(F.lit("o1"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("observation_id"), F.lit("5").alias("file_id"))
+    seen = more.select(F.col("observation_id").alias("id"), F.lit("s0").alias("session_id"), F.col("observation_id").alias("memory_id"), F.lit("p").alias("producer"), F.lit("c").alias("content"), F.lit("t").alias("timestamp"), F.lit("low").alias("relevance"), F.lit(False).alias("dropped"))
+    edges = spark.createDataFrame([("r0", "o15"), ("r0", "o16"), ("r0", "o31")], "reflection_id string, observation_id string")
+    g = Graph(**{**vars(g), "about": g.about.unionByName(more), "observations": g.observations.unionByName(seen), "supported_by": g.supported_by.unionByName(edges)})
+    answers, was = {}, spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    for rounds in (1, 3):
+        monkeypatch.setattr("annalist.plans.file_index.ROUNDS", rounds)
+        monkeypatch.setattr("annalist.plans.file_index.ROUND_BUCKETS", 2)
+        before = shuffle_files(spark)
+        index = FileIndex.build(g, str(tmp_path / f"index{rounds}"))
+        assert shuffle_files(spark) - before == set()
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+        first = index.files_memory(limit=3)
+        answers[rounds] = sorted(rows(first.select("user_id", "relative_path", "rank", "id", "content", "entry_ids")))
+    assert answers[1] == answers[3] and len({r[:3] for r in answers[1]}) == len(answers[1])
+    # the rows of the index are not moved for its first rows, but for those of cut files
+    assert exchanges_of(first.where("relative_path <> 'src/f5'"), "content") <= 1
+    assert exchanges_of(index.rows().where("not cut and place <= 3"), "content") == 0
+    for f in (0, 5, 6, 10):
+        for user in ("me", "you"):
+            want = [(r.id, r.content, r.entry_ids) for r in file_memory(g, user, f"R{f % 5}", f"src/f{f}", 3).collect()]
+            assert [r[3:] for r in answers[3] if r[:2] == (user, f"src/f{f}")] == want
